@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark import StorageLevel
+from collections.abc import Callable
+from typing import TypeVar
+
+from pyspark import StorageLevel, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,5 +50,14 @@ def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
     return F.broadcast(df) if plan_bytes(df) <= limit else df
 
 
+V = TypeVar("V")
+
+
+def broadcast_object(spark: SparkSession, value: V) -> Callable[[], V]:
+    """Broadcast an object of a bounded size; the result, called on a worker, gives it. Its class travels by value too."""
+    shared = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: cloudpickle.loads(shared.value)
+
+
 def persisted(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
