@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-MODULES = ("records",)
+MODULES = ("records", "tagging", "geodesy")
 
 
 def _merged(what: str) -> dict:
