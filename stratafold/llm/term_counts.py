@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratafold.session import maybe_broadcast, materialize, shuffle_partitions
+from stratafold.session import materialize, shuffle_partitions
 
 #: Identifiers of one count array.
 RANGE_SIZE = 1 << 16
@@ -109,7 +109,7 @@ def count_terms(df: DataFrame, tags: str) -> DataFrame:
     """``term_id, key, item, occurrences, records`` of every distinct term of the map column ``tags``."""
     blocks = materialize(df.select(tags).mapInArrow(_block_counts, "key string, item string, occurrences long, records long"))
     words = materialize(dictionary(blocks.select("key", "item")))
-    encoded = blocks.join(maybe_broadcast(words), ["key", "item"]).selectExpr(f"CAST(term_id DIV {RANGE_SIZE}L AS INT) AS id_range", f"CAST(term_id % {RANGE_SIZE}L AS INT) AS offset", "occurrences", "records")
+    encoded = blocks.join(words, ["key", "item"]).selectExpr(f"CAST(term_id DIV {RANGE_SIZE}L AS INT) AS id_range", f"CAST(term_id % {RANGE_SIZE}L AS INT) AS offset", "occurrences", "records")
     summed = encoded.repartition("id_range").mapInArrow(_sum_ranges, "term_id long, occurrences long, records long")
     return summed.join(words, "term_id").select("term_id", "key", "item", "occurrences", "records")
 
