@@ -43,7 +43,13 @@ REMEMBERED, TEXTS = 200_000, 2_000
 _WORD = regex.compile(r"\p{L}+")
 _LINE_END = regex.compile(r"\r\n|\r|\n")
 _CYRILLIC = regex.compile(r"\p{Script=Cyrillic}")
-_MARKUP = regex.compile(r"\s*(?:[{}\[\]<|]|\d{4}-\d\d-\d\d[T ]\d\d:|(?:DEBUG|INFO|WARN|WARNING|ERROR|TRACE)\b|\w+=\S+;\w+=|```|#{1,6}\s|[-=|:]{3,}|\[\w+\])|.*\s(?:->|=>)\s.*\d|.*\b\w+=\w+[;,&]\w+=")
+_MARKUP_START = regex.compile(r"\s*(?:[{}\[\]<|]|\d{4}-\d\d-\d\d[T ]\d\d:|(?:DEBUG|INFO|WARN|WARNING|ERROR|TRACE)\b|```|#{1,6}\s|[-=|:]{3,}|\w+=\S+;\w+=)")
+_MARKUP_INSIDE = regex.compile(r"\s(?:->|=>)\s.*\d|\b\w+=\w+[;,&]\w+=")
+
+
+def is_markup(line: str) -> bool:
+    """Whether a line is a log line or markup by its form."""
+    return _MARKUP_START.match(line) is not None or (("=" in line or "->" in line) and _MARKUP_INSIDE.search(line) is not None)
 
 
 def paragraphs(text: str) -> list[str]:
@@ -131,48 +137,51 @@ class Labeller:
     def __init__(self, model: Model) -> None:
         self.model = model
         self.numbers: dict[str, int] = {}
-        self.scores: list[np.ndarray] = []
         self.markup = np.full(len(model.languages), WORD_FLOOR, np.float32)
         self.markup[model.languages.index(MARKUP_LANGUAGE) if MARKUP_LANGUAGE in model.languages else 0] = 0
+        #: Scores by word number; number 0 stands for every word of a markup line.
+        self.scores = [self.markup]
 
     def _number(self, word: str) -> int:
-        n = self.numbers.get(word)
+        lower = word.lower()
+        n = self.numbers.get(lower)
         if n is None:
-            n = self.numbers[word] = len(self.scores)
-            self.scores.append(self.model.word_scores(word))
+            n = self.numbers[lower] = len(self.scores)
+            self.scores.append(self.model.word_scores(lower))
+        self.numbers[word] = n
         return n
 
     def spans(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """For each paragraph the letters labelled with each language, and the mean margin of its words' scores."""
+        """For each paragraph the letters labelled with each language, and the margin of its words' mean scores."""
         if len(self.scores) > REMEMBERED:
             self.numbers.clear()
-            self.scores.clear()
-        markup = self._number("\0markup") if "\0markup" in self.numbers else None
-        if markup is None:
-            markup = self.numbers["\0markup"] = len(self.scores)
-            self.scores.append(self.markup)
+            self.scores = [self.markup]
+        numbers, languages = self.numbers, len(self.model.languages)
         words: list[int] = []
         letters: list[int] = []
         sizes = []
         for text in texts:
             before = len(words)
-            for line in unicodedata.normalize("NFC", text).split("\n"):
-                form = _MARKUP.match(line) is not None
-                for word in _WORD.findall(line):
-                    words.append(markup if form else self._number(word.lower()))
-                    letters.append(len(word))
+            for line in (text if text.isascii() else unicodedata.normalize("NFC", text)).split("\n"):
+                own = _WORD.findall(line)
+                letters += map(len, own)
+                if is_markup(line):
+                    words += [0] * len(own)
+                else:
+                    words += [numbers[w] if w in numbers else self._number(w) for w in own]
             sizes.append(len(words) - before)
         size = np.array(sizes, np.int64)
-        score = np.stack(self.scores)[np.array(words, np.int64)] if words else np.zeros((0, len(self.model.languages)), np.float32)
-        label = viterbi(score, size)
-        owner = np.repeat(np.arange(len(texts)), size)
-        found = np.zeros((len(texts), len(self.model.languages)))
-        np.add.at(found, (owner, label), np.array(letters, np.float64))
-        mean = np.zeros_like(found)
-        np.add.at(mean, owner, score)
-        mean /= np.maximum(size, 1)[:, None]
+        found, mean = np.zeros((len(texts), languages)), np.zeros((len(texts), languages))
+        if words:
+            score = np.stack(self.scores)[np.array(words, np.int64)]
+            place = np.repeat(np.arange(len(texts)), size) * languages + viterbi(score, size)
+            found = np.bincount(place, np.array(letters, np.float64), found.size).reshape(found.shape)
+            full = np.flatnonzero(size)
+            mean[full] = np.add.reduceat(score, (np.cumsum(size) - size)[full], axis=0) / size[full][:, None]
+        if languages == 1:
+            return found, np.full(len(texts), -WORD_FLOOR)
         ordered = np.sort(mean, axis=1)
-        return found, ordered[:, -1] - ordered[:, -2] if mean.shape[1] > 1 else np.full(len(texts), -WORD_FLOOR)
+        return found, ordered[:, -1] - ordered[:, -2]
 
 
 def viterbi(score: np.ndarray, sizes: np.ndarray) -> np.ndarray:
