@@ -12,7 +12,7 @@ VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
     "points": ("SELECT c_custkey AS id, (c_custkey * 7919 % 36000) / 100 - 180 AS lon, (c_custkey * 104729 % 16000) / 100 - 80 AS lat FROM customer", ()),
     "stations": ("SELECT s_suppkey AS id, (s_suppkey * 7919 % 36000) / 100 - 180 AS lon, (s_suppkey * 104729 % 16000) / 100 - 80 AS lat FROM supplier", ()),
     "line_pts": ("SELECT o_custkey AS line, o_orderkey AS seq, (o_orderkey * 7919 % 1000) / 1000 AS x, (o_orderkey * 104729 % 1000) / 1000 AS y FROM orders", ()),
-    "areas": ("SELECT n_nationkey::BIGINT AS id, (n_nationkey * 7 % 25) / 25 + 0.02 AS cx, (n_nationkey * 11 % 25) / 25 + 0.02 AS cy, 0.06::DOUBLE AS h, CASE WHEN n_nationkey % 2 = 0 THEN 0.02::DOUBLE END AS hole_h, (n_nationkey % 4)::BIGINT AS class, 2.5 + n_regionkey * 10.0::DOUBLE AS height FROM nation", ()),
+    "areas": ("SELECT n_nationkey::BIGINT AS id, (n_nationkey * 7 % 25) / 25 + 0.0213 AS cx, (n_nationkey * 11 % 25) / 25 + 0.0213 AS cy, 0.06::DOUBLE AS h, CASE WHEN n_nationkey % 2 = 0 THEN 0.02::DOUBLE END AS hole_h, (n_nationkey % 4)::BIGINT AS class, 2.5 + n_regionkey * 10.0::DOUBLE AS height FROM nation", ()),
     "spots": ("SELECT id, (id * 7919 % 997) / 997 AS x, (id * 104729 % 991) / 991 AS y FROM points", ("points",)),
     "pixels": ("SELECT vec_id AS id, CAST(round((embedding[1]::DOUBLE + 0.5) * 3000) AS BIGINT) AS red, CAST(round((embedding[2]::DOUBLE + 0.5) * 3000) AS BIGINT) AS green, CAST(round((embedding[3]::DOUBLE + 0.5) * 3000) AS BIGINT) AS blue, (label % 4)::BIGINT AS grp, vec_id % 17 <> 0 AS valid FROM embeddings", ()),
     "tris": ("""SELECT r * 200 + c * 2 + k AS tid, r * 100 + c AS a, CASE WHEN k = 0 THEN r * 100 + c + 1 ELSE (r + 1) * 100 + c + 1 END AS b,
@@ -79,7 +79,7 @@ def line_pts(s: SparkSession, d: str) -> DataFrame:
 
 def areas(s: SparkSession, d: str) -> DataFrame:
     """Square shells, every other one with a square hole."""
-    return read(s, d, "nation").selectExpr("CAST(n_nationkey AS BIGINT) AS id", "(n_nationkey * 7 % 25) / 25D + 0.02D AS cx", "(n_nationkey * 11 % 25) / 25D + 0.02D AS cy", "0.06D AS h", "IF(n_nationkey % 2 = 0, 0.02D, NULL) AS hole_h", "CAST(n_nationkey % 4 AS BIGINT) AS class", "2.5D + n_regionkey * 10D AS height")
+    return read(s, d, "nation").selectExpr("CAST(n_nationkey AS BIGINT) AS id", "(n_nationkey * 7 % 25) / 25D + 0.0213D AS cx", "(n_nationkey * 11 % 25) / 25D + 0.0213D AS cy", "0.06D AS h", "IF(n_nationkey % 2 = 0, 0.02D, NULL) AS hole_h", "CAST(n_nationkey % 4 AS BIGINT) AS class", "2.5D + n_regionkey * 10D AS height")
 
 
 def area_rings(s: SparkSession, d: str) -> DataFrame:
