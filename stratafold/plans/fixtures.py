@@ -21,9 +21,9 @@ VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
     "verts": ("SELECT r * 100 + c AS vid, c::DOUBLE AS x, r::DOUBLE AS y, z FROM cells", ("cells",)),
     "grown": ("SELECT l_returnflag AS type, l_partkey AS id, CAST(l_quantity AS BIGINT) AS richness, l_orderkey, l_linenumber, l_suppkey, l_extendedprice, l_shipdate, l_discount, l_tax FROM lineitem", ()),
     "features": ("SELECT p_partkey AS id, p_size::BIGINT AS area, p_type LIKE 'LARGE%' AS major FROM part", ()),
-    "timings": ("SELECT l_partkey AS piece, l_linestatus AS phase, CAST(l_extendedprice AS BIGINT) AS us FROM lineitem", ()),
+    "timings": ("SELECT l_partkey AS piece, l_linestatus AS phase, CAST(floor(l_extendedprice) AS BIGINT) AS us FROM lineitem", ()),
     "job_rows": ("SELECT o_orderkey AS id, o_custkey AS key, o_orderstatus AS status, o_orderdate AS created_at FROM orders", ()),
-    "job_events": ("SELECT event_id, user_id AS key, ts, CAST(value AS BIGINT) % 101 AS progress, event_type AS kind FROM events", ()),
+    "job_events": ("SELECT event_id, user_id AS key, ts, CAST(floor(value) AS BIGINT) % 101 AS progress, event_type AS kind FROM events", ()),
     "ways": ("SELECT delivery_id AS id, tags, geometry, members FROM overpass_ways", ()),
 }
 
@@ -116,7 +116,7 @@ def features(s: SparkSession, d: str) -> DataFrame:
 
 
 def timings(s: SparkSession, d: str) -> DataFrame:
-    return read(s, d, "lineitem").selectExpr("l_partkey AS piece", "l_linestatus AS phase", "CAST(l_extendedprice AS BIGINT) AS us")
+    return read(s, d, "lineitem").selectExpr("l_partkey AS piece", "l_linestatus AS phase", "CAST(floor(l_extendedprice) AS BIGINT) AS us")
 
 
 def job_rows(s: SparkSession, d: str) -> DataFrame:
@@ -124,7 +124,7 @@ def job_rows(s: SparkSession, d: str) -> DataFrame:
 
 
 def job_events(s: SparkSession, d: str) -> DataFrame:
-    return read(s, d, "events").selectExpr("event_id", "user_id AS key", "ts", "CAST(value AS BIGINT) % 101 AS progress", "event_type AS kind")
+    return read(s, d, "events").selectExpr("event_id", "user_id AS key", "ts", "CAST(floor(value) AS BIGINT) % 101 AS progress", "event_type AS kind")
 
 
 def ways(s: SparkSession, d: str) -> DataFrame:
