@@ -366,4 +366,13 @@ def unify(df: DataFrame, drift: Drift, file_no: str, body: str, keep: Sequence[s
     The text is parsed once a row; the projection of the row's file picks each field from the parsed value.
     """
     parsed = df.select(*keep, F.col(file_no).alias("__file"), F.try_parse_json(F.col(body)).alias("__body")).where("is_variant_null(__body) = false AND schema_of_variant(__body) LIKE 'OBJECT%'")
-    return parsed.select(*keep, *(c.alias(name) for name, c in projection(drift, "__file", "__body").items() if name not in keep))
+    taken = {k.lower() for k in keep}
+    columns = []
+    for name, column in projection(drift, "__file", "__body").items():
+        # Column names ignore case, field names do not: a clash is numbered.
+        unique, k = name, 2
+        while unique.lower() in taken:
+            unique, k = f"{name}_{k}", k + 1
+        taken.add(unique.lower())
+        columns.append(column.alias(unique))
+    return parsed.select(*keep, *columns)
