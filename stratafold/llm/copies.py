@@ -7,7 +7,7 @@ predecessor's, so a scan also writes one edge row with the forms at its ends. Ed
 partition order, which gives such runs their true first record, and are broadcast back to the partitions' leading rows.
 
 Defined cases. The fields of a text are its parts between commas, semicolons and vertical bars. Within a field only letters
-and digits count, in either case; accents count (whether composed or not), and so does the order of words. Fields without
+and digits count, in either case (so a sharp s equals ss); accents count (whether composed or not), and so does the order of words. Fields without
 any are ignored and the order of fields has no meaning; a field that occurs twice counts twice. Null texts, texts without a
 letter or digit and rows without an id are no cases. Rows that repeat an id with the same form are copies like any other;
 the representative is the smallest id, and exactly one of the rows that tie for it. Other columns are never read. An empty
@@ -42,7 +42,7 @@ def canonical_form(text: Column) -> Column:
     """
     marked = text.rlike(r"\p{M}")
     composed = F.coalesce(_composed(F.when(marked, text)), text)
-    fields = F.transform(F.split(composed, r"[,;|]"), lambda f: F.regexp_replace(F.lower(F.upper(f)), r"[^\p{L}\p{N}\p{M}]", ""))
+    fields = F.transform(F.split(composed, r"[,;|]"), lambda f: F.regexp_replace(F.regexp_replace(F.lower(F.upper(f)), "[ß\u1e9e]", "ss"), r"[^\p{L}\p{N}\p{M}]", ""))
     form = F.array_join(F.array_sort(F.filter(fields, lambda f: f.rlike(r"[\p{L}\p{N}]"))), ",")
     return F.when(form != "", form)
 
