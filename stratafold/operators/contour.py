@@ -41,8 +41,10 @@ def segments(cells: DataFrame, value: str, levels: Column) -> DataFrame:
 
 
 def chain(ends: list[tuple[tuple[float, float], tuple[float, float]]]) -> list[list[tuple[float, float]]]:
-    """Chains of segments that meet within a thousandth: open ends first, straight on at branches, each segment once."""
+    """Chains of segments that meet within a thousandth: open ends first, straight on at branches, each segment once;
+    segments shorter than that are dropped."""
     key = lambda p: (round(p[0] * 1000), round(p[1] * 1000))
+    ends = [e for e in ends if key(e[0]) != key(e[1])]
     at: dict[tuple[int, int], list[int]] = defaultdict(list)
     for i, (a, b) in enumerate(ends):
         at[key(a)].append(i)
