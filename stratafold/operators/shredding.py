@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stratafold.session import spread
+
 
 def parse_path(path: str) -> list[tuple[str, bool]]:
     return [(part.removesuffix("[]"), part.endswith("[]")) for part in path.split(".")]
@@ -124,7 +126,7 @@ def shred(df: DataFrame, key: str, body: str, paths: Sequence[str], values: bool
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, _ARROW_LEAF) for x in leaves)], names=["record_key", *(f"leaf_{i}" for i in range(len(steps)))])
 
     schema = T.StructType([T.StructField("record_key", df.schema[key].dataType), *(T.StructField(f"leaf_{i}", LEAF) for i in range(len(steps)))])
-    return df.select(F.col(key), F.col(body)).mapInArrow(run, schema)
+    return spread(df.select(F.col(key), F.col(body))).mapInArrow(run, schema)
 
 
 def _positions(rep: np.ndarray, depth: int) -> np.ndarray:

@@ -50,6 +50,15 @@ def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
     return F.broadcast(df) if plan_bytes(df) <= limit else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt out over all cores if its input has fewer than half as many partitions (small files of one row group).
+
+    Inputs with enough partitions, so all large ones, are left where they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores / 2 else df
+
+
 V = TypeVar("V")
 
 
