@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratafold.session import broadcast_object
+from stratafold.session import broadcast_object, spread
 
 TOKENIZERS = "/opt/tokenizers"
 #: Fixed value: the pattern that the published byte-level vocabularies were made with.
@@ -176,7 +176,7 @@ def encode(df: DataFrame, key: str, text: str, vocabulary: Vocabulary) -> DataFr
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], names=[key, "ids"])
 
     schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return df.select(F.col(key), F.col(text)).mapInArrow(run, schema)
+    return spread(df.select(F.col(key), F.col(text))).mapInArrow(run, schema)
 
 
 _DECODE = """

@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratafold.session import broadcast_object
+from stratafold.session import broadcast_object, spread
 
 LEAST_LETTERS = 20
 SAMPLE_ROWS, LABELLED_ROWS, LABELLED_CHARS, FEATURES = 5_000, 2_500, 20_000, 250_000
@@ -102,28 +102,31 @@ class Model:
 
 def fit(samples: Iterable[tuple[str, str]]) -> Model:
     counts: dict[str, Counter] = {}
-    in_script: dict[str, Counter] = {}
     for language, text in samples:
-        own = counts.setdefault(language, Counter())
-        for word in _WORD.findall(unicodedata.normalize("NFC", text).lower()):
-            in_script.setdefault(language, Counter())[script_of(word)] += 1
+        counts.setdefault(language, Counter()).update(_WORD.findall(unicodedata.normalize("NFC", text).lower()))
+    in_script: dict[str, Counter] = {}
+    by_feature: dict[str, Counter] = {}
+    for language, own in counts.items():
+        in_script[language], features_of = Counter(), by_feature.setdefault(language, Counter())
+        for word, n in own.items():
+            in_script[language][script_of(word)] += n
             for f in features(word):
-                own[f] += 1.0
+                features_of[f] += n
             plain = without_accents(word)
             if plain != word:
                 for f in features(plain):
-                    own[f] += 0.3
+                    features_of[f] += 0.3 * n
     languages = sorted(counts)
     if not languages:
         raise ValueError("no samples of known language")
     total = Counter()
-    for own in counts.values():
+    for own in by_feature.values():
         total.update(own)
     kept = [f for f, _ in sorted(total.items(), key=lambda x: (-x[1], x[0]))[:FEATURES]]
     index = {f: i for i, f in enumerate(kept)}
     table = np.full((len(kept) + 1, len(languages)), SMOOTHING)
     for j, language in enumerate(languages):
-        for f, n in counts[language].items():
+        for f, n in by_feature[language].items():
             if f in index:
                 table[index[f], j] += n
     # Candidates of a script: the languages that write at least a fifth of their words in it.
@@ -277,7 +280,7 @@ def segments(documents: DataFrame, key: str, text: str, lang: str, model: Model)
     """``doc_id, segment, lang, confidence, label, mixed``: each document (segment -1) and each of its paragraphs with its
     language; ``label`` is what the document's label names, ``mixed`` whether its paragraphs are in several languages."""
     shared = broadcast_object(documents.sparkSession, model)
-    return documents.select(F.col(key).cast("long"), F.col(text), F.col(lang)).mapInArrow(lambda batches: _label(batches, shared()), _OUT)
+    return spread(documents.select(F.col(key).cast("long"), F.col(text), F.col(lang))).mapInArrow(lambda batches: _label(batches, shared()), _OUT)
 
 
 def relabelled(found: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratafold.session import broadcast_object
+from stratafold.session import broadcast_object, spread
 
 SPAN = 12
 #: Positions looked at (1) and ignored (0). Any one substitution is ignored by some mask at some place of a longer overlap.
@@ -178,7 +178,7 @@ def leaks(documents: DataFrame, key: str, text: str, items: DataFrame, item_key:
     tests = items.select(F.col(item_key).cast("long").alias("item"), F.col(item_text).alias("text")).dropna()
     chars = tests.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = -(-chars // BLOCK_CHARS) or 1
-    source = documents.select(F.col(key).cast("long"), F.col(text))
+    source = spread(documents.select(F.col(key).cast("long"), F.col(text)))
     out = None
     for block in range(blocks):
         part = tests if blocks == 1 else tests.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block)
