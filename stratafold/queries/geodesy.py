@@ -11,7 +11,6 @@ from stratafold.functions import geo as G
 from stratafold.plans import fixtures as fx
 from stratafold.plans.fixtures import with_views
 
-LON, LAT = F.col("lon"), F.col("lat")
 
 
 def s03_providers(s: SparkSession, d: str) -> DataFrame:
@@ -74,46 +73,46 @@ def pr20_road_detail(s: SparkSession, d: str) -> DataFrame:
 
 
 def fn01_longitude(s: SparkSession, d: str) -> DataFrame:
-    return fx.points(s, d).select("id", F.round(G.normalize_longitude(LON * 3), 6).alias("normal"), F.round(137.5 + G.normalize_longitude(LON - 137.5), 6).alias("unwrapped"))
+    return fx.points(s, d).select("id", F.round(G.normalize_longitude(F.col("lon") * 3), 6).alias("normal"), F.round(137.5 + G.normalize_longitude(F.col("lon") - 137.5), 6).alias("unwrapped"))
 
 
 def fn02_lon_scale(s: SparkSession, d: str) -> DataFrame:
-    return fx.points(s, d).select("id", F.round(G.longitude_scale(LAT), 6).alias("km_per_degree"))
+    return fx.points(s, d).select("id", F.round(G.longitude_scale(F.col("lat")), 6).alias("km_per_degree"))
 
 
 def fn03_uv(s: SparkSession, d: str) -> DataFrame:
-    u, v = G.to_uv(LAT, LON, 46.8, 8.2, 900.0, 30.0)
+    u, v = G.to_uv(F.col("lat"), F.col("lon"), 46.8, 8.2, 900.0, 30.0)
     lat, lon = G.from_uv(u, v, 46.8, 8.2, 900.0, 30.0)
-    return fx.points(s, d).select("id", F.round(u, 5).alias("u"), F.round(v, 5).alias("v"), (F.abs(lat - LAT) + F.abs(G.normalize_longitude(lon - LON)) < 1e-6).alias("round_trip"))
+    return fx.points(s, d).select("id", F.round(u, 5).alias("u"), F.round(v, 5).alias("v"), (F.abs(lat - F.col("lat")) + F.abs(G.normalize_longitude(lon - F.col("lon"))) < 1e-6).alias("round_trip"))
 
 
 def fn04_rotated_bounds(s: SparkSession, d: str) -> DataFrame:
     """The envelope of each station's rotated square."""
     corners = fx.stations(s, d).select("id", "lat", "lon", F.radians((F.col("id") * 7 % 360).cast("double")).alias("angle"), F.explode(F.expr("array(named_struct('u', -6D, 'v', -6D), named_struct('u', 6D, 'v', -6D), named_struct('u', 6D, 'v', 6D), named_struct('u', -6D, 'v', 6D))")).alias("k"))
     east, north = F.col("k.u") * F.cos("angle") + F.col("k.v") * F.sin("angle"), -F.col("k.u") * F.sin("angle") + F.col("k.v") * F.cos("angle")
-    at = corners.select("id", (LAT + north / G.KM_PER_LATITUDE_DEGREE).alias("y"), (LON + east / G.longitude_scale(LAT)).alias("x"))
+    at = corners.select("id", (F.col("lat") + north / G.KM_PER_LATITUDE_DEGREE).alias("y"), (F.col("lon") + east / G.longitude_scale(F.col("lat"))).alias("x"))
     return at.groupBy("id").agg(*(F.round(f(c), 5).alias(n) for n, f, c in (("west", F.min, "x"), ("east", F.max, "x"), ("south", F.min, "y"), ("north", F.max, "y"))))
 
 
 def fn05_tile_key(s: SparkSession, d: str) -> DataFrame:
-    return fx.points(s, d).select("id", G.tile_x(LON, 8).alias("tile_x"), G.tile_y(LAT, 8).alias("tile_y"))
+    return fx.points(s, d).select("id", G.tile_x(F.col("lon"), 8).alias("tile_x"), G.tile_y(F.col("lat"), 8).alias("tile_y"))
 
 
 def fn06_pixel_location(s: SparkSession, d: str) -> DataFrame:
-    x, y = G.pixel_x(LON, 8, 256), G.pixel_y(LAT, 8, 256)
+    x, y = G.pixel_x(F.col("lon"), 8, 256), G.pixel_y(F.col("lat"), 8, 256)
     return fx.points(s, d).select("id", x.alias("x"), y.alias("y")).selectExpr("id", "x DIV 256 AS tile_x", "y DIV 256 AS tile_y", "x % 256 AS pixel_x", "y % 256 AS pixel_y")
 
 
 def fn07_zoom(s: SparkSession, d: str) -> DataFrame:
-    return fx.points(s, d).select("id", G.choose_zoom(LAT, (F.col("id") % 97 + 1) * 3.7, 256, 5, 14).alias("zoom"), F.round(G.ground_resolution_m(LAT, F.lit(9.0), 256), 4).alias("metres"))
+    return fx.points(s, d).select("id", G.choose_zoom(F.col("lat"), (F.col("id") % 97 + 1) * 3.7, 256, 5, 14).alias("zoom"), F.round(G.ground_resolution_m(F.col("lat"), F.lit(9.0), 256), 4).alias("metres"))
 
 
 def fn08_tile_name(s: SparkSession, d: str) -> DataFrame:
-    return fx.points(s, d).select("id", G.degree_tile_name(LAT, LON).alias("name"))
+    return fx.points(s, d).select("id", G.degree_tile_name(F.col("lat"), F.col("lon")).alias("name"))
 
 
 def x29_degree_name(s: SparkSession, d: str) -> DataFrame:
-    return fx.points(s, d).select("id", G.degree_tile_name(LAT, LON, 1).alias("name"))
+    return fx.points(s, d).select("id", G.degree_tile_name(F.col("lat"), F.col("lon"), 1).alias("name"))
 
 
 def fn12_sample_budget(s: SparkSession, d: str) -> DataFrame:
@@ -122,25 +121,25 @@ def fn12_sample_budget(s: SparkSession, d: str) -> DataFrame:
 
 def x07_highest_zoom(s: SparkSession, d: str) -> DataFrame:
     """Highest zoom whose tile set holds each point."""
-    spread = fx.points(s, d).select("id", F.explode(F.array(*(F.struct(F.lit(z).alias("z"), G.tile_x(LON, z).alias("x"), G.tile_y(LAT, z).alias("y")) for z in range(4, 9)))).alias("t")).select("id", "t.*")
+    spread = fx.points(s, d).select("id", F.explode(F.array(*(F.struct(F.lit(z).alias("z"), G.tile_x(F.col("lon"), z).alias("x"), G.tile_y(F.col("lat"), z).alias("y")) for z in range(4, 9)))).alias("t")).select("id", "t.*")
     return spread.where("z = 4 OR (x * 31 + y * 17 + z) % 3 <> 0").groupBy("id").agg(F.max("z").alias("zoom"))
 
 
 def u03_tile_set(s: SparkSession, d: str) -> DataFrame:
-    return fx.points(s, d).select(G.tile_x(LON, 6).alias("x"), G.tile_y(LAT, 6).alias("y")).distinct()
+    return fx.points(s, d).select(G.tile_x(F.col("lon"), 6).alias("x"), G.tile_y(F.col("lat"), 6).alias("y")).distinct()
 
 
 def u02_missing_tiles(s: SparkSession, d: str) -> DataFrame:
     """Requested tiles that no station's tile provides."""
-    cached = fx.stations(s, d).select(G.tile_x(LON, 5).alias("x"), G.tile_y(LAT, 5).alias("y"))
-    return fx.points(s, d).select(G.tile_x(LON, 5).alias("x"), G.tile_y(LAT, 5).alias("y")).distinct().join(cached, ["x", "y"], "left_anti")
+    cached = fx.stations(s, d).select(G.tile_x(F.col("lon"), 5).alias("x"), G.tile_y(F.col("lat"), 5).alias("y"))
+    return fx.points(s, d).select(G.tile_x(F.col("lon"), 5).alias("x"), G.tile_y(F.col("lat"), 5).alias("y")).distinct().join(cached, ["x", "y"], "left_anti")
 
 
 def fn23_coord_label(s: SparkSession, d: str) -> DataFrame:
     span = F.col("id") % 80 + 1
     decimals = F.least(F.greatest(F.ceil(F.log10(111320.0 / (span * 50.0))), F.lit(1)), F.lit(4)).cast("int")
-    text = F.when(decimals == 1, F.format_string("%.1f", F.abs(LAT))).when(decimals == 2, F.format_string("%.2f", F.abs(LAT))).when(decimals == 3, F.format_string("%.3f", F.abs(LAT))).otherwise(F.format_string("%.4f", F.abs(LAT)))
-    return fx.points(s, d).select("id", decimals.alias("decimals"), F.concat(text, F.when(LAT >= 0, "N").otherwise("S")).alias("label"))
+    text = F.when(decimals == 1, F.format_string("%.1f", F.abs(F.col("lat")))).when(decimals == 2, F.format_string("%.2f", F.abs(F.col("lat")))).when(decimals == 3, F.format_string("%.3f", F.abs(F.col("lat")))).otherwise(F.format_string("%.4f", F.abs(F.col("lat"))))
+    return fx.points(s, d).select("id", decimals.alias("decimals"), F.concat(text, F.when(F.col("lat") >= 0, "N").otherwise("S")).alias("label"))
 
 
 def x34_grid_plan(s: SparkSession, d: str) -> DataFrame:
@@ -151,7 +150,7 @@ def x37_latitudes(s: SparkSession, d: str) -> DataFrame:
     """Least and greatest latitude of a rotated mosaic of two by three squares around each station."""
     corner = [(a, b) for a in (-18.0, 18.0) for b in (-12.0, 12.0)]
     angle = F.radians((F.col("id") * 11 % 360).cast("double"))
-    ys = [LAT + (F.cos(angle) * b - F.sin(angle) * a) / G.KM_PER_LATITUDE_DEGREE for a, b in corner]
+    ys = [F.col("lat") + (F.cos(angle) * b - F.sin(angle) * a) / G.KM_PER_LATITUDE_DEGREE for a, b in corner]
     return fx.stations(s, d).select("id", F.round(F.least(*ys), 5).alias("south"), F.round(F.greatest(*ys), 5).alias("north"))
 
 

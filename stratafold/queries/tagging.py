@@ -9,7 +9,7 @@ from stratafold.functions import tags as T
 from stratafold.plans import fixtures as fx
 from stratafold.plans.fixtures import with_views
 
-TAGS = F.col("tags")
+TAGS = "tags"
 
 
 def pr02_tag_filter(s: SparkSession, d: str) -> DataFrame:
