@@ -369,7 +369,8 @@ def unify(df: DataFrame, drift: Drift, file_no: str, body: str, keep: Sequence[s
     taken = {k.lower() for k in keep}
     columns = []
     for name, column in projection(drift, "__file", "__body").items():
-        # Column names ignore case, field names do not: a clash is numbered.
+        # Column names ignore case and take no dots, field names do and may: parts are joined by __, a clash is numbered.
+        name = name.replace(".", "__")
         unique, k = name, 2
         while unique.lower() in taken:
             unique, k = f"{name}_{k}", k + 1

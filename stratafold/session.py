@@ -53,8 +53,11 @@ def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """``df``, dealt out over all cores if its input has fewer than half as many partitions (small files of one row group).
 
-    Inputs with enough partitions, so all large ones, are left where they are.
+    Inputs with enough partitions, so all large ones, are left where they are, and so are plans with shuffles, which choose
+    their own partitions (counting those would run them).
     """
+    if df._jdf.queryExecution().executedPlan().toString().startswith("AdaptiveSparkPlan"):
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores / 2 else df
 

@@ -161,5 +161,5 @@ def test_unified_table_reads_every_file(spark):
     df = spark.createDataFrame([(*r, 0) for r in rows], SPECS)
     found = schema_drift.compare_files(df, "t", "n", "id", "body")["t"]
     table = schema_drift.unify(df, found, "n", "body", ["n", "id"])
-    assert table.columns == ["n", "id", "b", "g.x", "id_2", "s"]
+    assert table.columns == ["n", "id", "b", "g__x", "id_2", "s"]
     assert sorted(tuple(r) for r in table.collect()) == [(1, "1", 5.0, "u", 3.0, "1"), (2, "1", 5.0, "v", None, "w"), (2, "2", 6.0, None, None, None)]
