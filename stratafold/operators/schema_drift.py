@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratafold.operators.shredding import load_object
+from stratafold.operators.shredding import clean, load_object
 
 TYPE_BITS = {str: 1, int: 2, float: 2, bool: 4, dict: 8, list: 16, type(None): 0}
 #: Entries a task holds before it passes its counts on.
@@ -59,7 +59,7 @@ def inventory(df: DataFrame, table: str, file_no: str, body: str) -> DataFrame:
         found: dict[tuple[str, int], dict[str, int]] = defaultdict(dict)
 
         def rows() -> pa.RecordBatch:
-            flat = [(t, n, f, m) for (t, n), fields in found.items() for f, m in fields.items()]
+            flat = [(t, n, clean(f), m) for (t, n), fields in found.items() for f, m in fields.items()]
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in flat], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.string(), pa.int32()))], names=["table_name", "file_no", "field", "types"])
 
         for batch in batches:

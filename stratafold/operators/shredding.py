@@ -95,10 +95,15 @@ def levels(record: dict, steps: Sequence[tuple[str, bool]]) -> tuple[bytearray,
     return reps, defs, values
 
 
+def clean(text: str) -> str:
+    """``text`` without lone surrogates, which JSON escapes can spell and UTF-8 cannot."""
+    return text if text.isascii() else text.encode("utf-8", "replace").decode()
+
+
 def _text(value: object) -> str | None:
-    if value is None or isinstance(value, str):
-        return value
-    return json.dumps(value, ensure_ascii=False)
+    if value is None:
+        return None
+    return clean(value if isinstance(value, str) else json.dumps(value, ensure_ascii=False))
 
 
 LEAF = T.StructType([T.StructField("rep", T.BinaryType()), T.StructField("def", T.BinaryType()), T.StructField("val", T.ArrayType(T.StringType()))])

@@ -49,7 +49,10 @@ def segments(points: DataFrame, line: str, order: str) -> DataFrame:
 def points_near_segments(points: DataFrame, parts: DataFrame, radius: float, buckets: int = BUCKETS) -> DataFrame:
     """Points within ``radius`` of segments, with the distance."""
     spread = by_bounds(parts, F.least("x0", "x1") - radius, F.greatest("x0", "x1") + radius, F.least("y0", "y1") - radius, F.greatest("y0", "y1") + radius, buckets)
-    joined = at_points(points, buckets).join(spread, ["bx", "by"])
+    # A long segment's bounds touch many buckets that the segment itself stays away from.
+    middle = ((F.col("bx") + 0.5) / buckets, (F.col("by") + 0.5) / buckets)
+    close = spread.where(G.segment_distance(*middle, *(F.col(c) for c in ("x0", "y0", "x1", "y1"))) <= radius + 0.7072 / buckets)
+    joined = at_points(points, buckets).join(close, ["bx", "by"])
     distance = G.segment_distance(*(F.col(c) for c in ("x", "y", "x0", "y0", "x1", "y1")))
     return joined.withColumn("distance", distance).where(F.col("distance") <= radius).drop("bx", "by")
 

@@ -99,10 +99,10 @@ def g07_class_boundary(s: SparkSession, d: str) -> DataFrame:
 def fn34_smooth(s: SparkSession, d: str) -> DataFrame:
     """Three Catmull-Rom points on each inner step of each line."""
     w = Window.partitionBy("line").orderBy("seq")
-    near = fx.line_pts(s, d).where("line % 11 = 0").select("line", F.row_number().over(w).alias("seg"), *(f(c, 1).over(w).alias(f"{c}{n}") for c in ("x", "y") for n, f in (("0", F.lag), ("2", F.lead))), "x", "y", F.lead("x", 2).over(w).alias("x3"), F.lead("y", 2).over(w).alias("y3"))
+    near = fx.line_pts(s, d).select("line", F.row_number().over(w).alias("seg"), *(f(c, 1).over(w).alias(f"{c}{n}") for c in ("x", "y") for n, f in (("0", F.lag), ("2", F.lead))), "x", "y", F.lead("x", 2).over(w).alias("x3"), F.lead("y", 2).over(w).alias("y3"))
     steps = near.dropna().withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(2))))
     t = F.col("i") / 3.0
-    return steps.select("line", "seg", "i", *(F.round(G.catmull_rom(F.col(f"{c}0"), F.col(c), F.col(f"{c}2"), F.col(f"{c}3"), t), 6).alias(c) for c in ("x", "y")))
+    return steps.select("line", "seg", "i", *((F.round(G.catmull_rom(F.col(f"{c}0"), F.col(c), F.col(f"{c}2"), F.col(f"{c}3"), t), 6) + 0.0).alias(c) for c in ("x", "y")))
 
 
 def fn19_bezier(s: SparkSession, d: str) -> DataFrame:
@@ -179,7 +179,7 @@ ORACLES = {
     "g08_kmeans": with_views(f"WITH {_LAB}, {_kmeans(2)}", "pixels"),
     "g05_contours": with_views("WITH " + _TRI.format("cells", ", ".join(f"({v + 1e-6!r}::DOUBLE)" for v in LEVELS)) + " SELECT round(level, 6) AS level, r, c, half, round(least(e[1][1], e[2][1]), 4) AS x_min, round(greatest(e[1][1], e[2][1]), 4) AS x_max, round(least(e[1][2], e[2][2]), 4) AS y_min, round(greatest(e[1][2], e[2][2]), 4) AS y_max FROM p", "cells"),
     "g07_class_boundary": with_views("WITH forest AS (SELECT r, c, (CASE WHEN class = 1 THEN 1 ELSE 0 END)::DOUBLE AS z FROM class_cells), " + _TRI.format("forest", "(0.5::DOUBLE)") + " SELECT r, count(*) AS n, round(sum(sqrt((e[1][1] - e[2][1]) ^ 2 + (e[1][2] - e[2][2]) ^ 2)), 5) AS length FROM p GROUP BY r", "class_cells"),
-    "fn34_smooth": with_views("WITH n AS (SELECT line, row_number() OVER w AS seg, lag(x) OVER w AS x0, x, lead(x) OVER w AS x2, lead(x, 2) OVER w AS x3, lag(y) OVER w AS y0, y, lead(y) OVER w AS y2, lead(y, 2) OVER w AS y3 FROM line_pts WHERE line % 11 = 0 WINDOW w AS (PARTITION BY line ORDER BY seq)) SELECT line, seg::INT AS seg, i::INT AS i, " + ", ".join(f"round((((-0.5 * {c}0 + 1.5 * {c} - 1.5 * {c}2 + 0.5 * {c}3) * (i / 3) + ({c}0 - 2.5 * {c} + 2 * {c}2 - 0.5 * {c}3)) * (i / 3) + (-0.5 * {c}0 + 0.5 * {c}2)) * (i / 3) + {c}, 6) AS {c}" for c in ("x", "y")) + " FROM n, range(3) t(i) WHERE x0 IS NOT NULL AND x3 IS NOT NULL", "line_pts"),
+    "fn34_smooth": with_views("WITH n AS (SELECT line, row_number() OVER w AS seg, lag(x) OVER w AS x0, x, lead(x) OVER w AS x2, lead(x, 2) OVER w AS x3, lag(y) OVER w AS y0, y, lead(y) OVER w AS y2, lead(y, 2) OVER w AS y3 FROM line_pts WINDOW w AS (PARTITION BY line ORDER BY seq)) SELECT line, seg::INT AS seg, i::INT AS i, " + ", ".join(f"round((((-0.5 * {c}0 + 1.5 * {c} - 1.5 * {c}2 + 0.5 * {c}3) * (i / 3) + ({c}0 - 2.5 * {c} + 2 * {c}2 - 0.5 * {c}3)) * (i / 3) + (-0.5 * {c}0 + 0.5 * {c}2)) * (i / 3) + {c}, 6) + 0.0::DOUBLE AS {c}" for c in ("x", "y")) + " FROM n, range(3) t(i) WHERE x0 IS NOT NULL AND x3 IS NOT NULL", "line_pts"),
     "fn19_bezier": with_views("SELECT id, i::INT AS i, round(((1 - i / 7) ^ 3 + 3 * (1 - i / 7) ^ 2 * (i / 7)) * (cx - h) + (3 * (1 - i / 7) * (i / 7) ^ 2 + (i / 7) ^ 3) * (cx + h), 6) AS x, round(((1 - i / 7) ^ 3 + 3 * (1 - i / 7) * (i / 7) ^ 2) * (cy - h) + (3 * (1 - i / 7) ^ 2 * (i / 7) + (i / 7) ^ 3) * (cy + h), 6) AS y FROM areas, range(8) t(i)", "areas"),
     "x21_visible_runs": with_views("WITH i AS (SELECT line, seq, x BETWEEN 0.2 AND 0.8 AND y BETWEEN 0.1 AND 0.9 AS ins FROM line_pts), f AS (SELECT *, sum(CASE WHEN prev IS NOT DISTINCT FROM ins THEN 0 ELSE 1 END) OVER (PARTITION BY line ORDER BY seq) AS run FROM (SELECT *, lag(ins) OVER (PARTITION BY line ORDER BY seq) AS prev FROM i)) SELECT line, run::BIGINT AS run, count(*) AS n, min(seq) AS first FROM f WHERE ins GROUP BY line, run", "line_pts"),
     "x24_arc_point": with_views("WITH s AS (SELECT line, row_number() OVER w AS seg, x AS x0, y AS y0, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM line_pts WINDOW w AS (PARTITION BY line ORDER BY seq)), l AS (SELECT *, sqrt((x1 - x0) ^ 2 + (y1 - y0) ^ 2) AS len FROM s WHERE x1 IS NOT NULL), e AS (SELECT *, sum(len) OVER (PARTITION BY line ORDER BY seg ROWS UNBOUNDED PRECEDING) AS fin, sum(len) OVER (PARTITION BY line) / 2 AS half FROM l WHERE len > 0) SELECT line, round(x0 + (x1 - x0) * (half - fin + len) / len, 5) AS x, round(y0 + (y1 - y0) * (half - fin + len) / len, 5) AS y FROM e WHERE fin >= half QUALIFY row_number() OVER (PARTITION BY line ORDER BY seg) = 1", "line_pts"),

@@ -172,9 +172,9 @@ def g21_tile_specs(s: SparkSession, d: str) -> DataFrame:
 
 
 def g22_printable(s: SparkSession, d: str) -> DataFrame:
-    """Cells of a 10 by 10 grid with a sample inside some area's shell."""
+    """Cells of a 10 by 10 grid with a sample inside the shell of an area of class 3."""
     samples = s.range(0, 10000).selectExpr("id DIV 1000 AS piece_row", "id DIV 100 % 10 AS piece_column", "(id DIV 1000) / 10D + (id % 100 DIV 10 + 0.5) / 100 AS y", "(id DIV 100 % 10) / 10D + (id % 10 + 0.5) / 100 AS x")
-    shells = fx.area_rings(s, d).where("id < 9").selectExpr("shell", "CAST(array() AS array<array<struct<x: double, y: double>>>) AS holes")
+    shells = fx.area_rings(s, d).where("class = 3").selectExpr("shell", "CAST(array() AS array<array<struct<x: double, y: double>>>) AS holes")
     return spatial.points_in_areas(samples, shells).select("piece_row", "piece_column").distinct()
 
 
@@ -215,13 +215,15 @@ def x16_safe_edges(s: SparkSession, d: str) -> DataFrame:
 
 
 def x19_crossings(s: SparkSession, d: str) -> DataFrame:
-    """Crossings of the segments of two sets of lines, by bucketed bounds, each once."""
-    def parts(rest: int, n: str) -> DataFrame:
-        p = spatial.segments(fx.line_pts(s, d).where(f"line % 60 = {rest}"), "line", "seq").toDF(f"line{n}", f"seg{n}", *(f"{c}{n}" for c in ("ax", "ay", "bx_", "by_")))
-        return spatial.by_bounds(p, F.least(f"ax{n}", f"bx_{n}"), F.greatest(f"ax{n}", f"bx_{n}"), F.least(f"ay{n}", f"by_{n}"), F.greatest(f"ay{n}", f"by_{n}"), 8)
+    """Crossings of segments of different lines, by bucketed bounds, each once; lines are drawn small, each at its own place."""
+    small = fx.line_pts(s, d).selectExpr("line", "seq", "line * 7919 % 997 / 997D + (x - 0.5) * 0.02 AS x", "line * 104729 % 991 / 991D + (y - 0.5) * 0.02 AS y")
+
+    def parts(n: str) -> DataFrame:
+        p = spatial.segments(small, "line", "seq").toDF(f"line{n}", f"seg{n}", *(f"{c}{n}" for c in ("ax", "ay", "bx_", "by_")))
+        return spatial.by_bounds(p, F.least(f"ax{n}", f"bx_{n}"), F.greatest(f"ax{n}", f"bx_{n}"), F.least(f"ay{n}", f"by_{n}"), F.greatest(f"ay{n}", f"by_{n}"))
 
     turn = lambda p, q, r: f"((bx_{q} - ax{q}) * ({r}y{p} - ay{q}) - (by_{q} - ay{q}) * ({r}x{p} - ax{q}))".replace("bbx", "bx").replace("bby", "by")
-    both = parts(2, "1").join(parts(4, "2"), ["bx", "by"])
+    both = parts("1").join(parts("2"), ["bx", "by"]).where("line1 < line2")
     t = [turn("1", "2", "a"), turn("1", "2", "b").replace("by1", "by_1").replace("bx1", "bx_1"), turn("2", "1", "a"), turn("2", "1", "b").replace("by2", "by_2").replace("bx2", "bx_2")]
     return both.where(f"{t[0]} * {t[1]} < 0 AND {t[2]} * {t[3]} < 0").select("line1", "seg1", "line2", "seg2").distinct()
 
@@ -265,10 +267,10 @@ ORACLES = {
         a AS (SELECT * REPLACE ({_mul(_shift('v', 30), hashing.MIX_1)} AS v) FROM s), b AS (SELECT * REPLACE ({_mul(_shift('v', 27), hashing.MIX_2)} AS v) FROM a), c AS (SELECT * REPLACE ({_shift('v', 31)} AS v) FROM b)
         SELECT orientation::BIGINT AS orientation, line::INT AS line, segment::INT AS segment, CASE WHEN line = 0 OR line = CASE orientation WHEN 0 THEN 9 ELSE 12 END THEN 0 WHEN (v // {1 << 40}::UHUGEINT)::DOUBLE / 16777215 < 0.5 THEN -1 ELSE 1 END::DOUBLE AS sign FROM c""",
     "g21_tile_specs": with_views("WITH k AS (SELECT *, radians(id * 13 % 360) AS a, (tc - 1) * 18.0::DOUBLE AS e, (tr - 0.5::DOUBLE) * 18 AS n FROM stations, range(2) p(tr), range(3) q(tc)) SELECT id, tr::INT AS tile_row, tc::INT AS tile_column, round(lat + (-e * sin(a) + n * cos(a)) / 110.574, 5) AS lat, round(x + 180 - 360 * floor((x + 180) / 360) - 180, 5) AS lon FROM (SELECT *, lon + (e * cos(a) + n * sin(a)) / greatest(111.32 * abs(cos(radians(lat))), 20) AS x FROM k)", "stations"),
-    "g22_printable": with_views("SELECT DISTINCT i // 10 AS piece_row, j // 10 AS piece_column FROM range(100) a(i), range(100) b(j), areas WHERE areas.id < 9 AND greatest(abs((j + 0.5) / 100 - cx), abs((i + 0.5) / 100 - cy)) < h", "areas"),
+    "g22_printable": with_views("SELECT DISTINCT i // 10 AS piece_row, j // 10 AS piece_column FROM range(100) a(i), range(100) b(j), areas WHERE areas.class = 3 AND greatest(abs((j + 0.5) / 100 - cx), abs((i + 0.5) / 100 - cy)) < h", "areas"),
     "g25_retention": "SELECT r AS segment_row, c AS segment_column, 200 * (c + 0.5::DOUBLE) / 4 AS x, 150 * (r + 0.5::DOUBLE) / 3 AS y FROM range(3) a(r), range(4) b(c)",
     "x05_road_layers": with_views("SELECT tags['highway'] AS kind, count(*) AS n FROM ways WHERE tags['highway'] IN (" + ", ".join(f"'{k}'" for k in T.ROAD_SCALES if k not in T.TRAILS) + ") GROUP BY 1", "ways"),
     "x16_safe_edges": with_views("SELECT id AS owner, hole_h IS NULL AS safe FROM areas", "areas"),
-    "x19_crossings": with_views("WITH " + _SEGS.rstrip(", ") + f" SELECT a.line AS line1, a.seg::INT AS seg1, b.line AS line2, b.seg::INT AS seg2 FROM s a JOIN s b ON a.line % 60 = 2 AND b.line % 60 = 4 AND a.x1 IS NOT NULL AND b.x1 IS NOT NULL AND {_T.format(0)} * {_T.format(1)} < 0 AND {_U.format(0)} * {_U.format(1)} < 0", "line_pts"),
+    "x19_crossings": with_views("WITH small AS (SELECT line, seq, line * 7919 % 997 / 997 + (x - 0.5) * 0.02 AS x, line * 104729 % 991 / 991 + (y - 0.5) * 0.02 AS y FROM line_pts), " + _SEGS.rstrip(", ").replace("FROM line_pts", "FROM small") + f" SELECT a.line AS line1, a.seg::INT AS seg1, b.line AS line2, b.seg::INT AS seg2 FROM s a JOIN s b ON a.line < b.line AND abs(a.x0 - b.x0) < 0.05 AND abs(a.y0 - b.y0) < 0.05 AND a.x1 IS NOT NULL AND b.x1 IS NOT NULL AND {_T.format(0)} * {_T.format(1)} < 0 AND {_U.format(0)} * {_U.format(1)} < 0", "line_pts"),
     "x28_split_tiles": with_views(f"WITH p AS (SELECT id, g.lat AS lat, g.lon AS lon FROM (SELECT id, unnest(geometry) AS g FROM ways) WHERE g.lat IS NOT NULL AND g.lon IS NOT NULL) SELECT DISTINCT id, CAST(least(greatest(floor((lon + 180) / 360 * 4096.0::DOUBLE), 0), 4095) AS BIGINT) AS x, CAST(least(greatest(floor((1 - ln(tan({_PHI}) + 1 / cos({_PHI})) / pi()) / 2 * 4096.0::DOUBLE), 0), 4095) AS BIGINT) AS y FROM p", "ways"),
 }

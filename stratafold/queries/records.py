@@ -68,10 +68,23 @@ def p4_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("table_name", F.col("file_no").cast("int").alias("export_no"), "field", "types")
 
 
-def p4_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    specs = _specs(spark, sf_dir).where("table_name = 'jobs'")
+def _unified(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    specs = _specs(spark, sf_dir).where(F.col("table_name") == table)
     drift = schema_drift.compare_files(specs, "table_name", "export_no", "id", "spec_json")
-    return schema_drift.unify(specs, drift["jobs"], "export_no", "spec_json", ["table_name", "export_no", "id"]) if drift else specs.select("table_name", "export_no", "id")
+    keep = ["table_name", "export_no", "id"]
+    return schema_drift.unify(specs, drift[table], "export_no", "spec_json", keep) if drift else specs.select(*keep)
+
+
+def p4_unified_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _unified(spark, sf_dir, "jobs")
+
+
+def p4_unified_setups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _unified(spark, sf_dir, "saved_setups")
+
+
+def p4_unified_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _unified(spark, sf_dir, "saved_setup_versions")
 
 
 _TREE = """
@@ -89,7 +102,7 @@ _FIRST = """
 WITH d AS (SELECT *, row_number() OVER (PARTITION BY CASE WHEN trim(element_type) IS NULL OR trim(element_type) = '' THEN 'way' ELSE lower(trim(element_type)) END, id ORDER BY delivery_id) AS rn FROM overpass_ways WHERE id <> 0)
 """
 
-QUERIES = {"p1_found": p1_found, "p1_elements": p1_elements, "p1_members": p1_members, "p1_points": p1_points, "p3_found": p3_found, "p3_kept": p3_kept, "p4_found": p4_found, "p4_fields": p4_fields, "p4_unified": p4_unified}
+QUERIES = {"p1_found": p1_found, "p1_elements": p1_elements, "p1_members": p1_members, "p1_points": p1_points, "p3_found": p3_found, "p3_kept": p3_kept, "p4_found": p4_found, "p4_fields": p4_fields, "p4_unified_jobs": p4_unified_jobs, "p4_unified_setups": p4_unified_setups, "p4_unified_versions": p4_unified_versions}
 ORACLES = {
     "p1_found": _TREE + "SELECT response_id, element_pos, -1::INT AS member_pos, -1::INT AS point_pos FROM e UNION ALL SELECT response_id, element_pos, member_pos, -1::INT FROM m UNION ALL SELECT response_id, element_pos, member_pos, point_pos FROM g",
     "p1_elements": _TREE + "SELECT response_id, element_pos, TRY_CAST(json_extract_string(v, '$.id') AS BIGINT) AS element_id, json_extract_string(v, '$.type') AS element_type FROM e",

@@ -30,8 +30,8 @@ def j03_point_in_polygon(s: SparkSession, d: str) -> DataFrame:
 
 
 def j05_within_distance(s: SparkSession, d: str) -> DataFrame:
-    parts = spatial.segments(fx.line_pts(s, d).where("line % 7 = 0"), "line", "seq")
-    return spatial.points_near_segments(fx.spots(s, d), parts, 0.004).select("id", "line", "seg", F.round("distance", 6).alias("distance"))
+    parts = spatial.segments(fx.line_pts(s, d), "line", "seq")
+    return spatial.points_near_segments(fx.spots(s, d), parts, 0.001).select("id", "line", "seg", F.round("distance", 6).alias("distance"))
 
 
 def j06_overlay_priority(s: SparkSession, d: str) -> DataFrame:
@@ -63,7 +63,7 @@ def j08_member_height(s: SparkSession, d: str) -> DataFrame:
 
 def j09_covered_lines(s: SparkSession, d: str) -> DataFrame:
     """Lines with a point outside every area (those wholly covered are dropped)."""
-    points = fx.line_pts(s, d).where("line % 3 = 0")
+    points = fx.line_pts(s, d)
     inside = spatial.points_in_areas(points, fx.area_rings(s, d).select("shell", "holes")).groupBy("line").agg(F.countDistinct("seq").alias("covered"))
     counted = points.groupBy("line").agg(F.count(F.lit(1)).alias("n"))
     return counted.join(inside, "line", "left").where("coalesce(covered, 0) < n").select("line", "n", F.coalesce("covered", F.lit(0)).alias("covered"))
@@ -92,8 +92,8 @@ def j12_box_overlaps(s: SparkSession, d: str) -> DataFrame:
 
 def j13_nearest_line(s: SparkSession, d: str) -> DataFrame:
     """The nearest line of each spot within a radius; ties to the lower line."""
-    parts = spatial.segments(fx.line_pts(s, d).where("line % 7 = 0"), "line", "seq")
-    near = spatial.points_near_segments(fx.spots(s, d), parts, 0.01).withColumn("distance", F.round("distance", 6))
+    parts = spatial.segments(fx.line_pts(s, d), "line", "seq")
+    near = spatial.points_near_segments(fx.spots(s, d), parts, 0.002).withColumn("distance", F.round("distance", 6))
     return near.groupBy("id").agg(F.min(F.struct("distance", "line")).alias("best")).select("id", "best.line", "best.distance")
 
 
@@ -126,8 +126,8 @@ def a15_path_length(s: SparkSession, d: str) -> DataFrame:
 
 
 def a16_density(s: SparkSession, d: str) -> DataFrame:
-    parts = spatial.segments(fx.line_pts(s, d), "line", "seq").where("line % 50 = 0")
-    covered = F.sum(F.hypot((F.col("x1") - F.col("x0")) * 200, (F.col("y1") - F.col("y0")) * 150) * 0.8) / (200.0 * 150.0)
+    parts = spatial.segments(fx.line_pts(s, d), "line", "seq")
+    covered = F.sum(F.hypot((F.col("x1") - F.col("x0")) * 200, (F.col("y1") - F.col("y0")) * 150) * 0.002) / (200.0 * 150.0)
     return parts.agg(F.round(F.least(F.greatest(0.06 / F.greatest(covered, F.lit(0.06)), F.lit(0.35)), F.lit(1.0)), 6).alias("scale"))
 
 
@@ -177,10 +177,10 @@ def fn20_shoelace(s: SparkSession, d: str) -> DataFrame:
 
 def fn35_progress(s: SparkSession, d: str) -> DataFrame:
     """How far along its nearest line (as a share of the line's length) each spot's foot lies."""
-    parts = spatial.segments(fx.line_pts(s, d).where("line % 7 = 0"), "line", "seq").withColumn("length", F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))
+    parts = spatial.segments(fx.line_pts(s, d), "line", "seq").withColumn("length", F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))
     w = Window.partitionBy("line")
     placed = parts.withColumns({"before": F.sum("length").over(w.orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)), "total": F.sum("length").over(w)})
-    near = spatial.points_near_segments(fx.spots(s, d), placed, 0.01).where("length > 0")
+    near = spatial.points_near_segments(fx.spots(s, d), placed, 0.002).where("length > 0")
     t = F.least(F.greatest(((F.col("x") - F.col("x0")) * (F.col("x1") - F.col("x0")) + (F.col("y") - F.col("y0")) * (F.col("y1") - F.col("y0"))) / (F.col("length") * F.col("length")), F.lit(0.0)), F.lit(1.0))
     best = near.withColumn("progress", F.round((F.coalesce("before", F.lit(0.0)) + t * F.col("length")) / F.col("total"), 5)).groupBy("id").agg(F.min(F.struct(F.round("distance", 6).alias("distance"), "line", "progress")).alias("b"))
     return best.select("id", "b.line", "b.progress")
@@ -215,7 +215,7 @@ def a13_defect_histogram(s: SparkSession, d: str) -> DataFrame:
 
 
 def a12_vertex_fans(s: SparkSession, d: str) -> DataFrame:
-    """Vertices whose faces fall apart after every seventh square is taken out."""
+    """Vertices whose faces fall apart in the grid mesh with holes in a fixed pattern."""
     return mesh.vertex_fans(fx.tris(s, d).where("(tid DIV 2) % 7 <> 0 AND (tid DIV 2) % 7 <> 3"))
 
 
@@ -261,8 +261,8 @@ _IN = "greatest(abs({x} - cx), abs({y} - cy)) < h AND (hole_h IS NULL OR greates
 _HITS = "hits AS (SELECT p.id, a.id AS area, a.class, a.height FROM spots p JOIN areas a ON greatest(abs(p.x - a.cx), abs(p.y - a.cy)) < a.h AND (a.hole_h IS NULL OR greatest(abs(p.x - a.cx), abs(p.y - a.cy)) >= a.hole_h))"
 _SEG = "seg AS (SELECT line, row_number() OVER w - 1 AS seg, x AS x0, y AS y0, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM {0} WINDOW w AS (PARTITION BY line ORDER BY seq)), s AS (SELECT * FROM seg WHERE x1 IS NOT NULL)"
 _T = "CASE WHEN (x1 - x0) ^ 2 + (y1 - y0) ^ 2 > 0 THEN least(greatest(((x - x0) * (x1 - x0) + (y - y0) * (y1 - y0)) / ((x1 - x0) ^ 2 + (y1 - y0) ^ 2), 0), 1) ELSE 0 END"
-_NEAR = "n AS (SELECT spots.id, s.*, t, sqrt((x - x0 - t * (x1 - x0)) ^ 2 + (y - y0 - t * (y1 - y0)) ^ 2) AS dist FROM spots, s, LATERAL (SELECT " + _T + " AS t) WHERE x BETWEEN least(x0, x1) - 0.02 AND greatest(x0, x1) + 0.02 AND y BETWEEN least(y0, y1) - 0.02 AND greatest(y0, y1) + 0.02)"
-_SEVENTH = _SEG.format("(SELECT * FROM line_pts WHERE line % 7 = 0)")
+_NEAR = "n AS (SELECT spots.id, s.*, t, sqrt((x - x0 - t * (x1 - x0)) ^ 2 + (y - y0 - t * (y1 - y0)) ^ 2) AS dist FROM spots, s, LATERAL (SELECT " + _T + " AS t) WHERE x BETWEEN least(x0, x1) - 0.003 AND greatest(x0, x1) + 0.003 AND y BETWEEN least(y0, y1) - 0.003 AND greatest(y0, y1) + 0.003)"
+_LINES = _SEG.format("line_pts")
 _EDGES = "ed AS (SELECT tid, least(p, q) AS u, greatest(p, q) AS v, p < q AS f FROM (SELECT tid, a AS p, b AS q FROM {0} UNION ALL SELECT tid, b, d FROM {0} UNION ALL SELECT tid, d, a FROM {0}))"
 _XYZ = "c AS (SELECT t.*, p.x AS ax, p.y AS ay, p.z AS az, q.x AS bx, q.y AS by_, q.z AS bz, r.x AS dx, r.y AS dy, r.z AS dz FROM tris t JOIN verts p ON p.vid = a JOIN verts q ON q.vid = b JOIN verts r ON r.vid = d), n AS (SELECT *, (by_ - ay) * (dz - az) - (bz - az) * (dy - ay) AS nx, (bz - az) * (dx - ax) - (bx - ax) * (dz - az) AS ny, (bx - ax) * (dy - ay) - (by_ - ay) * (dx - ax) AS nz FROM c)"
 _RASTER = "ras AS (SELECT a.id, a.height, a.class, r, c FROM areas a, range({h}) y(r), range({w}) x(c) WHERE greatest(abs((c + 0.5) / {w}.0::DOUBLE - cx), abs((r + 0.5) / {h}.0::DOUBLE - cy)) < h AND (hole_h IS NULL OR greatest(abs((c + 0.5) / {w}.0::DOUBLE - cx), abs((r + 0.5) / {h}.0::DOUBLE - cy)) >= hole_h))"
@@ -291,22 +291,22 @@ ORACLES = {
     "j01_tile_join": with_views(f"SELECT p.id, q.id AS station FROM (SELECT id, {_z('lon', 4)} AS x, {_y(4)} AS y FROM points) p JOIN (SELECT id, {_z('lon', 4)} AS x, {_y(4)} AS y FROM stations) q USING (x, y)", "points", "stations"),
     "j02_pyramid_fallback": with_views(f"WITH p AS (SELECT id, {_z('lon', 8)} AS x8, {_y(8)} AS y8 FROM points), a AS (SELECT id, z::INT AS z, x8 // (1 << (8 - z)::INT) AS x, y8 // (1 << (8 - z)::INT) AS y FROM p, range(4, 9) t(z)) SELECT id, z, x, y FROM a WHERE z = 4 OR (x * 31 + y * 17 + z) % 3 <> 0 QUALIFY row_number() OVER (PARTITION BY id ORDER BY z DESC) = 1", "points"),
     "j03_point_in_polygon": with_views(f"WITH {_HITS} SELECT id, area FROM hits", "spots", "areas"),
-    "j05_within_distance": with_views(f"WITH {_SEVENTH}, {_NEAR} SELECT id, line, seg::INT AS seg, round(dist, 6) AS distance FROM n WHERE dist <= 0.004", "spots", "line_pts"),
+    "j05_within_distance": with_views(f"WITH {_LINES}, {_NEAR} SELECT id, line, seg::INT AS seg, round(dist, 6) AS distance FROM n WHERE dist <= 0.001", "spots", "line_pts"),
     "j06_overlay_priority": with_views(f"WITH {_HITS}, c AS (SELECT id, CASE WHEN class = 3 THEN 0 ELSE 1 END AS layer, area AS seq, class FROM hits UNION ALL SELECT id, 9, 0, id % 4 + 10 FROM spots) SELECT id, layer::INT AS layer, class FROM c QUALIFY row_number() OVER (PARTITION BY id ORDER BY layer, seq DESC) = 1", "spots", "areas"),
     "j07_member_anti": "SELECT DISTINCT id FROM overpass_ways WHERE id <> 0 AND id NOT IN (SELECT m.member_ref FROM (SELECT unnest(members) AS m FROM overpass_ways) WHERE m.member_ref IS NOT NULL)",
     "j08_member_height": f"""WITH h AS (SELECT id, max({_H}) AS mh FROM overpass_ways WHERE id <> 0 GROUP BY id), r AS (SELECT delivery_id, {_H} AS own, unnest(members) AS m FROM overpass_ways),
         o AS (SELECT delivery_id, own, CASE WHEN coalesce(m.member_role, '') <> 'inner' THEN m.member_ref END AS id FROM r) SELECT delivery_id, round(coalesce(max(own), max(mh), 8), 6) AS height_m FROM o LEFT JOIN h USING (id) GROUP BY delivery_id""",
-    "j09_covered_lines": with_views("WITH p AS (SELECT * FROM line_pts WHERE line % 3 = 0), k AS (SELECT line, seq, bool_or(coalesce(greatest(abs(x - cx), abs(y - cy)) < h AND (hole_h IS NULL OR greatest(abs(x - cx), abs(y - cy)) >= hole_h), false)) AS cov FROM p, areas GROUP BY line, seq) SELECT line, count(*) AS n, count(*) FILTER (cov) AS covered FROM k GROUP BY line HAVING count(*) FILTER (cov) < count(*)", "line_pts", "areas"),
+    "j09_covered_lines": with_views("WITH p AS (SELECT * FROM line_pts), k AS (SELECT line, seq, bool_or(coalesce(greatest(abs(x - cx), abs(y - cy)) < h AND (hole_h IS NULL OR greatest(abs(x - cx), abs(y - cy)) >= hole_h), false)) AS cov FROM p, areas GROUP BY line, seq) SELECT line, count(*) AS n, count(*) FILTER (cov) AS covered FROM k GROUP BY line HAVING count(*) FILTER (cov) < count(*)", "line_pts", "areas"),
     "j10_ring_containment": with_views("SELECT i.id AS hole, o.id AS shell_id FROM areas i JOIN areas o ON i.id <> o.id AND abs(i.cx - o.cx) < 3.7::DOUBLE * o.h AND abs(i.cy - o.cy) < 3.7::DOUBLE * o.h", "areas"),
     "j11_nearest": with_views("WITH k AS (SELECT p.id, q.id AS site, sqrt((((q.lon - p.lon) + 180 - 360 * floor(((q.lon - p.lon) + 180) / 360) - 180) * greatest(111.32 * abs(cos(radians(p.lat))), 20)) ^ 2 + ((q.lat - p.lat) * 110.574) ^ 2) AS km FROM points p, stations q) SELECT id, site, round(km, 4) AS km FROM k WHERE km <= 1200 QUALIFY row_number() OVER (PARTITION BY id ORDER BY km, site) = 1", "points", "stations"),
     "j12_box_overlaps": with_views("SELECT a.id AS a, b.id AS b FROM areas a JOIN areas b ON a.id < b.id AND abs(a.cx - b.cx) <= 2 * (a.h + b.h) AND abs(a.cy - b.cy) <= 2 * (a.h + b.h) AND abs(a.height - b.height) <= 10", "areas"),
-    "j13_nearest_line": with_views(f"WITH {_SEVENTH}, {_NEAR}, b AS (SELECT id, line, round(dist, 6) AS distance FROM n WHERE dist <= 0.01) SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY id ORDER BY distance, line) = 1", "spots", "line_pts"),
+    "j13_nearest_line": with_views(f"WITH {_LINES}, {_NEAR}, b AS (SELECT id, line, round(dist, 6) AS distance FROM n WHERE dist <= 0.002) SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY id ORDER BY distance, line) = 1", "spots", "line_pts"),
     "j17_edge_incidence": with_views(f"WITH {_EDGES.format('tris')} SELECT x.tid AS t0, y.tid AS t1 FROM ed x JOIN ed y ON x.u = y.u AND x.v = y.v AND x.tid < y.tid", "tris"),
     "j18_piece_owner": with_views(f"WITH {_HITS} SELECT p.id, coalesce(min(area), -1) AS area FROM spots p LEFT JOIN hits ON hits.id = p.id GROUP BY p.id", "spots", "areas"),
     "j19_versions": "SELECT v.setup_id, max(s.export_no) AS last_export, count(DISTINCT v.rid) AS versions FROM (SELECT *, row_number() OVER () AS rid FROM saved_setup_versions) v JOIN saved_setups s ON s.id = v.setup_id GROUP BY 1",
     "w15_segments": with_views(f"WITH {_SEG.format('line_pts')} SELECT line, seg::INT AS seg, round(sqrt((x1 - x0) ^ 2 + (y1 - y0) ^ 2), 6) AS length FROM s", "line_pts"),
     "a15_path_length": with_views(f"WITH {_SEG.format('line_pts')} SELECT line, round(sum(sqrt(((x1 - x0) * 200) ^ 2 + ((y1 - y0) * 150) ^ 2)), 4) AS mm FROM s GROUP BY line", "line_pts"),
-    "a16_density": with_views(f"WITH {_SEG.format('line_pts')} SELECT round(least(greatest(0.06 / greatest(sum(sqrt(((x1 - x0) * 200) ^ 2 + ((y1 - y0) * 150) ^ 2) * 0.8) / 30000, 0.06), 0.35), 1), 6) AS scale FROM s WHERE line % 50 = 0", "line_pts"),
+    "a16_density": with_views(f"WITH {_SEG.format('line_pts')} SELECT round(least(greatest(0.06 / greatest(sum(sqrt(((x1 - x0) * 200) ^ 2 + ((y1 - y0) * 150) ^ 2) * 0.002) / 30000, 0.06), 0.35), 1), 6) AS scale FROM s", "line_pts"),
     "a26_top_building": with_views(f"WITH {_HITS} SELECT id, area, height FROM hits QUALIFY row_number() OVER (PARTITION BY id ORDER BY height DESC, (class = 3) DESC, area) = 1", "spots", "areas"),
     "g04_clip": with_views(f"WITH {_WIDE}, {_SEG.format('wide')}, {_CLIP} SELECT line, seg::INT AS seg, round(cx0, 6) + 0.0::DOUBLE AS cx0, round(cy0, 6) + 0.0::DOUBLE AS cy0, round(cx1, 6) + 0.0::DOUBLE AS cx1, round(cy1, 6) + 0.0::DOUBLE AS cy1 FROM cut", "line_pts"),
     "x06_visible_chains": with_views(f"WITH {_WIDE}, {_SEG.format('wide')}, {_CLIP} SELECT line, count(*) FILTER (NOT coalesce(joined, false)) AS chains FROM (SELECT line, lag(seg) OVER w = seg - 1 AND lag(cx1) OVER w = x0 AND lag(cy1) OVER w = y0 AND cx0 = x0 AND cy0 = y0 AS joined FROM cut WINDOW w AS (PARTITION BY line ORDER BY seg)) GROUP BY line", "line_pts"),
@@ -314,7 +314,7 @@ ORACLES = {
     "x20_zonal_max": with_views("WITH " + _RASTER.format(w=100, h=10) + " SELECT id, max(z) AS top, count(*) AS n FROM ras JOIN cells USING (r, c) GROUP BY id", "areas", "cells"),
     "x22_boundary_distance": with_views("SELECT p.id, a.id AS area, round(h - greatest(abs(x - cx), abs(y - cy)), 6) AS distance FROM spots p JOIN areas a ON greatest(abs(p.x - a.cx), abs(p.y - a.cy)) < a.h AND (a.hole_h IS NULL OR greatest(abs(p.x - a.cx), abs(p.y - a.cy)) >= a.hole_h)", "spots", "areas"),
     "fn20_shoelace": with_views("SELECT id, round(4 * h * h, 8) AS area FROM areas", "areas"),
-    "fn35_progress": with_views(f"WITH {_SEVENTH}, l AS (SELECT *, sqrt((x1 - x0) ^ 2 + (y1 - y0) ^ 2) AS len FROM s), m AS (SELECT *, coalesce(sum(len) OVER (PARTITION BY line ORDER BY seg ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(len) OVER (PARTITION BY line) AS total FROM l), {_NEAR.replace('s.*', 'm.*').replace(', s,', ', m,')}, b AS (SELECT id, round(dist, 6) AS dist, line, round((before + t * len) / total, 5) AS progress FROM n WHERE dist <= 0.01 AND len > 0) SELECT id, line, progress FROM b QUALIFY row_number() OVER (PARTITION BY id ORDER BY dist, line, progress) = 1", "spots", "line_pts"),
+    "fn35_progress": with_views(f"WITH {_LINES}, l AS (SELECT *, sqrt((x1 - x0) ^ 2 + (y1 - y0) ^ 2) AS len FROM s), m AS (SELECT *, coalesce(sum(len) OVER (PARTITION BY line ORDER BY seg ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(len) OVER (PARTITION BY line) AS total FROM l), {_NEAR.replace('s.*', 'm.*').replace(', s,', ', m,')}, b AS (SELECT id, round(dist, 6) AS dist, line, round((before + t * len) / total, 5) AS progress FROM n WHERE dist <= 0.002 AND len > 0) SELECT id, line, progress FROM b QUALIFY row_number() OVER (PARTITION BY id ORDER BY dist, line, progress) = 1", "spots", "line_pts"),
     "a09_mesh_measures": with_views(f"WITH {_XYZ} SELECT material::INT AS material, count(*) AS triangles, round(sum(sqrt(nx * nx + ny * ny + nz * nz) / 2), 3) AS area, round(sum((ax * (by_ * dz - bz * dy) + ay * (bz * dx - bx * dz) + az * (bx * dy - by_ * dx)) / 6), 2) AS volume FROM n GROUP BY 1", "tris", "verts"),
     "a10_edge_uses": with_views(f"WITH {_EDGES.format('tris')}, k AS (SELECT u, v, count(*) AS n, count(*) FILTER (f) AS f FROM ed GROUP BY u, v) SELECT count(*) AS edges, count(*) FILTER (n = 1) AS open, count(*) FILTER (n > 2) AS overused, count(*) FILTER (f > 1 OR n - f > 1) AS misoriented FROM k", "tris"),
     "a11_duplicate_faces": with_views("""WITH t AS (SELECT a, b, d FROM tris UNION ALL SELECT a, b, d FROM tris WHERE tid % 41 = 0 UNION ALL SELECT a, d, b FROM tris WHERE tid % 59 = 0), k AS (SELECT list_sort([a, b, d]) AS c, CASE WHEN a <= b AND a <= d THEN b < d WHEN b <= a AND b <= d THEN d < a ELSE a < b END AS w FROM t)

@@ -70,6 +70,8 @@ def test_values_follow_their_entries(spark):
     shredded = shredding.shred(df, "k", "b", paths)
     got = [tuple(r) for r in shredding.assemble(shredded, "k", paths, paths, 2, ["e", "m"], ["ref", "role"]).collect()]
     assert got == [(5, 0, 0, "7", None), (5, 0, 2, None, "x")]
+    lone = spark.createDataFrame([(6, '{"elements": [{"members": [{"ref": "\\ud800"}]}]}')], "k long, b string")
+    assert shredding.assemble(shredding.shred(lone, "k", "b", paths), "k", paths, paths, 2, ["e", "m"], ["ref", "role"]).first().ref == "?"
 
 
 def identifier():
@@ -144,6 +146,7 @@ def test_drift_needs_proof(spark):
     assert drift(spark, [("t", 1, "1", '{"a": 5}'), ("t", 2, "2", '{"b": 5}')]) == [(2, "added", "b", ""), (2, "removed", "a", "")]
     assert drift(spark, [("t", 1, "1", '{"a": 5}'), ("t", 1, "2", '{"a": 6}'), ("t", 2, "1", '{"b": 5}'), ("t", 2, "2", '{"b": 7}')]) == [(2, "added", "b", ""), (2, "removed", "a", "")]
     assert drift(spark, [("t", 1, "1", '{"a": 5}'), ("t", 1, "2", '{}'), ("t", 3, "1", '{"b": 5.0}'), ("t", 3, "2", '{"b": null}')]) == [(3, "renamed", "a", "b")]
+    assert drift(spark, [("t", 1, "1", '{"\\ud800": 1}'), ("t", 2, "1", "{}")]) == [(2, "removed", "?", "")]
     assert drift(spark, []) == []
 
 
