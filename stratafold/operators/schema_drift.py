@@ -25,7 +25,7 @@ import difflib
 import hashlib
 import json
 from collections import defaultdict
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -337,24 +337,59 @@ def lineage(drift: Drift) -> dict[str, dict[int, str]]:
 SPARK_TYPES = {1: "string", 2: "double", 4: "boolean"}
 
 
+def value_at(node: Column, steps: Sequence[tuple[str, int]], leaf: Callable[[Column, str], Column]) -> Column:
+    """``leaf`` of the variant and path of a field; below lists an array with that of every entry at its place."""
+    path = "$"
+    for k, (name, lists) in enumerate(steps):
+        path += f"['{name}']"
+        if lists:
+            return spread_at(node, path, lists, lambda entry: value_at(entry, steps[k + 1 :], leaf))
+    return leaf(node, path)
+
+
+def typed(kind: str) -> Callable[[Column, str], Column]:
+    return lambda node, path: F.try_variant_get(node, path, kind)
+
+
+def spread_at(node: Column, path: str, lists: int, leaf: Callable[[Column], Column]) -> Column:
+    """``leaf`` of every entry of the list at ``path``, which is nested ``lists`` deep."""
+    return F.transform(F.try_variant_get(node, path, "array<variant>"), lambda entry: spread_at(entry, "$", lists - 1, leaf) if lists > 1 else leaf(entry))
+
+
+def no_objects(node: Column, path: str) -> Column:
+    """The entries of a list as text, null for objects."""
+    return spread_at(node, path, 1, lambda entry: F.when(~F.schema_of_variant(entry).like("OBJECT%"), F.try_variant_get(entry, "$", "string")))
+
+
 def projection(drift: Drift, file_no: str, body: str) -> dict[str, Column]:
-    """The consistent table's columns: for each field outside lists the value at the path it has in the row's file.
+    """The consistent table's columns: for each field the value at the path it has in the row's file.
 
     A field has its type if all files agree on one of string, number and boolean; otherwise it is read as text. Groups are
-    left to their members, lists are read whole as JSON text.
+    left to their members. A field below lists is an array of its values, one for every entry of the list and null where an
+    entry lacks it, so the arrays of a list's members agree in length and place. A list with members is itself an array of
+    its entries that are no objects, as text, with null in the place of each object; a list without members, or of which
+    some files hold another type, is read whole as JSON text. A field that is below lists in some files and below fewer in
+    others is read as JSON text.
     """
     columns = {}
-    for field, paths in sorted(lineage(drift).items()):
+    fields = lineage(drift)
+    for field, paths in sorted(fields.items()):
         bits = 0
         for n, path in paths.items():
             bits |= drift.schemas[n][path]
-        if "[]" in field or bits == 8:
+        if bits == 8:
             continue
         kind = SPARK_TYPES.get(bits, "string")
+        members = bits == 16 and any(other.startswith(field + "[]") for other in fields)
+        uneven = len({path.count("[]") for path in paths.values()}) > 1
         value = None
         for path in sorted(set(paths.values())):
             files = [n for n, p in paths.items() if p == path]
-            got = F.try_variant_get(F.col(body), "$" + "".join(f"['{step}']" for step in path.split(".")), kind)
+            steps = steps_of(path)
+            if uneven:
+                got = F.to_json(value_at(F.col(body), steps, typed("variant"))) if "[]" in path else value_at(F.col(body), steps, typed("string"))
+            else:
+                got = value_at(F.col(body), steps, no_objects if members else typed(kind))
             value = (F.when if value is None else value.when)(F.col(file_no).isin(*files), got)
         columns[field] = value
     return columns
@@ -370,7 +405,7 @@ def unify(df: DataFrame, drift: Drift, file_no: str, body: str, keep: Sequence[s
     columns = []
     for name, column in projection(drift, "__file", "__body").items():
         # Column names ignore case and take no dots, field names do and may: parts are joined by __, a clash is numbered.
-        name = name.replace(".", "__")
+        name = name.replace("[]", "").replace(".", "__")
         unique, k = name, 2
         while unique.lower() in taken:
             unique, k = f"{name}_{k}", k + 1

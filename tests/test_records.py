@@ -166,3 +166,19 @@ def test_unified_table_reads_every_file(spark):
     table = schema_drift.unify(df, found, "n", "body", ["n", "id"])
     assert table.columns == ["n", "id", "b", "g__x", "id_2", "s"]
     assert sorted(tuple(r) for r in table.collect()) == [(1, "1", 5.0, "u", 3.0, "1"), (2, "1", 5.0, "v", None, "w"), (2, "2", 6.0, None, None, None)]
+
+
+def test_unified_table_applies_scripts_inside_lists(spark):
+    old = {"markers": [{"name": "A", "kind": {"id": 1}}, None, 7, {"name": None, "up": 2.5}], "runs": [[{"t": "x"}, {}], [], None], "tags": ["u"], "top": [1, 2]}
+    new = {"markers": [{"label": "A", "kind": {"id": 1}}, None, 7, {"label": None, "up": 2.5}], "runs": [[{"s": "x"}, {}], [], None], "tags": ["u"], "low": [{"v": 1}, {"v": 2}]}
+    rows = [("t", 1, "1", json.dumps(old)), ("t", 2, "1", json.dumps(new)), ("t", 1, "2", '{"markers": [{"name": "B"}]}'), ("t", 2, "3", '{"markers": []}'), ("t", 2, "4", '{"markers": null}')]
+    df = spark.createDataFrame([(*r, 0) for r in rows], SPECS)
+    found = schema_drift.compare_files(df, "t", "n", "id", "body")["t"]
+    table = schema_drift.unify(df, found, "n", "body", ["n", "id"])
+    got = {(r.n, r.id): r.asDict(recursive=True) for r in table.collect()}
+    assert set(table.columns) == {"n", "id", "low", "low__v", "markers", "markers__kind__id", "markers__label", "markers__up", "runs", "runs__s", "tags"}
+    same = {"markers": [None, None, "7", None], "markers__label": ["A", None, None, None], "markers__kind__id": [1.0, None, None, None], "markers__up": [None, None, None, 2.5], "runs__s": [["x", None], [], None], "tags": '["u"]', "low__v": "[1,2]"}
+    for n in (1, 2):
+        assert {c: got[n, "1"][c] for c in same} == same
+    assert got[1, "2"]["markers__label"] == ["B"] and got[2, "3"]["markers__label"] == got[2, "3"]["markers"] == []
+    assert got[2, "4"]["markers__label"] is None and got[2, "4"]["markers"] is None
