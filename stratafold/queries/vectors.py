@@ -158,9 +158,14 @@ def g11_rasterize(s: SparkSession, d: str) -> DataFrame:
     return cells.groupBy("r", "c").agg(F.max("id").alias("area"))
 
 
+def _zones(s: SparkSession, d: str) -> DataFrame:
+    """The cells that each area covers, on the whole raster. Rasterized areas grow with it, which the planner can't see: they are not broadcast."""
+    rows, columns = fx.cells(s, d).agg(F.max("r") + 1, F.max("c") + 1).first()
+    return spatial.rasterize(fx.area_rings(s, d), columns or 1, rows or 1).hint("merge").join(fx.cells(s, d), ["r", "c"])
+
+
 def x20_zonal_max(s: SparkSession, d: str) -> DataFrame:
-    cells = spatial.rasterize(fx.area_rings(s, d), 100, 10)
-    return cells.join(fx.cells(s, d), ["r", "c"]).groupBy("id").agg(F.max("z").alias("top"), F.count(F.lit(1)).alias("n"))
+    return _zones(s, d).groupBy("id").agg(F.max("z").alias("top"), F.count(F.lit(1)).alias("n"))
 
 
 def x22_boundary_distance(s: SparkSession, d: str) -> DataFrame:

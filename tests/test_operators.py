@@ -11,7 +11,8 @@ from stratafold.functions import geo as G
 from stratafold.functions import hashing, tags, text
 from stratafold.operators import contour, focal, graph, mesh, palette, selecting, spatial, tables
 from stratafold.plans import fixtures as fx
-from tests.parity import DATA
+from stratafold.queries import vectors
+from tests.parity import DATA, rows, sql_rows
 
 
 def grid(spark, rows, name="z"):
@@ -218,3 +219,13 @@ def test_versions_order(spark):
 @pytest.mark.parametrize("error, kind", [("Flag socket overlaps", "markers"), ("build piece 2,3: elevation tile missing", "elevation"), ("build piece 2,3: thin", "piece"), ("outline crosses itself", "outline"), ("could not write 3MF", "output"), ("?", "other"), (None, None), ("shaped tray top-lip", "tray")])
 def test_error_classes(spark, error, kind):
     assert spark.createDataFrame([(error,)], "e string").select(text.classify_error(F.col("e"))).first()[0] == kind
+
+
+def whole_raster_sql(name):
+    """The query's SQL with the raster's 100 rows at sf0.01 for the 10 that it has at sf0.001."""
+    return vectors.ORACLES[name].replace("range(10) y(r)", "range(100) y(r)").replace("/ 10.0::DOUBLE", "/ 100.0::DOUBLE")
+
+
+def test_zonal_max_reads_the_whole_raster(spark):
+    data = DATA.replace("sf0.001", "sf0.01")
+    assert rows(vectors.x20_zonal_max(spark, data)) == sql_rows(whole_raster_sql("x20_zonal_max"), data)[1]
