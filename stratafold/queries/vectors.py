@@ -249,8 +249,7 @@ def g23_grid_mesh(s: SparkSession, d: str) -> DataFrame:
 
 def x23_roof_owner(s: SparkSession, d: str) -> DataFrame:
     """Roof height over each spot: the greatest ground height under the area plus the area's height."""
-    cells = spatial.rasterize(fx.area_rings(s, d), 100, 10)
-    roofs = cells.join(fx.cells(s, d), ["r", "c"]).groupBy("id", "height", "class").agg(F.max("z").alias("top")).select(F.col("id").alias("area"), (F.col("top") + F.col("height")).alias("roof"), F.col("class").alias("kind"))
+    roofs = _zones(s, d).groupBy("id", "height", "class").agg(F.max("z").alias("top")).select(F.col("id").alias("area"), (F.col("top") + F.col("height")).alias("roof"), F.col("class").alias("kind"))
     hits = spatial.points_in_areas(fx.spots(s, d), fx.area_rings(s, d).select(F.col("id").alias("area"), "shell", "holes")).join(roofs, "area")
     return hits.groupBy("id").agg(F.max(F.struct(F.round("roof", 6).alias("roof"), (F.col("kind") == 3).alias("marked"), (-F.col("area")).alias("order"), "area")).alias("b")).select("id", "b.area", "b.roof")
 

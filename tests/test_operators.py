@@ -229,3 +229,8 @@ def whole_raster_sql(name):
 def test_zonal_max_reads_the_whole_raster(spark):
     data = DATA.replace("sf0.001", "sf0.01")
     assert rows(vectors.x20_zonal_max(spark, data)) == sql_rows(whole_raster_sql("x20_zonal_max"), data)[1]
+
+
+def test_roof_owner_reads_the_whole_raster(spark):
+    data = DATA.replace("sf0.001", "sf0.01")
+    assert rows(vectors.x23_roof_owner(spark, data)) == sql_rows(whole_raster_sql("x23_roof_owner"), data)[1]
