@@ -144,6 +144,20 @@ def k09_upsert(s: SparkSession, d: str) -> DataFrame:
     return tables.upsert(one(1), one(2), "name", ("id", "created"))
 
 
+def k09_upsert_all(s: SparkSession, d: str) -> DataFrame:
+    """Setups upserted by name export after export: all before the last as the table, the last as what comes in.
+
+    Of the upserts before the last remain the first id and creation time of a name and its last update, so one grouping by
+    name stands for them all.
+    """
+    rows = fx.read(s, d, "saved_setups").select("id", "name", F.unix_micros("created_at").alias("created"), F.unix_micros("updated_at").alias("updated"), "export_no")
+    each = rows.groupBy("name", "export_no").agg(F.min("id").alias("id"), F.min("created").alias("created"), F.max("updated").alias("updated"))
+    last = rows.agg(F.max("export_no")).first()[0] or 0
+    first = F.min_by(F.struct("id", "created"), "export_no").alias("first")
+    table = each.where(F.col("export_no") < last).groupBy("name").agg(first, F.max_by("updated", "export_no").alias("updated")).select("first.id", "name", "first.created", "updated")
+    return tables.upsert(table, each.where(F.col("export_no") == last).select("id", "name", "created", "updated"), "name", ("id", "created"))
+
+
 def k10_rename(s: SparkSession, d: str) -> DataFrame:
     """Renaming entries, some to a name that is taken: done, or refused."""
     rows = fx.read(s, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
@@ -202,7 +216,7 @@ def t09_files_read(s: SparkSession, d: str) -> DataFrame:
 
 
 _KIND = "CASE WHEN trim(element_type) IS NULL OR trim(element_type) = '' THEN 'way' ELSE lower(trim(element_type)) END"
-QUERIES = {f.__name__: f for f in (o01_recent, a14_timing_rollup, o02_slowest8, o03_keep5, o04_greedy_budget, o06_largest, o07_stride, o08_fit_sample, o09_quantile_seed, o10_slots, o11_order_override, u01_union_dedup, u04_source_set, a19_richest, a19_ways, a20_cache_totals, a24_upper_median, s10_covering, s13_geocoder_cache, s17_recent_jobs, k08_conditional_update, k09_upsert, k10_rename, k11_archive, k12_restore, k13_cascade, k14_age_delete, k15_recover, t02_monotonic, t03_latest, t05_state_fold, t09_files_read)}
+QUERIES = {f.__name__: f for f in (o01_recent, a14_timing_rollup, o02_slowest8, o03_keep5, o04_greedy_budget, o06_largest, o07_stride, o08_fit_sample, o09_quantile_seed, o10_slots, o11_order_override, u01_union_dedup, u04_source_set, a19_richest, a19_ways, a20_cache_totals, a24_upper_median, s10_covering, s13_geocoder_cache, s17_recent_jobs, k08_conditional_update, k09_upsert, k09_upsert_all, k10_rename, k11_archive, k12_restore, k13_cascade, k14_age_delete, k15_recover, t02_monotonic, t03_latest, t05_state_fold, t09_files_read)}
 ORACLES = {
     "o01_recent": with_views("SELECT * FROM job_rows ORDER BY created_at DESC, id LIMIT 20", "job_rows"),
     "a14_timing_rollup": with_views("SELECT phase, sum(us)::BIGINT AS total, min(us) AS least, max(us) AS most, count(*) AS n FROM timings GROUP BY phase", "timings"),
@@ -229,6 +243,8 @@ ORACLES = {
     "k08_conditional_update": "SELECT id, CASE WHEN status <> 'canceled' THEN 'running' ELSE status END AS status, CASE WHEN status <> 'canceled' THEN greatest(progress, 50) ELSE progress END AS progress FROM (SELECT DISTINCT id, status, progress FROM jobs)",
     "k09_upsert": """WITH r AS (SELECT export_no, name, min(id) AS id, min(epoch_us(created_at)) AS created, max(epoch_us(updated_at)) AS updated FROM saved_setups GROUP BY 1, 2), o AS (SELECT * FROM r WHERE export_no = 1), n AS (SELECT * FROM r WHERE export_no = 2)
         SELECT coalesce(o.id, n.id) AS id, coalesce(o.name, n.name) AS name, coalesce(o.created, n.created) AS created, CASE WHEN n.id IS NOT NULL THEN n.updated ELSE o.updated END AS updated, CASE WHEN n.id IS NOT NULL THEN o.id IS NULL END AS is_new FROM o FULL JOIN n ON o.name = n.name""",
+    "k09_upsert_all": """WITH r AS (SELECT export_no, name, min(id) AS id, min(epoch_us(created_at)) AS created, max(epoch_us(updated_at)) AS updated FROM saved_setups GROUP BY 1, 2), m AS (SELECT max(export_no) AS last_no FROM saved_setups)
+        SELECT first(id ORDER BY export_no) AS id, name, first(created ORDER BY export_no) AS created, last(updated ORDER BY export_no) AS updated, CASE WHEN max(export_no) = any_value(last_no) THEN count(*) = 1 END AS is_new FROM r, m GROUP BY name""",
     "k10_rename": "WITH a AS (SELECT n_nationkey AS id, CASE WHEN n_nationkey % 2 = 0 THEN n_name || ' 2' ELSE 'PERU' END AS wanted FROM nation) SELECT id, wanted, EXISTS (SELECT 1 FROM nation WHERE n_name = wanted AND n_nationkey <> id) AS refused FROM a",
     "k11_archive": "SELECT id, setup_id, saved, export_no FROM (SELECT DISTINCT id, setup_id, epoch_us(saved_at) AS saved, export_no FROM saved_setup_versions) QUALIFY row_number() OVER (PARTITION BY setup_id ORDER BY saved DESC NULLS LAST, export_no DESC, id) <= 5",
     "k12_restore": with_views("""WITH v AS (SELECT key, row_number() OVER (PARTITION BY key ORDER BY id)::INT AS version, id::VARCHAR AS spec FROM job_rows), c AS (SELECT c_custkey AS key FROM customer)

@@ -11,7 +11,7 @@ from stratafold.functions import geo as G
 from stratafold.functions import hashing, tags, text
 from stratafold.operators import contour, focal, graph, mesh, palette, selecting, spatial, tables
 from stratafold.plans import fixtures as fx
-from stratafold.queries import vectors
+from stratafold.queries import bookkeeping, vectors
 from tests.parity import DATA, rows, sql_rows
 
 
@@ -234,3 +234,17 @@ def test_zonal_max_reads_the_whole_raster(spark):
 def test_roof_owner_reads_the_whole_raster(spark):
     data = DATA.replace("sf0.001", "sf0.01")
     assert rows(vectors.x23_roof_owner(spark, data)) == sql_rows(whole_raster_sql("x23_roof_owner"), data)[1]
+
+
+def test_upsert_of_all_exports_is_the_fold_of_upserts(spark):
+    rows_of = fx.read(spark, DATA, "saved_setups").select("export_no", "name", "id", F.unix_micros("created_at").alias("created"), F.unix_micros("updated_at").alias("updated")).collect()
+    table = {}
+    for export in sorted({r.export_no for r in rows_of}):
+        incoming = {}
+        for r in rows_of:
+            if r.export_no == export:
+                i, c, u = incoming.get(r.name, (r.id, r.created, r.updated))
+                incoming[r.name] = min(i, r.id), min(c, r.created), max(u, r.updated)
+        table = {n: (*v[:3], None) for n, v in table.items()} | {n: (*(table[n][:2] if n in table else v[:2]), v[2], n not in table) for n, v in incoming.items()}
+    got = {r.name: (r.id, r.created, r.updated, r.is_new) for r in bookkeeping.k09_upsert_all(spark, DATA).collect()}
+    assert got == table and len(table) == len({r.name for r in rows_of})
