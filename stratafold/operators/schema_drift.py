@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratafold.operators.shredding import clean, load_object
+from stratafold.functions.jsontext import canonical_text, clean, dump, load_object
 
 TYPE_BITS = {str: 1, int: 2, float: 2, bool: 4, dict: 8, list: 16, type(None): 0}
 #: Entries a task holds before it passes its counts on.

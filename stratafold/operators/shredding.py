@@ -12,13 +12,12 @@ null entries keep their place in the count.
 Defined cases. A null text, a text that is not one complete JSON object (cut off, trailing characters, a list, NaN literals)
 gives a record without items and so no rows. A value that is not a list where a list is expected counts as absent; a list
 entry that is neither null nor an object is an entry whose fields are absent; of repeated keys the last holds. Records are
-shredded one by one: repeated rows give repeated output, an empty table gives an empty table, and no record moves between
+shredded whatever their depth and length, one by one: repeated rows give repeated output, an empty table gives an empty table, and no record moves between
 partitions, so a key that holds many rows needs no treatment.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -27,7 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratafold.session import spread
+from stratafold.functions.jsontext import by_bytes, clean, dump, load_object
+from stratafold.session import dealt
+
+#: Text that a task holds parsed at once; a path's levels fit a byte.
+BATCH_BYTES, MOST_KEYS = 4 << 20, 80
 
 
 def parse_path(path: str) -> list[tuple[str, bool]]:
@@ -47,91 +50,110 @@ def entry_level(path: str, depth: int) -> int:
     raise ValueError(f"{path} has fewer than {depth} repeated keys")
 
 
-def _reject(token: str) -> None:
-    raise ValueError(token)
-
+class Branch:
+    """A key of the paths' common tree: the paths that end here and those that go on below."""
+
+    def __init__(self, name: str, repeated: bool, depth: int) -> None:
+        self.name, self.repeated, self.depth = name, repeated, depth
+        self.own: list[int] = []
+        self.leaves: list[int] = []
+        self.below: list[Branch] = []
+
+
+def tree_of(paths: Sequence[Sequence[tuple[str, bool]]]) -> list[Branch]:
+    """The tree of all paths, so that one walk of a record serves every leaf."""
+    top = Branch("", False, 0)
+    for leaf, steps in enumerate(paths):
+        if len(steps) > MOST_KEYS:
+            raise ValueError(f"a path may have {MOST_KEYS} keys at most")
+        at = top
+        for name, repeated in steps:
+            found = next((b for b in at.below if (b.name, b.repeated) == (name, repeated)), None)
+            if found is None:
+                found = Branch(name, repeated, at.depth + repeated)
+                at.below.append(found)
+            found.leaves.append(leaf)
+            at = found
+        at.own.append(leaf)
+    return top.below
+
+
+def shred_record(record: dict, tree: Sequence[Branch], leaves: int) -> list[tuple[bytearray, bytearray, list]]:
+    """Repetition levels, definition levels and values of every leaf of one record, in one walk no deeper than the paths."""
+    out: list[tuple[bytearray, bytearray, list]] = [(bytearray(), bytearray(), []) for _ in range(leaves)]
+
+    def emit(of: list[int], rep: int, level: int, value: object) -> None:
+        for leaf in of:
+            reps, defs, values = out[leaf]
+            reps.append(rep)
+            defs.append(level)
+            values.append(value)
+
+    def down(node: object, branches: Sequence[Branch], rep: int, level: int) -> None:
+        for branch in branches:
+            child = node.get(branch.name) if isinstance(node, dict) else None
+            if child is None or (branch.repeated and not isinstance(child, list)):
+                emit(branch.leaves, rep, level, None)
+            elif not branch.repeated:
+                emit(branch.own, rep, level + 1, child)
+                if branch.below:
+                    down(child, branch.below, rep, level + 1)
+            elif not child:
+                emit(branch.leaves, rep, level + 1, None)
+            else:
+                at = rep
+                for entry in child:
+                    if entry is None:
+                        emit(branch.leaves, at, level + 2, None)
+                    else:
+                        emit(branch.own, at, level + 3, entry)
+                        if branch.below:
+                            down(entry, branch.below, at, level + 3)
+                    at = branch.depth
 
-def load_object(text: str | None) -> dict | None:
-    """The object that ``text`` holds, or None."""
-    if text is None:
-        return None
-    try:
-        value = json.loads(text, parse_constant=_reject)
-    except (ValueError, RecursionError):
-        return None
-    return value if isinstance(value, dict) else None
+    down(record, tree, 0, 0)
+    return out
 
 
 def levels(record: dict, steps: Sequence[tuple[str, bool]]) -> tuple[bytearray, bytearray, list]:
     """Repetition levels, definition levels and values of one leaf of one record."""
-    reps, defs, values = bytearray(), bytearray(), []
-    depth_of = np.cumsum([r for _, r in steps]).tolist()
-    last = len(steps)
-
-    def emit(rep: int, level: int, value: object) -> None:
-        reps.append(rep)
-        defs.append(level)
-        values.append(value)
-
-    def down(node: object, k: int, rep: int, level: int) -> None:
-        if k == last:
-            return emit(rep, level, node)
-        name, repeated = steps[k]
-        child = node.get(name) if isinstance(node, dict) else None
-        if child is None or (repeated and not isinstance(child, list)):
-            return emit(rep, level, None)
-        if not repeated:
-            return down(child, k + 1, rep, level + 1)
-        if not child:
-            return emit(rep, level + 1, None)
-        for j, entry in enumerate(child):
-            at = rep if j == 0 else depth_of[k]
-            if entry is None:
-                emit(at, level + 2, None)
-            else:
-                down(entry, k + 1, at, level + 3)
-
-    down(record, 0, 0, 0)
-    return reps, defs, values
-
-
-def clean(text: str) -> str:
-    """``text`` without lone surrogates, which JSON escapes can spell and UTF-8 cannot."""
-    return text if text.isascii() else text.encode("utf-8", "replace").decode()
+    return shred_record(record, tree_of([steps]), 1)[0]
 
 
 def _text(value: object) -> str | None:
     if value is None:
         return None
-    return clean(value if isinstance(value, str) else json.dumps(value, ensure_ascii=False))
+    return clean(value if isinstance(value, str) else dump(value))
 
 
 LEAF = T.StructType([T.StructField("rep", T.BinaryType()), T.StructField("def", T.BinaryType()), T.StructField("val", T.ArrayType(T.StringType()))])
 _ARROW_LEAF = pa.struct([("rep", pa.binary()), ("def", pa.binary()), ("val", pa.list_(pa.string()))])
 
 
-def shred(df: DataFrame, key: str, body: str, paths: Sequence[str], values: bool = True) -> DataFrame:
+def shred(df: DataFrame, key: str, body: str, paths: Sequence[str], values: bool = True, partitions: int | None = None) -> DataFrame:
     """One row per record: ``key`` and, for the i-th path, ``leaf_i`` with its level sequences and (as text) its values.
 
-    ``values=False`` leaves the values out where only the structure is wanted.
+    ``values=False`` leaves the values out where only the structure is wanted. ``partitions`` deals the records out first.
     """
-    steps = [parse_path(p) for p in paths]
+    tree, count = tree_of([parse_path(p) for p in paths]), len(paths)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            leaves: list[list] = [[] for _ in steps]
-            for text in batch.column(1).to_pylist():
-                record = load_object(text)
-                for leaf, path_steps in zip(leaves, steps):
-                    if record is None:
-                        leaf.append(None)
-                        continue
-                    rep, level, val = levels(record, path_steps)
-                    leaf.append({"rep": bytes(rep), "def": bytes(level), "val": [_text(v) for v in val] if values else None})
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, _ARROW_LEAF) for x in leaves)], names=["record_key", *(f"leaf_{i}" for i in range(len(steps)))])
-
-    schema = T.StructType([T.StructField("record_key", df.schema[key].dataType), *(T.StructField(f"leaf_{i}", LEAF) for i in range(len(steps)))])
-    return spread(df.select(F.col(key), F.col(body))).mapInArrow(run, schema)
+            for part in by_bytes(batch, 1, BATCH_BYTES):
+                leaves: list[list] = [[] for _ in range(count)]
+                for text in part.column(1):
+                    record = load_object(text.as_py())
+                    found = [None] * count if record is None else shred_record(record, tree, count)
+                    for leaf, levels_of in zip(leaves, found):
+                        if levels_of is None:
+                            leaf.append(None)
+                        else:
+                            rep, level, val = levels_of
+                            leaf.append({"rep": bytes(rep), "def": bytes(level), "val": [_text(v) for v in val] if values else None})
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, _ARROW_LEAF) for x in leaves)], names=["record_key", *(f"leaf_{i}" for i in range(count))])
+
+    schema = T.StructType([T.StructField("record_key", df.schema[key].dataType), *(T.StructField(f"leaf_{i}", LEAF) for i in range(count))])
+    return dealt(df.select(F.col(key), F.col(body)), partitions).mapInArrow(run, schema)
 
 
 def _positions(rep: np.ndarray, depth: int) -> np.ndarray:
@@ -190,7 +212,7 @@ def assemble(shredded: DataFrame, key: str, paths: Sequence[str], wanted: Sequen
     return shredded.select(*parts).mapInArrow(run, schema).withColumnRenamed("record_key", key)
 
 
-def structure(df: DataFrame, key: str, body: str, path: str, positions: Sequence[str]) -> DataFrame:
+def structure(df: DataFrame, key: str, body: str, path: str, positions: Sequence[str], partitions: int | None = None) -> DataFrame:
     """Every entry of every repeated ancestor of ``path`` in one table: ``key`` and the positions, -1 below the entry's own depth.
 
     The levels of this single leaf hold the whole structure, so each record is parsed once and all tables come from one
@@ -212,7 +234,7 @@ def structure(df: DataFrame, key: str, body: str, path: str, positions: Sequence
                 at = [pos[i][keep] if i < d else np.full(len(keep), -1, np.int32) for i in range(depth)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner[keep])), *map(pa.array, at)], names=["record_key", *positions])
 
-    shredded = shred(df, key, body, [path], values=False)
+    shredded = shred(df, key, body, [path], False, partitions)
     schema = T.StructType([T.StructField("record_key", shredded.schema["record_key"].dataType), *(T.StructField(p, T.IntegerType()) for p in positions)])
     return shredded.select("record_key", F.col("leaf_0.rep").alias("rep"), F.col("leaf_0.def").alias("def")).mapInArrow(run, schema).withColumnRenamed("record_key", key)
 
@@ -222,5 +244,3 @@ def assemble_record(rep: bytes, level: bytes, path: str, depth: int) -> list[tup
     reps, defs = np.frombuffer(rep, np.uint8), np.frombuffer(level, np.uint8)
     keep = np.flatnonzero((reps <= depth) & (defs > entry_level(path, depth)))
     return list(zip(*(_positions(reps, d)[keep].tolist() for d in range(1, depth + 1))))
-
-

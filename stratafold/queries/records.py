@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratafold.operators import deliveries, schema_drift, shredding
+from stratafold.session import few_splits
 
 POINT_PATH = "elements[].members[].geometry[].lat"
 POSITIONS = ("element_pos", "member_pos", "point_pos")
@@ -16,7 +17,8 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shredding.structure(read(spark, sf_dir, "overpass_responses"), "response_id", "body_json", POINT_PATH, POSITIONS)
+    responses = read(spark, sf_dir, "overpass_responses")
+    return shredding.structure(responses, "response_id", "body_json", POINT_PATH, POSITIONS, few_splits(responses))
 
 
 def p1_elements(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,20 +1,16 @@
-"""Session helpers: shared storage for cut lineage, partition counts and size-checked broadcasts."""
+"""Session helpers: shared storage for cut lineage, partition counts and broadcast objects."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from collections.abc import Callable
 from typing import TypeVar
 
-from pyspark import StorageLevel, cloudpickle
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-#: A side is broadcast only below this estimate of its bytes.
-BROADCAST_LIMIT = 32 << 20
-
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, or a new one where that is unset (local runs)."""
@@ -27,39 +23,61 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def _remove(spark: SparkSession, folder: str) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
+    except Exception:  # The JVM is gone: the folder is left to whoever cleans the shared one.
+        pass
+
+
+def scratch_path(spark: SparkSession) -> str:
+    """A new path in the application's part of the shared folder, which is deleted when the driver ends."""
+    folder = f"{shared_dir(spark)}/stratafold/{spark.sparkContext.applicationId}"
+    if folder not in _SCRATCH:
+        _SCRATCH.add(folder)
+        atexit.register(_remove, spark, folder)
+    return f"{folder}/{uuid.uuid4().hex}"
+
+
+_SCRATCH: set[str] = set()
+
+
 def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
-    """Write ``df`` to the shared folder once and read it back, so later jobs neither recompute nor resample it."""
+    """Write ``df`` to the shared folder once and read it back, so later jobs neither recompute nor resample it.
+
+    The table lives as long as the application; ``release`` ends it earlier.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stratafold/{uuid.uuid4().hex}"
+    path = scratch_path(spark)
     writer = df.write.mode("errorifexists")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def release(df: DataFrame) -> None:
+    """Delete the files of a materialized table that is no longer read."""
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        _remove(df.sparkSession, folder)
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the bytes of ``df``; an upper bound for projections and filters of file scans."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
-    """Hint a broadcast if the estimated size is within ``limit``; otherwise leave the choice to the planner."""
-    return F.broadcast(df) if plan_bytes(df) <= limit else df
 
+def dealt(df: DataFrame, partitions: int | None) -> DataFrame:
+    """``df`` dealt out over that many partitions, or left where it lies if None: for callers that know their input to be a
+    single small file, which Spark cannot split."""
+    return df.repartition(partitions) if partitions else df
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df``, dealt out over all cores if its input has fewer than half as many partitions (small files of one row group).
 
-    Inputs with enough partitions, so all large ones, are left where they are, and so are plans with shuffles, which choose
-    their own partitions (counting those would run them).
-    """
+def few_splits(df: DataFrame) -> int | None:
+    """For ``dealt``: the cores, if a file scan has fewer than half as many splits; None for all others and for shuffled plans."""
     if df._jdf.queryExecution().executedPlan().toString().startswith("AdaptiveSparkPlan"):
-        return df
+        return None
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores / 2 else df
+    return cores if df._jdf.rdd().getNumPartitions() < cores / 2 else None
 
 
 V = TypeVar("V")
@@ -69,7 +87,3 @@ def broadcast_object(spark: SparkSession, value: V) -> Callable[[], V]:
     """Broadcast an object of a bounded size; the result, called on a worker, gives it. Its class travels by value too."""
     shared = spark.sparkContext.broadcast(cloudpickle.dumps(value))
     return lambda: cloudpickle.loads(shared.value)
-
-
-def persisted(df: DataFrame) -> DataFrame:
-    return df.persist(StorageLevel.MEMORY_AND_DISK)

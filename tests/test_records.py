@@ -63,6 +63,57 @@ def test_structure_of_odd_bodies(spark):
     assert shredding.structure(df.limit(0), "response_id", "body_json", POINT_PATH, POSITIONS).count() == 0
 
 
+def deep(depth, inner='{"z": 1}'):
+    return '{"a":' * depth + inner + "}" * depth
+
+
+def test_deep_texts_are_read_like_shallow_ones():
+    from stratafold.functions import jsontext
+
+    odd = ['{"a": [1, 2.5, -3e2, true, false, null, "\\u00e9\\n"], "b": {}, "c": [], "a": 7}', " [ ] ", "3", "-0", '"x"', "[[], [{}]]", '{"k" : {"k":[ {"k":1} , 2]}}']
+    bad = ["", "{", '{"a"}', '{"a":}', "[1,]", "[1 2]", "{,}", "nul", "01", "1.", "[1]]", '{"a":1,}', '"\t"', "NaN", "[Infinity]", "{'a':1}"]
+    for text in odd:
+        assert jsontext._load_deep(text) == json.loads(text)
+        assert jsontext._write(json.loads(text), False) == jsontext.dump(json.loads(text))
+        assert jsontext._write(json.loads(text), True) == jsontext.canonical_text(json.loads(text))
+    for text in bad:
+        for read in (jsontext.load, jsontext._load_deep):
+            try:
+                read(text)
+            except jsontext.NotJson:
+                continue
+            raise AssertionError(text)
+    assert jsontext.load_object('{"n": ' + "9" * 5000 + "}") is not None
+    assert jsontext.dump(jsontext.load(deep(30_000))).replace(" ", "") == deep(30_000).replace(" ", "")
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.recursive(scalar, lambda x: st.one_of(st.lists(x, max_size=3), st.dictionaries(st.text(max_size=2), x, max_size=3)), max_leaves=12))
+def test_explicit_stack_agrees_with_the_library(value):
+    from stratafold.functions import jsontext
+
+    text = json.dumps(value)
+    assert jsontext._load_deep(text) == value and jsontext._write(value, False) == json.dumps(value, ensure_ascii=False)
+
+
+def test_deep_records_give_their_rows(spark):
+    body = '{"x": ' + deep(20_000) + ', "elements": [{"id": ' + deep(50_000) + ', "members": [{"geometry": [{}]}]}]}'
+    df = spark.createDataFrame([(1, body), (2, body[:-1])], "response_id long, body_json string")
+    assert sorted(tuple(r) for r in shredding.structure(df, "response_id", "body_json", POINT_PATH, POSITIONS).collect()) == [(1, 0, -1, -1), (1, 0, 0, -1), (1, 0, 0, 0)]
+    paths = ["elements[].id"]
+    got = shredding.assemble(shredding.shred(df, "response_id", "body_json", paths), "response_id", paths, paths, 1, ["e"], ["id"]).collect()
+    assert len(got) == 1 and got[0].id.replace(" ", "") == deep(50_000).replace(" ", "")
+
+
+@settings(max_examples=60, deadline=None)
+@given(bodies)
+def test_one_walk_gives_the_levels_of_every_leaf(body):
+    if isinstance(body, dict):
+        paths = [shredding.parse_path(p) for p in ("remark", "elements[].id", "elements[].members[].ref", POINT_PATH, "elements[].members[].geometry[].lon", "elements[].members")]
+        together = shredding.shred_record(body, shredding.tree_of(paths), len(paths))
+        assert together == [shredding.levels(body, p) for p in paths]
+
+
 def test_values_follow_their_entries(spark):
     body = json.dumps({"elements": [{"id": 1, "members": [{"ref": "7", "role": None}, None, {"role": "x"}]}, {"id": None}, {"members": []}]})
     df = spark.createDataFrame([(5, body)], "k long, b string")
@@ -110,6 +161,33 @@ def test_deliveries_odd_cases(spark):
     assert [r.delivery_id for r in deliveries.deduplicate(df, "delivery_id", identifier()).collect()] == [1]
 
 
+def test_delivery_store_keeps_filters_between_batches(spark, tmp_path):
+    schema = "delivery_id long, element_type string, id long"
+    batches = [
+        [(1, "way", 5), (2, "way", 6), (3, "node", 5), (3, "way", 7)],
+        [(4, "WAY", 5), (5, "way", 8), (6, "way", 8), (10**15, "way", 9)],
+        [(0, "way", 9), (7, None, 6), (8, "node", 6)],
+    ]
+    kept, surplus = [], []
+    for rows in batches:
+        # Each batch meets the store as a later run would: by its folder alone.
+        store = deliveries.DeliveryStore(spark, f"{tmp_path}/store")
+        new, again = store.add(spark.createDataFrame(rows, schema), "delivery_id", identifier())
+        kept.append(sorted(r.ord for r in new.collect()))
+        surplus.append(sorted(r.ord for r in again.collect()))
+    assert kept == [[1, 2, 3, 3], [5, 10**15], [8]]
+    assert surplus == [[], [4, 6], [0, 7]]
+    assert sum(p.name.startswith("time_bucket=") for p in (tmp_path / "store" / "rows").iterdir()) >= 3
+
+
+def test_verification_reads_named_buckets_where_they_lie(spark):
+    df = spark.createDataFrame([(i, "way", i % 500 + 1) for i in range(1000)], "delivery_id long, element_type string, id long")
+    new, surplus = deliveries.DeliveryStore(spark).add(df, "delivery_id", identifier())
+    assert new.count() == surplus.count() == 500
+    plan = surplus._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "PartitionFilters: [time_bucket" in plan
+
+
 def test_bloom_filter_knows_what_it_holds():
     import numpy as np
 
