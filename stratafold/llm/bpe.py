@@ -7,9 +7,16 @@ the word is in the table. All occurrences of one pair go in one step: a contract
 are what the leftmost rule would contract next anyway. Ordered aggregation returns the ids of a word; a text's ids are those
 of its words in order. Decoding is an ordered aggregation of the tokens' bytes.
 
+Long words (more than ``SHORT`` bytes) would need as many rounds as they use merges. A pair may be contracted out of turn if
+its rank is the least within the reach of a token on both sides: whatever contracts earlier in the exact order and could
+take one of its two tokens makes a token that holds it, so it lies within that reach and starts from a pair of lesser rank
+there. The reach is the length of the longest token made of the word's own bytes. So a round contracts pairs all over the
+word, and the rounds do not grow with its length. Runs of equal pairs are contracted from their first on, as far as all of them
+are least. Words longer than ``PIECE`` tokens are cut into pieces in which pairs near a cut wait; the next pass cuts elsewhere.
+That, and fewer rounds a query for longer pieces, bounds the rows that a query holds by ``HELD_ROWS``.
+
 The merge table (about 50,000 rows, a fixed size) is read on the driver and broadcast; the path is a parameter. Nothing is
-shuffled, so no key can be hot. A recursive query runs at most ``ROUNDS`` rounds before its state is taken up by the next
-one, which bounds the rows it holds for a word of any length.
+shuffled, so no key can be hot.
 
 Defined cases. Empty and null texts give an empty list; blank texts give the tokens of their blanks. Texts that look like
 special tokens are ordinary text. Repeated rows give repeated output, rows without an id keep their null id. Texts of any
@@ -30,13 +37,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratafold.session import broadcast_object, spread
+from stratafold.functions.jsontext import by_bytes
+from stratafold.session import broadcast_object, dealt
 
 TOKENIZERS = "/opt/tokenizers"
 #: Fixed value: the pattern that the published byte-level vocabularies were made with.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Rounds of one recursive query, byte rows of one query, words a worker remembers, texts encoded at once.
-ROUNDS, QUERY_ROWS, REMEMBERED, TEXTS = 48, 400_000, 400_000, 2_000
+#: Bytes of a short word; rows that a query of short words holds in all rounds; words a worker remembers.
+SHORT, QUERY_ROWS, REMEMBERED = 64, 400_000, 400_000
+#: Long words: tokens of a piece, pieces of a query, rows that a query holds in all rounds and rounds at most.
+PIECE, PIECES, HELD_ROWS, ROUNDS = 100_000, 2, 1_600_000, 24
+#: Texts, and bytes of text, encoded at once.
+TEXTS, TEXT_BYTES = 2_000, 4 << 20
 
 
 @dataclass(frozen=True)
@@ -68,7 +80,7 @@ def load_vocabulary(path: str = f"{TOKENIZERS}/byte_bpe_50k.json") -> Vocabulary
     return Vocabulary(np.array([vocab[shown[b]] for b in range(256)], np.int32), np.array([(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs], np.int32), token_bytes)
 
 
-_CONTRACT = f"""
+_CONTRACT = """
 WITH RECURSIVE state(round, word, pos, token) AS (
   SELECT 0, word, pos, token FROM start_rows
   UNION ALL
@@ -89,66 +101,158 @@ WITH RECURSIVE state(round, word, pos, token) AS (
         )
       )
     )
-  ) WHERE NOT swallowed AND round < {ROUNDS}
+  ) WHERE NOT swallowed
+)
+SELECT word, list(token ORDER BY pos) AS ids FROM (
+  SELECT *, max(round) OVER (PARTITION BY word) AS last_round FROM state
+) WHERE round = last_round GROUP BY word
+"""
+
+
+#: The same for long words, in pieces: a pair of least rank within a token's reach on both sides is contracted at once. ``pos``
+#: is a byte offset, ``pieces`` says between which offsets a pair's surroundings are all in the piece.
+_CONTRACT_LONG = """
+WITH RECURSIVE state(round, word, pos, token) AS (
+  SELECT 0, word, pos, token FROM start_rows
+  UNION ALL
+  SELECT round + 1, word, pos, CASE WHEN taken THEN merged ELSE token END
+  FROM (
+    SELECT *, lag(taken, 1, false) OVER (PARTITION BY word ORDER BY pos) AS swallowed, bool_or(taken) OVER (PARTITION BY word) AS moved
+    FROM (
+      SELECT *, rank IS NOT NULL AND nth % 2 = 1 AND sure AS taken
+      FROM (
+        SELECT *, row_number() OVER e AS nth, bool_and(coalesce(rank = best, false) AND pos >= low AND pos <= high) OVER e AS sure
+        FROM (
+          SELECT *, sum(edge) OVER (PARTITION BY word ORDER BY pos ROWS UNBOUNDED PRECEDING) AS equal_run
+          FROM (
+            SELECT r.*, b.low, b.high,
+              (rank IS DISTINCT FROM lag(rank) OVER (PARTITION BY r.word ORDER BY pos))::INT AS edge,
+              min(rank) OVER (PARTITION BY r.word ORDER BY pos RANGE BETWEEN {reach} PRECEDING AND {reach} * 2 FOLLOWING) AS best
+            FROM (
+              SELECT p.*, m.rank, m.merged
+              FROM (SELECT *, lead(token) OVER (PARTITION BY word ORDER BY pos) AS next_token FROM state) p
+              LEFT JOIN merges m ON m.left_token = p.token AND m.right_token = p.next_token
+            ) r JOIN pieces b USING (word)
+          )
+        ) WINDOW e AS (PARTITION BY word, equal_run ORDER BY pos ROWS UNBOUNDED PRECEDING)
+      )
+    )
+  ) WHERE moved AND NOT swallowed AND round < {rounds}
 )
-SELECT word, round, list(token ORDER BY pos) AS ids FROM (
+SELECT word, token FROM (
   SELECT *, max(round) OVER (PARTITION BY word) AS last_round FROM state
-) WHERE round = last_round GROUP BY word, round
+) WHERE round = last_round ORDER BY word, pos
 """
 
 
 class Encoder:
-    """The recursive queries of one worker, with the words it has met."""
+    """The recursive queries of one worker, with the short words it has met."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.split = regex.compile(PATTERN).findall
         self.byte_ids = vocabulary.byte_ids
-        self.known: dict[str, list[int]] = {}
+        self.lengths = np.array([len(b) for b in vocabulary.token_bytes], np.int64)
+        self.held_bytes = _byte_sets(vocabulary.token_bytes)
+        self.known: dict[str, np.ndarray] = {}
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
         left, right, merged = vocabulary.merges.T
-        self.db.register("given", pa.table({"left_token": left, "right_token": right, "merged": merged, "rank": np.arange(len(left), dtype=np.int32)}))
-        self.db.execute("CREATE TABLE merges AS SELECT * FROM given")
+        self._table("merges", {"left_token": left, "right_token": right, "merged": merged, "rank": np.arange(len(left), dtype=np.int32)})
+
+    def _table(self, name: str, columns: dict[str, np.ndarray]) -> None:
+        self.db.register("given", pa.table(columns))
+        self.db.execute(f"CREATE OR REPLACE TEMP TABLE {name} AS SELECT * FROM given")
         self.db.unregister("given")
 
-    def _contract(self, words: list[tuple[str, list[int]]]) -> None:
-        sizes = [len(ids) for _, ids in words]
+    def _contract(self, words: list[str], bytes_of: list[bytes]) -> None:
+        """Encodes short words."""
+        sizes = np.array([len(b) for b in bytes_of])
         owner = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
-        at = np.arange(len(owner), dtype=np.int32) - np.repeat(np.cumsum([0, *sizes[:-1]]), sizes).astype(np.int32)
-        tokens = np.concatenate([np.asarray(ids, np.int32) for _, ids in words])
-        self.db.register("given", pa.table({"word": owner, "pos": at, "token": tokens}))
-        self.db.execute("CREATE OR REPLACE TEMP TABLE start_rows AS SELECT * FROM given")
-        self.db.unregister("given")
-        result = self.db.execute(_CONTRACT)
-        more = []
-        while rows := result.fetchmany(20_000):
-            for word, rounds, ids in rows:
-                if rounds == ROUNDS:
-                    more.append((words[word][0], ids))
-                else:
-                    self.known[words[word][0]] = ids
-        self._chunked(more)
-
-    def _chunked(self, words: list[tuple[str, list[int]]]) -> None:
-        held, rows = [], 0
-        for word, ids in words:
-            # A word's rows of all rounds are held at once, so long words go with fewer others.
-            weight = len(ids) * min(len(ids), ROUNDS) // 8 + 1
+        at = np.arange(len(owner), dtype=np.int32) - np.repeat(np.cumsum(sizes) - sizes, sizes).astype(np.int32)
+        self._table("start_rows", {"word": owner, "pos": at, "token": self.byte_ids[np.frombuffer(b"".join(bytes_of), np.uint8)]})
+        found = self.db.sql(_CONTRACT).to_arrow_table()
+        offsets, flat = found.column("ids").combine_chunks().offsets.to_numpy(), found.column("ids").combine_chunks().values.to_numpy()
+        for word, lo, hi in zip(found.column("word").to_pylist(), offsets.tolist(), offsets[1:].tolist()):
+            self.known[words[word]] = flat[lo:hi]
+
+    def _short(self, words: set[str]) -> None:
+        held: list[str] = []
+        spelled: list[bytes] = []
+        rows = 0
+        for word in sorted(words, key=len):
+            raw = word.encode("utf-8")
+            # A word's rows of all rounds are held at once.
+            weight = len(raw) * len(raw) // 8 + 1
             if held and rows + weight > QUERY_ROWS:
-                self._contract(held)
-                held, rows = [], 0
-            held.append((word, ids))
+                self._contract(held, spelled)
+                held, spelled, rows = [], [], 0
+            held.append(word)
+            spelled.append(raw)
             rows += weight
         if held:
-            self._contract(held)
-
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
+            self._contract(held, spelled)
+
+    def _reach(self, raw: np.ndarray) -> int:
+        """Bytes of the longest token that could occur in the word: no contraction can be felt further away."""
+        own = np.zeros(256, np.bool_)
+        own[raw] = True
+        return int(self.lengths[(self.held_bytes & ~np.packbits(own)).max(axis=1) == 0].max(initial=1))
+
+    def _long(self, word: str) -> np.ndarray:
+        """Encodes a word of any length, in pieces whose cuts move from pass to pass."""
+        raw = np.frombuffer(word.encode("utf-8"), np.uint8)
+        reach = self._reach(raw)
+        tokens = self.byte_ids[raw]
+        shift = idle = 0
+        piece = max(PIECE, 16 * reach)
+        while True:
+            cuts = np.array([0, *range(shift or piece, len(tokens), piece), len(tokens)])
+            before, parts = len(tokens), []
+            for first in range(0, len(cuts) - 1, PIECES):
+                group = cuts[first : first + PIECES + 1]
+                parts.append(self._contract_pieces(tokens[group[0] : group[-1]], np.diff(group), reach, group[0] == 0, group[-1] == before))
+            tokens = np.concatenate(parts)
+            idle = idle + 1 if len(tokens) == before else 0
+            # A single piece has no cuts; otherwise two idle passes have covered each other's.
+            if idle and (len(cuts) == 2 or idle == 2):
+                return tokens
+            shift = 0 if shift else piece // 2
+
+    def _contract_pieces(self, tokens: np.ndarray, sizes: np.ndarray, reach: int, begins: bool, ends: bool) -> np.ndarray:
+        piece = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        length = self.lengths[tokens]
+        start = np.cumsum(length) - length
+        firsts = np.cumsum(sizes) - sizes
+        whole = np.add.reduceat(length, firsts)
+        low, high = np.full(len(sizes), reach), whole - 3 * reach
+        if begins:
+            low[0] = 0
+        if ends:
+            high[-1] = whole[-1]
+        self._table("start_rows", {"word": piece, "pos": (start - np.repeat(start[firsts], sizes)).astype(np.int32), "token": tokens})
+        self._table("pieces", {"word": np.arange(len(sizes), dtype=np.int32), "low": low.astype(np.int32), "high": high.astype(np.int32)})
+        rounds = max(1, min(ROUNDS, HELD_ROWS // len(tokens)))
+        found = self.db.sql(_CONTRACT_LONG.format(reach=reach, rounds=rounds)).to_arrow_table()
+        return found.column("token").to_numpy()
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         cut = [self.split(t) if t else [] for t in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
         fresh = {w for words in cut for w in words} - self.known.keys()
-        self._chunked([(w, self.byte_ids[np.frombuffer(w.encode("utf-8"), np.uint8)].tolist()) for w in sorted(fresh, key=len)])
-        known = self.known
-        return [[i for w in words for i in known[w]] for words in cut]
+        long = {w for w in fresh if len(w) * 4 > SHORT and len(w.encode("utf-8")) > SHORT}
+        self._short(fresh - long)
+        own = {w: self._long(w) for w in long}
+        known = self.known | own if own else self.known
+        none = np.zeros(0, np.int32)
+        return [np.concatenate([known[w] for w in words]) if words else none for words in cut]
+
+
+def _byte_sets(tokens: list[bytes]) -> np.ndarray:
+    """For each token the set of its bytes, as 256 packed bits."""
+    sets = np.zeros((len(tokens), 256), np.bool_)
+    rows = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
+    sets[rows, np.frombuffer(b"".join(tokens), np.uint8)] = True
+    return np.packbits(sets, axis=1)
 
 
 def _worker(slot: str, make):
@@ -162,21 +266,24 @@ def _worker(slot: str, make):
     return store[slot]
 
 
-def encode(df: DataFrame, key: str, text: str, vocabulary: Vocabulary) -> DataFrame:
-    """``key`` and ``ids`` (array<int>) of every text, without special tokens."""
+def encode(df: DataFrame, key: str, text: str, vocabulary: Vocabulary, partitions: int | None = None) -> DataFrame:
+    """``key`` and ``ids`` (array<int>) of every text, without special tokens; ``partitions`` deals the texts out first."""
     shared = broadcast_object(df.sparkSession, vocabulary)
     slot = f"bpe-{len(vocabulary.merges)}-{vocabulary.merges[:: max(1, len(vocabulary.merges) // 64)].tobytes().hex()}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _worker(slot, lambda: Encoder(shared()))
         for batch in batches:
-            for lo in range(0, batch.num_rows, TEXTS):
-                part = batch.slice(lo, TEXTS)
-                ids = encoder.encode(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], names=[key, "ids"])
+            for most in by_bytes(batch, 1, TEXT_BYTES):
+                for lo in range(0, most.num_rows, TEXTS):
+                    part = most.slice(lo, TEXTS)
+                    ids = encoder.encode(part.column(1).to_pylist())
+                    offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids).astype(np.int32)))
+                    yield pa.RecordBatch.from_arrays([part.column(0), lists], names=[key, "ids"])
 
     schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return spread(df.select(F.col(key), F.col(text))).mapInArrow(run, schema)
+    return dealt(df.select(F.col(key), F.col(text)), partitions).mapInArrow(run, schema)
 
 
 _DECODE = """

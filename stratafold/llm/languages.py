@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratafold.session import broadcast_object, spread
+from stratafold.session import broadcast_object, dealt
 
 LEAST_LETTERS = 20
 SAMPLE_ROWS, LABELLED_ROWS, LABELLED_CHARS, FEATURES = 5_000, 2_500, 20_000, 250_000
@@ -276,11 +276,11 @@ def train(samples: DataFrame, documents: DataFrame, key: str, text: str, lang: s
     return fit(known + confirmed)
 
 
-def segments(documents: DataFrame, key: str, text: str, lang: str, model: Model) -> DataFrame:
+def segments(documents: DataFrame, key: str, text: str, lang: str, model: Model, partitions: int | None = None) -> DataFrame:
     """``doc_id, segment, lang, confidence, label, mixed``: each document (segment -1) and each of its paragraphs with its
     language; ``label`` is what the document's label names, ``mixed`` whether its paragraphs are in several languages."""
     shared = broadcast_object(documents.sparkSession, model)
-    return spread(documents.select(F.col(key).cast("long"), F.col(text), F.col(lang))).mapInArrow(lambda batches: _label(batches, shared()), _OUT)
+    return dealt(documents.select(F.col(key).cast("long"), F.col(text), F.col(lang)), partitions).mapInArrow(lambda batches: _label(batches, shared()), _OUT)
 
 
 def relabelled(found: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratafold.session import broadcast_object, spread
+from stratafold.session import broadcast_object, dealt
 
 SPAN = 12
 #: Positions looked at (1) and ignored (0). Any one substitution is ignored by some mask at some place of a longer overlap.
@@ -170,7 +170,7 @@ def _join(batches: Iterator[pa.RecordBatch], index: SeedIndex) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=[c.split()[0] for c in _OUT.split(", ")])
 
 
-def leaks(documents: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str) -> DataFrame:
+def leaks(documents: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, partitions: int | None = None) -> DataFrame:
     """One row per document and test item that overlap: ``doc_id, item_id``, the longest run of equal words
     (``exact_words``), and the best overlap that tolerates substitutions (``doc_pos, item_pos, overlap_words,
     substitutions``); pairs with neither a run of ``SPAN`` words nor a near overlap are left out."""
@@ -178,7 +178,7 @@ def leaks(documents: DataFrame, key: str, text: str, items: DataFrame, item_key:
     tests = items.select(F.col(item_key).cast("long").alias("item"), F.col(item_text).alias("text")).dropna()
     chars = tests.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = -(-chars // BLOCK_CHARS) or 1
-    source = spread(documents.select(F.col(key).cast("long"), F.col(text)))
+    source = dealt(documents.select(F.col(key).cast("long"), F.col(text)), partitions)
     out = None
     for block in range(blocks):
         part = tests if blocks == 1 else tests.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratafold.llm import bpe, copies, languages, leakage, term_counts
+from stratafold.session import few_splits
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -29,7 +30,8 @@ def p5_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode(read(spark, sf_dir, "documents"), "doc_id", "text", bpe.load_vocabulary())
+    documents = read(spark, sf_dir, "documents")
+    return bpe.encode(documents, "doc_id", "text", bpe.load_vocabulary(), few_splits(documents))
 
 
 def p6_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 Each input block counts its own terms in arrays over block-local codes (occurrences, and records that hold the term), so a
 term that holds a third of all occurrences leaves a block as one row. The distinct terms are range-partitioned and numbered
 densely in sorted order: that is the global dictionary. Block rows are encoded by it, go to the task of their identifier
-range, and are added into that range's dense count arrays as they stream in.
+range, and are added into its dense count arrays as they stream in, one range after the other, so a task holds one range's.
 
 Defined cases. A map's key and each item of its value, split at semicolons and trimmed of spaces, make a term; case counts.
 Null maps, null values and empty items give no term; repeats within a record count as occurrences each, and once for the
@@ -90,19 +90,29 @@ def dictionary(terms: DataFrame) -> DataFrame:
 
 
 def _sum_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds encoded block rows (range, offset, occurrences, records) into dense arrays, one pair a range."""
-    arrays: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for batch in batches:
-        ranges, offsets, occurrences, records = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-        for r in np.unique(ranges).tolist():
-            if r not in arrays:
-                arrays[r] = np.zeros(RANGE_SIZE, np.int64), np.zeros(RANGE_SIZE, np.int64)
-            here = ranges == r
-            np.add.at(arrays[r][0], offsets[here], occurrences[here])
-            np.add.at(arrays[r][1], offsets[here], records[here])
-    for r, (occurrences, records) in arrays.items():
+    """Adds encoded block rows (range, offset, occurrences, records), sorted by range, into one pair of dense arrays, which is given
+    out when the next range begins."""
+    current = None
+    occurrences = records = np.zeros(0, np.int64)
+
+    def emit() -> pa.RecordBatch:
         at = np.flatnonzero(records)
-        yield pa.RecordBatch.from_arrays([pa.array(r * RANGE_SIZE + at), pa.array(occurrences[at]), pa.array(records[at])], names=["term_id", "occurrences", "records"])
+        return pa.RecordBatch.from_arrays([pa.array(current * RANGE_SIZE + at), pa.array(occurrences[at]), pa.array(records[at])], names=["term_id", "occurrences", "records"])
+
+    for batch in batches:
+        ranges, offsets, more_occurrences, more_records = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        cuts = [0, *(np.flatnonzero(np.diff(ranges)) + 1).tolist(), len(ranges)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if lo == hi:
+                continue
+            if ranges[lo] != current:
+                if current is not None:
+                    yield emit()
+                current, occurrences, records = int(ranges[lo]), np.zeros(RANGE_SIZE, np.int64), np.zeros(RANGE_SIZE, np.int64)
+            np.add.at(occurrences, offsets[lo:hi], more_occurrences[lo:hi])
+            np.add.at(records, offsets[lo:hi], more_records[lo:hi])
+    if current is not None:
+        yield emit()
 
 
 def count_terms(df: DataFrame, tags: str) -> DataFrame:
@@ -110,7 +120,7 @@ def count_terms(df: DataFrame, tags: str) -> DataFrame:
     blocks = materialize(df.select(tags).mapInArrow(_block_counts, "key string, item string, occurrences long, records long"))
     words = materialize(dictionary(blocks.select("key", "item")))
     encoded = blocks.join(words, ["key", "item"]).selectExpr(f"CAST(term_id DIV {RANGE_SIZE}L AS INT) AS id_range", f"CAST(term_id % {RANGE_SIZE}L AS INT) AS offset", "occurrences", "records")
-    summed = encoded.repartition("id_range").mapInArrow(_sum_ranges, "term_id long, occurrences long, records long")
+    summed = encoded.repartition("id_range").sortWithinPartitions("id_range").mapInArrow(_sum_ranges, "term_id long, occurrences long, records long")
     return summed.join(words, "term_id").select("term_id", "key", "item", "occurrences", "records")
 
 
