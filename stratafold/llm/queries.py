@@ -50,22 +50,27 @@ def p7_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks(spark, sf_dir)
 
 
-def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _model(spark: SparkSession, sf_dir: str) -> languages.Model:
+    return languages.train(read(spark, sf_dir, "lang_samples"), read(spark, sf_dir, "documents"), "doc_id", "text", "lang")
+
+
+def p8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents")
-    return languages.segments(documents, "doc_id", "text", "lang", languages.train(read(spark, sf_dir, "lang_samples"), documents, "doc_id", "text", "lang"))
+    return languages.segments(documents, "doc_id", "text", "lang", _model(spark, sf_dir), few_splits(documents))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return languages.relabelled(_segments(spark, sf_dir))
+    return languages.relabelled(p8_segments(spark, sf_dir))
 
 
-def p8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _segments(spark, sf_dir)
+def p8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents")
+    return languages.spans(documents, "doc_id", "text", _model(spark, sf_dir), few_splits(documents))
 
 
 QUERIES = {
     "p2_found": p2_found, "p2_collapsed": p2_collapsed, "p5_found": p5_found, "p5_terms": p5_terms, "p6_ids": p6_ids,
-    "p6_decoded": p6_decoded, "p7_found": p7_found, "p7_overlaps": p7_overlaps, "p8_found": p8_found, "p8_segments": p8_segments,
+    "p6_decoded": p6_decoded, "p7_found": p7_found, "p7_overlaps": p7_overlaps, "p8_found": p8_found, "p8_segments": p8_segments, "p8_spans": p8_spans,
 }
 
 _FORMS = r"""

@@ -226,11 +226,50 @@ def samples(spark):
 
 def test_held_out_accuracy(samples):
     model = languages.fit(samples[:200])
-    found, _ = languages.Labeller(model).spans([t for _, t in samples[200:]])
+    found = languages.Labeller(model).label([t for _, t in samples[200:]]).letters
     right = [model.languages[int(f.argmax())] == lang for f, (lang, _) in zip(found, samples[200:])]
     assert np.mean(right) >= 0.97
 
 
+def test_confidence_is_calibrated_on_held_out_texts(samples):
+    # Pieces of two to sixteen words, which are often wrong; neither the model nor its curve has seen their texts.
+    model = languages.calibrate(languages.fit(samples[:200]), samples[:200])
+    pieces = [(lang, " ".join(t.split()[:n])) for lang, t in samples[200:] for n in (1, 2, 4, 8, 16)]
+    done = languages.Labeller(model).label([t for _, t in pieces])
+    sure = model.confidence(done.margin, done.letters.sum(axis=1))
+    right = np.array([model.languages[int(f.argmax())] == lang for f, (lang, _) in zip(done.letters, pieces)])
+    edges = np.digitize(sure, [0.5, 0.8, 0.95])
+    gap = sum(abs(sure[edges == e].mean() - right[edges == e].mean()) * (edges == e).mean() for e in np.unique(edges))
+    assert gap < 0.06 and sure[right].mean() > sure[~right].mean() + 0.2
+
+
+def test_scripts_of_letters():
+    letters = {"a": "Latin", "é": "Latin", "ж": "Cyrillic", "λ": "Greek", "ע": "Hebrew", "ع": "Arabic", "ह": "Devanagari", "水": "Han", "ひ": "Hiragana", "カ": "Katakana", "한": "Hangul", "ก": "Thai", "ა": "Georgian", "𐌀": "Old_Italic", "Ａ": "Latin", "µ": "Greek", "አ": "Ethiopic"}
+    assert {c: languages.script_of_letter(c) for c in letters} == letters
+    assert languages.words_of("हिंदी घर, 水曜日 ไทย don't éa") == ["हिंदी", "घर", "水", "曜", "日", "ไ", "ท", "ย", "don", "t", "éa"]
+    assert languages.script_of("naïve") == "Latin" and languages.script_of("жa") == "Cyrillic"
+
+
+def test_letters_of_foreign_scripts_do_not_count(samples):
+    labeller = languages.Labeller(languages.fit(samples))
+    done = labeller.label(["Ελληνικά κείμενα χωρίς γλώσσα του μοντέλου", "水曜日 " * 20, "Все дороги ведут к горам"])
+    assert done.letters.sum(axis=1).tolist() == [0, 0, 20] and labeller.model.languages[int(done.letters[2].argmax())] == "ru"
+
+
+def test_spans_of_mixed_text(spark, samples):
+    model = languages.calibrate(languages.fit(samples), samples)
+    long = {lang: max((t.replace("\n", " ") for k, t in samples if k == lang), key=len) for lang in ("en", "de")}
+    count = {lang: len(languages.words_of(t)) for lang, t in long.items()}
+    rows = [(1, f"{long['en']} {long['de']}\n\n{long['de']}"), (2, None), (3, ""), (4, "ελ"), (5, long["de"])]
+    found = languages.spans(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, span int"), "doc_id", "text", model).collect()
+    got = sorted((r.doc_id, r.segment, r.span, r.lang, r.first_word, r.words) for r in found)
+    assert [(*g[:4],) for g in got] == [(1, 0, 0, "en"), (1, 0, 1, "de"), (1, 1, 0, "de"), (5, 0, 0, "de")]
+    # The cut lies within a few words of the seam, and every word is in one span.
+    assert abs(got[0][5] - count["en"]) <= 3 and got[1][4] == got[0][5] and got[2][4] == count["en"] + count["de"]
+    assert got[0][5] + got[1][5] == count["en"] + count["de"] and got[3][5] == count["de"]
+    assert all(0.5 < r.confidence <= 1 for r in found)
+
+
 def test_viterbi_against_brute_force():
     rng = np.random.default_rng(7)
     sizes = np.array([3, 0, 1, 5, 4])
@@ -248,7 +287,9 @@ def test_viterbi_against_brute_force():
 
 
 def test_segments_of_odd_documents(spark, samples):
-    model = languages.fit(samples)
+    # How log lines and markup look is learned from labelled documents.
+    read = lambda table: spark.read.parquet(f"/root/testdata/sf0.01/{table}.parquet")
+    model = languages.train(read("lang_samples"), read("documents"), "doc_id", "text", "lang")
     text = {lang: next(t for k, t in samples if k == lang and len(t) > 80) for lang in ("en", "de", "fr", "ru")}
     rows = [
         (1, None, "en"), (2, "", None), (3, " \n\t\n", "de"), (4, "12 !! 34", "de"), (5, "kurz", "en"),
