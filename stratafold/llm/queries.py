@@ -39,7 +39,8 @@ def p6_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leakage.leaks(read(spark, sf_dir, "documents"), "doc_id", "text", read(spark, sf_dir, "eval_items"), "item_id", "text")
+    documents = read(spark, sf_dir, "documents")
+    return leakage.leaks(documents, "doc_id", "text", read(spark, sf_dir, "eval_items"), "item_id", "text", few_splits(documents))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -179,8 +179,12 @@ def brute_leaks(documents, items, span=12):
     return out
 
 
-def test_leaks_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(leakage, "BLOCK_CHARS", 2500)
+@pytest.mark.parametrize("block", [leakage.BLOCK_CHARS, 2500])
+def test_leaks_against_brute_force(spark, monkeypatch, block):
+    # The smaller block has the items joined by their seeds; the small parts cut hits and texts up.
+    monkeypatch.setattr(leakage, "BLOCK_CHARS", block)
+    monkeypatch.setattr(leakage, "HITS", 50)
+    monkeypatch.setattr(leakage, "TEXTS", 40)
     rnd = random.Random(8)
     words = [f"w{i}é" for i in range(60)]
     items = [(j, " ".join(rnd.choices(words, k=rnd.choice([5, 11, 12, 13, 40])))) for j in range(40)]
@@ -211,6 +215,38 @@ def test_substitutions_are_tolerated(spark):
     assert [(r.doc_id, r.item_id, r.exact_words, r.doc_pos, r.item_pos, r.overlap_words, r.substitutions) for r in rows] == [(1, 5, 8, 2, 0, 30, 3)]
 
 
+def test_both_ways_give_the_same_overlaps(spark, monkeypatch):
+    read = lambda table: spark.read.parquet(f"{parity.DATA}/{table}.parquet")
+    found = [sorted(tuple(r) for r in queries.p7_overlaps(spark, parity.DATA).collect())]
+    monkeypatch.setattr(leakage, "BLOCK_CHARS", 1000)
+    found.append(sorted(tuple(r) for r in leakage.leaks(read("documents"), "doc_id", "text", read("eval_items"), "item_id", "text").collect()))
+    assert found[0] and found[0] == found[1]
+
+
+def test_recall_of_substituted_overlaps():
+    # Passages of 30 words of an item, of which one to five are others, within other words.
+    rnd = random.Random(12)
+    items = [(j, " ".join(f"w{rnd.randrange(2000)}" for _ in range(60))) for j in range(50)]
+    index = leakage.SeedIndex(items)
+    import pyarrow as pa
+
+    for substituted in range(1, 6):
+        texts, truth = [], []
+        for i in range(200):
+            j, at = rnd.randrange(50), rnd.randrange(31)
+            passage = items[j][1].split()[at : at + 30]
+            for k in rnd.sample(range(30), substituted):
+                passage[k] = f"x{rnd.randrange(2000)}"
+            around = [f"y{rnd.randrange(2000)}" for _ in range(40)]
+            texts.append(" ".join(around[:20] + passage + around[20:]))
+            truth.append((i, j))
+        batch = pa.RecordBatch.from_arrays([pa.array(range(200), pa.int64()), pa.array(texts)], names=["k", "t"])
+        found = {(d, i) for out in leakage._join(iter([batch]), index) for d, i in zip(out.column(0).to_pylist(), out.column(1).to_pylist())}
+        recall = len(found & set(truth)) / len(truth)
+        assert recall >= (0.99 if substituted <= 4 else 0.9), (substituted, recall)
+        assert found <= set(truth)
+
+
 def test_every_mask_catches_an_exact_run():
     ids = np.arange(12, dtype=np.int64)
     assert all(len(m) == leakage.SPAN and m[0] == m[-1] == "1" and len(leakage.seed_hashes(ids, m)[0]) == 1 for m in leakage.MASKS)
