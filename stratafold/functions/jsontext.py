@@ -129,7 +129,8 @@ class _Sign(str):
     """A piece of text that is written as it is."""
 
 
-def _write(value: object, same: bool) -> str:
+def _write(value: object, same: bool, compact: bool = False) -> str:
+    comma, colon = (",", ":") if compact else (", ", ": ")
     out: list[str] = []
     todo: list[object] = [value]
     while todo:
@@ -142,7 +143,7 @@ def _write(value: object, same: bool) -> str:
                 entries = sorted(((k, x) for k, x in node.items() if x is not None), key=lambda e: e[0])
             parts: list[object] = [_Sign("{" if isinstance(node, dict) else "[")]
             for i, (key, x) in enumerate(entries):
-                parts.append(_Sign((", " if i else "") + (json.dumps(key, ensure_ascii=same) + ": " if key is not None else "")))
+                parts.append(_Sign((comma if i else "") + (json.dumps(key, ensure_ascii=same) + colon if key is not None else "")))
                 parts.append(x)
             parts.append(_Sign("}" if isinstance(node, dict) else "]"))
             todo.extend(reversed(parts))
@@ -151,11 +152,11 @@ def _write(value: object, same: bool) -> str:
     return "".join(out)
 
 
-def dump(value: object) -> str:
+def dump(value: object, compact: bool = False) -> str:
     try:
-        return json.dumps(value, ensure_ascii=False)
+        return json.dumps(value, ensure_ascii=False, separators=(",", ":") if compact else None)
     except RecursionError:
-        return _write(value, False)
+        return _write(value, False, compact)
 
 
 def _plain(value: object) -> object:

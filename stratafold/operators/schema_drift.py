@@ -10,46 +10,89 @@ projection for each file, so all files read as one table.
 
 The proof is a signature per field over the ids in both files: the exclusive or of two independent 64-bit hashes of (id,
 value) and the number of values. It is combined before the shuffle, needs no pairs of fields and no document twice at one
-place. Only schemas and signatures, whose size is that of the schemas, come to the driver.
+place. Only schemas and signatures come to the driver; a schema of more than ``MOST_FIELDS`` fields or ``MOST_CHARS`` characters
+of names (as where keys are data) is an error there, not a cut.
 
 Defined cases. Texts that are null or no JSON object are left aside, also as holders of an id; rows whose table, file number
-or (for the proof) id is null take no part in it. Whole rows that repeat count once. Objects are equal without regard to key order and
-null members, numbers by value (1 equals 1.0), lists entry by entry. Of repeated keys the last holds. A file whose documents
-are all left aside has no fields. An empty table has no changes. Ties between equal signatures go to the pair of least tree
-cost, then to the more alike name, then to the alphabet.
+or (for the proof) id is null take no part in it. Documents of any depth are read. Whole rows that repeat count once. Objects
+are equal without regard to key order and null members, numbers by value (1 equals 1.0), lists entry by entry. Of repeated
+keys the last holds. In names, a backslash goes before each dot, bracket and backslash that is part of a key, and ``\\e`` stands
+for the empty key. A file whose documents are all left aside has no fields. An empty table has no changes. Ties between equal
+signatures go to the pair of least tree cost, then to the more alike name, then to the alphabet.
 """
 
 from __future__ import annotations
 
 import difflib
 import hashlib
-import json
+import re
+import sys
 from collections import defaultdict
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from stratafold.functions.jsontext import canonical_text, clean, dump, load_object
+from stratafold.functions.jsontext import by_bytes, canonical_text, clean, dump, load_object
+from stratafold.session import materialize
 
 TYPE_BITS = {str: 1, int: 2, float: 2, bool: 4, dict: 8, list: 16, type(None): 0}
-#: Entries a task holds before it passes its counts on.
-FLUSH_ROWS = 50_000
+#: Entries and characters that a task holds before it passes its counts on; bytes of text it holds at once.
+FLUSH_ROWS, FLUSH_CHARS, TEXT_BYTES = 50_000, 8 << 20, 4 << 20
+#: Largest schemas, of all files together, that come to the driver.
+MOST_FIELDS, MOST_CHARS = 200_000, 64 << 20
 
+_ODD = re.compile(r"[\\.\[\]]")
 
-def walk(value: object, path: str, out: dict[str, int]) -> None:
-    """Adds the type bits of every field below ``value``."""
-    if isinstance(value, dict):
-        for key, child in value.items():
-            at = f"{path}.{key}" if path else key
-            out[at] = out.get(at, 0) | TYPE_BITS[type(child)]
-            walk(child, at, out)
-    elif isinstance(value, list):
-        for child in value:
-            walk(child, path + "[]", out)
+
+def escape(key: str) -> str:
+    """A key as a part of a field's name."""
+    return _ODD.sub(r"\\\g<0>", key) if _ODD.search(key) else key or "\\e"
+
+
+def parts_of(path: str) -> list[str]:
+    """The escaped keys of a name, each with the brackets of the lists below it."""
+    return re.findall(r"(?:\\.|[^.\\])+", path, re.DOTALL) if "\\" in path else path.split(".")
+
+
+def steps_of(path: str) -> list[tuple[str, int]]:
+    """Keys from the top, each with the number of list levels below it."""
+    steps = []
+    for part in parts_of(path):
+        name = part
+        while name.endswith("[]"):
+            name = name[:-2]
+        lists = (len(part) - len(name)) // 2
+        steps.append((re.sub(r"\\(.)", lambda m: "" if m[1] == "e" else m[1], name, flags=re.DOTALL) if "\\" in name else name, lists))
+    return steps
+
+
+def parent_of(path: str) -> str:
+    head = ".".join(parts_of(path)[:-1])
+    while head.endswith("[]"):
+        head = head[:-2]
+    return head
+
+
+def walk(record: dict) -> Iterator[tuple[str, int]]:
+    """Name and type bits of every field of a record of any depth, once for each occurrence."""
+    todo: list[tuple[dict | list, str]] = [(record, "")]
+    while todo:
+        node, path = todo.pop()
+        if isinstance(node, dict):
+            for key, child in node.items():
+                at = f"{path}.{escape(key)}" if path else escape(key)
+                yield at, TYPE_BITS[type(child)]
+                if isinstance(child, (dict, list)):
+                    todo.append((child, at))
+        else:
+            at = path + "[]"
+            todo += [(child, at) for child in node if isinstance(child, (dict, list))]
 
 
 def inventory(df: DataFrame, table: str, file_no: str, body: str) -> DataFrame:
@@ -57,21 +100,28 @@ def inventory(df: DataFrame, table: str, file_no: str, body: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[tuple[str, int], dict[str, int]] = defaultdict(dict)
+        held = chars = 0
 
         def rows() -> pa.RecordBatch:
             flat = [(t, n, clean(f), m) for (t, n), fields in found.items() for f, m in fields.items()]
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in flat], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.string(), pa.int32()))], names=["table_name", "file_no", "field", "types"])
 
         for batch in batches:
-            for t, n, text in zip(*(c.to_pylist() for c in batch.columns)):
-                fields = found[t, n]
-                fields.setdefault("", 0)
-                record = load_object(text)
-                if record is not None:
-                    walk(record, "", fields)
-            if sum(map(len, found.values())) > FLUSH_ROWS:
-                yield rows()
-                found.clear()
+            for part in by_bytes(batch, 2, TEXT_BYTES):
+                for t, n, text in zip(*(c.to_pylist() for c in part.columns)):
+                    fields = found[t, n]
+                    fields.setdefault("", 0)
+                    record = load_object(text)
+                    for at, bits in walk(record) if record is not None else ():
+                        old = fields.get(at)
+                        fields[at] = bits | (old or 0)
+                        if old is None:
+                            held, chars = held + 1, chars + len(at)
+                            if held > FLUSH_ROWS or chars > FLUSH_CHARS:
+                                yield rows()
+                                found.clear()
+                                held = chars = 0
+                                fields = found[t, n]
         if found:
             yield rows()
 
@@ -79,46 +129,33 @@ def inventory(df: DataFrame, table: str, file_no: str, body: str) -> DataFrame:
     return source.mapInArrow(run, "table_name string, file_no long, field string, types int").groupBy("table_name", "file_no", "field").agg(F.bit_or("types").alias("types"))
 
 
-def steps_of(path: str) -> list[tuple[str, int]]:
-    """Keys from the top, each with the number of list levels below it."""
-    steps = []
-    for part in path.split("."):
-        name = part
-        while name.endswith("[]"):
-            name = name[:-2]
-        steps.append((name, (len(part) - len(name)) // 2))
-    return steps
-
-
-def canonical(value: object) -> object:
-    if isinstance(value, dict):
-        return {k: canonical(v) for k, v in value.items() if v is not None}
-    if isinstance(value, list):
-        return [canonical(v) for v in value]
-    if isinstance(value, float) and value.is_integer():
-        return int(value)
-    return value
-
+def field_value(record: object, steps: Sequence[tuple[str, int]], leaf: Callable[[object], object]) -> object:
+    """``leaf`` of the value of a field, None where it is absent or null; below lists a list with that of every entry at its place,
+    None where there is no list."""
+    node = record
+    for k, (name, lists) in enumerate(steps):
+        node = node.get(name) if isinstance(node, dict) else None
+        if node is None:
+            return None
+        if lists:
+            rest = steps[k + 1 :]
+            return spread_value(node, lists, lambda entry: field_value(entry, rest, leaf))
+    return leaf(node)
 
-def field_value(record: object, steps: Sequence[tuple[str, int]]) -> object:
-    """The value of a field; below lists a list of the values entry by entry, None if they are all null."""
 
-    def down(node: object, k: int) -> object:
-        if k == len(steps):
-            return canonical(node)
-        name, lists = steps[k]
-        child = node.get(name) if isinstance(node, dict) else None
-        return spread(child, lists, k + 1)
+def spread_value(node: object, lists: int, leaf: Callable[[object], object]) -> list | None:
+    """``leaf`` of every entry of a list that is nested ``lists`` deep."""
+    if not isinstance(node, list):
+        return None
+    return [leaf(x) if lists == 1 else spread_value(x, lists - 1, leaf) for x in node]
 
-    def spread(node: object, lists: int, k: int) -> object:
-        if not lists:
-            return down(node, k)
-        if not isinstance(node, list):
-            return None
-        values = [spread(x, lists - 1, k) for x in node]
-        return values if any(v is not None for v in values) else None
 
-    return down(record, 0)
+def held_value(value: object, lists: int) -> object:
+    """A field's value with None for each list, of those on its path, of which all entries are None."""
+    if not lists or value is None:
+        return value
+    values = [held_value(x, lists - 1) for x in value]
+    return values if any(x is not None for x in values) else None
 
 
 def signatures(df: DataFrame, table: str, file_no: str, key: str, body: str, wanted: Mapping[tuple[str, int], Sequence[tuple[int, int, Sequence[str]]]]) -> DataFrame:
@@ -131,7 +168,7 @@ def signatures(df: DataFrame, table: str, file_no: str, key: str, body: str, wan
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for t, n, i, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for t, n, i, text in (row for part in by_bytes(batch, 3, TEXT_BYTES) for row in zip(*(c.to_pylist() for c in part.columns))):
                 parts = plan.get((t, n))
                 record = load_object(text) if parts else None
                 if record is None:
@@ -139,16 +176,15 @@ def signatures(df: DataFrame, table: str, file_no: str, key: str, body: str, wan
                 for pair, side, fields in parts:
                     out.append((t, pair, i, side, "", 0, 0))
                     for field, steps in fields:
-                        value = field_value(record, steps)
+                        value = held_value(field_value(record, steps, lambda node: node), sum(lists for _, lists in steps))
                         if value is not None:
-                            digest = hashlib.blake2b(json.dumps([i, value], sort_keys=True).encode(), digest_size=16).digest()
+                            digest = hashlib.blake2b(canonical_text([i, value]).encode(), digest_size=16).digest()
                             out.append((t, pair, i, side, field, int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)))
             kinds = (pa.string(), pa.int64(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=["table_name", "pair_no", "id", "side", "field", "h1", "h2"])
 
     source = df.select(F.col(table).cast("string").alias("table_name"), F.col(file_no).cast("long").alias("file_no"), F.col(key).cast("string").alias("id"), F.col(body))
-    files = F.concat_ws("\x1f", "table_name", "file_no").isin(*(f"{t}\x1f{n}" for t, n in wanted))
-    values = source.where(files & F.col("id").isNotNull()).mapInArrow(run, "table_name string, pair_no long, id string, side int, field string, h1 long, h2 long")
+    values = source.where("id IS NOT NULL").mapInArrow(run, "table_name string, pair_no long, id string, side int, field string, h1 long, h2 long")
     shared = (
         values.groupBy("table_name", "pair_no", "id")
         .agg(F.bit_or("side").alias("sides"), F.collect_set(F.when(F.col("field") != "", F.struct("side", "field", "h1", "h2"))).alias("found"))
@@ -190,13 +226,6 @@ def assignment(cost: np.ndarray) -> list[int]:
     return out
 
 
-def parent_of(path: str) -> str:
-    head = path.rpartition(".")[0]
-    while head.endswith("[]"):
-        head = head[:-2]
-    return head
-
-
 @dataclass(frozen=True)
 class Edit:
     """One step of a script: ``added``, ``removed``, ``type_changed``, ``renamed`` (same parent) or ``moved``."""
@@ -221,8 +250,10 @@ def edit_script(old: Mapping[str, int], new: Mapping[str, int], proven: set[tupl
     mapped: dict[str, str] = {}
     memo: dict[tuple[str, str], tuple[float, list[tuple[str, str]]]] = {}
 
-    def weight(path: str) -> float:
-        return DROP + sum(map(weight, below[path]))
+    weights: dict[str, float] = {}
+    for path in sorted(gone | come, key=lambda p: len(parts_of(p)), reverse=True):
+        weights[path] = DROP + sum(weights[c] for c in below[path])
+    weight = weights.__getitem__
 
     def unlike(a: str, b: str) -> float:
         return 1e-3 * (1 - difflib.SequenceMatcher(None, a, b, autojunk=False).ratio())
@@ -252,9 +283,13 @@ def edit_script(old: Mapping[str, int], new: Mapping[str, int], proven: set[tupl
                 memo[a, b] = NEVER, []
         return memo[a, b]
 
+    # Nodes nest as deep as the documents do; these calls take no part of the machine's own stack.
+    limit = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(limit, 10 * max((len(parts_of(p)) for p in gone | come), default=0) + 2_000))
     for parent in sorted((old.keys() & new.keys()) | {""}):
         left, right = [p for p in below[parent] if p in gone], [p for p in below[parent] if p in come]
         mapped |= dict(match(left, right)[1])
+    sys.setrecursionlimit(limit)
     moved: dict[str, str] = {}
     taken = set(mapped.values())
     left = sorted({a for a, b in proven if a not in mapped and b not in taken})
@@ -283,7 +318,11 @@ class Drift:
 def compare_files(df: DataFrame, table: str, file_no: str, key: str, body: str) -> dict[str, Drift]:
     """Schemas and scripts by table name; runs the inventory and, where fields went and came, the proof."""
     schemas: dict[str, dict[int, dict[str, int]]] = defaultdict(lambda: defaultdict(dict))
-    for t, n, field, types in inventory(df, table, file_no, body).collect():
+    found = materialize(inventory(df, table, file_no, body))
+    count, chars = found.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("field")), F.lit(0))).first()
+    if count > MOST_FIELDS or chars > MOST_CHARS:
+        raise ValueError(f"the schemas have {count} fields with {chars} characters of names: more than {MOST_FIELDS} or {MOST_CHARS}; are keys data?")
+    for t, n, field, types in found.collect():
         fields = schemas[t][n]
         if field:
             fields[field] = types
@@ -334,35 +373,49 @@ def lineage(drift: Drift) -> dict[str, dict[int, str]]:
     return fields
 
 
-SPARK_TYPES = {1: "string", 2: "double", 4: "boolean"}
+KINDS = {1: "string", 2: "double", 4: "boolean"}
+_ARROW = {"string": pa.string(), "double": pa.float64(), "boolean": pa.bool_()}
 
 
-def value_at(node: Column, steps: Sequence[tuple[str, int]], leaf: Callable[[Column, str], Column]) -> Column:
-    """``leaf`` of the variant and path of a field; below lists an array with that of every entry at its place."""
-    path = "$"
-    for k, (name, lists) in enumerate(steps):
-        path += f"['{name}']"
-        if lists:
-            return spread_at(node, path, lists, lambda entry: value_at(entry, steps[k + 1 :], leaf))
-    return leaf(node, path)
+def as_text(value: object) -> str:
+    return clean(value) if isinstance(value, str) else clean(dump(value, compact=True))
 
 
-def typed(kind: str) -> Callable[[Column, str], Column]:
-    return lambda node, path: F.try_variant_get(node, path, kind)
+def as_double(value: object) -> float | None:
+    return float(value) if isinstance(value, (int, float)) and not isinstance(value, bool) else None
 
 
-def spread_at(node: Column, path: str, lists: int, leaf: Callable[[Column], Column]) -> Column:
-    """``leaf`` of every entry of the list at ``path``, which is nested ``lists`` deep."""
-    return F.transform(F.try_variant_get(node, path, "array<variant>"), lambda entry: spread_at(entry, "$", lists - 1, leaf) if lists > 1 else leaf(entry))
+def as_boolean(value: object) -> bool | None:
+    return value if isinstance(value, bool) else None
 
 
-def no_objects(node: Column, path: str) -> Column:
+def no_objects(value: object) -> list | None:
     """The entries of a list as text, null for objects."""
-    return spread_at(node, path, 1, lambda entry: F.when(~F.schema_of_variant(entry).like("OBJECT%"), F.try_variant_get(entry, "$", "string")))
+    return spread_value(value, 1, lambda entry: None if entry is None or isinstance(entry, dict) else as_text(entry))
 
 
-def projection(drift: Drift, file_no: str, body: str) -> dict[str, Column]:
-    """The consistent table's columns: for each field the value at the path it has in the row's file.
+def whole(steps: Sequence[tuple[str, int]]) -> Callable[[object], object]:
+    """The whole value of a field as text, below lists that of all entries as one JSON text."""
+
+    def read(record: object) -> str | None:
+        value = field_value(record, steps, lambda node: node)
+        return None if value is None else as_text(value)
+
+    return read
+
+
+@dataclass(frozen=True)
+class Target:
+    """A column of the consistent table: its field and type, and how each file's records give it."""
+
+    field: str
+    kind: str
+    lists: int
+    read: dict[int, Callable[[object], object]]
+
+
+def projection(drift: Drift) -> list[Target]:
+    """The consistent table's columns: for each field how to read it at the path it has in each file.
 
     A field has its type if all files agree on one of string, number and boolean; otherwise it is read as text. Groups are
     left to their members. A field below lists is an array of its values, one for every entry of the list and null where an
@@ -371,44 +424,69 @@ def projection(drift: Drift, file_no: str, body: str) -> dict[str, Column]:
     some files hold another type, is read whole as JSON text. A field that is below lists in some files and below fewer in
     others is read as JSON text.
     """
-    columns = {}
+    leaves = {"string": as_text, "double": as_double, "boolean": as_boolean}
+    targets = []
     fields = lineage(drift)
+    with_members = {f[: at.start()] for f in fields for at in re.finditer(r"\[\]", f)}
     for field, paths in sorted(fields.items()):
         bits = 0
         for n, path in paths.items():
             bits |= drift.schemas[n][path]
         if bits == 8:
             continue
-        kind = SPARK_TYPES.get(bits, "string")
-        members = bits == 16 and any(other.startswith(field + "[]") for other in fields)
-        uneven = len({path.count("[]") for path in paths.values()}) > 1
-        value = None
-        for path in sorted(set(paths.values())):
-            files = [n for n, p in paths.items() if p == path]
+        kind = KINDS.get(bits, "string")
+        members = bits == 16 and field in with_members
+        nested = {sum(lists for _, lists in steps_of(path)) for path in paths.values()}
+        read = {}
+        for n, path in paths.items():
             steps = steps_of(path)
-            if uneven:
-                got = F.to_json(value_at(F.col(body), steps, typed("variant"))) if "[]" in path else value_at(F.col(body), steps, typed("string"))
+            if len(nested) > 1:
+                read[n] = whole(steps)
             else:
-                got = value_at(F.col(body), steps, no_objects if members else typed(kind))
-            value = (F.when if value is None else value.when)(F.col(file_no).isin(*files), got)
-        columns[field] = value
-    return columns
+                read[n] = partial(field_value, steps=steps, leaf=no_objects if members else leaves[kind])
+        targets.append(Target(field, kind, 0 if len(nested) > 1 else max(nested) + members, read))
+    return targets
 
 
 def unify(df: DataFrame, drift: Drift, file_no: str, body: str, keep: Sequence[str]) -> DataFrame:
     """All files as one table: the ``keep`` columns and the fields of ``projection``; rows without an object are left aside.
 
-    The text is parsed once a row; the projection of the row's file picks each field from the parsed value.
+    The text is parsed once a row; the projection compiled for the row's file picks each field from the parsed value.
     """
-    parsed = df.select(*keep, F.col(file_no).alias("__file"), F.try_parse_json(F.col(body)).alias("__body")).where("is_variant_null(__body) = false AND schema_of_variant(__body) LIKE 'OBJECT%'")
+    targets = projection(drift)
     taken = {k.lower() for k in keep}
-    columns = []
-    for name, column in projection(drift, "__file", "__body").items():
+    fields, arrow = [], []
+    for target in targets:
         # Column names ignore case and take no dots, field names do and may: parts are joined by __, a clash is numbered.
-        name = name.replace("[]", "").replace(".", "__")
+        name = "__".join(name for name, _ in steps_of(target.field)) or "__"
         unique, k = name, 2
         while unique.lower() in taken:
             unique, k = f"{name}_{k}", k + 1
         taken.add(unique.lower())
-        columns.append(column.alias(unique))
-    return parsed.select(*keep, *columns)
+        kind, like = target.kind, _ARROW[target.kind]
+        for _ in range(target.lists):
+            kind, like = f"array<{kind}>", pa.list_(like)
+        fields.append((unique, kind))
+        arrow.append(like)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_file: dict[int, list[tuple[int, Callable[[object], object]]]] = defaultdict(list)
+        for at, target in enumerate(targets):
+            for n, read in target.read.items():
+                by_file[n].append((at, read))
+        for batch in batches:
+            for part in by_bytes(batch, 1, TEXT_BYTES):
+                held, values = [], [[] for _ in targets]
+                for row, (n, text) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist())):
+                    record = load_object(text)
+                    if record is None:
+                        continue
+                    held.append(row)
+                    for column in values:
+                        column.append(None)
+                    for at, read in by_file.get(n, ()):
+                        values[at][-1] = read(record)
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(held, pa.int64())) for c in part.columns[2:]), *(pa.array(v, t) for v, t in zip(values, arrow))], names=[*keep, *(f for f, _ in fields)])
+
+    schema = T.StructType([*(T.StructField(k, df.schema[k].dataType) for k in keep), *(T.StructField(f, T._parse_datatype_string(kind)) for f, kind in fields)])
+    return df.select(F.col(file_no).cast("long").alias("__file"), F.col(body).alias("__body"), *keep).mapInArrow(run, schema)
