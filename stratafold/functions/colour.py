@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,3 +48,10 @@ def byte_linear(value: Column) -> Column:
 def hex_linear(colour: Column) -> tuple[Column, ...]:
     """Linear light of ``#RRGGBB``."""
     return tuple(byte_linear(F.conv(F.substring(colour, i, 2), 16, 10).cast("int")) for i in (2, 4, 6))
+
+
+def hex_of(entry: Sequence[float]) -> str:
+    """``#RRGGBB`` of one OKLab colour held on the driver."""
+    cubes = [(entry[0] + x * entry[1] + y * entry[2]) ** 3 for x, y in LAB_TO_LMS]
+    light = [min(max(x * cubes[0] + y * cubes[1] + z * cubes[2], 0.0), 1.0) for x, y, z in LMS_TO_RGB]
+    return "#" + "".join(f"{round((v * 12.92 if v <= 0.0031308 else 1.055 * v ** (1 / 2.4) - 0.055) * 255):02X}" for v in light)

@@ -73,14 +73,19 @@ def _number(text: Column) -> Column:
     return F.when(text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), text.try_cast("double"))
 
 
+_MEASURE = r"^([+-]?(?:\d+\.?\d*|\.\d+)(?:[e][+-]?\d+)?)\s*(\D+)$"
+
+
 def length_m(value: Column) -> Column:
     """Metres of a free-text length: approximate marks, feet and inches, unit suffixes; null for lists and non-positive ones."""
     text = F.trim(F.regexp_replace(F.lower(F.trim(value)), r"^(~|approx\.|approx|ca\.|ca)\s*", ""))
     feet = _number(F.trim(F.substring_index(text, "'", 1)))
     rest = F.trim(F.regexp_replace(F.trim(F.regexp_extract(text, "^[^']*'(.*)$", 1)), '["in]+$', ""))
     metres = F.when(F.contains(text, F.lit(";")), F.lit(None).cast("double")).when(F.contains(text, F.lit("'")), feet * 0.3048 + F.coalesce(_number(rest), F.lit(0.0)) * 0.0254)
-    for suffix, scale in LENGTH_UNITS:
-        metres = metres.when(text.endswith(suffix), _number(F.trim(F.left(text, F.length(text) - len(suffix)))) * scale)
+    # The number and the letters after it: a unit is looked up once, whatever the number of units.
+    unit = F.regexp_extract(text, _MEASURE, 2)
+    scale = F.element_at(F.create_map(*(F.lit(x) for unit_scale in LENGTH_UNITS for x in unit_scale)), unit)
+    metres = metres.when(unit != "", F.regexp_extract(text, _MEASURE, 1).try_cast("double") * scale)
     metres = metres.otherwise(_number(text))
     return F.when(metres > 0, metres)
 

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratafold.operators.sampling import _gather
+from stratafold.operators.sampling import done, windows
 
 #: Steps of the fractional position within a native cell; the table has (STEPS + 1) squared stencils.
 STEPS = 16
@@ -32,10 +32,12 @@ def stencils(reach: float, nugget: float) -> np.ndarray:
     return np.linalg.solve(system, right.T).T[:, :16].reshape(STEPS + 1, STEPS + 1, 16)
 
 
-def smooth(samples: DataFrame, native: DataFrame, key: list[str], y: Column, x: Column, value: str, rows: int, columns: int, reach: float = 3.0, nugget: float = 0.1) -> DataFrame:
-    """The class of greatest kriged indicator at fractional native coordinates; ties go to the highest class.
+def smooth(samples: DataFrame, native: DataFrame, y: Column, x: Column, value: str, rows: int, columns: int, reach: float = 3.0, nugget: float = 0.1) -> DataFrame:
+    """``samples`` with ``value``, the class of greatest kriged indicator at fractional native coordinates; ties go to the highest
+    class.
 
-    The 289 stencils are a fixed table, solved here and broadcast.
+    The 289 stencils are a fixed table, solved here and broadcast. A sample reads its nodes from one block of the lattice and is
+    scored in its own row.
     """
     table = stencils(reach, nugget)
     rows_of = [(i, j, [float(w) for w in table[i, j]]) for i in range(STEPS + 1) for j in range(STEPS + 1)]
@@ -43,7 +45,8 @@ def smooth(samples: DataFrame, native: DataFrame, key: list[str], y: Column, x:
     cell = lambda v, n: F.least(F.greatest(F.floor(v), F.lit(0)), F.lit(n - 2))
     step = lambda v, n: F.round(F.least(F.greatest(v - cell(v, n), F.lit(0.0)), F.lit(1.0)) * STEPS).cast("int")
     placed = samples.withColumns({"__y": cell(y, rows), "__x": cell(x, columns), "oy": step(y, rows), "ox": step(x, columns)})
-    got = _gather(placed, native, key, F.col("__y"), F.col("__x"), value, (-1, 0, 1, 2), rows, columns).join(F.broadcast(weights), ["oy", "ox"])
-    cells = F.array(*(F.element_at("window", i * 100 + j) for i in range(-1, 3) for j in range(-1, 3)))
-    scored = got.select(*key, F.explode(F.arrays_zip(cells.alias("k"), F.col("weights").alias("w"))).alias("s")).groupBy(*key, F.col("s.k").alias("k")).agg(F.round(F.sum("s.w"), 9).alias("w"))
-    return scored.groupBy(*key).agg(F.max(F.struct("w", "k"))["k"].alias("value"))
+    got, node = windows(placed, native, F.col("__y"), F.col("__x"), value, rows, columns)
+    got = got.withColumn("__window", F.array(*(node(i, j) for i in range(-1, 3) for j in range(-1, 3)))).join(F.broadcast(weights), ["oy", "ox"])
+    share = lambda k: F.aggregate(F.zip_with("__window", "weights", lambda c, w: F.when(c == k, w).otherwise(0.0)), F.lit(0.0), lambda total, w: total + w)
+    scored = F.transform(F.array_distinct("__window"), lambda k: F.struct(F.round(share(k), 9).alias("w"), k.alias("k")))
+    return done(got.withColumn("value", F.array_max(scored)["k"])).drop("oy", "ox", "weights")

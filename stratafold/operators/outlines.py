@@ -6,6 +6,7 @@ Work on one ring or one tile's coast is sequential; a group is one tile's lines.
 from __future__ import annotations
 
 import math
+from collections import deque
 from collections.abc import Sequence
 
 import pyarrow as pa
@@ -33,37 +34,114 @@ def clip_convex(ring: Sequence[Point], window: Sequence[Point]) -> list[Point]:
     return out
 
 
-def simplify(ring: Sequence[Point], tolerance: float = 1e-9) -> list[Point]:
-    """A ring without vertices on the line between their neighbours, looked at again until none is left."""
-    out = list(ring)
-    changed = True
-    while changed and len(out) > 3:
-        changed = False
-        for i in range(len(out)):
-            (ax, ay), (bx, by), (cx, cy) = out[i - 1], out[i], out[(i + 1) % len(out)]
-            if abs((bx - ax) * (cy - ay) - (by - ay) * (cx - ax)) <= tolerance:
-                del out[i]
-                changed = True
-                break
-    return out
+def simplify(ring: Sequence[Point], tolerance: float = 1e-4) -> list[Point]:
+    """A ring without the vertices that go forward along the line between their neighbours, within ``tolerance`` of it.
+
+    Vertices are judged against the neighbours they have when it is their turn, so no part of the result strays from what it
+    replaces by more than the tolerance at a time; one at which the ring turns back (a spike) stays. Neighbours of a dropped vertex
+    get another turn. At least three vertices are left.
+    """
+    n = len(ring)
+    ahead, behind = [(i + 1) % n for i in range(n)], [(i - 1) % n for i in range(n)]
+    turns, waiting, held, gone = deque(range(n)), [True] * n, n, [False] * n
+    while turns and held > 3:
+        i = turns.popleft()
+        waiting[i] = False
+        if gone[i]:
+            continue
+        (ax, ay), (bx, by), (cx, cy) = ring[behind[i]], ring[i], ring[ahead[i]]
+        length = math.dist((ax, ay), (cx, cy))
+        away = abs((bx - ax) * (cy - ay) - (by - ay) * (cx - ax)) / length if length else math.dist((ax, ay), (bx, by))
+        if (bx - ax) * (cx - bx) + (by - ay) * (cy - by) > 0 and away <= tolerance:
+            gone[i], held = True, held - 1
+            ahead[behind[i]], behind[ahead[i]] = ahead[i], behind[i]
+            for k in (behind[i], ahead[i]):
+                if not waiting[k]:
+                    waiting[k] = True
+                    turns.append(k)
+    return [p for i, p in enumerate(ring) if not gone[i]]
+
+
+class EndIndex:
+    """Ends of lines by cells of the join distance, so that a meeting end is looked up and not searched for."""
+
+    def __init__(self, near: float) -> None:
+        self.near = near
+        self.cells: dict[tuple[int, int], dict[int, Point]] = {}
+
+    def _cell(self, p: Point) -> tuple[int, int]:
+        return math.floor(p[0] / self.near), math.floor(p[1] / self.near)
+
+    def add(self, line: int, p: Point) -> None:
+        self.cells.setdefault(self._cell(p), {})[line] = p
+
+    def drop(self, line: int, p: Point) -> None:
+        self.cells.get(self._cell(p), {}).pop(line, None)
+
+    def least(self, p: Point) -> int | None:
+        """The first line with an end nearer than the join distance."""
+        x, y = self._cell(p)
+        found = [line for i in (x - 1, x, x + 1) for j in (y - 1, y, y + 1) for line, q in self.cells.get((i, j), {}).items() if math.dist(p, q) < self.near]
+        return min(found, default=None)
 
 
 def join_chains(lines: Sequence[Sequence[Point]]) -> list[list[Point]]:
-    """Lines joined end to start wherever those meet, in the given order."""
-    chains = [list(x) for x in lines if len(x) > 1]
-    merged = True
-    while merged:
-        merged = False
-        for i, first in enumerate(chains):
-            for j, second in enumerate(chains):
-                if i != j and math.dist(first[-1], second[0]) < JOIN:
-                    first.extend(second[1:])
-                    del chains[j]
-                    merged = True
-                    break
-            if merged:
+    """Lines joined end to start wherever those meet; of several that start there the first is taken.
+
+    Starts are indexed by place. Each line that none leads into begins a walk from start to start; what is left then are circles,
+    which begin with their first line.
+    """
+    held = [list(x) for x in lines if len(x) > 1]
+    starts = EndIndex(JOIN)
+    for i, line in enumerate(held):
+        starts.add(i, line[0])
+    ends = EndIndex(JOIN)
+    for i, line in enumerate(held):
+        ends.add(i, line[-1])
+    led = [ends.least(line[0]) not in (None, i) for i, line in enumerate(held)]
+    free = [True] * len(held)
+    chains = []
+    for i in sorted(range(len(held)), key=lambda k: (led[k], k)):
+        if not free[i]:
+            continue
+        chain, free[i] = list(held[i]), False
+        starts.drop(i, held[i][0])
+        while math.dist(chain[0], chain[-1]) >= JOIN and (k := starts.least(chain[-1])) is not None:
+            chain += held[k][1:]
+            free[k] = False
+            starts.drop(k, held[k][0])
+        chains.append((i, chain))
+    return [chain for _, chain in sorted(chains, key=lambda c: c[0])]
+
+
+def assemble_rings(lines: Sequence[Sequence[Point]], near: float = 1e-7) -> tuple[list[list[Point]], int]:
+    """Rings of lines that join at either end, without their repeated first point, and the number of chains that do not close."""
+    held = [list(x) for x in lines if len(x) > 1]
+    ends = EndIndex(near)
+    # A line's two ends are 2 i and 2 i + 1.
+    for i, line in enumerate(held):
+        ends.add(2 * i, line[0])
+        ends.add(2 * i + 1, line[-1])
+    rings, open_chains, free = [], 0, [True] * len(held)
+    for i in reversed(range(len(held))):
+        if not free[i]:
+            continue
+        chain, k = [], 2 * i
+        while k is not None:
+            line = held[k // 2]
+            free[k // 2] = False
+            ends.drop(2 * (k // 2), line[0])
+            ends.drop(2 * (k // 2) + 1, line[-1])
+            step = line if k % 2 == 0 else line[::-1]
+            chain += step[1:] if chain else step
+            if len(chain) > 3 and math.dist(chain[0], chain[-1]) < near:
                 break
-    return chains
+            k = ends.least(chain[-1])
+        if len(chain) > 3 and math.dist(chain[0], chain[-1]) < near:
+            rings.append(chain[:-1])
+        else:
+            open_chains += 1
+    return rings, open_chains
 
 
 def _cut(a: Point, b: Point) -> tuple[float, float] | None:

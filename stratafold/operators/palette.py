@@ -8,10 +8,17 @@ the number of rounds is bounded, so equal inputs give equal palettes.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratafold.functions.colour import hex_of
+from stratafold.operators.ranking import ranked
+from stratafold.session import materialize
+
 ROUNDS = 32
 #: Colours closer than this are one.
 SAME = 0.01
@@ -20,10 +27,10 @@ AXES = ("l", "a", "b")
 
 def normalize_lightness(points: DataFrame, strength: float) -> DataFrame:
     """Each point scaled towards its group's mean lightness, by a factor of 2 at most in either direction."""
-    mean = F.avg("l").over(Window.partitionBy("grp"))
-    factor = F.when(F.col("l") > 1.2e-7, F.least(F.greatest(1 + strength * (mean / F.col("l") - 1), F.lit(0.5)), F.lit(2.0))).otherwise(1.0)
-    scaled = points.withColumn("__f", factor)
-    return scaled.withColumns({x: F.col(x) * F.col("__f") for x in AXES}).drop("__f")
+    means = points.groupBy(F.col("grp").alias("__grp")).agg(F.avg("l").alias("__mean"))
+    factor = F.when(F.col("l") > 1.2e-7, F.least(F.greatest(1 + strength * (F.col("__mean") / F.col("l") - 1), F.lit(0.5)), F.lit(2.0))).otherwise(1.0)
+    scaled = points.join(means, F.col("grp").eqNullSafe(F.col("__grp"))).withColumn("__f", factor)
+    return scaled.withColumns({x: F.col(x) * F.col("__f") for x in AXES}).drop("__f", "__grp", "__mean")
 
 
 def diversity(points: DataFrame) -> DataFrame:
@@ -33,9 +40,7 @@ def diversity(points: DataFrame) -> DataFrame:
 
 def seeds(points: DataFrame, counts: dict[int, int]) -> dict[int, list[tuple[float, ...]]]:
     """Evenly spaced distinct colours of each group in sorted order, both ends included."""
-    distinct = points.select("grp", *AXES).distinct()
-    w = Window.partitionBy("grp")
-    placed = distinct.select("*", (F.row_number().over(w.orderBy(*AXES)) - 1).alias("k"), F.count(F.lit(1)).over(w).alias("n"))
+    placed = ranked(points.select("grp", *AXES).distinct(), ["grp"], AXES).withColumnsRenamed({"__k": "k", "__n": "n"})
     wanted = F.lit(False)
     for grp, count in counts.items():
         k = F.least(F.lit(count), F.col("n"))
@@ -61,6 +66,7 @@ def nearest(centroids: dict[int, list[tuple[float, ...]]]) -> Column:
 
 def cluster(points: DataFrame, counts: dict[int, int], rounds: int = ROUNDS) -> dict[int, list[tuple[float, ...]]]:
     """Lloyd rounds from the quantile seeds; a cluster that loses all points keeps its place."""
+    points = materialize(points.select("grp", *AXES))
     centroids = seeds(points, counts)
     for _ in range(rounds):
         sums = points.withColumn("k", nearest(centroids)).groupBy("grp", "k").agg(*(F.avg(x).alias(x) for x in AXES)).collect()
@@ -74,28 +80,51 @@ def cluster(points: DataFrame, counts: dict[int, int], rounds: int = ROUNDS) ->
     return centroids
 
 
-def merge_close(entries: list[tuple[float, ...]], shares: list[float], least_share: float) -> list[tuple[float, ...]]:
-    """Merges the closest pair of a group as long as it is closer than ``SAME`` (weighted by share), then drops entries of less
-    than the least share, the smallest first, while more than one is left."""
-    held = [[np.array(e), s] for e, s in zip(entries, shares) if s > 0]
+def shares_of(points: DataFrame, centroids: dict[int, list[tuple[float, ...]]]) -> dict[tuple[int, int], float]:
+    """The share of all points that is nearest to each centroid."""
+    counts = {(r["grp"], r["k"]): r["n"] for r in points.withColumn("k", nearest(centroids)).groupBy("grp", "k").agg(F.count(F.lit(1)).alias("n")).collect()}
+    total = sum(counts.values()) or 1
+    return {at: n / total for at, n in counts.items()}
+
+
+def closest_pair(entries: list[tuple[float, ...]]) -> tuple[int, int] | None:
+    """The closest two entries that print as one: closer than ``SAME``, or of the same hex colour at any distance."""
+    pairs = [(math.dist(a, b), i, j) for i, a in enumerate(entries) for j, b in enumerate(entries) if i < j]
+    close = [p for p in pairs if p[0] < SAME or hex_of(entries[p[1]]) == hex_of(entries[p[2]])]
+    return min(close)[1:] if close else None
+
+
+def merge_close(entries: list[tuple[float, ...]], shares_now: Callable[[list[tuple[float, ...]]], list[float]], least_share: float) -> list[tuple[float, ...]]:
+    """Merges the closest pair that prints as one (weighted by share) until there is none, then drops entries of less than the
+    least share, the smallest first, while more than one is left. Shares are taken anew before every step."""
+    held = list(entries)
+    while pair := closest_pair(held):
+        shares = shares_now(held)
+        i, j = pair
+        a, b = max(shares[i], 1e-9), max(shares[j], 1e-9)
+        held[i] = tuple((x * a + y * b) / (a + b) for x, y in zip(held[i], held[j]))
+        del held[j]
     while len(held) > 1:
-        distance, i, j = min((float(np.linalg.norm(held[i][0] - held[j][0])), i, j) for i in range(len(held)) for j in range(i + 1, len(held)))
-        if distance >= SAME:
+        shares = shares_now(held)
+        least = min(range(len(held)), key=shares.__getitem__)
+        if shares[least] >= least_share:
             break
-        total = held[i][1] + held[j][1]
-        held[i] = [(held[i][0] * held[i][1] + held[j][0] * held[j][1]) / total, total]
-        del held[j]
-    while len(held) > 1 and min(s for _, s in held) < least_share:
-        del held[min(range(len(held)), key=lambda k: held[k][1])]
-    return [tuple(float(x) for x in e) for e, _ in held]
+        del held[least]
+    return held
 
 
 def discover(points: DataFrame, counts: dict[int, int], least_share: float) -> dict[int, list[tuple[float, ...]]]:
     """Clusters, merged and without those too small, by group; ordered by lightness and the other axes."""
-    centroids = cluster(points, counts)
-    total = points.count()
-    shares = {(r["grp"], r["k"]): r["n"] / total for r in points.withColumn("k", nearest(centroids)).groupBy("grp", "k").agg(F.count(F.lit(1)).alias("n")).collect()}
-    return {g: sorted(merge_close(c, [shares.get((g, i), 0.0) for i in range(len(c))], least_share)) for g, c in centroids.items()}
+    points = materialize(points)
+    found = cluster(points, counts)
+    for g in sorted(found):
+
+        def shares_now(entries: list[tuple[float, ...]], g: int = g) -> list[float]:
+            shares = shares_of(points, found | {g: entries})
+            return [shares.get((g, i), 0.0) for i in range(len(entries))]
+
+        found[g] = merge_close(found[g], shares_now, least_share)
+    return {g: sorted(entries) for g, entries in found.items()}
 
 
 def assign(points: DataFrame, palette: dict[int, list[tuple[float, ...]]], valid: Column) -> DataFrame:

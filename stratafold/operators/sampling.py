@@ -1,12 +1,13 @@
 """Sampling and resampling of rasters by equi-joins on computed cell addresses.
 
-Each sample names the cells it reads, so a join on their addresses replaces any search. At scale both sides are partitioned
-by address (Spark picks the join; a small raster is broadcast only within the planner's size limit).
+The raster is packed into blocks with a halo, one row each; a sample finds its block by address and reads all its cells from
+the block's array, so a sample of 16 cells is one row of one equi-join. At scale both sides are partitioned by block (Spark
+picks the join; a small raster is broadcast only within the planner's size limit). Cells that a raster lacks read as null.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,44 +20,74 @@ def nearest(samples: DataFrame, raster: DataFrame, row: Column, column: Column,
     return samples.withColumns({"r": row, "c": column}).join(raster.select("r", "c", value), ["r", "c"]).drop("r", "c")
 
 
-def _gather(samples: DataFrame, raster: DataFrame, key: Sequence[str], row: Column, column: Column, value: str, offsets: Sequence[int], rows: int, columns: int) -> DataFrame:
-    """The window of raster values around each sample, as an array by (row, column) offset, clamped at the borders."""
-    at = samples.withColumns({"__r": row, "__c": column})
-    spread = at.select(*samples.columns, "__r", "__c", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in offsets for j in offsets))).alias("o"))
+#: Cells along a block's side, and those around it that its samples may read (before, after).
+BLOCK, BEFORE, AFTER = 16, 1, 2
+
+
+def _blocks(raster: DataFrame, value: str, rows: int, columns: int) -> DataFrame:
+    """The raster as one row a block, with the values of its cells and halo: in row order (``__a``), or by place (``__m``) where
+    the block has gaps."""
+
+    def holders(at: str) -> Column:
+        return F.explode(F.sequence(F.greatest(F.floor((F.col(at) - AFTER) / BLOCK), F.lit(0)), F.floor((F.col(at) + BEFORE) / BLOCK)))
+
+    side = BLOCK + BEFORE + AFTER
+    spread = raster.select("r", "c", F.col(value).alias("__v")).withColumn("__br", holders("r")).withColumn("__bc", holders("c"))
+    place = (F.col("r") - F.col("__br") * BLOCK + BEFORE) * side + F.col("c") - F.col("__bc") * BLOCK + BEFORE
+    held = spread.groupBy("__br", "__bc").agg(F.sort_array(F.collect_list(F.struct(place.cast("int").alias("p"), "__v"))).alias("__h"))
+    height = F.least(F.lit(rows - 1), F.col("__br") * BLOCK + BLOCK - 1 + AFTER) - F.greatest(F.lit(0), F.col("__br") * BLOCK - BEFORE) + 1
+    width = F.least(F.lit(columns - 1), F.col("__bc") * BLOCK + BLOCK - 1 + AFTER) - F.greatest(F.lit(0), F.col("__bc") * BLOCK - BEFORE) + 1
+    whole = F.size("__h") == height * width
+    return held.select("__br", "__bc", width.alias("__wide"), F.when(whole, F.col("__h.__v")).alias("__a"), F.when(~whole, F.map_from_entries("__h")).alias("__m"))
+
+
+def windows(samples: DataFrame, raster: DataFrame, row: Column, column: Column, value: str, rows: int, columns: int) -> tuple[DataFrame, Callable[[int, int], Column]]:
+    """``samples`` with the block of the raster around each, by one equi-join on the block's address, and the expression of the
+    value at a (row, column) offset from the sample's cell, clamped at the borders."""
     clamp = lambda x, n: F.least(F.greatest(x, F.lit(0)), F.lit(n - 1))
-    asked = spread.withColumns({"r": clamp(F.col("__r") + F.col("o.i"), rows), "c": clamp(F.col("__c") + F.col("o.j"), columns)})
-    joined = asked.join(raster.select("r", "c", F.col(value).alias("__v")), ["r", "c"])
-    rest = [c for c in samples.columns if c not in key]
-    return joined.groupBy(*key).agg(*(F.first(c).alias(c) for c in rest), F.map_from_entries(F.collect_list(F.struct(F.col("o.i") * 100 + F.col("o.j"), F.col("__v")))).alias("window"))
+    at = samples.withColumns({"__r": row, "__c": column})
+    at = at.withColumns({"__br": F.floor(clamp(F.col("__r"), rows) / BLOCK), "__bc": F.floor(clamp(F.col("__c"), columns) / BLOCK)})
+    joined = at.join(_blocks(raster, value, rows, columns), ["__br", "__bc"])
+    south, west = F.greatest(F.lit(0), F.col("__br") * BLOCK - BEFORE), F.greatest(F.lit(0), F.col("__bc") * BLOCK - BEFORE)
+
+    def got(i: int, j: int) -> Column:
+        r, c = clamp(F.col("__r") + i, rows), clamp(F.col("__c") + j, columns)
+        place = (r - F.col("__br") * BLOCK + BEFORE) * (BLOCK + BEFORE + AFTER) + c - F.col("__bc") * BLOCK + BEFORE
+        return F.when(F.col("__a").isNotNull(), F.get("__a", ((r - south) * F.col("__wide") + c - west).cast("int"))).otherwise(F.try_element_at("__m", place.cast("int")))
+
+    return joined, got
+
+
+def done(df: DataFrame) -> DataFrame:
+    return df.drop("__y", "__x", "__r", "__c", "__br", "__bc", "__wide", "__a", "__m", "__window")
 
 
-def bilinear(samples: DataFrame, raster: DataFrame, key: Sequence[str], y: Column, x: Column, value: str, rows: int, columns: int) -> DataFrame:
+def bilinear(samples: DataFrame, raster: DataFrame, y: Column, x: Column, value: str, rows: int, columns: int) -> DataFrame:
     """Bilinear value at fractional cell coordinates (clamped to the raster), as column ``value``."""
     held = samples.withColumns({"__y": F.least(F.greatest(y, F.lit(0.0)), F.lit(float(rows - 1))), "__x": F.least(F.greatest(x, F.lit(0.0)), F.lit(float(columns - 1)))})
-    got = _gather(held, raster, key, F.floor("__y"), F.floor("__x"), value, (0, 1), rows, columns)
+    got, v = windows(held, raster, F.floor("__y"), F.floor("__x"), value, rows, columns)
     ty, tx = F.col("__y") - F.floor("__y"), F.col("__x") - F.floor("__x")
-    v = lambda i, j: F.element_at("window", i * 100 + j)
     low, high = v(0, 0) * (1 - tx) + v(0, 1) * tx, v(1, 0) * (1 - tx) + v(1, 1) * tx
-    return got.withColumn("value", low * (1 - ty) + high * ty).drop("window", "__y", "__x")
+    return done(got.withColumn("value", low * (1 - ty) + high * ty))
 
 
-def bicubic(samples: DataFrame, raster: DataFrame, key: Sequence[str], y: Column, x: Column, value: str, rows: int, columns: int) -> DataFrame:
+def bicubic(samples: DataFrame, raster: DataFrame, y: Column, x: Column, value: str, rows: int, columns: int) -> DataFrame:
     """Catmull-Rom value over 4 x 4 cells, clamped to their range; cell centres lie at half-way coordinates."""
     held = samples.withColumns({"__y": y - 0.5, "__x": x - 0.5})
-    got = _gather(held, raster, key, F.floor("__y"), F.floor("__x"), value, (-1, 0, 1, 2), rows, columns)
+    got, read = windows(held, raster, F.floor("__y"), F.floor("__x"), value, rows, columns)
+    got = got.withColumn("__window", F.array(*(read(i, j) for i in (-1, 0, 1, 2) for j in (-1, 0, 1, 2))))
     ty, tx = F.col("__y") - F.floor("__y"), F.col("__x") - F.floor("__x")
-    v = lambda i, j: F.element_at("window", i * 100 + j)
+    v = lambda i, j: F.col("__window")[(i + 1) * 4 + j + 1]
     lines = [catmull_rom(*(v(i, j) for j in (-1, 0, 1, 2)), tx) for i in (-1, 0, 1, 2)]
     cubic = catmull_rom(*lines, ty)
-    cells = F.map_values("window")
-    return got.withColumn("value", F.least(F.greatest(cubic, F.array_min(cells)), F.array_max(cells))).drop("window", "__y", "__x")
+    return done(got.withColumn("value", F.least(F.greatest(cubic, F.array_min("__window")), F.array_max("__window"))))
 
 
-def class_vote(samples: DataFrame, raster: DataFrame, key: Sequence[str], y: Column, x: Column, value: str, rows: int, columns: int) -> DataFrame:
+def class_vote(samples: DataFrame, raster: DataFrame, y: Column, x: Column, value: str, rows: int, columns: int) -> DataFrame:
     """The class with the greatest bilinear weight; ties go to the highest class."""
     held = samples.withColumns({"__y": F.least(F.greatest(y, F.lit(0.0)), F.lit(float(rows - 1))), "__x": F.least(F.greatest(x, F.lit(0.0)), F.lit(float(columns - 1)))})
-    got = _gather(held, raster, key, F.floor("__y"), F.floor("__x"), value, (0, 1), rows, columns)
+    got, v = windows(held, raster, F.floor("__y"), F.floor("__x"), value, rows, columns)
     ty, tx = F.col("__y") - F.floor("__y"), F.col("__x") - F.floor("__x")
-    corners = [(F.element_at("window", i * 100 + j), (ty if i else 1 - ty) * (tx if j else 1 - tx)) for i in (0, 1) for j in (0, 1)]
+    corners = [(v(i, j), (ty if i else 1 - ty) * (tx if j else 1 - tx)) for i in (0, 1) for j in (0, 1)]
     entries = [F.struct(F.round(sum((F.when(c == k, w).otherwise(0.0) for k, w in corners), F.lit(0.0)), 9).alias("w"), c.alias("k")) for c, _ in corners]
-    return got.withColumn("value", F.array_max(F.array(*entries))["k"]).drop("window", "__y", "__x")
+    return done(got.withColumn("value", F.array_max(F.array(*entries))["k"]))

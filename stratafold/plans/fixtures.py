@@ -28,6 +28,26 @@ VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
 }
 
 
+#: Corners of a concave outline and of a hole in it, in eighths of a blob's size.
+STAR = ((0, 8), (3, 3), (8, 2), (4, -2), (5, -8), (0, -4), (-5, -8), (-4, -2), (-8, 2), (-3, 3))
+HOLE = ((0, 2), (2, 0), (0, -2), (-2, 0))
+
+
+def _edge_values() -> str:
+    rows = [(ring, *at, *corners[i - 1]) for ring, corners in enumerate((STAR, HOLE)) for i, at in enumerate(corners)]
+    return ", ".join(f"({ring}, {ax / 8}::DOUBLE, {ay / 8}::DOUBLE, {bx / 8}::DOUBLE, {by / 8}::DOUBLE)" for ring, ax, ay, bx, by in rows)
+
+
+VIEWS |= {
+    # Concave areas with holes, as many as there are suppliers: one tenth of a per cent of the square each.
+    "blobs": ("SELECT s_suppkey AS id, (s_suppkey * 7919 % 997) / 997 AS cx, (s_suppkey * 104729 % 991) / 991 AS cy, 0.006::DOUBLE + (s_suppkey % 7) * 0.004::DOUBLE AS s, (s_suppkey % 5)::BIGINT AS kind, 2.5::DOUBLE + (s_suppkey % 4) * 10.0::DOUBLE AS height FROM supplier", ()),
+    "blob_edges": (f"SELECT b.id, ring, cx + s * ax AS ax, cy + s * ay AS ay, cx + s * bx AS bx, cy + s * by_ AS by_ FROM blobs b, (VALUES {_edge_values()}) e(ring, ax, ay, bx, by_) WHERE ring = 0 OR b.id % 3 = 0", ("blobs",)),
+    # Short lines of two segments, one for each customer.
+    "paths": ("SELECT id, (id % 9)::INT AS layer, 0.001::DOUBLE + (id % 3) * 0.0005::DOUBLE AS half, x AS x0, y AS y0, x + (id % 11 - 5) / 200 AS x1, y + (id % 13 - 6) / 200 AS y1, x + (id % 11 - 5) / 200 + (id % 7 - 3) / 200 AS x2, y + (id % 13 - 6) / 200 + (id % 5 - 2) / 200 AS y2 FROM spots", ("spots",)),
+    "path_parts": ("SELECT id, layer, half, 0 AS seg, x0, y0, x1, y1 FROM paths UNION ALL SELECT id, layer, half, 1, x1, y1, x2, y2 FROM paths", ("paths",)),
+}
+
+
 def with_views(body: str, *names: str) -> str:
     ordered: dict[str, str] = {}
 
@@ -129,3 +149,24 @@ def job_events(s: SparkSession, d: str) -> DataFrame:
 
 def ways(s: SparkSession, d: str) -> DataFrame:
     return read(s, d, "overpass_ways").selectExpr("delivery_id AS id", "tags", "geometry", "members")
+
+
+def blob_rings(s: SparkSession, d: str) -> DataFrame:
+    """Concave areas, every third with a hole: ``id, cx, cy, s, kind, height, shell, holes``."""
+
+    def ring(corners: tuple) -> str:
+        return "array(" + ", ".join(f"named_struct('x', cx + s * {x / 8}D, 'y', cy + s * {y / 8}D)" for x, y in corners) + ")"
+
+    base = read(s, d, "supplier").selectExpr("s_suppkey AS id", "(s_suppkey * 7919 % 997) / 997D AS cx", "(s_suppkey * 104729 % 991) / 991D AS cy", "0.006D + (s_suppkey % 7) * 0.004D AS s", "CAST(s_suppkey % 5 AS BIGINT) AS kind", "2.5D + (s_suppkey % 4) * 10D AS height")
+    return base.selectExpr("*", f"{ring(STAR)} AS shell", f"IF(id % 3 = 0, array({ring(HOLE)}), array()) AS holes")
+
+
+def paths(s: SparkSession, d: str) -> DataFrame:
+    """Short lines as ``id, layer, half, points``."""
+    ends = spots(s, d).selectExpr("id", "CAST(id % 9 AS INT) AS layer", "0.001D + (id % 3) * 0.0005D AS half", "x AS x0", "y AS y0", "x + (id % 11 - 5) / 200D AS x1", "y + (id % 13 - 6) / 200D AS y1")
+    return ends.selectExpr("id", "layer", "half", "array(named_struct('x', x0, 'y', y0), named_struct('x', x1, 'y', y1), named_struct('x', x1 + (id % 7 - 3) / 200D, 'y', y1 + (id % 5 - 2) / 200D)) AS points")
+
+
+def path_parts(s: SparkSession, d: str) -> DataFrame:
+    at = lambda i, c: F.element_at("points", F.col("seg") + i)[c]
+    return paths(s, d).withColumn("seg", F.explode(F.array(F.lit(0), F.lit(1)))).select("id", "layer", "half", "seg", at(1, "x").alias("x0"), at(1, "y").alias("y0"), at(2, "x").alias("x1"), at(2, "y").alias("y1"))

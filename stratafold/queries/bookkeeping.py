@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stratafold.functions import tags as T
 from stratafold.operators import selecting, tables
+from stratafold.operators.ranking import ranked
 from stratafold.plans import fixtures as fx
 from stratafold.plans.fixtures import with_views
 
@@ -44,17 +45,14 @@ def o07_stride(s: SparkSession, d: str) -> DataFrame:
 
 def o08_fit_sample(s: SparkSession, d: str) -> DataFrame:
     """Every n-th pixel of each group in id order, so that at most 40 remain (a sampling operator)."""
-    w = Window.partitionBy("grp")
-    placed = fx.pixels(s, d).select("grp", "id", (F.row_number().over(w.orderBy("id")) - 1).alias("k"), F.count(F.lit(1)).over(w).alias("n"))
-    return placed.where("k % ceil(n / 40D) = 0").select("grp", "id")
+    placed = ranked(fx.pixels(s, d).select("grp", "id"), ["grp"], ["id"])
+    return placed.where("__k % ceil(__n / 40D) = 0").select("grp", "id")
 
 
 def o09_quantile_seed(s: SparkSession, d: str) -> DataFrame:
     """Four seeds spread over each group's distinct sorted values."""
-    w = Window.partitionBy("grp")
-    distinct = fx.pixels(s, d).select("grp", "red").distinct()
-    placed = distinct.select("grp", "red", (F.row_number().over(w.orderBy("red")) - 1).alias("k"), F.count(F.lit(1)).over(w).alias("n"))
-    seeds = placed.select("*", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("i")).where("k = i * (n - 1) DIV 3")
+    placed = ranked(fx.pixels(s, d).select("grp", "red").distinct(), ["grp"], ["red"])
+    seeds = placed.select("*", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("i")).where("__k = i * (__n - 1) DIV 3")
     return seeds.select("grp", "i", "red")
 
 
@@ -69,7 +67,7 @@ def o11_order_override(s: SparkSession, d: str) -> DataFrame:
     """An asked order of nations first, then the rest in their own order, each once."""
     asked = s.createDataFrame([(i, n) for i, n in enumerate(["JAPAN", "BRAZIL", "JAPAN", "CANADA"])], "ord int, name string")
     rest = fx.read(s, d, "nation").select((F.col("n_nationkey") + 1000).cast("int").alias("ord"), F.col("n_name").alias("name"))
-    known = asked.join(F.broadcast(rest.select("name")), "name", "left_semi").select("ord", "name")
+    known = asked.join(rest.select("name"), "name", "left_semi").select("ord", "name")
     first = known.unionByName(rest).groupBy("name").agg(F.min("ord").alias("ord"))
     return first.select("name", F.row_number().over(Window.orderBy("ord")).alias("place"))
 

@@ -59,8 +59,8 @@ def a08_cluster_shares(s: SparkSession, d: str) -> DataFrame:
 
 
 def g08_kmeans(s: SparkSession, d: str) -> DataFrame:
-    """Centroids of three clusters a group after two rounds from the quantile seeds."""
-    found = palette.cluster(_lab(s, d).where("valid"), {g: 3 for g in range(4)}, rounds=2)
+    """Centroids of three clusters a group, from the quantile seeds to convergence (32 rounds at most)."""
+    found = palette.cluster(_lab(s, d).where("valid"), {g: 3 for g in range(4)})
     rows = [(g, i, *(round(x, 4) for x in c)) for g, entries in sorted(found.items()) for i, c in enumerate(entries)]
     return s.createDataFrame(rows, "grp long, k long, l double, a double, b double")
 
@@ -160,10 +160,10 @@ p AS (SELECT r, c, half, level, list_filter([CASE WHEN ua <> ub THEN [xa + (xb -
 
 
 def _kmeans(rounds: int) -> str:
-    out = ["pts AS (SELECT id, grp, l, a, b FROM lab WHERE valid)", "dis AS (SELECT grp, l, a, b, row_number() OVER (PARTITION BY grp ORDER BY l, a, b) - 1 AS k, count(*) OVER (PARTITION BY grp) AS n FROM (SELECT DISTINCT grp, l, a, b FROM pts))", "c0 AS (SELECT grp, i AS k, l, a, b FROM dis, range(3) t(i) WHERE dis.k = i * (n - 1) // 2)"]
+    out = ["pts AS MATERIALIZED (SELECT id, grp, l, a, b FROM lab WHERE valid)", "dis AS (SELECT grp, l, a, b, row_number() OVER (PARTITION BY grp ORDER BY l, a, b) - 1 AS k, count(*) OVER (PARTITION BY grp) AS n FROM (SELECT DISTINCT grp, l, a, b FROM pts))", "c0 AS (SELECT grp, i AS k, l, a, b FROM dis, range(3) t(i) WHERE dis.k = i * (n - 1) // 2)"]
     for i in range(rounds):
-        out.append(f"s{i} AS (SELECT p.id, p.grp, p.l, p.a, p.b, c.k FROM pts p JOIN c{i} c ON c.grp = p.grp QUALIFY row_number() OVER (PARTITION BY p.id ORDER BY (p.l - c.l) ^ 2 + (p.a - c.a) ^ 2 + (p.b - c.b) ^ 2, c.k) = 1)")
-        out.append(f"c{i + 1} AS (SELECT c.grp, c.k, coalesce(avg(s.l), any_value(c.l)) AS l, coalesce(avg(s.a), any_value(c.a)) AS a, coalesce(avg(s.b), any_value(c.b)) AS b FROM c{i} c LEFT JOIN s{i} s ON s.grp = c.grp AND s.k = c.k GROUP BY c.grp, c.k)")
+        out.append(f"s{i} AS MATERIALIZED (SELECT p.id, p.grp, p.l, p.a, p.b, c.k FROM pts p JOIN c{i} c ON c.grp = p.grp QUALIFY row_number() OVER (PARTITION BY p.id ORDER BY (p.l - c.l) ^ 2 + (p.a - c.a) ^ 2 + (p.b - c.b) ^ 2, c.k) = 1)")
+        out.append(f"c{i + 1} AS MATERIALIZED (SELECT c.grp, c.k, coalesce(avg(s.l), any_value(c.l)) AS l, coalesce(avg(s.a), any_value(c.a)) AS a, coalesce(avg(s.b), any_value(c.b)) AS b FROM c{i} c LEFT JOIN s{i} s ON s.grp = c.grp AND s.k = c.k GROUP BY c.grp, c.k)")
     return ", ".join(out) + f" SELECT grp, k, round(l, 4) AS l, round(a, 4) AS a, round(b, 4) AS b FROM c{rounds}"
 
 
@@ -176,7 +176,7 @@ ORACLES = {
     "a07_apportion": with_views("WITH w AS (SELECT grp, sum(red % 97)::DOUBLE AS wt FROM pixels GROUP BY grp), i AS (SELECT grp, wt / sum(wt) OVER () * (11 - count(*) OVER ()) AS ideal FROM w), r AS (SELECT *, 1 + floor(ideal) AS base, row_number() OVER (ORDER BY ideal - floor(ideal) DESC, grp) AS k FROM i) SELECT grp, CAST(base + CASE WHEN k <= 11 - sum(base) OVER () THEN 1 ELSE 0 END AS BIGINT) AS share FROM r", "pixels"),
     "x32_group_nearest": with_views(f"WITH {_LAB}, {_ENTRY} SELECT id, CASE WHEN valid THEN entry END::BIGINT AS entry FROM near", "pixels"),
     "a08_cluster_shares": with_views(f"WITH {_LAB}, {_ENTRY} SELECT entry::BIGINT AS entry, round(count(*) / (SELECT count(*) FROM near WHERE valid), 6) AS share FROM near WHERE valid GROUP BY 1", "pixels"),
-    "g08_kmeans": with_views(f"WITH {_LAB}, {_kmeans(2)}", "pixels"),
+    "g08_kmeans": with_views(f"WITH {_LAB}, {_kmeans(palette.ROUNDS)}", "pixels"),
     "g05_contours": with_views("WITH " + _TRI.format("cells", ", ".join(f"({v + 1e-6!r}::DOUBLE)" for v in LEVELS)) + " SELECT round(level, 6) AS level, r, c, half, round(least(e[1][1], e[2][1]), 4) AS x_min, round(greatest(e[1][1], e[2][1]), 4) AS x_max, round(least(e[1][2], e[2][2]), 4) AS y_min, round(greatest(e[1][2], e[2][2]), 4) AS y_max FROM p", "cells"),
     "g07_class_boundary": with_views("WITH forest AS (SELECT r, c, (CASE WHEN class = 1 THEN 1 ELSE 0 END)::DOUBLE AS z FROM class_cells), " + _TRI.format("forest", "(0.5::DOUBLE)") + " SELECT r, count(*) AS n, round(sum(sqrt((e[1][1] - e[2][1]) ^ 2 + (e[1][2] - e[2][2]) ^ 2)), 5) AS length FROM p GROUP BY r", "class_cells"),
     "fn34_smooth": with_views("WITH n AS (SELECT line, row_number() OVER w AS seg, lag(x) OVER w AS x0, x, lead(x) OVER w AS x2, lead(x, 2) OVER w AS x3, lag(y) OVER w AS y0, y, lead(y) OVER w AS y2, lead(y, 2) OVER w AS y3 FROM line_pts WINDOW w AS (PARTITION BY line ORDER BY seq)) SELECT line, seg::INT AS seg, i::INT AS i, " + ", ".join(f"round((((-0.5 * {c}0 + 1.5 * {c} - 1.5 * {c}2 + 0.5 * {c}3) * (i / 3) + ({c}0 - 2.5 * {c} + 2 * {c}2 - 0.5 * {c}3)) * (i / 3) + (-0.5 * {c}0 + 0.5 * {c}2)) * (i / 3) + {c}, 6) + 0.0::DOUBLE AS {c}" for c in ("x", "y")) + " FROM n, range(3) t(i) WHERE x0 IS NOT NULL AND x3 IS NOT NULL", "line_pts"),

@@ -84,7 +84,7 @@ def w10_kriging(s: SparkSession, d: str) -> DataFrame:
     """Classes of every fourth cell smoothed back to a finer lattice."""
     native = fx.class_cells(s, d).where("r % 4 = 0 AND c % 4 = 0").selectExpr("r DIV 4 AS r", "c DIV 4 AS c", "class")
     rows, columns = native.agg(F.max("r") + 1, F.max("c") + 1).first()
-    got = kriging.smooth(fx.spots(s, d), native, ["id"], F.col("y") * (rows - 1), F.col("x") * (columns - 1), "class", rows, columns)
+    got = kriging.smooth(fx.spots(s, d), native, F.col("y") * (rows - 1), F.col("x") * (columns - 1), "class", rows, columns)
     return got.select("id", "value")
 
 

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratafold.operators import focal, graph, sampling
+from stratafold.operators.ranking import ranked
 from stratafold.plans import fixtures as fx
 from stratafold.plans.fixtures import with_views
+from stratafold.session import materialize
 
 THRESHOLD = 80.0
 
 
 def fx00_height_frame(s: SparkSession, d: str) -> DataFrame:
     """One repair pass, elevation bounds, and each cell's height within them."""
-    repaired = focal.despike_once(fx.cells(s, d), "z", THRESHOLD)
+    # Written once: the bounds and the heights both read it.
+    repaired = materialize(focal.despike_once(fx.cells(s, d), "z", THRESHOLD).select("r", "c", "z"))
     bounds = repaired.agg(F.min("z").alias("low"), F.max("z").alias("high"))
     return repaired.join(F.broadcast(bounds)).select("r", "c", F.round(F.greatest((F.col("z") - F.col("low")) / F.greatest(F.col("high") - F.col("low"), F.lit(1.0)), F.lit(0.0)), 6).alias("height"))
 
@@ -42,10 +45,10 @@ def w05_gradient(s: SparkSession, d: str) -> DataFrame:
 
 
 def w06_slope_gates(s: SparkSession, d: str) -> DataFrame:
-    """Forest too steep becomes rock, or snow from the snowline up; snow too steep becomes rock; steep water becomes rock."""
+    """Forest too steep becomes rock, or snow from the snowline up (if there is one); snow too steep becomes rock; steep water becomes rock."""
     slopes = focal.gradient(fx.cells(s, d), "z", 10.0).select("r", "c", "z", "slope")
-    gated = slopes.join(fx.class_cells(s, d), ["r", "c"])
-    forest = F.when((F.col("class") == 1) & (F.col("slope") > 4.0), F.when(F.col("z") >= 60.0, 2).otherwise(0)).otherwise(F.col("class"))
+    gated = slopes.join(fx.class_cells(s, d), ["r", "c"]).join(F.broadcast(a21_snowline(s, d)))
+    forest = F.when((F.col("class") == 1) & (F.col("slope") > 4.0), F.when(F.col("z") >= F.col("snowline"), 2).otherwise(0)).otherwise(F.col("class"))
     snow = F.when((F.col("k") == 2) & (F.col("slope") > 6.0), 0).otherwise(F.col("k"))
     return gated.withColumn("k", forest).withColumn("k", snow).selectExpr("r", "c", "CASE WHEN k = 3 AND slope > 2 THEN 0 ELSE k END AS class", "class = 3 AND slope > 2 AS steep_water")
 
@@ -56,19 +59,19 @@ def _shape(s: SparkSession, d: str) -> tuple[int, int]:
 
 def w07_catmull(s: SparkSession, d: str) -> DataFrame:
     rows, columns = _shape(s, d)
-    got = sampling.bicubic(fx.spots(s, d), fx.cells(s, d), ["id"], F.col("y") * rows, F.col("x") * columns, "z", rows, columns)
+    got = sampling.bicubic(fx.spots(s, d), fx.cells(s, d), F.col("y") * rows, F.col("x") * columns, "z", rows, columns)
     return got.select("id", F.round("value", 5).alias("value"))
 
 
 def w08_bilinear(s: SparkSession, d: str) -> DataFrame:
     rows, columns = _shape(s, d)
-    got = sampling.bilinear(fx.spots(s, d), fx.cells(s, d), ["id"], F.col("y") * (rows - 1), F.col("x") * (columns - 1), "z", rows, columns)
+    got = sampling.bilinear(fx.spots(s, d), fx.cells(s, d), F.col("y") * (rows - 1), F.col("x") * (columns - 1), "z", rows, columns)
     return got.select("id", F.round("value", 5).alias("value"))
 
 
 def w09_class_vote(s: SparkSession, d: str) -> DataFrame:
     rows, columns = _shape(s, d)
-    got = sampling.class_vote(fx.spots(s, d), fx.class_cells(s, d), ["id"], F.col("y") * (rows - 1), F.col("x") * (columns - 1), "class", rows, columns)
+    got = sampling.class_vote(fx.spots(s, d), fx.class_cells(s, d), F.col("y") * (rows - 1), F.col("x") * (columns - 1), "class", rows, columns)
     return got.select("id", "value")
 
 
@@ -132,16 +135,19 @@ def a18_shared_frame(s: SparkSession, d: str) -> DataFrame:
 def a21_snowline(s: SparkSession, d: str) -> DataFrame:
     """The 10th-percentile elevation of snow, null where snow covers less than a hundredth."""
     joined = fx.cells(s, d).join(fx.class_cells(s, d), ["r", "c"])
-    return joined.agg(F.when(F.count_if(F.expr("class = 2")) * 100 >= F.count(F.lit(1)), F.expr("percentile_disc(0.1) WITHIN GROUP (ORDER BY CASE WHEN class = 2 THEN z END)")).alias("snowline"))
+    share = joined.agg((F.count_if(F.expr("class = 2")) * 100 >= F.count(F.lit(1))).alias("enough"))
+    ranks = ranked(joined.where("class = 2").select("class", "z"), ["class"], ["z"])
+    # The value at the truncated index; the ranks come from range partitions, so no task sorts all snow.
+    line = ranks.where("__k = (__n - 1) * 10 DIV 100").agg(F.max("z").alias("z"))
+    return share.join(F.broadcast(line)).select(F.when(F.col("enough"), F.col("z")).alias("snowline"))
 
 
 def a22_trunc_percentiles(s: SparkSession, d: str) -> DataFrame:
     """Percentiles at the truncated index (n - 1) * p, per class, with mean and greatest."""
     joined = fx.cells(s, d).join(fx.class_cells(s, d), ["r", "c"])
-    w = Window.partitionBy("class")
-    ranked = joined.select("class", "z", F.row_number().over(w.orderBy("z")).alias("k"), F.count(F.lit(1)).over(w).alias("n"))
-    at = [F.max(F.when(F.col("k") == F.floor((F.col("n") - 1) * p / 100) + 1, F.col("z"))).alias(f"p{p}") for p in (1, 50, 90, 99)]
-    return ranked.groupBy("class").agg(*at, F.round(F.avg("z"), 6).alias("mean"), F.max("z").alias("top"))
+    ranks = ranked(joined.select("class", "z"), ["class"], ["z"])
+    at = [F.max(F.when(F.col("__k") == F.floor((F.col("__n") - 1) * p / 100), F.col("z"))).alias(f"p{p}") for p in (1, 50, 90, 99)]
+    return ranks.groupBy("class").agg(*at, F.round(F.avg("z"), 6).alias("mean"), F.max("z").alias("top"))
 
 
 def a23_curvature(s: SparkSession, d: str) -> DataFrame:
@@ -179,9 +185,7 @@ def fn14_normal_height(s: SparkSession, d: str) -> DataFrame:
 
 def j15_neighbours(s: SparkSession, d: str) -> DataFrame:
     """How many of a cell's 4 neighbours share its class."""
-    down, across = Window.partitionBy("c").orderBy("r"), Window.partitionBy("r").orderBy("c")
-    same = [F.coalesce((f("class").over(w) == F.col("class")).cast("int"), F.lit(0)) for f in (F.lag, F.lead) for w in (down, across)]
-    return fx.class_cells(s, d).select("r", "c", (same[0] + same[1] + same[2] + same[3]).alias("same"))
+    return focal.matching_neighbours(fx.class_cells(s, d), "class").select("r", "c", "same")
 
 
 def j16_nearest_sample(s: SparkSession, d: str) -> DataFrame:
@@ -248,8 +252,8 @@ ORACLES = {
     "w03_despike": with_views(f"WITH {_RING} SELECT r, c, round(CASE WHEN {_HIT} THEN (n[4] + n[5]) / 2 ELSE z END, 6) AS z, {_HIT} AS replaced FROM ring", "cells"),
     "w04_despike_fixed_point": with_views(_passes(5), "cells"),
     "w05_gradient": with_views(f"WITH {_SLOPE} SELECT r, c, round(dx, 5) AS dx, round(dy, 5) AS dy, round(sqrt(dx * dx + dy * dy), 5) AS slope FROM g", "cells"),
-    "w06_slope_gates": with_views(f"""WITH {_SLOPE}, q AS (SELECT g.r, g.c, z, sqrt(dx * dx + dy * dy) AS slope, class FROM g JOIN class_cells k ON k.r = g.r AND k.c = g.c),
-        f AS (SELECT *, CASE WHEN class = 1 AND slope > 4 THEN CASE WHEN z >= 60 THEN 2 ELSE 0 END ELSE class END AS k1 FROM q), t AS (SELECT *, CASE WHEN k1 = 2 AND slope > 6 THEN 0 ELSE k1 END AS k2 FROM f)
+    "w06_slope_gates": with_views(f"""WITH {_SLOPE}, q AS (SELECT g.r, g.c, z, sqrt(dx * dx + dy * dy) AS slope, class FROM g JOIN class_cells k ON k.r = g.r AND k.c = g.c), n AS (SELECT z, row_number() OVER (ORDER BY z) AS k, count(*) OVER () AS n FROM q WHERE class = 2),
+        f AS (SELECT *, CASE WHEN class = 1 AND slope > 4 THEN CASE WHEN z >= (SELECT max(z) FILTER (k = (n - 1) * 10 // 100 + 1 AND n * 100 >= (SELECT count(*) FROM q)) FROM n) THEN 2 ELSE 0 END ELSE class END AS k1 FROM q), t AS (SELECT *, CASE WHEN k1 = 2 AND slope > 6 THEN 0 ELSE k1 END AS k2 FROM f)
         SELECT r, c, (CASE WHEN k2 = 3 AND slope > 2 THEN 0 ELSE k2 END)::INT AS class, class = 3 AND slope > 2 AS steep_water FROM t""", "cells", "class_cells"),
     "w07_catmull": with_views("""WITH size AS (SELECT max(r) + 1 AS h, max(c) + 1 AS w FROM cells), p AS (SELECT id, y * h - 0.5 AS y, x * w - 0.5 AS x, h, w FROM spots, size),
         k AS (SELECT p.id, y - floor(y) AS ty, x - floor(x) AS tx, i, j, z FROM p CROSS JOIN (VALUES (-1), (0), (1), (2)) a(i) CROSS JOIN (VALUES (-1), (0), (1), (2)) b(j)

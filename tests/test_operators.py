@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stratafold.functions import geo as G
 from stratafold.functions import hashing, tags, text
-from stratafold.operators import contour, focal, graph, mesh, palette, selecting, spatial, tables
+from stratafold.operators import contour, focal, graph, mesh, palette, ranking, sampling, selecting, spatial, tables
 from stratafold.plans import fixtures as fx
 from stratafold.queries import bookkeeping, vectors
 from tests.parity import DATA, rows, sql_rows
@@ -69,15 +69,58 @@ def test_gradient_of_a_plane(spark):
 SNAKE = ["#######", "......#", "#######", "#......", "#######"]
 
 
-def test_components_in_one_task_and_distributed(spark):
+@pytest.mark.parametrize("band_rows", [1, 2, 512])
+def test_components_within_and_across_bands(spark, monkeypatch, band_rows):
+    monkeypatch.setattr(graph, "BAND_ROWS", band_rows)
     rows = [(r, c, 1) for r, line in enumerate(SNAKE) for c, x in enumerate(line) if x == "#"] + [(8, 0, 1), (8, 1, 2)]
-    cells = spark.createDataFrame(rows, "r long, c long, k int")
-    runs = graph.runs_of(cells, "k")
+    runs = graph.runs_of(spark.createDataFrame(rows, "r long, c long, k int"), "k")
     edges = graph.run_edges(runs, "k", band=2)
-    nodes = runs.select(F.col("run_id").alias("id"))
-    one = sorted(map(tuple, graph.components(nodes, edges).collect()))
-    assert one == sorted(map(tuple, graph.components(nodes, edges, one_task_edges=-1).collect()))
-    assert len({label for _, label in one}) == 3
+    found = {r.id: r.label for r in graph.components(runs.select(F.col("run_id").alias("id")), edges).collect()}
+    assert len(found) == runs.count() and len(set(found.values())) == 3 and set(found.values()) == {0, 8 << 32, (8 << 32) + 1}
+
+
+def test_components_of_a_long_path_and_text_ids(spark):
+    # A path that visits bands in turn: neighbours are never of one partition.
+    edges = spark.createDataFrame([(f"{i:04d}", f"{i + 1:04d}", i % 7) for i in range(300) if i != 150], "a string, b string, place int")
+    nodes = spark.createDataFrame([(f"{i:04d}",) for i in range(302)], "id string")
+    found = {r.id: r.label for r in graph.components(nodes, edges).collect()}
+    assert found == {f"{i:04d}": "0000" if i <= 150 else "0151" if i <= 300 else "0301" for i in range(302)}
+    assert {r.label for r in graph.components(nodes, edges.drop("place")).collect()} == {"0000", "0151", "0301"}
+
+
+def test_tiles_give_what_the_whole_raster_gives(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    z = rng.integers(0, 5, (11, 13)).astype(float)
+    monkeypatch.setattr(focal, "TILE", 4)
+    padded = np.pad(z, 1, mode="reflect")
+    ring = {(r.r, r.c): list(r.ring) for r in focal.with_ring(grid(spark, z), "z").collect()}
+    assert ring == {(i, j): [padded[i + a, j + b] for a, b in ((0, 0), (0, 1), (0, 2), (1, 0), (1, 2), (2, 0), (2, 1), (2, 2))] for i in range(11) for j in range(13)}
+    dy, dx = np.gradient(z)
+    got = {(r.r, r.c): (r.dx, r.dy) for r in focal.gradient(grid(spark, z), "z", 1.0).collect()}
+    assert len(got) == z.size and all(got[i, j] == (dx[i, j], dy[i, j]) for i in range(11) for j in range(13))
+    squares = {(r.r, r.c): (r.z, r.z1, r.z2, r.z3) for r in focal.with_square(grid(spark, z), "z").collect()}
+    assert squares == {(i, j): (z[i, j], z[i, j + 1], z[i + 1, j + 1], z[i + 1, j]) for i in range(10) for j in range(12)}
+
+
+def test_ranks_within_groups(spark):
+    rnd = random.Random(1)
+    rows = [(rnd.choice(["a", "a", "b", None]), rnd.randrange(50), i) for i in range(2000)]
+    got = ranking.ranked(spark.createDataFrame(rows, "g string, v int, part int"), ["g"], ["v"]).collect()
+    for g in ("a", "b", None):
+        values = sorted((r["__k"], r.v) for r in got if r.g == g)
+        assert [k for k, _ in values] == list(range(len(values))) and [v for _, v in values] == sorted(v for h, v, _ in rows if h == g)
+        assert {r["__n"] for r in got if r.g == g} == {len(values)}
+    assert ranking.ranked(spark.createDataFrame([], "g string, v int"), ["g"], ["v"]).count() == 0
+
+
+def test_samples_of_a_raster_with_gaps(spark):
+    cells = [(r, c, 10.0 * r + c) for r in range(40) for c in range(40) if (r, c) != (20, 20)]
+    raster = spark.createDataFrame(cells, "r long, c long, z double")
+    samples = spark.createDataFrame([(1, 3.25, 4.5), (2, 0.0, 39.0), (3, 20.0, 20.5), (4, 16.5, 15.5), (5, 21.0, 21.0)], "id int, y double, x double")
+    got = {r.id: r.value for r in sampling.bilinear(samples, raster, F.col("y"), F.col("x"), "z", 40, 40).collect()}
+    assert got == {1: 37.0, 2: 39.0, 3: None, 4: 180.5, 5: 231.0}
+    cubic = {r.id: r.value for r in sampling.bicubic(samples, raster, F.col("y") + 0.5, F.col("x") + 0.5, "z", 40, 40).collect()}
+    assert cubic[1] == pytest.approx(37.0) and cubic[4] == pytest.approx(180.5)
 
 
 def test_flood_golden_count(spark):
@@ -146,9 +189,31 @@ def test_palette_finds_three_solid_colours(spark):
     assert all(r.entry == (r.id % 3 if r.id > 2 else None) for r in entries)
 
 
-def test_merge_close_drops_rare_entries_but_one():
-    assert palette.merge_close([(0.5, 0, 0), (0.505, 0, 0), (0.9, 0, 0)], [0.5, 0.49, 0.01], 0.05) == [pytest.approx((0.502474747, 0, 0))]
-    assert len(palette.merge_close([(0.1, 0, 0), (0.9, 0, 0)], [0.01, 0.02], 0.5)) == 1
+def counted(*points):
+    """Shares of the points that lie nearest to each entry, the first on a tie."""
+
+    def shares(entries):
+        near = [min(range(len(entries)), key=lambda i: (math.dist(p, entries[i]), i)) for p in points for _ in range(1)]
+        return [near.count(i) / len(points) for i in range(len(entries))]
+
+    return shares
+
+
+def test_merge_close_takes_shares_anew_at_every_step():
+    points = [(0.5, 0, 0)] * 50 + [(0.505, 0, 0)] * 49 + [(0.9, 0, 0)]
+    assert palette.merge_close([(0.5, 0, 0), (0.505, 0, 0), (0.9, 0, 0)], counted(*points), 0.05) == [pytest.approx((0.502475, 0, 0), abs=1e-6)]
+    assert len(palette.merge_close([(0.1, 0, 0), (0.9, 0, 0)], counted((0.1, 0, 0), (0.9, 0, 0)), 0.9)) == 1
+    # An entry that inherits the points of a dropped one is no longer too small.
+    points = [(0.1, 0, 0)] * 6 + [(0.3, 0, 0)] * 7 + [(0.9, 0, 0)] * 87
+    assert palette.merge_close([(0.1, 0, 0), (0.3, 0, 0), (0.9, 0, 0)], counted(*points), 0.1) == [(0.3, 0, 0), (0.9, 0, 0)]
+
+
+def test_colours_that_print_as_one_merge_at_any_distance():
+    from stratafold.functions.colour import hex_of
+
+    a, b = (1.05, 0.0, 0.0), (1.2, 0.0, 0.0)
+    assert hex_of(a) == hex_of(b) == "#FFFFFF"
+    assert len(palette.merge_close([a, b, (0.5, 0, 0)], counted(a, b, (0.5, 0, 0)), 0.0)) == 2
 
 
 def test_contour_of_a_cone_is_one_closed_line(spark):
@@ -159,7 +224,18 @@ def test_contour_of_a_cone_is_one_closed_line(spark):
 
 def test_chain_goes_straight_on_at_branches():
     ends = [((0, 0), (1, 0)), ((1, 0), (2, 0)), ((1, 0), (1, 1))]
-    assert contour.chain(ends)[0] == [(0, 0), (1, 0), (2, 0)]
+    assert contour.chain(ends) == [[(0, 0), (1, 0), (2, 0)]]
+    # A loop that hangs on a branch starts there and closes; the tail to it is a line of its own.
+    loop = [((2, 0), (3, 1)), ((3, 1), (4, 0)), ((4, 0), (3, -1)), ((3, -1), (2, 0)), ((2, 0), (1, 0)), ((1, 0), (0, 0))]
+    lines = contour.chain(loop)
+    assert sorted(map(len, lines)) == [3, 5] and next(x for x in lines if len(x) == 5)[0] == (2, 0)
+
+
+def test_contour_lines_keep_rasters_apart(spark):
+    cone = [[20 - math.hypot(r - 10, c - 10) for c in range(21)] for r in range(21)]
+    two = grid(spark, cone).withColumn("tile", F.lit("a")).unionByName(grid(spark, cone).withColumn("tile", F.lit("b")))
+    lines = contour.lines(contour.segments(two, "z", F.array(F.lit(14.0 + 1e-6)), ["tile"]), ["tile"]).collect()
+    assert sorted((x.tile, x.closed) for x in lines) == [("a", True), ("b", True)]
 
 
 TETRAHEDRON = [(0, 0, 2, 1), (1, 0, 1, 3), (2, 1, 2, 3), (3, 0, 3, 2)]

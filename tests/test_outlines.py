@@ -44,6 +44,43 @@ def test_convex_clip_and_simplify():
     assert abs(outlines.shoelace(outlines.clip_convex([(0.5, 0.5), (1.5, 0.5), (1.5, 1.5), (0.5, 1.5)], window))) == pytest.approx(0.25)
     assert outlines.clip_convex([(2, 2), (3, 2), (3, 3)], window) == []
     assert outlines.simplify([(0, 0), (0.5, 0), (1, 0), (1, 1), (0.5, 0.5)]) == [(0, 0), (1, 0), (1, 1)]
+    # A spike turns back on its line and stays; so does an arc whose chord would stray.
+    assert outlines.simplify([(0, 0), (2, 0), (1, 0), (1, 1)]) == [(0, 0), (2, 0), (1, 0), (1, 1)]
+    arc = [(np.cos(t), np.sin(t)) for t in np.linspace(0, 2 * np.pi, 2000, endpoint=False)]
+    kept = outlines.simplify(arc)
+    assert 3 < len(kept) < 1000 and abs(abs(outlines.shoelace(kept)) - np.pi) < 5e-3
+
+
+def test_chains_join_end_to_start():
+    line = lambda *xs: [(float(x), 0.0) for x in xs]
+    assert outlines.join_chains([line(2, 3), line(0, 1), line(1, 2), line(7, 8)]) == [line(0, 1, 2, 3), line(7, 8)]
+    assert outlines.join_chains([line(5)]) == []
+    circle = [[(0, 0), (1, 0)], [(1, 1), (0, 0)], [(1, 0), (1, 1)]]
+    assert outlines.join_chains(circle) == [[(0, 0), (1, 0), (1, 1), (0, 0)]]
+    many = [[(float(i), 0.0), (float(i + 1), 0.0)] for i in reversed(range(5000))]
+    assert [len(c) for c in outlines.join_chains(many)] == [5001]
+
+
+def test_rings_assemble_from_either_end():
+    a, b, c = [(0, 0), (1, 0)], [(1, 1), (1, 0)], [(1, 1), (0, 1), (0, 0)]
+    rings, dropped = outlines.assemble_rings([a, b, c, [(5, 5), (6, 6)], [(9, 9)]])
+    assert dropped == 1 and len(rings) == 1 and sorted(rings[0]) == [(0, 0), (0, 1), (1, 0), (1, 1)] and abs(outlines.shoelace(rings[0])) == 1
+
+
+def test_kriged_classes_against_the_stencils(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(2)
+    k = rng.integers(0, 3, (9, 8))
+    native = spark.createDataFrame([(r, c, int(k[r, c])) for r in range(9) for c in range(8)], "r long, c long, k int")
+    points = [(i, float(y), float(x)) for i, (y, x) in enumerate(zip(rng.uniform(0, 8, 60), rng.uniform(0, 7, 60)))]
+    got = {r.id: r.value for r in kriging.smooth(spark.createDataFrame(points, "id int, y double, x double"), native, F.col("y"), F.col("x"), "k", 9, 8).collect()}
+    table = kriging.stencils(3.0, 0.1)
+    for i, y, x in points:
+        r, c = min(int(y), 7), min(int(x), 6)
+        near = k[np.clip(np.arange(r - 1, r + 3), 0, 8)][:, np.clip(np.arange(c - 1, c + 3), 0, 7)].ravel()
+        w = table[int((y - r) * 16 + 0.5), int((x - c) * 16 + 0.5)]
+        assert got[i] == max((round(w[near == v].sum(), 9), v) for v in set(near.tolist()))[1]
 
 
 def test_outline_problems(spark):
