@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,15 +46,58 @@ def edge_sign(seed: Column, orientation: Column, segment: Column, line: Column)
     return _edge_sign(*(c.cast("long") for c in (seed, orientation, segment, line)))
 
 
+def fnv1a64_of(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """FNV-1a of byte strings that lie one after the other: a step takes the next byte of every string that has one."""
+    order = np.argsort(-sizes, kind="stable")
+    start = (np.cumsum(sizes) - sizes)[order]
+    active = np.searchsorted(-sizes[order], -np.arange(1, (sizes.max() if len(sizes) else 0) + 1), "right")
+    state = np.full(len(sizes), FNV_OFFSET, np.uint64)
+    with np.errstate(over="ignore"):
+        for t, n in enumerate(active):
+            state[:n] = (state[:n] ^ flat[start[:n] + t]) * np.uint64(FNV_PRIME)
+    out = np.empty_like(state)
+    out[order] = state
+    return out
+
+
 @F.pandas_udf(T.LongType())
 def fnv1a64(text: pd.Series) -> pd.Series:
     """FNV-1a of the text's UTF-8 bytes as a signed bit pattern, null for null."""
-    def one(t: str | None) -> int | None:
-        if t is None:
-            return None
-        h = FNV_OFFSET
-        for b in t.encode():
-            h = (h ^ b) * FNV_PRIME & 0xFFFFFFFFFFFFFFFF
-        return h - (1 << 64) if h >> 63 else h
-
-    return text.map(one).astype("Int64")
+    held = [t.encode() if t is not None else b"" for t in text]
+    state = fnv1a64_of(np.frombuffer(b"".join(held), np.uint8), np.array([len(b) for b in held], np.int64))
+    return pd.Series(state.view(np.int64), dtype="Int64").mask(text.isna().to_numpy())
+
+
+@F.arrow_udf(T.LongType())
+def geometry_fingerprint(points: pa.Array) -> pa.Array:
+    """FNV-1a over a line or ring, in order: the number of points as 8 bytes, then the two coordinates of each as 4-byte floats,
+    all little-endian; a signed bit pattern. Null for null; null points and coordinates count as NaN."""
+    counts = pc.fill_null(pc.list_value_length(points), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = points.flatten()
+    pairs = np.stack([pc.cast(flat.field(i), pa.float32(), safe=False).to_numpy(zero_copy_only=False) for i in (0, 1)], axis=1) if len(flat) else np.zeros((0, 2), np.float32)
+    sizes = 8 + 8 * counts
+    data = np.zeros(int(sizes.sum()), np.uint8)
+    start = np.cumsum(sizes) - sizes
+    head = (start[:, None] + np.arange(8)).ravel()
+    data[head] = counts.astype("<u8").view(np.uint8)
+    body = np.ones(len(data), np.bool_)
+    body[head] = False
+    data[body] = np.ascontiguousarray(pairs.astype("<f4")).view(np.uint8).ravel()
+    return pa.array(fnv1a64_of(data, sizes).view(np.int64), mask=points.is_null().to_numpy(zero_copy_only=False))
+
+
+@F.pandas_udf(T.DoubleType())
+def _grid_noise(row: pd.Series, column: pd.Series, seed: pd.Series, lane: pd.Series) -> pd.Series:
+    with np.errstate(over="ignore"):
+        key = (row.to_numpy(np.int64).view(np.uint64) & np.uint64(0xFFFFFFFF)) << np.uint64(32) | (column.to_numpy(np.int64).view(np.uint64) & np.uint64(0xFFFFFFFF))
+        mixed = key ^ seed.to_numpy(np.int64).view(np.uint64) * np.uint64(SEED_MULTIPLIER)
+    lanes = lane.to_numpy()
+    out = np.zeros(len(mixed))
+    for k in np.unique(lanes):
+        out[lanes == k] = noise(mixed[lanes == k], int(k))
+    return pd.Series(out)
+
+
+def grid_noise(row: Column, column: Column, seed: Column, lane: Column) -> Column:
+    """0..1, the same for a grid point from all pieces that share it."""
+    return _grid_noise(*(c.cast("long") for c in (row, column, seed, lane)))

@@ -144,6 +144,20 @@ def assemble_rings(lines: Sequence[Sequence[Point]], near: float = 1e-7) -> tupl
     return rings, open_chains
 
 
+def ring_covers(ring: Sequence[Point], p: Point) -> bool:
+    """Even-odd test of a point against a ring without its repeated first point."""
+    inside = False
+    for (ax, ay), (bx, by) in zip(ring, [*ring[1:], *ring[:1]]):
+        if (ay > p[1]) != (by > p[1]) and p[0] < (bx - ax) * (p[1] - ay) / (by - ay) + ax:
+            inside = not inside
+    return inside
+
+
+def ring_holds(ring: Sequence[Point], other: Sequence[Point]) -> bool:
+    """Whether every point of another ring lies in a ring."""
+    return bool(other) and all(ring_covers(ring, p) for p in other)
+
+
 def _cut(a: Point, b: Point) -> tuple[float, float] | None:
     """Where a segment runs inside the unit square, as shares of its length."""
     lo, hi = 0.0, 1.0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-MODULES = ("records", "tagging", "geodesy", "rasters", "vectors", "bookkeeping", "texts", "colouring", "extras", "polygons")
+MODULES = ("records", "tagging", "geodesy", "rasters", "vectors", "bookkeeping", "texts", "colouring", "extras", "polygons", "pipelines")
 
 
 def _merged(what: str) -> dict:

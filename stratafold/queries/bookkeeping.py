@@ -73,8 +73,8 @@ def o11_order_override(s: SparkSession, d: str) -> DataFrame:
 
 
 def u01_union_dedup(s: SparkSession, d: str) -> DataFrame:
-    """Two overlapping responses as one set of elements."""
-    a, b = fx.grown(s, d).where("id % 3 <> 0"), fx.grown(s, d).where("id % 5 <> 0")
+    """Two overlapping responses, which hold all elements between them, as one set."""
+    a, b = fx.grown(s, d).where("id % 3 <> 0"), fx.grown(s, d).where("id % 3 <> 1")
     return a.unionByName(b).groupBy("type", "id").agg(F.max("richness").alias("richness"))
 
 
@@ -136,13 +136,6 @@ def k08_conditional_update(s: SparkSession, d: str) -> DataFrame:
 
 
 def k09_upsert(s: SparkSession, d: str) -> DataFrame:
-    """Setups of one export upserted by name with those of the next; ids and creation times stay."""
-    rows = fx.read(s, d, "saved_setups").select("id", "name", F.unix_micros("created_at").alias("created"), F.unix_micros("updated_at").alias("updated"), "export_no")
-    one = lambda e: rows.where(f"export_no = {e}").groupBy("name").agg(F.min("id").alias("id"), F.min("created").alias("created"), F.max("updated").alias("updated")).select("id", "name", "created", "updated")
-    return tables.upsert(one(1), one(2), "name", ("id", "created"))
-
-
-def k09_upsert_all(s: SparkSession, d: str) -> DataFrame:
     """Setups upserted by name export after export: all before the last as the table, the last as what comes in.
 
     Of the upserts before the last remain the first id and creation time of a name and its last update, so one grouping by
@@ -214,7 +207,7 @@ def t09_files_read(s: SparkSession, d: str) -> DataFrame:
 
 
 _KIND = "CASE WHEN trim(element_type) IS NULL OR trim(element_type) = '' THEN 'way' ELSE lower(trim(element_type)) END"
-QUERIES = {f.__name__: f for f in (o01_recent, a14_timing_rollup, o02_slowest8, o03_keep5, o04_greedy_budget, o06_largest, o07_stride, o08_fit_sample, o09_quantile_seed, o10_slots, o11_order_override, u01_union_dedup, u04_source_set, a19_richest, a19_ways, a20_cache_totals, a24_upper_median, s10_covering, s13_geocoder_cache, s17_recent_jobs, k08_conditional_update, k09_upsert, k09_upsert_all, k10_rename, k11_archive, k12_restore, k13_cascade, k14_age_delete, k15_recover, t02_monotonic, t03_latest, t05_state_fold, t09_files_read)}
+QUERIES = {f.__name__: f for f in (o01_recent, a14_timing_rollup, o02_slowest8, o03_keep5, o04_greedy_budget, o06_largest, o07_stride, o08_fit_sample, o09_quantile_seed, o10_slots, o11_order_override, u01_union_dedup, u04_source_set, a19_richest, a19_ways, a20_cache_totals, a24_upper_median, s10_covering, s13_geocoder_cache, s17_recent_jobs, k08_conditional_update, k09_upsert, k10_rename, k11_archive, k12_restore, k13_cascade, k14_age_delete, k15_recover, t02_monotonic, t03_latest, t05_state_fold, t09_files_read)}
 ORACLES = {
     "o01_recent": with_views("SELECT * FROM job_rows ORDER BY created_at DESC, id LIMIT 20", "job_rows"),
     "a14_timing_rollup": with_views("SELECT phase, sum(us)::BIGINT AS total, min(us) AS least, max(us) AS most, count(*) AS n FROM timings GROUP BY phase", "timings"),
@@ -229,7 +222,7 @@ ORACLES = {
     "o09_quantile_seed": with_views("WITH n AS (SELECT grp, red, row_number() OVER (PARTITION BY grp ORDER BY red) - 1 AS k, count(*) OVER (PARTITION BY grp) AS n FROM (SELECT DISTINCT grp, red FROM pixels)) SELECT grp, i::INT AS i, red FROM n, range(4) t(i) WHERE k = i * (n - 1) // 3", "pixels"),
     "o10_slots": with_views("WITH c AS (SELECT id, upper('#' || lpad(to_hex(red % 4 * 60), 2, '0') || lpad(to_hex(green % 3 * 80), 2, '0') || lpad(to_hex(blue % 2 * 200), 2, '0')) AS colour FROM pixels) SELECT colour, (row_number() OVER (ORDER BY min(id)) - 1)::INT AS slot FROM c GROUP BY colour", "pixels"),
     "o11_order_override": "WITH a AS (SELECT * FROM (VALUES (0, 'JAPAN'), (1, 'BRAZIL'), (2, 'JAPAN'), (3, 'CANADA')) v(ord, name) WHERE name IN (SELECT n_name FROM nation) UNION ALL SELECT n_nationkey + 1000, n_name FROM nation) SELECT name, row_number() OVER (ORDER BY min(ord))::INT AS place FROM a GROUP BY name",
-    "u01_union_dedup": with_views("SELECT type, id, max(richness) AS richness FROM grown WHERE id % 3 <> 0 OR id % 5 <> 0 GROUP BY type, id", "grown"),
+    "u01_union_dedup": with_views("SELECT type, id, max(richness) AS richness FROM grown GROUP BY type, id", "grown"),
     "u04_source_set": "SELECT layer, coalesce(string_agg(DISTINCT tags['source'], '|' ORDER BY tags['source']), '') AS sources FROM overpass_ways GROUP BY layer",
     "a19_richest": with_views("SELECT type, id, richness, l_orderkey, l_linenumber FROM grown WHERE id <> 0 QUALIFY row_number() OVER (PARTITION BY type, id ORDER BY richness DESC, l_orderkey, l_linenumber, l_suppkey, l_extendedprice, l_shipdate, l_discount, l_tax) = 1 UNION ALL SELECT type, id, richness, l_orderkey, l_linenumber FROM grown WHERE id = 0", "grown"),
     "a19_ways": f"WITH r AS (SELECT delivery_id, coalesce(id, 0) AS id, {_KIND} AS kind, (coalesce(cardinality(tags), 0) + coalesce(len(geometry), 0) + coalesce(len(members), 0))::INT AS richness FROM overpass_ways) SELECT * FROM r WHERE id <> 0 QUALIFY row_number() OVER (PARTITION BY kind, id ORDER BY richness DESC, delivery_id) = 1 UNION ALL SELECT * FROM r WHERE id = 0",
@@ -239,9 +232,7 @@ ORACLES = {
     "s13_geocoder_cache": "SELECT lower(query) AS q, count(*) AS n, count(response_json) AS answered, max(cache_id) FILTER (response_json IS NOT NULL) AS newest FROM place_search_cache WHERE length(lower(query)) BETWEEN 2 AND 120 GROUP BY 1",
     "s17_recent_jobs": "SELECT id, status FROM (SELECT DISTINCT id, status, created_at FROM jobs) ORDER BY created_at DESC NULLS LAST, id, status LIMIT 25",
     "k08_conditional_update": "SELECT id, CASE WHEN status <> 'canceled' THEN 'running' ELSE status END AS status, CASE WHEN status <> 'canceled' THEN greatest(progress, 50) ELSE progress END AS progress FROM (SELECT DISTINCT id, status, progress FROM jobs)",
-    "k09_upsert": """WITH r AS (SELECT export_no, name, min(id) AS id, min(epoch_us(created_at)) AS created, max(epoch_us(updated_at)) AS updated FROM saved_setups GROUP BY 1, 2), o AS (SELECT * FROM r WHERE export_no = 1), n AS (SELECT * FROM r WHERE export_no = 2)
-        SELECT coalesce(o.id, n.id) AS id, coalesce(o.name, n.name) AS name, coalesce(o.created, n.created) AS created, CASE WHEN n.id IS NOT NULL THEN n.updated ELSE o.updated END AS updated, CASE WHEN n.id IS NOT NULL THEN o.id IS NULL END AS is_new FROM o FULL JOIN n ON o.name = n.name""",
-    "k09_upsert_all": """WITH r AS (SELECT export_no, name, min(id) AS id, min(epoch_us(created_at)) AS created, max(epoch_us(updated_at)) AS updated FROM saved_setups GROUP BY 1, 2), m AS (SELECT max(export_no) AS last_no FROM saved_setups)
+    "k09_upsert": """WITH r AS (SELECT export_no, name, min(id) AS id, min(epoch_us(created_at)) AS created, max(epoch_us(updated_at)) AS updated FROM saved_setups GROUP BY 1, 2), m AS (SELECT max(export_no) AS last_no FROM saved_setups)
         SELECT first(id ORDER BY export_no) AS id, name, first(created ORDER BY export_no) AS created, last(updated ORDER BY export_no) AS updated, CASE WHEN max(export_no) = any_value(last_no) THEN count(*) = 1 END AS is_new FROM r, m GROUP BY name""",
     "k10_rename": "WITH a AS (SELECT n_nationkey AS id, CASE WHEN n_nationkey % 2 = 0 THEN n_name || ' 2' ELSE 'PERU' END AS wanted FROM nation) SELECT id, wanted, EXISTS (SELECT 1 FROM nation WHERE n_name = wanted AND n_nationkey <> id) AS refused FROM a",
     "k11_archive": "SELECT id, setup_id, saved, export_no FROM (SELECT DISTINCT id, setup_id, epoch_us(saved_at) AS saved, export_no FROM saved_setup_versions) QUALIFY row_number() OVER (PARTITION BY setup_id ORDER BY saved DESC NULLS LAST, export_no DESC, id) <= 5",

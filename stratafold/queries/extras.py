@@ -171,16 +171,11 @@ def g21_tile_specs(s: SparkSession, d: str) -> DataFrame:
     return spots.select("id", "tile_row", "tile_column", F.round(lat, 5).alias("lat"), F.round(lon, 5).alias("lon"))
 
 
-def g22_printable(s: SparkSession, d: str) -> DataFrame:
-    """Cells of a 10 by 10 grid with a sample inside the shell of an area of class 3."""
-    samples = s.range(0, 10000).selectExpr("id DIV 1000 AS piece_row", "id DIV 100 % 10 AS piece_column", "(id DIV 1000) / 10D + (id % 100 DIV 10 + 0.5) / 100 AS y", "(id DIV 100 % 10) / 10D + (id % 10 + 0.5) / 100 AS x")
-    shells = fx.area_rings(s, d).where("class = 3").selectExpr("shell", "CAST(array() AS array<array<struct<x: double, y: double>>>) AS holes")
-    return spatial.points_in_areas(samples, shells).select("piece_row", "piece_column").distinct()
-
-
 def g25_retention(s: SparkSession, d: str) -> DataFrame:
-    """Centres of the segments of a solid model's tray."""
-    return s.range(0, 12).selectExpr("id DIV 4 AS segment_row", "id % 4 AS segment_column", "200 * (id % 4 + 0.5D) / 4 AS x", "150 * (id DIV 4 + 0.5D) / 3 AS y")
+    """Centres of the tray's segments of every mosaic: each station's model is cut by its id into 1 to 4 rows and columns."""
+    sizes = fx.stations(s, d).selectExpr("id", "CAST(id % 4 + 1 AS INT) AS rows", "CAST(id DIV 4 % 4 + 1 AS INT) AS columns", "100D + id % 7 * 20 AS wide", "80D + id % 5 * 15 AS high")
+    cells = sizes.withColumn("segment_row", F.explode(F.sequence(F.lit(0), F.col("rows") - 1))).withColumn("segment_column", F.explode(F.sequence(F.lit(0), F.col("columns") - 1)))
+    return cells.selectExpr("id", "segment_row", "segment_column", "round(wide * (segment_column + 0.5D) / columns, 6) AS x", "round(high * (segment_row + 0.5D) / rows, 6) AS y")
 
 
 def x03_water_budget(s: SparkSession, d: str) -> DataFrame:
@@ -243,7 +238,7 @@ _T = "((b.x1 - b.x0) * (a.y{0} - b.y0) - (b.y1 - b.y0) * (a.x{0} - b.x0))"
 _U = "((a.x1 - a.x0) * (b.y{0} - a.y0) - (a.y1 - a.y0) * (b.x{0} - a.x0))"
 _PHI = "radians(least(greatest(lat, -85.05112878), 85.05112878))"
 
-QUERIES = {f.__name__: f for f in (s08_tile_gaps, s11_pushed_filter, s12_places, s16_artifacts, s19_synthetic, pr13_box_intersect, pr14_detail_filter, pr15_validity, pr17_outlines, pr18_can_paint, pr19_preselect, w10_kriging, w11_smoothing_gate, w17_profile, w18_ordinals, j04_bucket_candidates, j14_joined_ends, u05_convex_clip, g03_seas, g19_strip_parity, g20_puzzle_edges, g21_tile_specs, g22_printable, g25_retention, x03_water_budget, x05_road_layers, x08_grid_points, x16_safe_edges, x19_crossings, x28_split_tiles)}
+QUERIES = {f.__name__: f for f in (s08_tile_gaps, s11_pushed_filter, s12_places, s16_artifacts, s19_synthetic, pr13_box_intersect, pr14_detail_filter, pr15_validity, pr17_outlines, pr18_can_paint, pr19_preselect, w10_kriging, w11_smoothing_gate, w17_profile, w18_ordinals, j04_bucket_candidates, j14_joined_ends, u05_convex_clip, g03_seas, g19_strip_parity, g20_puzzle_edges, g21_tile_specs, g25_retention, x03_water_budget, x05_road_layers, x08_grid_points, x16_safe_edges, x19_crossings, x28_split_tiles)}
 ORACLES = {
     "s08_tile_gaps": "SELECT DISTINCT tile_key FROM overpass_ways WHERE tile_key IS NOT NULL AND tile_key NOT IN (SELECT tile_key FROM overpass_responses WHERE body_json IS NOT NULL AND tile_key IS NOT NULL)",
     "s11_pushed_filter": with_views("SELECT id, tags['railway'] AS kind FROM ways WHERE tags['railway'] IN ('rail', 'tram', 'narrow_gauge') AND geometry[1].lat BETWEEN -45 AND 55 AND geometry[1].lon BETWEEN -120 AND 140", "ways"),
@@ -267,8 +262,7 @@ ORACLES = {
         a AS (SELECT * REPLACE ({_mul(_shift('v', 30), hashing.MIX_1)} AS v) FROM s), b AS (SELECT * REPLACE ({_mul(_shift('v', 27), hashing.MIX_2)} AS v) FROM a), c AS (SELECT * REPLACE ({_shift('v', 31)} AS v) FROM b)
         SELECT orientation::BIGINT AS orientation, line::INT AS line, segment::INT AS segment, CASE WHEN line = 0 OR line = CASE orientation WHEN 0 THEN 9 ELSE 12 END THEN 0 WHEN (v // {1 << 40}::UHUGEINT)::DOUBLE / 16777215 < 0.5 THEN -1 ELSE 1 END::DOUBLE AS sign FROM c""",
     "g21_tile_specs": with_views("WITH k AS (SELECT *, radians(id * 13 % 360) AS a, (tc - 1) * 18.0::DOUBLE AS e, (tr - 0.5::DOUBLE) * 18 AS n FROM stations, range(2) p(tr), range(3) q(tc)) SELECT id, tr::INT AS tile_row, tc::INT AS tile_column, round(lat + (-e * sin(a) + n * cos(a)) / 110.574, 5) AS lat, round(x + 180 - 360 * floor((x + 180) / 360) - 180, 5) AS lon FROM (SELECT *, lon + (e * cos(a) + n * sin(a)) / greatest(111.32 * abs(cos(radians(lat))), 20) AS x FROM k)", "stations"),
-    "g22_printable": with_views("SELECT DISTINCT i // 10 AS piece_row, j // 10 AS piece_column FROM range(100) a(i), range(100) b(j), areas WHERE areas.class = 3 AND greatest(abs((j + 0.5) / 100 - cx), abs((i + 0.5) / 100 - cy)) < h", "areas"),
-    "g25_retention": "SELECT r AS segment_row, c AS segment_column, 200 * (c + 0.5::DOUBLE) / 4 AS x, 150 * (r + 0.5::DOUBLE) / 3 AS y FROM range(3) a(r), range(4) b(c)",
+    "g25_retention": with_views("SELECT id, a::INT AS segment_row, b::INT AS segment_column, round(wide * (b + 0.5::DOUBLE) / columns, 6) AS x, round(high * (a + 0.5::DOUBLE) / rows_, 6) AS y FROM (SELECT id, id % 4 + 1 AS rows_, id // 4 % 4 + 1 AS columns, 100::DOUBLE + id % 7 * 20 AS wide, 80::DOUBLE + id % 5 * 15 AS high FROM stations), range(4) r(a), range(4) c(b) WHERE a < rows_ AND b < columns", "stations"),
     "x05_road_layers": with_views("SELECT tags['highway'] AS kind, count(*) AS n FROM ways WHERE tags['highway'] IN (" + ", ".join(f"'{k}'" for k in T.ROAD_SCALES if k not in T.TRAILS) + ") GROUP BY 1", "ways"),
     "x16_safe_edges": with_views("SELECT id AS owner, hole_h IS NULL AS safe FROM areas", "areas"),
     "x19_crossings": with_views("WITH small AS (SELECT line, seq, line * 7919 % 997 / 997 + (x - 0.5) * 0.02 AS x, line * 104729 % 991 / 991 + (y - 0.5) * 0.02 AS y FROM line_pts), " + _SEGS.rstrip(", ").replace("FROM line_pts", "FROM small") + f" SELECT a.line AS line1, a.seg::INT AS seg1, b.line AS line2, b.seg::INT AS seg2 FROM s a JOIN s b ON a.line < b.line AND abs(a.x0 - b.x0) < 0.05 AND abs(a.y0 - b.y0) < 0.05 AND a.x1 IS NOT NULL AND b.x1 IS NOT NULL AND {_T.format(0)} * {_T.format(1)} < 0 AND {_U.format(0)} * {_U.format(1)} < 0", "line_pts"),

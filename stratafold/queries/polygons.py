@@ -125,6 +125,12 @@ def x22_blob_boundary(s: SparkSession, d: str) -> DataFrame:
     return hits.select("id", "area", F.round(near, 6).alias("distance"))
 
 
+def g22_printable(s: SparkSession, d: str) -> DataFrame:
+    """Pieces of a 10 by 10 puzzle with at least one of their 10 by 10 samples in some area."""
+    samples = s.range(0, 10000).selectExpr("id AS sample", "id DIV 1000 AS piece_row", "id DIV 100 % 10 AS piece_column", "(id DIV 1000) / 10D + (id % 100 DIV 10 + 0.5) / 100 AS y", "(id DIV 100 % 10) / 10D + (id % 10 + 0.5) / 100 AS x")
+    return _hits(samples, s, d).select("piece_row", "piece_column").distinct()
+
+
 def x16_safe_curves(s: SparkSession, d: str) -> DataFrame:
     """Areas for which all 33 points of a curve across them lie in the area itself; the others get a flat edge."""
     t = F.col("i") / 32.0
@@ -178,7 +184,7 @@ def _painted_sql(roads: bool, buildings: bool) -> str:
         SELECT s.cell, coalesce(top.class, CASE WHEN ground = {overlay.WATER} AND coalesce(paved, false) THEN {overlay.ROCK} ELSE ground END)::INT AS class, coalesce(tall, 0)::DOUBLE AS height FROM samples s LEFT JOIN cells_of USING (cell) LEFT JOIN top USING (cell)""", "cells", "class_cells", "blob_edges", "path_parts")
 
 
-QUERIES = {f.__name__: f for f in (j06_painted, j06_terrain, a02_painted_coverage, j03_points_in_blobs, j09_covered_paths, j10_owned_holes, j18_marker_owner, a26_top_blob, g11_blob_raster, x20_blob_zonal, x22_blob_boundary, x16_safe_curves)}
+QUERIES = {f.__name__: f for f in (j06_painted, j06_terrain, a02_painted_coverage, j03_points_in_blobs, j09_covered_paths, j10_owned_holes, j18_marker_owner, a26_top_blob, g11_blob_raster, x20_blob_zonal, x22_blob_boundary, g22_printable, x16_safe_curves)}
 _SHEAR = [(0, 0), (0, 1), (1, 1), (1, 0)]
 _SIDES = ", ".join(f"({i}, {j}, {_SHEAR[k - 1][0]}, {_SHEAR[k - 1][1]})" for k, (i, j) in enumerate(_SHEAR))
 ORACLES = {
@@ -197,5 +203,6 @@ ORACLES = {
     "g11_blob_raster": with_views(f"WITH points AS (SELECT r, c, (c + 0.5) / 256 AS x, (r + 0.5) / 192 AS y FROM range(192) a(r), range(256) b(c)) SELECT r, c, max(area) AS area FROM ({_hits_sql('points', 'r, c')}) GROUP BY r, c", "blob_edges"),
     "x20_blob_zonal": with_views(f"WITH points AS (SELECT r * 100 + c AS cell, z, (c + 0.5) / (SELECT max(c) + 1 FROM cells) AS x, (r + 0.5) / (SELECT max(r) + 1 FROM cells) AS y FROM cells) SELECT area, max(z) AS top, round(avg(z), 6) AS mean, count(*) AS n FROM ({_hits_sql('points', 'cell, z')}) GROUP BY area", "cells", "blob_edges"),
     "x22_blob_boundary": with_views(f"WITH hits AS ({_hits_sql('spots', 'id, x, y')}) SELECT h.id, h.area, round(min({_near('h.x', 'h.y', 'e.ax', 'e.ay', 'e.bx', 'e.by_')}), 6) AS distance FROM hits h JOIN blob_edges e ON e.id = h.area AND ring = 0 GROUP BY h.id, h.area", "spots", "blob_edges"),
+    "g22_printable": with_views(f"WITH grid AS (SELECT i // 1000 AS piece_row, i // 100 % 10 AS piece_column, i // 1000 / 10 + (i % 100 // 10 + 0.5) / 100 AS y, i // 100 % 10 / 10 + (i % 10 + 0.5) / 100 AS x FROM range(10000) t(i)) SELECT DISTINCT piece_row, piece_column FROM ({_hits_sql('grid', 'piece_row, piece_column, x, y')})", "blob_edges"),
     "x16_safe_curves": with_views(f"WITH points AS (SELECT id AS owner, i, cx + s * 0.5 * (i / 32 * 2 - 1) AS x, cy + s * 0.25 + s * CASE WHEN id % 2 = 0 THEN 0.2 ELSE -0.6 END::DOUBLE * 4 * (i / 32) * (1 - i / 32) AS y FROM blobs, range(33) t(i)), n AS (SELECT owner, count(*) AS n FROM ({_hits_sql('points', 'owner, i, x, y')}) WHERE owner = area GROUP BY owner) SELECT id AS owner, coalesce(n = 33, false) AS safe FROM blobs LEFT JOIN n ON n.owner = blobs.id", "blob_edges"),
 }

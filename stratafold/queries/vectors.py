@@ -270,6 +270,9 @@ _LINES = _SEG.format("line_pts")
 _EDGES = "ed AS (SELECT tid, least(p, q) AS u, greatest(p, q) AS v, p < q AS f FROM (SELECT tid, a AS p, b AS q FROM {0} UNION ALL SELECT tid, b, d FROM {0} UNION ALL SELECT tid, d, a FROM {0}))"
 _XYZ = "c AS (SELECT t.*, p.x AS ax, p.y AS ay, p.z AS az, q.x AS bx, q.y AS by_, q.z AS bz, r.x AS dx, r.y AS dy, r.z AS dz FROM tris t JOIN verts p ON p.vid = a JOIN verts q ON q.vid = b JOIN verts r ON r.vid = d), n AS (SELECT *, (by_ - ay) * (dz - az) - (bz - az) * (dy - ay) AS nx, (bz - az) * (dx - ax) - (bx - ax) * (dz - az) AS ny, (bx - ax) * (dy - ay) - (by_ - ay) * (dx - ax) AS nz FROM c)"
 _RASTER = "ras AS (SELECT a.id, a.height, a.class, r, c FROM areas a, range({h}) y(r), range({w}) x(c) WHERE greatest(abs((c + 0.5) / {w}.0::DOUBLE - cx), abs((r + 0.5) / {h}.0::DOUBLE - cy)) < h AND (hole_h IS NULL OR greatest(abs((c + 0.5) / {w}.0::DOUBLE - cx), abs((r + 0.5) / {h}.0::DOUBLE - cy)) >= hole_h))"
+#: The cells of the whole raster, whatever its shape, that each area covers.
+_OFF = "greatest(abs((c + 0.5) / columns::DOUBLE - cx), abs((r + 0.5) / rows_::DOUBLE - cy))"
+_ZONES = f"shape AS (SELECT max(r) + 1 AS rows_, max(c) + 1 AS columns FROM cells), ras AS (SELECT a.id, a.height, a.class, r, c, z FROM areas a, shape, cells WHERE {_OFF} < h AND (hole_h IS NULL OR {_OFF} >= hole_h))"
 _WIDE = "wide AS (SELECT line, seq, x * 1.6 - 0.3 AS x, y * 1.6 - 0.3 AS y FROM line_pts)"
 _CLIP = """k AS (SELECT *, x1 - x0 AS dx, y1 - y0 AS dy FROM s), t AS (SELECT *, greatest(0, CASE WHEN dx > 0 THEN -x0 / dx WHEN dx < 0 THEN (1 - x0) / dx ELSE 0 END, CASE WHEN dy > 0 THEN -y0 / dy WHEN dy < 0 THEN (1 - y0) / dy ELSE 0 END) AS t0,
  least(1, CASE WHEN dx > 0 THEN (1 - x0) / dx WHEN dx < 0 THEN -x0 / dx ELSE 1 END, CASE WHEN dy > 0 THEN (1 - y0) / dy WHEN dy < 0 THEN -y0 / dy ELSE 1 END) AS t1 FROM k WHERE (dx <> 0 OR x0 BETWEEN 0 AND 1) AND (dy <> 0 OR y0 BETWEEN 0 AND 1)),
@@ -315,7 +318,7 @@ ORACLES = {
     "g04_clip": with_views(f"WITH {_WIDE}, {_SEG.format('wide')}, {_CLIP} SELECT line, seg::INT AS seg, round(cx0, 6) + 0.0::DOUBLE AS cx0, round(cy0, 6) + 0.0::DOUBLE AS cy0, round(cx1, 6) + 0.0::DOUBLE AS cx1, round(cy1, 6) + 0.0::DOUBLE AS cy1 FROM cut", "line_pts"),
     "x06_visible_chains": with_views(f"WITH {_WIDE}, {_SEG.format('wide')}, {_CLIP} SELECT line, count(*) FILTER (NOT coalesce(joined, false)) AS chains FROM (SELECT line, lag(seg) OVER w = seg - 1 AND lag(cx1) OVER w = x0 AND lag(cy1) OVER w = y0 AND cx0 = x0 AND cy0 = y0 AS joined FROM cut WINDOW w AS (PARTITION BY line ORDER BY seg)) GROUP BY line", "line_pts"),
     "g11_rasterize": with_views("WITH " + _RASTER.format(w=128, h=96) + " SELECT r, c, max(id) AS area FROM ras GROUP BY r, c", "areas"),
-    "x20_zonal_max": with_views("WITH " + _RASTER.format(w=100, h=10) + " SELECT id, max(z) AS top, count(*) AS n FROM ras JOIN cells USING (r, c) GROUP BY id", "areas", "cells"),
+    "x20_zonal_max": with_views("WITH " + _ZONES + " SELECT id, max(z) AS top, count(*) AS n FROM ras GROUP BY id", "areas", "cells"),
     "x22_boundary_distance": with_views("SELECT p.id, a.id AS area, round(h - greatest(abs(x - cx), abs(y - cy)), 6) AS distance FROM spots p JOIN areas a ON greatest(abs(p.x - a.cx), abs(p.y - a.cy)) < a.h AND (a.hole_h IS NULL OR greatest(abs(p.x - a.cx), abs(p.y - a.cy)) >= a.hole_h)", "spots", "areas"),
     "fn20_shoelace": with_views("SELECT id, round(4 * h * h, 8) AS area FROM areas", "areas"),
     "fn35_progress": with_views(f"WITH {_LINES}, l AS (SELECT *, sqrt((x1 - x0) ^ 2 + (y1 - y0) ^ 2) AS len FROM s), m AS (SELECT *, coalesce(sum(len) OVER (PARTITION BY line ORDER BY seg ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(len) OVER (PARTITION BY line) AS total FROM l), {_NEAR.replace('s.*', 'm.*').replace(', s,', ', m,')}, b AS (SELECT id, round(dist, 6) AS dist, line, round((before + t * len) / total, 5) AS progress FROM n WHERE dist <= 0.002 AND len > 0) SELECT id, line, progress FROM b QUALIFY row_number() OVER (PARTITION BY id ORDER BY dist, line, progress) = 1", "spots", "line_pts"),
@@ -329,6 +332,6 @@ ORACLES = {
         c AS (SELECT *, CASE WHEN a <= b AND a <= d THEN [a, b, d] WHEN b <= a AND b <= d THEN [b, d, a] ELSE [d, a, b] END AS turn FROM w) SELECT tid, a, b, d FROM c QUALIFY row_number() OVER (PARTITION BY turn ORDER BY tid) = 1""", "tris", "verts"),
     "g16_vertex_builder": with_views("SELECT round(x / 3) AS qx, round(y / 3) AS qy, min(vid) AS vid FROM verts GROUP BY 1, 2", "verts"),
     "g23_grid_mesh": with_views("WITH s AS (SELECT max(r) + 1 AS h, max(c) + 1 AS w FROM cells) SELECT 2 * (h - 1) * (w - 1) AS triangles, h * (w - 1) + w * (h - 1) + (h - 1) * (w - 1) AS edges, h * w AS vertices, 1::BIGINT AS euler FROM s", "cells"),
-    "x23_roof_owner": with_views("WITH " + _RASTER.format(w=100, h=10) + f", {_HITS}, f AS (SELECT id AS area, max(z) + max(height) AS roof FROM ras JOIN cells USING (r, c) GROUP BY id) SELECT id, area, round(roof, 6) AS roof FROM hits JOIN f USING (area) QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(roof, 6) DESC, (class = 3) DESC, area) = 1", "spots", "areas", "cells"),
+    "x23_roof_owner": with_views("WITH " + _ZONES + f", {_HITS}, f AS (SELECT id AS area, max(z) + max(height) AS roof FROM ras GROUP BY id) SELECT id, area, round(roof, 6) AS roof FROM hits JOIN f USING (area) QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(roof, 6) DESC, (class = 3) DESC, area) = 1", "spots", "areas", "cells"),
     "x25_vertex_pinning": with_views(f"WITH {_EDGES.format('tris')}, o AS (SELECT u, v FROM ed GROUP BY u, v HAVING count(*) = 1) SELECT vid, round(CASE WHEN vid IN (SELECT u FROM o UNION SELECT v FROM o) THEN z - 0.25 ELSE z END, 6) AS z FROM verts", "tris", "verts"),
 }

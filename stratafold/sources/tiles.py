@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import io
+import math
+import os
 import posixpath
 import struct
+import urllib.parse
 import zipfile
 import zlib
 from collections.abc import Iterator
@@ -85,7 +88,7 @@ def heights_of(pixels: np.ndarray) -> np.ndarray:
 
 def _pixels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for z, x, y, size, content in zip(*(c.to_pylist() for c in batch.columns)):
+        for z, x, y, size, content in (tuple(c[i].as_py() for c in batch.columns) for i in range(batch.num_rows)):
             try:
                 heights = heights_of(decode_png(content))
             except ValueError:
@@ -106,13 +109,66 @@ def read_elevation(spark: SparkSession, root: str, tile_size: int = 256) -> Data
     return tiles.mapInArrow(_pixels, "z int, x long, y long, px int, py int, metres double")
 
 
+def damaged_tiles(spark: SparkSession, root: str, tile_size: int = 256) -> DataFrame:
+    """``path`` of every cached tile that is cut off, no PNG or of another size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bad = []
+            for i in range(batch.num_rows):
+                try:
+                    whole = decode_png(batch.column(1)[i].as_py()).shape[:2] == (tile_size, tile_size)
+                except ValueError:
+                    whole = False
+                bad.append(not whole)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(bad))], names=["path"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.png").option("recursiveFileLookup", "true").load(root)
+    return files.select("path", "content").mapInArrow(run, "path string")
+
+
+def drop_damaged(spark: SparkSession, root: str, tile_size: int = 256) -> DataFrame:
+    """Deletes the damaged tiles where they are found, so that they are fetched again; gives their paths."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                try:
+                    os.unlink(urllib.parse.unquote(urllib.parse.urlparse(path).path))
+                except FileNotFoundError:
+                    pass
+            yield batch
+
+    return damaged_tiles(spark, root, tile_size).mapInArrow(run, "path string")
+
+
+def sample_elevation(points: DataFrame, pixels: DataFrame, key: str, zoom: int, least_zoom: int, tile_size: int = 256) -> DataFrame:
+    """``key, z, metres``: the pixel under each point (``key, lon, lat``) of the deepest tile from ``zoom`` up to ``least_zoom`` that
+    ``pixels`` (as of ``read_elevation``) holds; points without any are left out.
+
+    A point asks for its pixel's address at every zoom, so the fallback to parents is one equi-join.
+    """
+    side = float(tile_size)
+    asked = points.select(key, "lon", "lat", F.explode(F.sequence(F.lit(least_zoom), F.lit(zoom))).alias("z"))
+    scale = F.pow(F.lit(2.0), F.col("z"))
+    phi = F.radians(F.least(F.greatest(F.col("lat"), F.lit(-85.05112878)), F.lit(85.05112878)))
+    u = (F.col("lon") + 180.0) / 360.0 * scale
+    v = (1 - F.ln(F.tan(phi) + 1 / F.cos(phi)) / math.pi) / 2 * scale
+    inside = lambda c: F.least(F.greatest(c, F.lit(0.0)), scale - 1e-9)
+    at = asked.select(key, "z", inside(u).alias("u"), inside(v).alias("v"))
+    addressed = at.select(key, "z", F.floor("u").alias("x"), F.floor("v").alias("y"), F.floor((F.col("u") - F.floor("u")) * side).cast("int").alias("px"), F.floor((F.col("v") - F.floor("v")) * side).cast("int").alias("py"))
+    found = addressed.join(pixels, ["z", "x", "y", "px", "py"])
+    return found.groupBy(key).agg(F.max(F.struct("z", "metres")).alias("best")).select(key, "best.z", "best.metres")
+
+
 #: Limits of a source bundle: entries, bytes of an entry and of all.
 MOST_ENTRIES, MOST_ENTRY_BYTES, MOST_BYTES = 4_096, 256 << 20, 2 << 30
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for path, content in zip(*(c.to_pylist() for c in batch.columns)):
+        # One bundle at a time: contents may be as large as the limits allow.
+        for path, content in ((batch.column(0)[i].as_py(), batch.column(1)[i].as_py()) for i in range(batch.num_rows)):
             rows: list[tuple] = []
             problem = None
             try:

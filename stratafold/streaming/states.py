@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.query import StreamingQuery
@@ -37,6 +38,41 @@ def newest(events: DataFrame, key: str, order: str, item: str, keep: int = 5) ->
     )
 
 
+def until_terminal(events: DataFrame, key: str, order: list[str], terminal: Column) -> DataFrame:
+    """Rows of each key up to and with its first terminal one, with ``terminal``; what comes later is left out."""
+    first = events.where(terminal).groupBy(F.col(key).alias("__key")).agg(F.min(F.struct(*order)).alias("__end"))
+    joined = events.join(first, F.col(key) == F.col("__key"), "left")
+    return joined.where(F.col("__end").isNull() | (F.struct(*order) <= F.col("__end"))).withColumn("terminal", F.coalesce(terminal, F.lit(False))).drop("__key", "__end")
+
+
+def feed(events: DataFrame, key: str, order: str, kind: str, final: list[str]) -> DataFrame:
+    """The streaming twin (append mode): events of a key are passed on until one of a final kind, which is the last.
+
+    A key's state is one flag. Within a micro-batch the events of a key go by their order column.
+    """
+
+    def step(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        over = state.exists and state.get[0]
+        held = pd.concat(list(frames)).sort_values(order, kind="stable")
+        ends = held[kind].isin(final).to_numpy()
+        if not over:
+            last = int(ends.argmax()) + 1 if ends.any() else len(held)
+            yield held.iloc[:last]
+            state.update((bool(ends.any()),))
+
+    return events.groupBy(key).applyInPandasWithState(step, events.schema, "over boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+@contextmanager
+def cancellable(spark: SparkSession, tag: str) -> Iterator[Callable[[], list[str]]]:
+    """Jobs started inside carry a tag; the yielded function, called from any thread, stops those that run."""
+    spark.sparkContext.addJobTag(tag)
+    try:
+        yield lambda: spark.sparkContext.cancelJobsWithTag(tag)
+    finally:
+        spark.sparkContext.removeJobTag(tag)
+
+
 def once(deliveries: DataFrame, identifier: list[str], time: str, late: str) -> DataFrame:
     """Each identifier's first arrival; identifiers are remembered as long as the watermark ``late`` says."""
     return deliveries.withWatermark(time, late).dropDuplicatesWithinWatermark(identifier)

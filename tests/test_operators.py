@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stratafold.functions import geo as G
 from stratafold.functions import hashing, tags, text
-from stratafold.operators import contour, focal, graph, mesh, palette, ranking, sampling, selecting, spatial, tables
+from stratafold.operators import contour, focal, graph, mesh, overlay, palette, ranking, routes, sampling, selecting, spatial, tables
 from stratafold.plans import fixtures as fx
 from stratafold.queries import bookkeeping, vectors
 from tests.parity import DATA, rows, sql_rows
@@ -281,6 +281,64 @@ def test_fnv_vectors(spark):
     assert [None if v is None else v % 2**64 for v in got] == [0xCBF29CE484222325, 0xAF63DC4C8601EC8C, 0x85944171F73967E8, None]
 
 
+def fnv(data):
+    h = hashing.FNV_OFFSET
+    for b in data:
+        h = (h ^ b) * hashing.FNV_PRIME % 2**64
+    return h - 2**64 if h >> 63 else h
+
+
+def test_geometry_fingerprints_depend_on_order(spark):
+    import struct
+
+    lines = [[], [(1.5, -2.25)], [(1.5, -2.25), (0.1, 7.0)], [(0.1, 7.0), (1.5, -2.25)], None, [(float(i), -float(i)) for i in range(500)]]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "id int, points array<struct<lat: double, lon: double>>").repartition(2)
+    got = {r.id: r.h for r in df.select("id", hashing.geometry_fingerprint("points").alias("h")).collect()}
+    assert got == {i: None if x is None else fnv(struct.pack("<Q", len(x)) + b"".join(struct.pack("<ff", *p) for p in x)) for i, x in enumerate(lines)}
+    assert got[2] != got[3]
+
+
+def test_overlay_by_brute_force(spark):
+    rnd = random.Random(4)
+    samples = [(i, rnd.choice([0, 1, 3]), rnd.choice([True, False, None])) for i in range(400)]
+    found = [(rnd.randrange(400), rnd.choice(overlay.ROLES), rnd.randrange(30), rnd.choice([3, 26, 27, 5]), float(rnd.randrange(3))) for _ in range(1500)]
+    for roads in (True, False):
+        for buildings in (True, False):
+            df = overlay.paint(spark.createDataFrame(samples, "k int, ground int, steep boolean"), spark.createDataFrame(found + found[:50], "k int, role string, seq int, class int, height double"), "k", roads, buildings)
+            got = {r.k: (r["class"], r.height) for r in df.collect()}
+            for k, ground, steep in samples:
+                own = [c for c in found if c[0] == k]
+                paved = any(c[1] == "aviation" or (c[1] == "area" and c[3] == 26) for c in own)
+                shown = [c for c in own if not (c[1] == "building" and not buildings) and not (not roads and (c[1] in overlay.ROLES[2:8] or (c[1] == "area" and c[3] == 26))) and not (c[1] == "area" and c[3] == 3 and (steep or paved))]
+                best = min(((overlay.ROLES.index(c[1]), -c[4] if c[1] == "building" else 0, -c[2], c[3]) for c in shown), default=None)
+                expected = best[3] if best else 0 if ground == 3 and paved else ground
+                assert got[k] == (expected, max((c[4] for c in own if c[1] == "building"), default=0.0))
+
+
+def test_pavement_by_hand(spark):
+    square = lambda x, y, s: [(x - s, y - s), (x + s, y - s), (x + s, y + s), (x - s, y + s), (x - s, y - s)]
+    half = lambda ring: [("way", "outer", ring[:3]), ("way", "outer", ring[2:][::-1])]
+    area, line = {"aeroway": "apron"}, {"aeroway": "taxiway"}
+    elements = [
+        (1, "relation", area, [], [*half(square(0.5, 0.5, 0.1)), ("way", "inner", square(0.5, 0.5, 0.02)), ("way", "outer", [(0.0, 0.0), (0.1, 0.1)]), ("node", "outer", square(0.2, 0.2, 0.1))]),
+        (2, "way", area, square(0.8, 0.8, 0.05), None),
+        (3, "way", area, [(0.1, 0.1), (0.2, 0.2), (0.1, 0.1)], None),
+        (4, "way", line, [(0.45, 0.45), (0.55, 0.45)], None),
+        (5, "way", line | {"width": "20 m"}, [(0.45, 0.45), (0.5, 0.5)], None),
+        (6, "way", line, [(0.45, 0.45), (0.7, 0.7)], None),
+        (7, "way", line, [(0.3, 0.3)], None),
+        (8, "way", line | {"tunnel": "yes"}, [(0.3, 0.3), (0.4, 0.4)], None),
+        (9, "relation", None, [], None),
+        (10, "way", None, [(0.78, 0.8), (0.82, 0.8)], None),
+    ]
+    kind = "array<struct<x: double, y: double>>"
+    df = spark.createDataFrame(elements, f"id long, kind string, tags map<string,string>, points {kind}, members array<struct<member_type: string, member_role: string, points: {kind}>>").repartition(3)
+    areas, lines, counts = routes.pavement(df, "id", F.element_at("tags", "aeroway") == "apron", 64)
+    assert {r.area: (len(r.shell), len(r.holes)) for r in areas.collect()} == {"1:0": (4, 1), "2": (4, 0)}
+    assert {r.id: r.covered for r in lines.collect()} == {4: True, 5: False, 6: False, 10: True}
+    assert counts.first().asDict() == {"relations": 1, "areas": 2, "holes": 1, "lines": 2, "duplicate_lines": 2, "mapped_widths": 1, "fallback_widths": 1, "tunnel_skipped": 1, "invalid_skipped": 3}
+
+
 @pytest.mark.parametrize("value, metres", [("12", 12.0), ("12 m", 12.0), ("~5 ft", 1.524), ("12'6\"", 3.81), ("7'", 2.1336), ("1;2", None), ("ca. 50 cm", 0.5), ("approx 2 km", 2000.0), ("-3", None), ("0", None), ("wide", None), ("", None), (None, None), ("3 inches", 0.0762)])
 def test_lengths(spark, value, metres):
     got = spark.createDataFrame([(value,)], "t string").select(tags.length_m(F.col("t"))).first()[0]
@@ -297,19 +355,14 @@ def test_error_classes(spark, error, kind):
     assert spark.createDataFrame([(error,)], "e string").select(text.classify_error(F.col("e"))).first()[0] == kind
 
 
-def whole_raster_sql(name):
-    """The query's SQL with the raster's 100 rows at sf0.01 for the 10 that it has at sf0.001."""
-    return vectors.ORACLES[name].replace("range(10) y(r)", "range(100) y(r)").replace("/ 10.0::DOUBLE", "/ 100.0::DOUBLE")
-
-
 def test_zonal_max_reads_the_whole_raster(spark):
     data = DATA.replace("sf0.001", "sf0.01")
-    assert rows(vectors.x20_zonal_max(spark, data)) == sql_rows(whole_raster_sql("x20_zonal_max"), data)[1]
+    assert rows(vectors.x20_zonal_max(spark, data)) == sql_rows(vectors.ORACLES["x20_zonal_max"], data)[1]
 
 
 def test_roof_owner_reads_the_whole_raster(spark):
     data = DATA.replace("sf0.001", "sf0.01")
-    assert rows(vectors.x23_roof_owner(spark, data)) == sql_rows(whole_raster_sql("x23_roof_owner"), data)[1]
+    assert rows(vectors.x23_roof_owner(spark, data)) == sql_rows(vectors.ORACLES["x23_roof_owner"], data)[1]
 
 
 def test_upsert_of_all_exports_is_the_fold_of_upserts(spark):
@@ -322,5 +375,5 @@ def test_upsert_of_all_exports_is_the_fold_of_upserts(spark):
                 i, c, u = incoming.get(r.name, (r.id, r.created, r.updated))
                 incoming[r.name] = min(i, r.id), min(c, r.created), max(u, r.updated)
         table = {n: (*v[:3], None) for n, v in table.items()} | {n: (*(table[n][:2] if n in table else v[:2]), v[2], n not in table) for n, v in incoming.items()}
-    got = {r.name: (r.id, r.created, r.updated, r.is_new) for r in bookkeeping.k09_upsert_all(spark, DATA).collect()}
+    got = {r.name: (r.id, r.created, r.updated, r.is_new) for r in bookkeeping.k09_upsert(spark, DATA).collect()}
     assert got == table and len(table) == len({r.name for r in rows_of})
