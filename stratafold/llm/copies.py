@@ -14,7 +14,7 @@ letter or digit and rows without an id are no cases. Rows that repeat an id with
 the representative is the smallest id and exactly one of the rows that tie for it, and the others are surplus. Other columns
 are never read. An empty table gives an empty result.
 
-Scale. Two reads (one samples the range bounds) and one shuffle; the partitions grow with the records, ``PART_ROWS`` each.
+Scale. Forms are made and written once; two reads of them (one samples the range bounds) and one shuffle; the partitions grow with the records, ``PART_ROWS`` each.
 """
 
 from __future__ import annotations
@@ -93,8 +93,9 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def runs(df: DataFrame, key: str, text: str) -> DataFrame:
     """``id, keep_id, first`` of every record that is a case: the representative of its group, and whether it is that record."""
     spark = df.sparkSession
-    parts = max(shuffle_partitions(spark), -(-df.count() // PART_ROWS))
-    forms = df.select(canonical_form(F.col(text)).alias("form"), F.col(key).cast("long").alias("id")).dropna()
+    # Written once: the range bounds are sampled from the forms before they are shuffled.
+    forms = materialize(df.select(canonical_form(F.col(text)).alias("form"), F.col(key).cast("long").alias("id")).dropna())
+    parts = max(shuffle_partitions(spark), -(-forms.count() // PART_ROWS))
     ordered = forms.repartitionByRange(parts, "form", "id").sortWithinPartitions("form", "id")
     scanned = materialize(ordered.mapInArrow(_scan, "part int, edge boolean, leading boolean, first boolean, id long, keep_id long, whole boolean, first_form string, last_form string"))
     # One row a partition: a window over them all is bounded by the number of partitions, whatever the input.
