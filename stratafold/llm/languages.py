@@ -27,9 +27,10 @@ from __future__ import annotations
 
 import bisect
 import functools
+import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, replace
 from typing import NamedTuple
 
@@ -57,12 +58,15 @@ REMEMBERED, TEXTS, TEXT_BYTES = 200_000, 2_000, 4 << 20
 #: Scripts that put no blanks between words.
 _UNSPACED = r"[\p{Script=Han}\p{Script=Hiragana}\p{Script=Katakana}\p{Script=Thai}\p{Script=Lao}\p{Script=Khmer}\p{Script=Myanmar}]"
 _WORD = regex.compile(rf"(?V1)[\p{{L}}&&{_UNSPACED}]\p{{M}}*|[\p{{L}}--{_UNSPACED}][\p{{M}}[\p{{L}}--{_UNSPACED}]]*")
-_PLAIN_WORD = regex.compile(r"[A-Za-z]+")
+#: The same words where a line has only these signs, of which no letter takes marks or stands in an unspaced script.
+_PLAIN_LINE = re.compile("[\x00-\u024f\u0400-\u0481\u048a-\u04ff\u2010-\u2027\u2030-\u205e]*")
+_PLAIN_WORD = re.compile("[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f\u0400-\u0481\u048a-\u04ff]+")
+_ASCII_WORD = re.compile("[A-Za-z]+")
 _LINE_END = regex.compile(r"\r\n|\r|\n")
 
 
 def words_of(line: str) -> list[str]:
-    return (_PLAIN_WORD if line.isascii() else _WORD).findall(line)
+    return (_ASCII_WORD if line.isascii() else _PLAIN_WORD if _PLAIN_LINE.fullmatch(line) else _WORD).findall(line)
 
 
 @functools.cache
@@ -230,6 +234,17 @@ class Labelled(NamedTuple):
     word_margin: np.ndarray
 
 
+class Numbers(dict):
+    """Numbers of the words met so far; a new word is scored when it is first asked for."""
+
+    def __init__(self, number: Callable[[str], int]) -> None:
+        super().__init__()
+        self.number = number
+
+    def __missing__(self, word: str) -> int:
+        return self.number(word)
+
+
 class Labeller:
     """Labels the words of many paragraphs at once."""
 
@@ -238,7 +253,7 @@ class Labeller:
         self._forget()
 
     def _forget(self) -> None:
-        self.numbers: dict[str, int] = {}
+        self.numbers = Numbers(self._number)
         #: Scores and letters by word number; number 0 stands for every word that no language of the model writes.
         self.scores = [np.zeros(len(self.model.languages), np.float32)]
         self.letters = [0]
@@ -259,7 +274,7 @@ class Labeller:
         """``margins`` fills in the words' margins, which only spans need."""
         if len(self.scores) > REMEMBERED:
             self._forget()
-        numbers, languages = self.numbers, len(self.model.languages)
+        number, languages = self.numbers.__getitem__, len(self.model.languages)
         words: list[int] = []
         forms: list[int] = []
         in_line: list[int] = []
@@ -269,7 +284,7 @@ class Labeller:
             for line in (text if text.isascii() else unicodedata.normalize("NFC", text)).split("\n"):
                 own = words_of(line)
                 if own:
-                    words += [numbers[w] if w in numbers else self._number(w) for w in own]
+                    words.extend(map(number, own))
                     forms.append(form_of(len(line), sum(map(len, own)), line.count(" ")))
                     in_line.append(len(own))
             sizes.append(len(words) - before)

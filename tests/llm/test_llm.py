@@ -279,6 +279,13 @@ def test_confidence_is_calibrated_on_held_out_texts(samples):
     assert gap < 0.06 and sure[right].mean() > sure[~right].mean() + 0.2
 
 
+def test_plain_lines_have_the_same_words():
+    signs = [chr(i) for i in range(0x3000) if languages._PLAIN_LINE.fullmatch(chr(i))]
+    assert len(signs) > 700
+    for c in signs:
+        assert languages._PLAIN_WORD.findall(f"a{c}b é") == languages._WORD.findall(f"a{c}b é"), hex(ord(c))
+
+
 def test_scripts_of_letters():
     letters = {"a": "Latin", "é": "Latin", "ж": "Cyrillic", "λ": "Greek", "ע": "Hebrew", "ع": "Arabic", "ह": "Devanagari", "水": "Han", "ひ": "Hiragana", "カ": "Katakana", "한": "Hangul", "ก": "Thai", "ა": "Georgian", "𐌀": "Old_Italic", "Ａ": "Latin", "µ": "Greek", "አ": "Ethiopic"}
     assert {c: languages.script_of_letter(c) for c in letters} == letters
