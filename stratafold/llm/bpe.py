@@ -26,6 +26,7 @@ length are encoded whole. An empty table gives an empty result.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -43,6 +44,11 @@ from stratafold.session import broadcast_object, dealt
 TOKENIZERS = "/opt/tokenizers"
 #: Fixed value: the pattern that the published byte-level vocabularies were made with.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f\u0400-\u0481\u048a-\u04ff"
+_NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
+#: Texts of these signs only are cut by the standard library, to the same words.
+_PLAIN_TEXT = re.compile("[\x00-\x1b\x20-\u024f\u0400-\u0481\u048a-\u04ff\u2010-\u2027\u2030-\u205e]*")
+_PLAIN_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^\s{_LETTER}{_NUMBER}]+|\s+(?!\S)|\s+")
 #: Bytes of a short word; rows that a query of short words holds in all rounds; words a worker remembers.
 SHORT, QUERY_ROWS, REMEMBERED = 64, 400_000, 400_000
 #: Long words: tokens of a piece, pieces of a query, rows that a query holds in all rounds and rounds at most.
@@ -149,7 +155,7 @@ class Encoder:
     """The recursive queries of one worker, with the short words it has met."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
-        self.split = regex.compile(PATTERN).findall
+        self.pattern = regex.compile(PATTERN)
         self.byte_ids = vocabulary.byte_ids
         self.lengths = np.array([len(b) for b in vocabulary.token_bytes], np.int64)
         self.held_bytes = _byte_sets(vocabulary.token_bytes)
@@ -158,6 +164,9 @@ class Encoder:
         left, right, merged = vocabulary.merges.T
         self._table("merges", {"left_token": left, "right_token": right, "merged": merged, "rank": np.arange(len(left), dtype=np.int32)})
 
+    def split(self, text: str) -> list[str]:
+        return (_PLAIN_WORDS if _PLAIN_TEXT.fullmatch(text) else self.pattern).findall(text)
+
     def _table(self, name: str, columns: dict[str, np.ndarray]) -> None:
         self.db.register("given", pa.table(columns))
         self.db.execute(f"CREATE OR REPLACE TEMP TABLE {name} AS SELECT * FROM given")
