@@ -21,6 +21,7 @@ give an empty result.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,11 +44,32 @@ TEXTS, TEXT_BYTES, HITS = 1_000, 4 << 20, 1_000_000
 #: Least words and largest share of substitutions of an overlap that is reported as near.
 NEAR_WORDS, NEAR_SUBSTITUTIONS = 12, 0.2
 _WORD = r"[\p{L}\p{N}]+"
+_ANY_WORD = regex.compile(_WORD)
+#: The same words where a text has only these signs.
+_PLAIN_TEXT = re.compile("[\x00-\u024f\u0400-\u0481\u048a-\u04ff\u2010-\u2027\u2030-\u205e]*")
+_PLAIN_WORD = re.compile("[0-9A-Za-z\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xc0-\xd6\xd8-\xf6\xf8-\u024f\u0400-\u0481\u048a-\u04ff]+")
 _FACTOR = 0x9E3779B97F4A7C15
 
 
+def split(text: str | None) -> list[str]:
+    """The words of a text as they are written."""
+    return (_PLAIN_WORD if _PLAIN_TEXT.fullmatch(text) else _ANY_WORD).findall(text) if text else []
+
+
 def words_of(text: str | None) -> list[str]:
-    return [w.lower() for w in regex.findall(_WORD, text)] if text else []
+    return [w.lower() for w in split(text)]
+
+
+class Numbers(dict):
+    """Numbers of words as they are written, by the vocabulary's lower-cased ones; -1 for others."""
+
+    def __init__(self, vocabulary: dict[str, int]) -> None:
+        super().__init__()
+        self.vocabulary = vocabulary
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = self.vocabulary.get(word.lower(), -1)
+        return number
 
 
 def seed_hashes(ids: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
@@ -150,8 +172,7 @@ _OUT = "doc_id long, item_id long, exact_words int, doc_pos int, item_pos int, o
 
 
 def _join(batches: Iterator[pa.RecordBatch], index: SeedIndex) -> Iterator[pa.RecordBatch]:
-    find = regex.compile(_WORD).findall
-    numbers: dict[str, int] = {}
+    numbers = Numbers(index.vocabulary)
     for batch in batches:
         rows: list[tuple] = []
         for part in (most.slice(lo, TEXTS) for most in by_bytes(batch, 1, TEXT_BYTES) for lo in range(0, most.num_rows, TEXTS)):
@@ -159,11 +180,7 @@ def _join(batches: Iterator[pa.RecordBatch], index: SeedIndex) -> Iterator[pa.Re
             starts = []
             for text in part.column(1).to_pylist():
                 starts.append(len(ids))
-                for word in find(text) if text else ():
-                    number = numbers.get(word)
-                    if number is None:
-                        number = numbers[word] = index.vocabulary.get(word.lower(), -1)
-                    ids.append(number)
+                ids.extend(map(numbers.__getitem__, split(text)))
                 ids.extend([-1] * SPAN)
             if len(numbers) > 500_000:
                 numbers.clear()
