@@ -156,6 +156,19 @@ def test_words_longer_than_one_recursion(vocabulary, monkeypatch):
     assert not any(len(w) > bpe.SHORT for w in encoder.known)
 
 
+def test_plain_texts_are_cut_alike(vocabulary):
+    cut = regex.compile(bpe.PATTERN).findall
+    signs = [chr(i) for i in range(0x3000) if bpe._PLAIN_TEXT.fullmatch(chr(i))]
+    assert len(signs) > 800
+    for c in signs:
+        text = f"a {c}b 1{c}2  {c} {c}{c} 's'{c}\n {c}"
+        assert bpe._PLAIN_WORDS.findall(text) == cut(text), hex(ord(c))
+    rnd = random.Random(3)
+    for _ in range(3000):
+        text = "".join(rnd.choices(signs + list(" \n\t'sdtrevml") * 20, k=rnd.randint(0, 30)))
+        assert bpe._PLAIN_WORDS.findall(text) == cut(text), text
+
+
 def test_a_word_of_a_million_letters(vocabulary):
     tiktoken = pytest.importorskip("tiktoken")
     ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in open(f"{bpe.TOKENIZERS}/byte_bpe_50k.tiktoken", "rb"))}
@@ -247,6 +260,13 @@ def test_recall_of_substituted_overlaps():
         assert found <= set(truth)
 
 
+def test_plain_texts_have_the_same_words():
+    signs = [chr(i) for i in range(0x3000) if leakage._PLAIN_TEXT.fullmatch(chr(i))]
+    assert len(signs) > 800
+    for c in signs:
+        assert leakage._PLAIN_WORD.findall(f"a{c}b _{c} 1{c}") == regex.findall(leakage._WORD, f"a{c}b _{c} 1{c}"), hex(ord(c))
+
+
 def test_every_mask_catches_an_exact_run():
     ids = np.arange(12, dtype=np.int64)
     assert all(len(m) == leakage.SPAN and m[0] == m[-1] == "1" and len(leakage.seed_hashes(ids, m)[0]) == 1 for m in leakage.MASKS)
