@@ -197,7 +197,7 @@ class DeliveryStore:
 
     def __init__(self, spark: SparkSession, path: str | None = None) -> None:
         self.spark = spark
-        self.path = path or scratch_path(spark)
+        self.path, self.kept = path or scratch_path(spark), path is not None
         self.name = f"deliveries_{uuid.uuid4().hex}"
         self.shards = 0
         made = _layout(spark, self.path) if path else None
@@ -230,19 +230,21 @@ class DeliveryStore:
         count = len(keys)
         screened = asked.repartitionById(self.shards, F.col("shard")).sortWithinPartitions("time_bucket", *keys, "ord").mapInArrow(lambda batches: _screen(batches, count), schema)
         screened.drop("key_hash").write.mode("append").format("parquet").partitionBy("time_bucket").bucketBy(self.shards, *keys).option("path", f"{self.path}/rows").saveAsTable(self.name)
-        if fresh:
+        if fresh and self.kept:
             columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in self.rows().schema)
             self.spark.createDataFrame([(self.shards, columns)], "shards int, columns string").coalesce(1).write.parquet(f"{self.path}/layout")
         batch = self.rows().where(F.col("bits").isNull() & (F.col("time_bucket") >= base))
-        possible = batch.where("NOT repeat AND size(seen) > 0").select("ord", *keys, "seen")
+        possible = batch.where("repeat OR size(seen) > 0").select("ord", *keys, "seen", "repeat", "time_bucket")
         # At most as many numbers as the store has buckets; only their folders are read.
-        named = [r[0] for r in possible.select(F.explode("seen")).distinct().collect()]
+        asked_of = F.when(F.col("repeat"), F.array("time_bucket")).otherwise(F.col("seen"))
+        named = [r[0] for r in possible.select(F.explode(asked_of).alias("b")).distinct().collect()]
         held = self.rows().where(F.col("time_bucket").isin(named) & F.expr("bits IS NULL AND NOT repeat")).select(*(F.col(k).alias(f"held_{i}") for i, k in enumerate(keys)), F.col("time_bucket").alias("held_bucket")).hint("merge")
-        same = F.array_contains("seen", F.col("held_bucket"))
+        # A repeat within its own bucket is found there, others in the buckets that the filters named.
+        same = F.when(F.col("repeat"), F.col("held_bucket") == F.col("time_bucket")).otherwise(F.array_contains("seen", F.col("held_bucket")))
         for i, k in enumerate(keys):
             same = same & (F.col(k) == F.col(f"held_{i}"))
         new = batch.where("NOT repeat AND size(seen) = 0").select("ord", *keys).unionByName(possible.join(held, same, "left_anti").select("ord", *keys))
-        surplus = reduced.where("certain").select("ord", *keys).unionByName(batch.where("repeat").select("ord", *keys)).unionByName(possible.join(held, same, "left_semi").select("ord", *keys))
+        surplus = reduced.where("certain").select("ord", *keys).unionByName(possible.join(held, same, "left_semi").select("ord", *keys))
         return new, surplus
 
     def rows(self) -> DataFrame | None:
