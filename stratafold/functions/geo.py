@@ -126,3 +126,13 @@ def catmull_rom(p0: Column, p1: Column, p2: Column, p3: Column, t: Column) -> Co
     b = p0 - 2.5 * p1 + 2.0 * p2 - 0.5 * p3
     c = -0.5 * p0 + 0.5 * p2
     return ((a * t + b) * t + c) * t + p1
+
+
+def catmull_rom_weights(t: Column) -> tuple[Column, ...]:
+    """What each of the four points counts for in ``catmull_rom``."""
+    return (
+        ((-0.5 * t + 1.0) * t - 0.5) * t,
+        (1.5 * t - 2.5) * t * t + 1.0,
+        ((-1.5 * t + 2.0) * t + 0.5) * t,
+        (0.5 * t - 0.5) * t * t,
+    )

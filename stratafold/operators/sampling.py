@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratafold.functions.geo import catmull_rom
+from stratafold.functions.geo import catmull_rom_weights
 
 
 def nearest(samples: DataFrame, raster: DataFrame, row: Column, column: Column, value: str) -> DataFrame:
@@ -21,7 +21,7 @@ def nearest(samples: DataFrame, raster: DataFrame, row: Column, column: Column,
 
 
 #: Cells along a block's side, and those around it that its samples may read (before, after).
-BLOCK, BEFORE, AFTER = 16, 1, 2
+BLOCK, BEFORE, AFTER = 32, 1, 2
 
 
 def _blocks(raster: DataFrame, value: str, rows: int, columns: int) -> DataFrame:
@@ -75,11 +75,10 @@ def bicubic(samples: DataFrame, raster: DataFrame, y: Column, x: Column, value:
     """Catmull-Rom value over 4 x 4 cells, clamped to their range; cell centres lie at half-way coordinates."""
     held = samples.withColumns({"__y": y - 0.5, "__x": x - 0.5})
     got, read = windows(held, raster, F.floor("__y"), F.floor("__x"), value, rows, columns)
-    got = got.withColumn("__window", F.array(*(read(i, j) for i in (-1, 0, 1, 2) for j in (-1, 0, 1, 2))))
-    ty, tx = F.col("__y") - F.floor("__y"), F.col("__x") - F.floor("__x")
-    v = lambda i, j: F.col("__window")[(i + 1) * 4 + j + 1]
-    lines = [catmull_rom(*(v(i, j) for j in (-1, 0, 1, 2)), tx) for i in (-1, 0, 1, 2)]
-    cubic = catmull_rom(*lines, ty)
+    got = got.withColumn("__window", F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: read(F.floor(k / 4) - 1, k % 4 - 1)))
+    wy, wx = (catmull_rom_weights(F.col(c) - F.floor(c)) for c in ("__y", "__x"))
+    weights = F.array(*(a * b for a in wy for b in wx))
+    cubic = F.aggregate(F.zip_with("__window", weights, lambda v, w: v * w), F.lit(0.0), lambda total, v: total + v)
     return done(got.withColumn("value", F.least(F.greatest(cubic, F.array_min("__window")), F.array_max("__window"))))
 
 
