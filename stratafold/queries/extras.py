@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -239,7 +241,17 @@ _U = "((a.x1 - a.x0) * (b.y{0} - a.y0) - (a.y1 - a.y0) * (b.x{0} - a.x0))"
 _PHI = "radians(least(greatest(lat, -85.05112878), 85.05112878))"
 
 QUERIES = {f.__name__: f for f in (s08_tile_gaps, s11_pushed_filter, s12_places, s16_artifacts, s19_synthetic, pr13_box_intersect, pr14_detail_filter, pr15_validity, pr17_outlines, pr18_can_paint, pr19_preselect, w10_kriging, w11_smoothing_gate, w17_profile, w18_ordinals, j04_bucket_candidates, j14_joined_ends, u05_convex_clip, g03_seas, g19_strip_parity, g20_puzzle_edges, g21_tile_specs, g25_retention, x03_water_budget, x05_road_layers, x08_grid_points, x16_safe_edges, x19_crossings, x28_split_tiles)}
+_GREEDY = """WITH RECURSIVE {0}, m AS (SELECT id, area, row_number() OVER (ORDER BY area DESC, id) AS k FROM items WHERE NOT major),
+        g(k, room, id, area, fits) AS (SELECT 0::BIGINT, {1} - (SELECT coalesce(sum(area), 0) FROM items WHERE major), NULL::BIGINT, 0::BIGINT, false UNION ALL SELECT m.k, room - CASE WHEN m.area <= room THEN m.area ELSE 0 END, m.id, m.area, m.area <= room FROM g JOIN m ON m.k = g.k + 1)
+        SELECT id, area, major FROM items WHERE major UNION ALL SELECT id, area, false FROM g WHERE fits"""
+_SINE, _COSINE = math.sin(math.radians(25.0)), math.cos(math.radians(25.0))
+_WIDE_KM = max(G.KM_PER_EQUATOR_DEGREE * abs(math.cos(math.radians(46.8))), G.LEAST_KM_PER_LONGITUDE_DEGREE)
+
 ORACLES = {
+    "x03_water_budget": _GREEDY.format(f"ways AS ({fx.VIEWS['ways'][0]}), items AS (SELECT id, greatest(coalesce(len(geometry), 0) * 10, 0)::BIGINT AS area, tags['waterway'] IN ('river', 'canal') AS major FROM ways WHERE tags['waterway'] IN {tuple(T.WATERWAY_SCALES)!r})", 2500.0),
+    "x08_grid_points": f"SELECT r, c, round(46.8::DOUBLE + (-east * {_SINE!r}::DOUBLE + north * {_COSINE!r}::DOUBLE) / {G.KM_PER_LATITUDE_DEGREE!r}::DOUBLE, 6) AS lat, round(8.2::DOUBLE + (east * {_COSINE!r}::DOUBLE + north * {_SINE!r}::DOUBLE) / {_WIDE_KM!r}::DOUBLE, 6) AS lon FROM (SELECT r, c, (c / 39 - 0.5::DOUBLE) * 18 AS east, (r / 29 - 0.5::DOUBLE) * 18 AS north FROM range(30) a(r), range(40) b(c))",
+    # Water lies right of a coast that crosses the square from left to right: below it.
+    "g03_seas": "SELECT k::VARCHAR AS tile, CASE WHEN k % 5 = 3 THEN 'broken' ELSE 'outer' END AS role, 0 AS ring, round(CASE k % 5 WHEN 3 THEN 0 WHEN 4 THEN 0.5 * h + 0.25 * (h + h + (0.9::DOUBLE - h) * 5 / 7) ELSE h END, 6) AS area FROM (SELECT n_nationkey AS k, n_nationkey / 30 + 0.1::DOUBLE AS h FROM nation)",
     "s08_tile_gaps": "SELECT DISTINCT tile_key FROM overpass_ways WHERE tile_key IS NOT NULL AND tile_key NOT IN (SELECT tile_key FROM overpass_responses WHERE body_json IS NOT NULL AND tile_key IS NOT NULL)",
     "s11_pushed_filter": with_views("SELECT id, tags['railway'] AS kind FROM ways WHERE tags['railway'] IN ('rail', 'tram', 'narrow_gauge') AND geometry[1].lat BETWEEN -45 AND 55 AND geometry[1].lon BETWEEN -120 AND 140", "ways"),
     "s12_places": "WITH j AS (SELECT cache_id, response_json::JSON AS j FROM place_search_cache WHERE json_valid(response_json) AND json_type(response_json) = 'ARRAY'), p AS (SELECT cache_id, unnest(range(json_array_length(j)::BIGINT)) AS pos, j FROM j) SELECT cache_id, pos::INT AS pos, json_extract_string(j, '$[' || pos || '].display_name') AS name, json_extract_string(j, '$[' || pos || '].latitude')::DOUBLE AS lat, json_extract_string(j, '$[' || pos || '].longitude')::DOUBLE AS lon FROM p",

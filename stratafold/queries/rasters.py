@@ -243,6 +243,21 @@ _SLOPE = """g AS (SELECT a.r, a.c, a.z, coalesce((coalesce(e.z, a.z) - coalesce(
 _CORNERS = """size AS (SELECT max(r) + 1 AS h, max(c) + 1 AS w FROM {0}), p AS (SELECT id, least(greatest(y * (h - 1), 0), h - 1) AS y, least(greatest(x * (w - 1), 0), w - 1) AS x, h, w FROM spots, size),
 k AS (SELECT id, y - floor(y) AS ty, x - floor(x) AS tx, i, j, least(CAST(floor(y) AS BIGINT) + i, h - 1) AS r, least(CAST(floor(x) AS BIGINT) + j, w - 1) AS c FROM p, (VALUES (0), (1)) a(i), (VALUES (0), (1)) b(j))"""
 
+def _sieve(passes: int, least: int) -> str:
+    """Patches by flooding from every cell, votes of the cells beside small ones, pass after pass."""
+    steps = "CROSS JOIN (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) d(i, j)"
+    beside = "b.r = a.r + d.i AND b.c = a.c + d.j"
+    out, source = [], "class_cells"
+    for i in range(passes):
+        out.append(f"f{i} AS (SELECT r, c, class, r * 100 + c AS seed FROM {source} UNION SELECT b.r, b.c, b.class, a.seed FROM f{i} a {steps} JOIN {source} b ON b.class = a.class AND {beside})")
+        out.append(f"l{i} AS MATERIALIZED (SELECT r, c, class, min(seed) AS label FROM f{i} GROUP BY r, c, class)")
+        out.append(f"n{i} AS (SELECT label FROM l{i} GROUP BY label HAVING count(*) < {least})")
+        out.append(f"v{i} AS (SELECT a.label, b.class FROM l{i} a JOIN n{i} ON n{i}.label = a.label {steps} JOIN l{i} b ON {beside} WHERE b.label <> a.label GROUP BY a.label, b.class QUALIFY row_number() OVER (PARTITION BY a.label ORDER BY count(*) DESC, b.class) = 1)")
+        out.append(f"p{i} AS MATERIALIZED (SELECT r, c, coalesce(v{i}.class, l{i}.class) AS class FROM l{i} LEFT JOIN v{i} ON v{i}.label = l{i}.label)")
+        source = f"p{i}"
+    return "WITH " + ", ".join(out) + f" SELECT r, c, class::INT AS class FROM {source}"
+
+
 QUERIES = {f.__name__: f for f in (fx00_height_frame, w01_ring, w02_spikes, w03_despike, w04_despike_fixed_point, w05_gradient, w06_slope_gates, w07_catmull, w08_bilinear, w09_class_vote, w12_native, w13_hillshade, w14_drops, w16_edge_ring, a01_bounds, a02_coverage, a03_contained_classes, a04_demotions, a17_stitch_mean, a18_shared_frame, a21_snowline, a22_trunc_percentiles, a23_curvature, a23_run_histogram, x09_repair_tally, x10_exaggeration, fn13_frame, fn14_normal_height, j15_neighbours, j16_nearest_sample, g02_flood, g01_sieve, g01_components, pr22_print_material)}
 _CR = "((((-0.5 * {0} + 1.5 * {1} - 1.5 * {2} + 0.5 * {3}) * {4} + ({0} - 2.5 * {1} + 2.0 * {2} - 0.5 * {3})) * {4} + (-0.5 * {0} + 0.5 * {2})) * {4} + {1})"
 ORACLES = {
@@ -288,6 +303,7 @@ ORACLES = {
     "j15_neighbours": with_views("SELECT a.r, a.c, count(b.class)::INT AS same FROM class_cells a LEFT JOIN class_cells b ON b.class = a.class AND ((b.r = a.r AND (b.c = a.c + 1 OR b.c = a.c - 1)) OR (b.c = a.c AND (b.r = a.r + 1 OR b.r = a.r - 1))) GROUP BY a.r, a.c", "class_cells"),
     "j16_nearest_sample": with_views("WITH size AS (SELECT max(r) + 1 AS h, max(c) + 1 AS w FROM class_cells) SELECT id, class::INT AS class FROM spots CROSS JOIN size JOIN class_cells ON r = CAST(round(y * (h - 1)) AS BIGINT) AND c = CAST(round(x * (w - 1)) AS BIGINT)", "class_cells", "spots"),
     "g02_flood": with_views(f"WITH size AS (SELECT max(r) AS h, max(c) AS w FROM cells), o AS (SELECT r, c FROM cells WHERE z <= {FLOOD_LEVEL}), f AS (SELECT o.r, o.c FROM o, size WHERE r = 0 OR c = 0 OR r = h OR c = w UNION SELECT o.r, o.c FROM f JOIN (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) d(i, j) ON true JOIN o ON o.r = f.r + i AND o.c = f.c + j) SELECT r, c FROM f", "cells").replace("WITH cells", "WITH RECURSIVE cells", 1),
+    "g01_sieve": with_views(_sieve(2, 4), "class_cells").replace("WITH class_cells", "WITH RECURSIVE class_cells", 1),
     "g01_components": with_views("""WITH f AS (SELECT r, c, class, r * 100 + c AS seed FROM class_cells UNION SELECT b.r, b.c, b.class, f.seed FROM f JOIN class_cells b ON b.class = f.class AND ((b.r = f.r AND (b.c = f.c + 1 OR b.c = f.c - 1)) OR (b.c = f.c AND (b.r = f.r + 1 OR b.r = f.r - 1)))),
         l AS (SELECT r, c, class, min(seed) AS label FROM f GROUP BY ALL), n AS (SELECT class, label, count(*) AS n FROM l GROUP BY ALL) SELECT class::INT AS class, count(*) AS patches, max(n) AS largest FROM n GROUP BY class""", "class_cells").replace("WITH class_cells", "WITH RECURSIVE class_cells", 1),
     "pr22_print_material": with_views("SELECT r, c, (CASE WHEN k IN (0, 1, 2, 3) THEN coalesce(13 + CASE WHEN valid THEN grp END, k) ELSE k END)::BIGINT AS material FROM (SELECT r, c, CASE WHEN c % 9 = 0 THEN 7 ELSE class END AS k FROM class_cells) q LEFT JOIN pixels ON id = r * 100 + c", "class_cells", "pixels"),

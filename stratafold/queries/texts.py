@@ -134,6 +134,8 @@ def _shift(x: str, n: int) -> str:
 
 QUERIES = {f.__name__: f for f in (s09_whole_responses, s14_track_points, fn24_collapse, fn25_slug, fn26_labels, fn27_entities, fn28_clean, fn29_canonical_json, fn30_tide_levels, fn31_ids_and_paths, fn32_cutoff, fn33_progress, x33_setup_names, pr21_error_class, o12_semver, fn17_edge_sign, fn18_fingerprint, x12_line_style, x14_neighbour, x36_mosaic_spec)}
 ORACLES = {
+    # The bytes of a plain name, folded; the unsigned result as the signed number of the same bits.
+    "fn18_fingerprint": f"WITH h AS (SELECT n_nationkey, list_reduce(list_transform(string_split(n_name, ''), lambda c: ord(c)::UHUGEINT), lambda a, b: xor(a, b) * {hashing.FNV_PRIME}::UHUGEINT % 18446744073709551616::UHUGEINT, {hashing.FNV_OFFSET}::UHUGEINT) AS h FROM nation) SELECT n_nationkey, CASE WHEN h >= 9223372036854775808::UHUGEINT THEN (h::HUGEINT - 18446744073709551616::HUGEINT)::BIGINT ELSE h::BIGINT END AS hash FROM h",
     "s09_whole_responses": "SELECT response_id FROM (SELECT response_id, body_json::JSON AS j FROM overpass_responses WHERE json_valid(body_json) AND json_type(body_json) = 'OBJECT') WHERE coalesce(json_type(j, '$.remark'), 'NULL') = 'NULL'",
     "s14_track_points": "WITH c AS (SELECT doc_id, regexp_replace(text, '(?s)<!--.*?-->', '', 'g') AS t FROM documents), m AS (SELECT doc_id, unnest(regexp_extract_all(t, '<trkpt lat=\"([-0-9.]+)\" lon=\"([-0-9.]+)\">', 1)) AS lat, unnest(regexp_extract_all(t, '<trkpt lat=\"([-0-9.]+)\" lon=\"([-0-9.]+)\">', 2)) AS lon, unnest(range(len(regexp_extract_all(t, '<trkpt lat=\"([-0-9.]+)\" lon=\"([-0-9.]+)\">')))) AS seq FROM c) SELECT doc_id, seq::INT AS seq, TRY_CAST(lat AS DOUBLE) AS lat, TRY_CAST(lon AS DOUBLE) AS lon FROM m WHERE TRY_CAST(lat AS DOUBLE) BETWEEN -90 AND 90 AND TRY_CAST(lon AS DOUBLE) BETWEEN -180 AND 180",
     "fn24_collapse": "SELECT cache_id, trim(regexp_replace(query, '[ \\t\\n\\r]+', ' ', 'g')) AS query FROM place_search_cache",

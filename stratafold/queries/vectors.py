@@ -318,6 +318,9 @@ ORACLES = {
     "g04_clip": with_views(f"WITH {_WIDE}, {_SEG.format('wide')}, {_CLIP} SELECT line, seg::INT AS seg, round(cx0, 6) + 0.0::DOUBLE AS cx0, round(cy0, 6) + 0.0::DOUBLE AS cy0, round(cx1, 6) + 0.0::DOUBLE AS cx1, round(cy1, 6) + 0.0::DOUBLE AS cy1 FROM cut", "line_pts"),
     "x06_visible_chains": with_views(f"WITH {_WIDE}, {_SEG.format('wide')}, {_CLIP} SELECT line, count(*) FILTER (NOT coalesce(joined, false)) AS chains FROM (SELECT line, lag(seg) OVER w = seg - 1 AND lag(cx1) OVER w = x0 AND lag(cy1) OVER w = y0 AND cx0 = x0 AND cy0 = y0 AS joined FROM cut WINDOW w AS (PARTITION BY line ORDER BY seg)) GROUP BY line", "line_pts"),
     "g11_rasterize": with_views("WITH " + _RASTER.format(w=128, h=96) + " SELECT r, c, max(id) AS area FROM ras GROUP BY r, c", "areas"),
+    "a12_vertex_fans": with_views("""WITH t AS (SELECT tid, a, b, d FROM tris WHERE (tid // 2) % 7 <> 0 AND (tid // 2) % 7 <> 3), sides AS (SELECT tid, unnest([a, a, b, b, d, d]) AS vid, unnest([b, d, a, d, a, b]) AS other FROM t),
+        pairs AS (SELECT DISTINCT p.vid, p.tid AS f, q.tid AS g FROM sides p JOIN sides q ON q.vid = p.vid AND q.other = p.other), reach AS (SELECT DISTINCT vid, tid AS f, tid AS seed FROM sides UNION SELECT r.vid, p.g, r.seed FROM reach r JOIN pairs p ON p.vid = r.vid AND p.f = r.f),
+        own AS (SELECT vid, f, min(seed) AS label FROM reach GROUP BY vid, f) SELECT vid, count(DISTINCT label) AS fans FROM own GROUP BY vid HAVING count(DISTINCT label) > 1""", "tris").replace("WITH ", "WITH RECURSIVE ", 1),
     "x20_zonal_max": with_views("WITH " + _ZONES + " SELECT id, max(z) AS top, count(*) AS n FROM ras GROUP BY id", "areas", "cells"),
     "x22_boundary_distance": with_views("SELECT p.id, a.id AS area, round(h - greatest(abs(x - cx), abs(y - cy)), 6) AS distance FROM spots p JOIN areas a ON greatest(abs(p.x - a.cx), abs(p.y - a.cy)) < a.h AND (a.hole_h IS NULL OR greatest(abs(p.x - a.cx), abs(p.y - a.cy)) >= a.hole_h)", "spots", "areas"),
     "fn20_shoelace": with_views("SELECT id, round(4 * h * h, 8) AS area FROM areas", "areas"),

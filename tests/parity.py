@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from pathlib import Path
 
@@ -40,3 +41,15 @@ def check(spark, query, sql: str) -> None:
     names, expected = sql_rows(sql)
     assert sorted(df.columns) == names
     assert rows(df) == expected
+
+
+def digest(df) -> tuple[int, int]:
+    """Number of rows and a checksum that takes no notice of their order or of floats' last digits."""
+
+    def short(x):
+        if isinstance(x, tuple):
+            return tuple(short(v) for v in x)
+        return round(x, 4) + 0.0 if isinstance(x, float) else x
+
+    lines = [repr(tuple(short(plain(r[c])) for c in sorted(df.columns))) for r in df.collect()]
+    return len(lines), sum(zlib.crc32(line.encode()) for line in lines) % 2**32
