@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratafold.functions import geo as G
-from stratafold.operators import focal, overlay, spatial
+from stratafold.operators import focal, overlay, polygons, spatial
 from stratafold.plans import fixtures as fx
 from stratafold.plans.fixtures import with_views
 
@@ -141,6 +141,30 @@ def x16_safe_curves(s: SparkSession, d: str) -> DataFrame:
     return fx.blob_rings(s, d).select(F.col("id").alias("owner")).join(inside, "owner", "left").select("owner", (F.coalesce("n", F.lit(0)) == 33).alias("safe"))
 
 
+def u05_booleans(s: SparkSession, d: str) -> DataFrame:
+    """Areas of the union, the overlap and the difference of each square and each concave area whose boxes share a bucket."""
+    squares = spatial.ring_bounds(fx.area_rings(s, d), "shell", buckets=FINE).select(F.col("id").alias("square"), "shell", "holes", "bx", "by")
+    blobs = spatial.ring_bounds(_areas(s, d), "shell", buckets=FINE).select("area", F.col("shell").alias("other_shell"), F.col("holes").alias("other_holes"), "bx", "by")
+    pairs = squares.join(blobs, ["bx", "by"]).dropDuplicates(["square", "area"])
+    found = polygons.pair_areas(pairs.select("square", "area", "shell", "holes", "other_shell", "other_holes"), ["square", "area"])
+    return found.select("square", "area", *(F.round(c, 9).alias(c) for c in ("union", "shared", "first_only")))
+
+
+def g14_triangulations(s: SparkSession, d: str) -> DataFrame:
+    """The area that the triangles of each concave area with its holes cover."""
+    made = polygons.triangulations(_areas(s, d).select("area", "shell", "holes"), ["area"])
+    return made.toDF("id", "triangles", "covered").select("id", F.round("covered", 9).alias("covered"), (F.col("triangles") > 2).alias("several"))
+
+
+def g12_ribbons(s: SparkSession, d: str) -> DataFrame:
+    """Area of each line as a ribbon in the unit square, cut back at the buildings that its box meets."""
+    lines = fx.paths(s, d).select("id", "points", "half")
+    wide = spatial.ring_bounds(lines, "points", 0.002, FINE).select("id", "bx", "by")
+    buildings = spatial.ring_bounds(_areas(s, d).where("kind IN (1, 2)"), "shell", buckets=FINE).select("area", "shell", "bx", "by")
+    obstacles = wide.join(buildings, ["bx", "by"]).select("id", "area", "shell").dropDuplicates(["id", "area"]).select("id", "shell")
+    return polygons.ribbons(lines, ["id"], obstacles).select("id", F.round("area", 9).alias("area"))
+
+
 _CROSS = "(e.ay > p.y) <> (e.by_ > p.y) AND p.x < (e.bx - e.ax) * (p.y - e.ay) / (e.by_ - e.ay) + e.ax"
 
 
@@ -184,7 +208,7 @@ def _painted_sql(roads: bool, buildings: bool) -> str:
         SELECT s.cell, coalesce(top.class, CASE WHEN ground = {overlay.WATER} AND coalesce(paved, false) THEN {overlay.ROCK} ELSE ground END)::INT AS class, coalesce(tall, 0)::DOUBLE AS height FROM samples s LEFT JOIN cells_of USING (cell) LEFT JOIN top USING (cell)""", "cells", "class_cells", "blob_edges", "path_parts")
 
 
-QUERIES = {f.__name__: f for f in (j06_painted, j06_terrain, a02_painted_coverage, j03_points_in_blobs, j09_covered_paths, j10_owned_holes, j18_marker_owner, a26_top_blob, g11_blob_raster, x20_blob_zonal, x22_blob_boundary, g22_printable, x16_safe_curves)}
+QUERIES = {f.__name__: f for f in (j06_painted, j06_terrain, a02_painted_coverage, j03_points_in_blobs, j09_covered_paths, j10_owned_holes, j18_marker_owner, a26_top_blob, g11_blob_raster, x20_blob_zonal, x22_blob_boundary, g22_printable, x16_safe_curves, u05_booleans, g14_triangulations, g12_ribbons)}
 _SHEAR = [(0, 0), (0, 1), (1, 1), (1, 0)]
 _SIDES = ", ".join(f"({i}, {j}, {_SHEAR[k - 1][0]}, {_SHEAR[k - 1][1]})" for k, (i, j) in enumerate(_SHEAR))
 ORACLES = {
@@ -203,6 +227,7 @@ ORACLES = {
     "g11_blob_raster": with_views(f"WITH points AS (SELECT r, c, (c + 0.5) / 256 AS x, (r + 0.5) / 192 AS y FROM range(192) a(r), range(256) b(c)) SELECT r, c, max(area) AS area FROM ({_hits_sql('points', 'r, c')}) GROUP BY r, c", "blob_edges"),
     "x20_blob_zonal": with_views(f"WITH points AS (SELECT r * 100 + c AS cell, z, (c + 0.5) / (SELECT max(c) + 1 FROM cells) AS x, (r + 0.5) / (SELECT max(r) + 1 FROM cells) AS y FROM cells) SELECT area, max(z) AS top, round(avg(z), 6) AS mean, count(*) AS n FROM ({_hits_sql('points', 'cell, z')}) GROUP BY area", "cells", "blob_edges"),
     "x22_blob_boundary": with_views(f"WITH hits AS ({_hits_sql('spots', 'id, x, y')}) SELECT h.id, h.area, round(min({_near('h.x', 'h.y', 'e.ax', 'e.ay', 'e.bx', 'e.by_')}), 6) AS distance FROM hits h JOIN blob_edges e ON e.id = h.area AND ring = 0 GROUP BY h.id, h.area", "spots", "blob_edges"),
+    "g14_triangulations": with_views("SELECT id, round(abs(sum(CASE WHEN ring = 0 THEN bx * ay - ax * by_ ELSE 0 END)) / 2 - abs(sum(CASE WHEN ring = 1 THEN bx * ay - ax * by_ ELSE 0 END)) / 2, 9) AS covered, true AS several FROM blob_edges GROUP BY id", "blob_edges"),
     "g22_printable": with_views(f"WITH grid AS (SELECT i // 1000 AS piece_row, i // 100 % 10 AS piece_column, i // 1000 / 10 + (i % 100 // 10 + 0.5) / 100 AS y, i // 100 % 10 / 10 + (i % 10 + 0.5) / 100 AS x FROM range(10000) t(i)) SELECT DISTINCT piece_row, piece_column FROM ({_hits_sql('grid', 'piece_row, piece_column, x, y')})", "blob_edges"),
     "x16_safe_curves": with_views(f"WITH points AS (SELECT id AS owner, i, cx + s * 0.5 * (i / 32 * 2 - 1) AS x, cy + s * 0.25 + s * CASE WHEN id % 2 = 0 THEN 0.2 ELSE -0.6 END::DOUBLE * 4 * (i / 32) * (1 - i / 32) AS y FROM blobs, range(33) t(i)), n AS (SELECT owner, count(*) AS n FROM ({_hits_sql('points', 'owner, i, x, y')}) WHERE owner = area GROUP BY owner) SELECT id AS owner, coalesce(n = 33, false) AS safe FROM blobs LEFT JOIN n ON n.owner = blobs.id", "blob_edges"),
 }

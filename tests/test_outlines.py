@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from stratafold.operators import kriging, outlines
+from stratafold.operators import kriging, outlines, polygons
 
 
 def test_stencils_sum_to_one_and_hit_their_node():
@@ -88,3 +88,48 @@ def test_outline_problems(spark):
     df = spark.createDataFrame([(k, [(float(x), float(y)) for x, y in r]) for k, r in rings.items()], "id string, ring array<struct<x: double, y: double>>")
     got = {r.id: r.problem for r in outlines.outline_problems(df, "id", "ring", 1e-3).collect()}
     assert got == {k: None if k == "ok" else k for k in rings}
+
+
+def covers(shape, x, y):
+    """Even-odd over all rings of a shape at many points."""
+    inside = np.zeros(len(x), bool)
+    for ring in shape:
+        for (ax, ay), (bx, by) in zip(ring, [*ring[1:], *ring[:1]]):
+            with np.errstate(divide="ignore", invalid="ignore"):
+                inside ^= ((ay > y) != (by > y)) & (x < (bx - ax) * (y - ay) / (by - ay) + ax)
+    return inside
+
+
+def test_booleans_against_sampling():
+    rng = np.random.default_rng(8)
+    x, y = rng.uniform(-1.2, 1.2, (2, 40_000))
+    star = lambda n, r, cx, cy: [(cx + (r if k % 2 else r / 3) * np.cos(k * np.pi / n), cy + (r if k % 2 else r / 3) * np.sin(k * np.pi / n)) for k in range(2 * n)]
+    for n in range(3, 8):
+        a = [star(n, 1.0, 0.05, 0.0), star(3, 0.2, 0.05, 0.0)[::-1]]
+        b = [star(5, 0.8, 0.2, 0.1)]
+        c = [[(-0.5, -0.5), (0.5, 0.5), (0.5, -0.5), (-0.5, 0.5)]]
+        ina, inb, inc = covers(a, x, y), covers(b, x, y), covers(c, x, y)
+        for got, expected in ((polygons.union([a, b, c]), ina | inb | inc), (polygons.intersection([a, b]), ina & inb), (polygons.difference(a, [b, c]), ina & ~inb & ~inc)):
+            # Every point lies in one trapezoid if it is kept and in none otherwise.
+            held = np.zeros(len(x), int)
+            for low, high, p, q, r, s in got:
+                t = (y - low) / (high - low)
+                held += (t > 0) & (t < 1) & (x > p + (r - p) * t) & (x < q + (s - q) * t)
+            assert (held == expected).mean() > 0.9999 and held.max() <= 1
+            triangles = polygons.triangles_of(got)
+            d1, d2 = triangles[:, 1] - triangles[:, 0], triangles[:, 2] - triangles[:, 0]
+            parts = (d1[:, 0] * d2[:, 1] - d1[:, 1] * d2[:, 0]) / 2
+            assert (parts > 0).all() and parts.sum() == pytest.approx(polygons.area_of(got))
+        assert polygons.area_of(polygons.union([a, b])) == pytest.approx(polygons.area_of(polygons.union([a])) + polygons.area_of(polygons.union([b])) - polygons.area_of(polygons.intersection([a, b])))
+
+
+def test_odd_polygons():
+    square = [[(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0), (0.0, 0.0)]]
+    beside = [[(1.0, 0.0), (2.0, 0.0), (2.0, 1.0), (1.0, 1.0)]]
+    assert polygons.area_of(polygons.union([square, square])) == pytest.approx(1) and polygons.area_of(polygons.intersection([square, beside])) == pytest.approx(0)
+    assert polygons.area_of(polygons.union([square, beside])) == pytest.approx(2)
+    assert len(polygons.union([])) == len(polygons.union([[[(0, 0), (1, 1)]], []])) == 0
+    straight = polygons.area_of(polygons.clip_to(polygons.ribbon([(-0.5, 0.5), (1.5, 0.5)], 0.1), [square[0][:4]]))
+    assert straight == pytest.approx(0.2)
+    bent = polygons.area_of(polygons.union(polygons.ribbon([(0, 0), (1, 0), (1, 1), (0, 0)], 0.05)))
+    assert 0.1 * (2 + 2**0.5) * 0.9 < bent < 0.1 * (2 + 2**0.5)

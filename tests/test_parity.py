@@ -22,6 +22,8 @@ KNOWN = {
     "a25_fingerprints": (600, 285296000),
     "g06_contour_lines": (265, 305872411),
     "g10_palette": (12, 3866794158),
+    "g12_ribbons": (150, 1677955237),
+    "u05_booleans": (8, 3074454886),
     "p4_unified_jobs": (148, 331249834),
     "p4_unified_setups": (149, 1034890452),
     "p4_unified_versions": (149, 611013124),
