@@ -12,6 +12,7 @@ from stratafold.functions import hashing
 from stratafold.functions import tags as T
 from stratafold.operators import routes as R
 from stratafold.operators import sampling
+from stratafold.operators.ranking import ranked
 from stratafold.plans import fixtures as fx
 from stratafold.plans.fixtures import with_views
 from stratafold.queries.extras import _M, _mul, _shift
@@ -146,12 +147,31 @@ def k05_manifest(s: SparkSession, d: str) -> DataFrame:
     return pieces.select("piece", F.to_json(F.struct("piece", "cells", "low", "high", "classes")).alias("json"))
 
 
+def x29_footprints(s: SparkSession, d: str) -> DataFrame:
+    """Names of cached imagery: the one-degree tile of each station and a hash of its footprint, rounded to a thousandth."""
+    corner = lambda c, k: F.format_string("%.3f", F.col(c) + k)
+    text = F.concat_ws(",", corner("lat", -0.05), corner("lon", -0.05), corner("lat", 0.05), corner("lon", 0.05))
+    return fx.stations(s, d).select("id", F.concat_ws("-", G.degree_tile_name(F.col("lat"), F.col("lon"), 1), F.lpad(F.lower(F.hex(hashing.fnv1a64(text))), 16, "0")).alias("name"))
+
+
+def o05_palette_order(s: SparkSession, d: str) -> DataFrame:
+    """Place of every distinct colour by group and channels; ranks come from range partitions, not from one sorted task."""
+    colours = fx.pixels(s, d).select("grp", "red", "green", "blue").distinct()
+    return ranked(colours, [], ["grp", "red", "green", "blue"]).select("grp", "red", "green", "blue", F.col("__k").alias("place"))
+
+
+def fn22_quantised(s: SparkSession, d: str) -> DataFrame:
+    """Coordinates to five decimals, without a negative zero."""
+    shifted = fx.line_pts(s, d).selectExpr("line", "seq", "x / 7 - 0.05 AS x", "(y - 0.5) / 1e6 AS y")
+    return shifted.select("line", "seq", *((F.round(F.col(c) * 1e5) / 1e5 + 0.0).alias(c) for c in ("x", "y")))
+
+
 def t01_feed(s: SparkSession, d: str) -> DataFrame:
     """Each key's events up to its first terminal one."""
     return states.until_terminal(fx.job_events(s, d), "key", ["ts", "event_id"], F.col("kind") == "purchase").select("key", "event_id", "terminal")
 
 
-QUERIES = {f.__name__: f for f in (x01_routes, x01_route_counts, x04_pavement, w17_stations, x08_grid_samples, x15_jittered_points, a25_fingerprints, s11_layers, s13_cached_and_missed, x31_report, x35_preview_tiles, k04_preview, k05_manifest, t01_feed)}
+QUERIES = {f.__name__: f for f in (x01_routes, x01_route_counts, x04_pavement, w17_stations, x08_grid_samples, x15_jittered_points, a25_fingerprints, s11_layers, s13_cached_and_missed, x31_report, x35_preview_tiles, k04_preview, k05_manifest, x29_footprints, o05_palette_order, fn22_quantised, t01_feed)}
 
 _EAST, _NORTH = max(G.KM_PER_EQUATOR_DEGREE, G.LEAST_KM_PER_LONGITUDE_DEGREE), G.KM_PER_LATITUDE_DEGREE
 _SET = "coalesce(tags['{0}'] NOT IN ('no', 'false'), false)"
@@ -211,5 +231,8 @@ ORACLES = {
     "x35_preview_tiles": with_views("SELECT id, CASE WHEN ok THEN a ELSE 0 END AS tile_row, CASE WHEN ok THEN b ELSE 0 END AS tile_column FROM (SELECT *, a >= 0 AND a < rows_ AND b < columns AS ok FROM (SELECT id, id % 3 + 1 AS rows_, id // 3 % 3 + 1 AS columns, id % 5 - 1 AS a, id % 4 AS b FROM stations))", "stations"),
     "k04_preview": with_views("WITH k AS (SELECT (r // 8)::INT AS row, c, round(z, 2) AS z, class FROM cells JOIN class_cells USING (r, c) WHERE r % 8 = 0 AND c % 8 = 0) SELECT row, '{\"row\":' || row || ',\"heights\":[' || string_agg(z::VARCHAR, ',' ORDER BY c) || '],\"classes\":[' || string_agg(class::VARCHAR, ',' ORDER BY c) || ']}' AS json FROM k GROUP BY row", "cells", "class_cells"),
     "k05_manifest": with_views("WITH p AS (SELECT c // 20 AS piece, count(*) AS n, round(min(z), 2) AS low, round(max(z), 2) AS high, list_sort(list_distinct(list(class))) AS classes FROM cells JOIN class_cells USING (r, c) GROUP BY 1) SELECT piece, '{\"piece\":' || piece || ',\"cells\":' || n || ',\"low\":' || low || ',\"high\":' || high || ',\"classes\":[' || array_to_string(classes, ',') || ']}' AS json FROM p", "cells", "class_cells"),
+    "x29_footprints": with_views(f"WITH t AS (SELECT id, floor(lat)::INT AS south, floor(lon)::INT AS west, printf('%.3f,%.3f,%.3f,%.3f', lat - 0.05, lon - 0.05, lat + 0.05, lon + 0.05) AS text FROM stations), h AS (SELECT *, list_reduce(list_transform(string_split(text, ''), lambda c: ord(c)::UHUGEINT), lambda a, b: xor(a, b) * {hashing.FNV_PRIME}::UHUGEINT % {_M}, {hashing.FNV_OFFSET}::UHUGEINT) AS h FROM t) SELECT id, printf('%s%02d%s%03d', CASE WHEN south >= 0 THEN 'N' ELSE 'S' END, abs(south), CASE WHEN west >= 0 THEN 'E' ELSE 'W' END, abs(west)) || '-' || lpad(lower(to_hex(h::UBIGINT)), 16, '0') AS name FROM h", "stations"),
+    "o05_palette_order": with_views("SELECT grp, red, green, blue, row_number() OVER (ORDER BY grp, red, green, blue) - 1 AS place FROM (SELECT DISTINCT grp, red, green, blue FROM pixels)", "pixels"),
+    "fn22_quantised": with_views("SELECT line, seq, round((x / 7 - 0.05) * 1e5) / 1e5 + 0.0 AS x, round((y - 0.5) / 1e6 * 1e5) / 1e5 + 0.0 AS y FROM line_pts", "line_pts"),
     "t01_feed": with_views("WITH f AS (SELECT *, kind = 'purchase' AS terminal, coalesce(sum((kind = 'purchase')::INT) OVER (PARTITION BY key ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM job_events) SELECT key, event_id, terminal FROM f WHERE before = 0", "job_events"),
 }
