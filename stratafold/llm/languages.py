@@ -26,7 +26,6 @@ empty result.
 from __future__ import annotations
 
 import bisect
-import functools
 import re
 import unicodedata
 from collections import Counter
@@ -69,22 +68,32 @@ def words_of(line: str) -> list[str]:
     return (_ASCII_WORD if line.isascii() else _PLAIN_WORD if _PLAIN_LINE.fullmatch(line) else _WORD).findall(line)
 
 
-@functools.cache
+#: Scripts of the letters met so far. A plain dictionary: what a cache decorator wraps would not travel to workers by value.
+_SCRIPTS: dict[str, str] = {}
+
+
 def script_of_letter(letter: str) -> str:
     """The letter's Unicode script, empty for letters that several scripts share.
 
     The name of a letter begins with that of its script; the property itself decides.
     """
+    if letter in _SCRIPTS:
+        return _SCRIPTS[letter]
+    found = ""
     name = unicodedata.name(letter, "").split()
     for n in range(min(3, len(name)), 0, -1):
         script = "_".join("Han" if w == "CJK" else w.capitalize() for w in name[:n])
         try:
             if regex.fullmatch(rf"\p{{Script={script}}}", letter):
-                return script
+                found = script
+                break
         except regex.error:
             continue
     base = unicodedata.normalize("NFKC", letter)
-    return script_of_letter(base) if len(base) == 1 and base != letter else ""
+    if not found and len(base) == 1 and base != letter:
+        found = script_of_letter(base)
+    _SCRIPTS[letter] = found
+    return found
 
 
 def script_of(word: str) -> str:

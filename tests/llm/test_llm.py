@@ -395,3 +395,20 @@ def test_segments_of_odd_documents(spark, samples):
 def test_no_samples_is_an_error():
     with pytest.raises(ValueError, match="no samples"):
         languages.fit([])
+
+
+def test_workers_need_no_copy_of_the_package(tmp_path):
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = (
+        f"import sys; sys.path.insert(0, {str(Path(__file__).parents[2])!r})\n"
+        "from pyspark.sql import SparkSession\n"
+        "s = SparkSession.builder.master('local[2]').config('spark.sql.shuffle.partitions', '2').config('spark.ui.enabled', 'false').config('spark.sql.session.timeZone', 'UTC').getOrCreate()\n"
+        "from stratafold.llm import queries\n"
+        "for q in queries.QUERIES:\n"
+        "    assert queries.QUERIES[q](s, '/root/testdata/sf0.001').count() > 0, q\n"
+    )
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
