@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratafold.session import materialize
+from stratafold.session import materialize, release
 
 COLUMN, ROW = "c", "r"
 #: Cells along a tile's side.
@@ -80,10 +80,13 @@ def despike_once(df: DataFrame, value: str, threshold: float, grid: Sequence[str
 def despike(df: DataFrame, value: str, threshold: float, grid: Sequence[str] = (), most: int = 32) -> tuple[DataFrame, list[int]]:
     """Passes until one replaces nothing, and the number each pass replaced. Each pass is written, so lineage stays short."""
     counts: list[int] = []
+    before = None
     for _ in range(most):
         after = materialize(despike_once(df, value, threshold, grid))
         counts.append(after.where("replaced").count())
-        df = after.drop("replaced")
+        if before is not None:
+            release(before)
+        before, df = after, after.drop("replaced")
         if not counts[-1]:
             break
     return df, counts

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratafold.session import materialize
+from stratafold.session import materialize, release
 
 #: Rows of a band of edges that are solved together.
 BAND_ROWS = 512
@@ -85,7 +85,7 @@ def components(nodes: DataFrame, edges: DataFrame, most: int = 64) -> DataFrame:
     shared = local.groupBy("id").agg(F.min("found").alias("low"), F.collect_set("found").alias("found")).where(F.size("found") > 1)
     links = materialize(shared.select("low", F.explode("found").alias("other")).where("low <> other").distinct())
     both = links.selectExpr("low AS a", "other AS b").unionByName(links.selectExpr("other AS a", "low AS b"))
-    labels = materialize(both.select(F.col("a").alias("id")).distinct().withColumn("label", F.col("id")))
+    before = labels = materialize(both.select(F.col("a").alias("id")).distinct().withColumn("label", F.col("id")))
     changed = bool(labels.limit(1).count())
     for _ in range(most):
         if not changed:
@@ -96,7 +96,8 @@ def components(nodes: DataFrame, edges: DataFrame, most: int = 64) -> DataFrame:
         jump = lowered.select(F.col("id").alias("low"), F.col("low").alias("next"))
         low = F.least("low", F.coalesce("next", "low"))
         after = materialize(lowered.join(jump, "low", "left").select("id", low.alias("label"), (low != F.col("label")).alias("changed")))
-        labels = after.select("id", "label")
+        release(before)
+        before, labels = after, after.select("id", "label")
         changed = bool(after.where("changed").limit(1).count())
     if changed:
         raise RuntimeError(f"labels still changed after {most} rounds")

@@ -53,13 +53,14 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     path = scratch_path(spark)
     writer = df.write.mode("errorifexists")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written.stratafold_path = path
+    return written
 
 
-def release(df: DataFrame) -> None:
-    """Delete the files of a materialized table that is no longer read."""
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        _remove(df.sparkSession, folder)
+def release(written: DataFrame) -> None:
+    """Delete the files of what ``materialize`` gave, when nothing that is still to run reads them."""
+    _remove(written.sparkSession, written.stratafold_path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
