@@ -166,32 +166,35 @@ MOST_ENTRIES, MOST_ENTRY_BYTES, MOST_BYTES = 4_096, 256 << 20, 2 << 30
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One batch an entry. A bundle is looked through as a whole first, so that nothing comes of one that turns out bad."""
+    kinds = (pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string())
+
+    def row(*values: object) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=["bundle", "name", "bytes", "content", "problem"])
+
+    def problem_of(bundle: zipfile.ZipFile) -> str | None:
+        names = bundle.infolist()
+        if len(names) > MOST_ENTRIES or sum(i.file_size for i in names) > MOST_BYTES:
+            return "too large"
+        for info in names:
+            if info.filename.startswith("/") or "\\" in info.filename or ":" in info.filename or posixpath.normpath(info.filename).startswith(".."):
+                return "unsafe path"
+            if info.file_size > MOST_ENTRY_BYTES:
+                return "entry too large"
+        return "unreadable: BadZipFile" if bundle.testzip() else None
+
     for batch in batches:
-        # One bundle at a time: contents may be as large as the limits allow.
         for path, content in ((batch.column(0)[i].as_py(), batch.column(1)[i].as_py()) for i in range(batch.num_rows)):
-            rows: list[tuple] = []
-            problem = None
             try:
                 with zipfile.ZipFile(io.BytesIO(content)) as bundle:
-                    names = bundle.infolist()
-                    if len(names) > MOST_ENTRIES or sum(i.file_size for i in names) > MOST_BYTES:
-                        problem = "too large"
-                    for info in names if problem is None else ():
-                        clean = posixpath.normpath(info.filename)
-                        if info.filename.startswith("/") or "\\" in info.filename or ":" in info.filename or clean.startswith(".."):
-                            problem = "unsafe path"
-                            break
-                        if info.file_size > MOST_ENTRY_BYTES:
-                            problem = "entry too large"
-                            break
+                    problem = problem_of(bundle)
+                    for info in bundle.infolist() if problem is None else ():
                         if not info.is_dir():
-                            rows.append((path, clean, info.file_size, bundle.read(info), None))
+                            yield row(path, posixpath.normpath(info.filename), info.file_size, bundle.read(info), None)
             except (zipfile.BadZipFile, zlib.error, NotImplementedError, RuntimeError) as error:
                 problem = f"unreadable: {type(error).__name__}"
             if problem:
-                rows = [(path, None, None, None, problem)]
-            kinds = (pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["bundle", "name", "bytes", "content", "problem"])
+                yield row(path, None, None, None, problem)
 
 
 def read_bundles(spark: SparkSession, root: str) -> DataFrame:
