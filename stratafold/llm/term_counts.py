@@ -3,7 +3,8 @@
 Each input block counts its own terms in arrays over block-local codes (occurrences, and records that hold the term), so a
 term that holds a third of all occurrences leaves a block as one row. The distinct terms are range-partitioned and numbered
 densely in sorted order: that is the global dictionary. Block rows are encoded by it, go to the task of their identifier
-range, and are added into its dense count arrays as they stream in, one range after the other, so a task holds one range's.
+range, and are added into its dense count arrays as they stream in, one range after the other, so a task
+holds one range's. The dictionary's rows travel with them and give the sums their terms.
 
 Defined cases. A map's key and each item of its value, split at semicolons and trimmed of spaces, make a term; case counts.
 Null maps, null values and empty items give no term; repeats within a record count as occurrences each, and once for the
@@ -90,17 +91,24 @@ def dictionary(terms: DataFrame) -> DataFrame:
 
 
 def _sum_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds encoded block rows (range, offset, occurrences, records), sorted by range, into one pair of dense arrays, which is given
-    out when the next range begins."""
+    """Adds encoded block rows (range, offset, occurrences, records, and null terms), sorted by range, into one pair of dense arrays,
+    and takes up the range's part of the dictionary (rows with their term); gives both out when the next range begins."""
     current = None
     occurrences = records = np.zeros(0, np.int64)
+    places: list[np.ndarray] = []
+    terms: list[pa.RecordBatch] = []
 
     def emit() -> pa.RecordBatch:
-        at = np.flatnonzero(records)
-        return pa.RecordBatch.from_arrays([pa.array(current * RANGE_SIZE + at), pa.array(occurrences[at]), pa.array(records[at])], names=["term_id", "occurrences", "records"])
+        at = np.concatenate(places).astype(np.int64)
+        order = pa.array(np.argsort(at))
+        named = pa.Table.from_batches(terms).take(order).combine_chunks()
+        at = np.sort(at)
+        columns = [pa.array(current * RANGE_SIZE + at), *(named.column(i).combine_chunks() for i in (0, 1)), pa.array(occurrences[at]), pa.array(records[at])]
+        return pa.RecordBatch.from_arrays(columns, names=["term_id", "key", "item", "occurrences", "records"])
 
     for batch in batches:
-        ranges, offsets, more_occurrences, more_records = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        ranges, offsets, more_occurrences, more_records = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:4])
+        named = batch.column(4).is_valid()
         cuts = [0, *(np.flatnonzero(np.diff(ranges)) + 1).tolist(), len(ranges)]
         for lo, hi in zip(cuts, cuts[1:]):
             if lo == hi:
@@ -108,9 +116,12 @@ def _sum_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if ranges[lo] != current:
                 if current is not None:
                     yield emit()
-                current, occurrences, records = int(ranges[lo]), np.zeros(RANGE_SIZE, np.int64), np.zeros(RANGE_SIZE, np.int64)
+                current, occurrences, records, places, terms = int(ranges[lo]), np.zeros(RANGE_SIZE, np.int64), np.zeros(RANGE_SIZE, np.int64), [], []
             np.add.at(occurrences, offsets[lo:hi], more_occurrences[lo:hi])
             np.add.at(records, offsets[lo:hi], more_records[lo:hi])
+            held = named.slice(lo, hi - lo)
+            places.append(offsets[lo:hi][held.to_numpy(zero_copy_only=False)])
+            terms.append(batch.slice(lo, hi - lo).select([4, 5]).filter(held))
     if current is not None:
         yield emit()
 
@@ -119,9 +130,11 @@ def count_terms(df: DataFrame, tags: str) -> DataFrame:
     """``term_id, key, item, occurrences, records`` of every distinct term of the map column ``tags``."""
     blocks = materialize(df.select(tags).mapInArrow(_block_counts, "key string, item string, occurrences long, records long"))
     words = materialize(dictionary(blocks.select("key", "item")))
-    encoded = blocks.join(words, ["key", "item"]).selectExpr(f"CAST(term_id DIV {RANGE_SIZE}L AS INT) AS id_range", f"CAST(term_id % {RANGE_SIZE}L AS INT) AS offset", "occurrences", "records")
-    summed = encoded.repartition("id_range").sortWithinPartitions("id_range").mapInArrow(_sum_ranges, "term_id long, occurrences long, records long")
-    return summed.join(words, "term_id").select("term_id", "key", "item", "occurrences", "records")
+    place = [f"CAST(term_id DIV {RANGE_SIZE}L AS INT) AS id_range", f"CAST(term_id % {RANGE_SIZE}L AS INT) AS offset"]
+    encoded = blocks.join(words, ["key", "item"]).selectExpr(*place, "occurrences", "records", "CAST(NULL AS STRING) AS key", "CAST(NULL AS STRING) AS item")
+    # The dictionary goes to its ranges with the counts, which spares a join of the sums with it.
+    both = encoded.unionByName(words.selectExpr(*place, "0L AS occurrences", "0L AS records", "key", "item"))
+    return both.repartition("id_range").sortWithinPartitions("id_range").mapInArrow(_sum_ranges, "term_id long, key string, item string, occurrences long, records long")
 
 
 def mark_terms(df: DataFrame, tags: str, rare_below: int = 3, common_above: float = 0.1) -> DataFrame:
