@@ -7,10 +7,15 @@ as the join is an ordinary equi-join). Nothing is compared outside its bucket, a
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stratafold.functions import geo as G
+from stratafold.operators import kernels as K
 
 BUCKETS = 32
 
@@ -33,10 +38,39 @@ def at_points(points: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     return points.withColumns({"bx": bucket(F.col("x"), buckets), "by": bucket(F.col("y"), buckets)})
 
 
-def points_in_areas(points: DataFrame, areas: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """Points (``x, y``) joined with the areas (``shell, holes``) that cover them; other column names must not clash."""
-    joined = at_points(points, buckets).join(ring_bounds(areas, "shell", buckets=buckets), ["bx", "by"])
-    return joined.where(G.area_covers(F.col("shell"), F.col("holes"), F.col("x"), F.col("y"))).drop("bx", "by", "shell", "holes")
+def _levels(buckets: int) -> list[int]:
+    """Grids of 2 ** level cells a side, from the finest of at most ``buckets`` to one of a few cells."""
+    return list(range(max(buckets.bit_length() - 1, 2), 1, -2))
+
+
+def points_in_areas(points: DataFrame, areas: DataFrame, buckets: int = BUCKETS, once: bool = False) -> DataFrame:
+    """Points (``x, y``) joined with the areas (``shell, holes``) that cover them; other column names must not clash.
+
+    An area lies in the finest grid of at most ``buckets`` cells a side of which it touches few cells, so wide areas spread over few
+    cells as well; a point looks into its cell of each grid. With ``once`` a point's row comes at most once a grid, with any one of
+    the areas that cover it.
+    """
+    levels = _levels(buckets)
+    cell = lambda x, level: F.least(F.greatest(F.floor(x * F.pow(F.lit(2.0), level)), F.lit(0)), F.pow(F.lit(2.0), level).cast("long") - 1)
+    xs, ys = F.transform("shell", lambda p: p["x"]), F.transform("shell", lambda p: p["y"])
+    bounds = areas.withColumns({"__w": F.array_min(xs), "__e": F.array_max(xs), "__s": F.array_min(ys), "__n": F.array_max(ys)})
+    extent, level = F.greatest(F.col("__e") - F.col("__w"), F.col("__n") - F.col("__s")), F.lit(levels[-1])
+    for finer in reversed(levels[:-1]):
+        level = F.when(extent * float(1 << finer) <= 2.0, F.lit(finer)).otherwise(level)
+    spread = bounds.withColumn("__level", level)
+    spread = spread.withColumn("bx", F.explode(F.sequence(cell(F.col("__w"), F.col("__level")), cell(F.col("__e"), F.col("__level")))))
+    spread = spread.withColumn("by", F.explode(F.sequence(cell(F.col("__s"), F.col("__level")), cell(F.col("__n"), F.col("__level"))))).drop("__w", "__e", "__s", "__n")
+    asked = points.where("x IS NOT NULL AND y IS NOT NULL").withColumn("__level", F.explode(F.array(*map(F.lit, levels))))
+    asked = asked.withColumns({"bx": cell(F.col("x"), F.col("__level")), "by": cell(F.col("y"), F.col("__level"))})
+    schema = T.StructType([*points.schema, *(f for f in areas.schema if f.name not in ("shell", "holes"))])
+    names = schema.names
+
+    def work(left: pa.Table, right: pa.Table) -> Iterator[pa.Table]:
+        x, y = K.numbers(left, "x", "y")
+        for area, point in K.covering(K.Areas(right), x, y, once):
+            yield K.joined(left, right, point, area, names)
+
+    return K.bucketed(asked, spread, ["__level", "bx", "by"], work, schema)
 
 
 def segments(points: DataFrame, line: str, order: str) -> DataFrame:
@@ -46,15 +80,27 @@ def segments(points: DataFrame, line: str, order: str) -> DataFrame:
     return ahead.where("x1 IS NOT NULL").withColumn("seg", F.col("seg") - 1)
 
 
-def points_near_segments(points: DataFrame, parts: DataFrame, radius: float, buckets: int = BUCKETS) -> DataFrame:
-    """Points within ``radius`` of segments, with the distance."""
+#: Buckets a side for long segments, each of which lies in those along it.
+LONG = 16
+
+
+def points_near_segments(points: DataFrame, parts: DataFrame, radius: float, buckets: int = LONG, slack: float | None = None) -> DataFrame:
+    """Points within ``radius`` of segments, with the distance; with ``slack`` only the segments at most that much further from a
+    point than its nearest one."""
     spread = by_bounds(parts, F.least("x0", "x1") - radius, F.greatest("x0", "x1") + radius, F.least("y0", "y1") - radius, F.greatest("y0", "y1") + radius, buckets)
-    # A long segment's bounds touch many buckets that the segment itself stays away from.
+    # A long segment's bounds touch many buckets that the segment itself stays away from. Those at the border hold what lies beyond.
     middle = ((F.col("bx") + 0.5) / buckets, (F.col("by") + 0.5) / buckets)
-    close = spread.where(G.segment_distance(*middle, *(F.col(c) for c in ("x0", "y0", "x1", "y1"))) <= radius + 0.7072 / buckets)
-    joined = at_points(points, buckets).join(close, ["bx", "by"])
-    distance = G.segment_distance(*(F.col(c) for c in ("x", "y", "x0", "y0", "x1", "y1")))
-    return joined.withColumn("distance", distance).where(F.col("distance") <= radius).drop("bx", "by")
+    border = F.col("bx").isin(0, buckets - 1) | F.col("by").isin(0, buckets - 1)
+    close = spread.where(border | (G.segment_distance(*middle, *(F.col(c) for c in ("x0", "y0", "x1", "y1"))) <= radius + 0.7072 / buckets))
+    schema = T.StructType([*points.schema, *parts.schema, T.StructField("distance", T.DoubleType())])
+    names = schema.names
+
+    def work(left: pa.Table, right: pa.Table) -> Iterator[pa.Table]:
+        x, y = K.numbers(left, "x", "y")
+        for part, point, distance in K.near_segments(K.numbers(right, "x0", "y0", "x1", "y1"), x, y, radius, slack):
+            yield K.joined(left, right, point, part, names, distance=distance)
+
+    return K.bucketed(at_points(points, buckets).where("bx IS NOT NULL AND by IS NOT NULL"), close, ["bx", "by"], work, schema)
 
 
 def rasterize(areas: DataFrame, columns: int, rows: int) -> DataFrame:

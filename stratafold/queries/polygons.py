@@ -72,7 +72,7 @@ def j03_points_in_blobs(s: SparkSession, d: str) -> DataFrame:
 def j09_covered_paths(s: SparkSession, d: str) -> DataFrame:
     """Lines of which every point lies in some area, that is a duplicate of pavement drawn as areas."""
     points = fx.paths(s, d).select(F.col("id").alias("path"), F.posexplode("points").alias("i", "p")).select("path", "i", F.col("p.x").alias("x"), F.col("p.y").alias("y"))
-    held = _hits(points, s, d).select("path", "i").distinct()
+    held = spatial.points_in_areas(points, _areas(s, d).select("shell", "holes"), FINE, once=True).select("path", "i").distinct()
     return held.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n = 3").select("path")
 
 
