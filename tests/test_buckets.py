@@ -42,3 +42,27 @@ def test_points_of_areas_of_all_sizes_and_each_point_once(spark):
     # In one grid of few cells a point has one row, however many areas cover it.
     once = [r.id for r in spatial.points_in_areas(points, areas, 4, once=True).select("id").collect()]
     assert len(once) == len(set(once)) and set(once) == {i for i, _ in expected}
+
+
+def _distance(x, y, x0, y0, x1, y1):
+    dx, dy = x1 - x0, y1 - y0
+    t = min(max(((x - x0) * dx + (y - y0) * dy) / (dx * dx + dy * dy), 0.0), 1.0) if dx or dy else 0.0
+    return ((x - x0 - t * dx) ** 2 + (y - y0 - t * dy) ** 2) ** 0.5
+
+
+def _lines(rng, n):
+    """Segments of all lengths, some without length, every fifth twice."""
+    made = []
+    for k in range(n):
+        x, y, size = rng.uniform(-0.2, 1.2), rng.uniform(-0.2, 1.2), rng.choice([0.0, 0.01, 0.2, 1.5])
+        made += [(k, x, y, x + size * rng.uniform(-1, 1), y + size * rng.uniform(-1, 1))] * (1 + (k % 5 == 0))
+    return made
+
+
+def test_points_near_segments_of_all_lengths_by_brute_force(spark):
+    rng = random.Random(6)
+    lines, spots = _lines(rng, 150), _spots(rng, 300)
+    parts, points = spark.createDataFrame(lines, "line int, x0 double, y0 double, x1 double, y1 double"), spark.createDataFrame(spots, "id int, x double, y double")
+    expected = sorted((i, k[0]) for i, x, y in spots if None not in (x, y) for k in lines if _distance(x, y, *k[1:]) <= 0.05)
+    for buckets in (1, 16, 64):
+        assert sorted((r.id, r.line) for r in spatial.points_near_segments(points, parts, 0.05, buckets).collect()) == expected
