@@ -90,10 +90,15 @@ def j12_box_overlaps(s: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.col("l.id").alias("a"), F.col("o.id").alias("b")).distinct()
 
 
+#: Segments this much further than the nearest one may have the same distance of six digits.
+TIE = 1.5e-6
+
+
 def j13_nearest_line(s: SparkSession, d: str) -> DataFrame:
     """The nearest line of each spot within a radius; ties to the lower line."""
-    parts = spatial.segments(fx.line_pts(s, d), "line", "seq")
-    near = spatial.points_near_segments(fx.spots(s, d), parts, 0.002).withColumn("distance", F.round("distance", 6))
+    # Of segments in the same place, which have the same distances, the lowest line's counts.
+    parts = spatial.segments(fx.line_pts(s, d), "line", "seq").groupBy("x0", "y0", "x1", "y1").agg(F.min("line").alias("line"))
+    near = spatial.points_near_segments(fx.spots(s, d), parts, 0.002, slack=TIE).withColumn("distance", F.round("distance", 6))
     return near.groupBy("id").agg(F.min(F.struct("distance", "line")).alias("best")).select("id", "best.line", "best.distance")
 
 
@@ -185,9 +190,11 @@ def fn35_progress(s: SparkSession, d: str) -> DataFrame:
     parts = spatial.segments(fx.line_pts(s, d), "line", "seq").withColumn("length", F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))
     w = Window.partitionBy("line")
     placed = parts.withColumns({"before": F.sum("length").over(w.orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)), "total": F.sum("length").over(w)})
-    near = spatial.points_near_segments(fx.spots(s, d), placed, 0.002).where("length > 0")
+    # Of segments in the same place, which have the same distances, the lowest line's first one counts.
+    first = placed.where("length > 0").groupBy("x0", "y0", "x1", "y1").agg(F.min(F.struct("line", F.coalesce("before", F.lit(0.0)).alias("before"), "total", "length")).alias("p")).select("x0", "y0", "x1", "y1", "p.*")
+    near = spatial.points_near_segments(fx.spots(s, d), first, 0.002, slack=TIE)
     t = F.least(F.greatest(((F.col("x") - F.col("x0")) * (F.col("x1") - F.col("x0")) + (F.col("y") - F.col("y0")) * (F.col("y1") - F.col("y0"))) / (F.col("length") * F.col("length")), F.lit(0.0)), F.lit(1.0))
-    best = near.withColumn("progress", F.round((F.coalesce("before", F.lit(0.0)) + t * F.col("length")) / F.col("total"), 5)).groupBy("id").agg(F.min(F.struct(F.round("distance", 6).alias("distance"), "line", "progress")).alias("b"))
+    best = near.withColumn("progress", F.round((F.col("before") + t * F.col("length")) / F.col("total"), 5)).groupBy("id").agg(F.min(F.struct(F.round("distance", 6).alias("distance"), "line", "progress")).alias("b"))
     return best.select("id", "b.line", "b.progress")
 
 

@@ -66,3 +66,18 @@ def test_points_near_segments_of_all_lengths_by_brute_force(spark):
     expected = sorted((i, k[0]) for i, x, y in spots if None not in (x, y) for k in lines if _distance(x, y, *k[1:]) <= 0.05)
     for buckets in (1, 16, 64):
         assert sorted((r.id, r.line) for r in spatial.points_near_segments(points, parts, 0.05, buckets).collect()) == expected
+
+
+def test_segments_nearest_to_points_by_brute_force(spark):
+    rng = random.Random(7)
+    lines, spots = _lines(rng, 150), _spots(rng, 300)
+    parts, points = spark.createDataFrame(lines, "line int, x0 double, y0 double, x1 double, y1 double"), spark.createDataFrame(spots, "id int, x double, y double")
+    for radius, slack in ((0.1, 1e-9), (0.02, 0.005)):
+        expected = []
+        for i, x, y in spots:
+            near = [(_distance(x, y, *k[1:]), k[0]) for k in lines if None not in (x, y)]
+            least = min(near, default=(1e9, 0))[0]
+            expected += [(i, k) for far, k in near if far <= min(radius, least + slack)]
+        for buckets in (1, 16):
+            # Two buckets never share a point, so none has the segments of another's nearest one.
+            assert sorted((r.id, r.line) for r in spatial.points_near_segments(points, parts, radius, buckets, slack).collect()) == sorted(expected)
