@@ -206,7 +206,9 @@ def near_segments(ends: np.ndarray, x: np.ndarray, y: np.ndarray, radius: float,
     Squares that hold the points are quartered; a square keeps the segments that may be near any of its points.
     """
     found, size = [], 0
-    squares = [(np.arange(len(x)), np.arange(ends.shape[1]))] if len(x) else []
+    # Those without a place are near nothing.
+    there = np.flatnonzero(np.isfinite(x) & np.isfinite(y))
+    squares = [(there, np.flatnonzero(np.isfinite(ends).all(axis=0)))] if len(there) else []
     while squares:
         points, parts = squares.pop()
         px, py = x[points], y[points]
