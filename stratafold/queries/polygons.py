@@ -40,12 +40,9 @@ def _samples(s: SparkSession, d: str) -> DataFrame:
 
 
 def _painted(s: SparkSession, d: str, roads: bool, buildings: bool) -> DataFrame:
-    samples = _samples(s, d)
-    points = samples.select("cell", "x", "y")
-    areas = _hits(points, s, d, "kind", "height").select("cell", _pick(AREA_ROLES, "kind").alias("role"), F.col("area").alias("seq"), _pick(AREA_CLASSES, "kind").alias("class"), "height")
-    near = spatial.points_near_segments(points, fx.path_parts(s, d), 0.002, FINE).where("distance <= half")
-    lines = near.select("cell", _pick(LINE_ROLES, "layer").alias("role"), F.col("id").alias("seq"), _pick(LINE_CLASSES, "layer").alias("class"), F.lit(0.0).alias("height"))
-    return overlay.paint(samples.select("cell", "ground", "steep"), areas.unionByName(lines), "cell", roads, buildings)
+    areas = _areas(s, d).select("shell", "holes", _pick(AREA_ROLES, "kind").alias("role"), F.col("area").alias("seq"), _pick(AREA_CLASSES, "kind").alias("class"), "height")
+    lines = fx.path_parts(s, d).select("x0", "y0", "x1", "y1", "half", _pick(LINE_ROLES, "layer").alias("role"), F.col("id").alias("seq"), _pick(LINE_CLASSES, "layer").alias("class"), F.lit(0.0).alias("height"))
+    return overlay.paint_shapes(_samples(s, d), areas, lines, "cell", roads, buildings)
 
 
 def j06_painted(s: SparkSession, d: str) -> DataFrame:

@@ -2,9 +2,7 @@
 
 import random
 
-from pyspark.sql import functions as F
-
-from stratafold.operators import spatial
+from stratafold.operators import overlay, spatial
 
 RING = "array<struct<x: double, y: double>>"
 
@@ -81,3 +79,21 @@ def test_segments_nearest_to_points_by_brute_force(spark):
         for buckets in (1, 16):
             # Two buckets never share a point, so none has the segments of another's nearest one.
             assert sorted((r.id, r.line) for r in spatial.points_near_segments(points, parts, radius, buckets, slack).collect()) == sorted(expected)
+
+
+def test_painting_shapes_gives_what_painting_their_candidates_does(spark):
+    rng = random.Random(8)
+    shapes, lines = _shapes(rng, 60), _lines(rng, 60)
+    shown = lambda k: (rng.choice((*overlay.ROLES, "unknown")), k, rng.choice((3, 26, 28)), float(k % 4))
+    what = "role string, seq int, class int, height double"
+    areas = spark.createDataFrame([(s, h, *shown(k)) for k, s, h in shapes], f"shell {RING}, holes array<{RING}>, {what}")
+    thin = spark.createDataFrame([(*at, rng.choice([0.001, 0.02]), *shown(100 + k)) for k, *at in lines], f"x0 double, y0 double, x1 double, y1 double, half double, {what}")
+    samples = spark.createDataFrame([(i, x, y, rng.choice([1, 3]), rng.choice([True, False, None])) for i, x, y in _spots(rng, 300) if None not in (x, y)], "cell int, x double, y double, ground int, steep boolean")
+    points = samples.select("cell", "x", "y")
+    over = spatial.points_in_areas(points, areas).unionByName(spatial.points_near_segments(points, thin, 0.02).where("distance <= half"), allowMissingColumns=True)
+    plain = lambda df: sorted((r.cell, r["class"], r.height) for r in df.collect())
+    for roads, buildings in ((True, True), (False, False), (True, False)):
+        expected = plain(overlay.paint(samples, over.select("cell", "role", "seq", "class", "height"), "cell", roads, buildings))
+        assert plain(overlay.paint_shapes(samples, areas, thin, "cell", roads, buildings)) == expected
+    nothing = overlay.paint_shapes(samples, areas.limit(0), thin.limit(0), "cell")
+    assert plain(nothing) == sorted((r.cell, r.ground, 0.0) for r in samples.collect())
