@@ -242,6 +242,20 @@ def near_segments(ends: np.ndarray, x: np.ndarray, y: np.ndarray, radius: float,
         yield tuple(map(np.concatenate, zip(*found)))
 
 
+def overlapping(w: np.ndarray, e: np.ndarray, s: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of boxes that overlap or touch, each once."""
+    order = np.argsort(w, kind="stable")
+    w, e, s, n = w[order], e[order], s[order], n[order]
+    upto = np.searchsorted(w, e, "right")
+    counts = np.maximum(upto - np.arange(1, len(w) + 1), 0)
+    for some in chunks(counts, 4 * MANY):
+        run, place = spread(counts[some])
+        i = run + some.start
+        j = i + 1 + place
+        meet = np.flatnonzero((s[j] <= n[i]) & (s[i] <= n[j]))
+        yield order[i[meet]], order[j[meet]]
+
+
 def joined(left: pa.Table, right: pa.Table, i: np.ndarray, j: np.ndarray, names: Sequence[str], **more: np.ndarray) -> pa.Table:
     """Columns of rows ``i`` of one table and rows ``j`` of the other, and further ones."""
     made = {n: pa.array(more[n]) if n in more else left.column(n).take(pa.array(i)) if n in left.column_names else right.column(n).take(pa.array(j)) for n in names}

@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -103,6 +105,43 @@ def points_near_segments(points: DataFrame, parts: DataFrame, radius: float, buc
     return K.bucketed(at_points(points, buckets).where("bx IS NOT NULL AND by IS NOT NULL"), close, ["bx", "by"], work, schema)
 
 
+def crossings(parts: DataFrame, buckets: int) -> DataFrame:
+    """Pairs of segments (``line, seg, x0, y0, x1, y1``) of different lines of which each has the other's ends on both its sides:
+    ``line1, seg1, line2, seg2``, of the lines the lower first.
+
+    A pair meets in every bucket that both bounds touch and counts in the one of its bounds' common south-western corner, so pairs
+    are neither moved nor compared again.
+    """
+    w, e, s, n = F.least("x0", "x1"), F.greatest("x0", "x1"), F.least("y0", "y1"), F.greatest("y0", "y1")
+    held = by_bounds(parts.select("line", "seg", "x0", "y0", "x1", "y1").dropna(subset=["x0", "y0", "x1", "y1"]), w, e, s, n, buckets)
+    line, seg = parts.schema["line"].dataType, parts.schema["seg"].dataType
+    schema = T.StructType([T.StructField("line1", line), T.StructField("seg1", seg), T.StructField("line2", line), T.StructField("seg2", seg)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches)).combine_chunks()
+        lines, segs = table.column("line"), table.column("seg")
+        x0, y0, x1, y1 = K.numbers(table, "x0", "y0", "x1", "y1")
+        # Lines by number, so that they are compared in their own order whatever their type is.
+        number = pc.rank(lines.combine_chunks(), sort_keys="ascending", tiebreaker="min").to_numpy()
+        bx, by = table.column("bx")[0].as_py(), table.column("by")[0].as_py()
+        own = lambda v: np.minimum(np.maximum(np.floor(v * buckets), 0), buckets - 1)
+        west, south = np.minimum(x0, x1), np.minimum(y0, y1)
+        turn = lambda q, x, y: (x1[q] - x0[q]) * (y - y0[q]) - (y1[q] - y0[q]) * (x - x0[q])
+        for i, j in K.overlapping(west, np.maximum(x0, x1), south, np.maximum(y0, y1)):
+            here = (number[i] != number[j]) & (own(np.maximum(west[i], west[j])) == bx) & (own(np.maximum(south[i], south[j])) == by)
+            i, j = i[here], j[here]
+            i, j = np.where(number[i] < number[j], i, j), np.where(number[i] < number[j], j, i)
+            over = np.flatnonzero(turn(j, x0[i], y0[i]) * turn(j, x1[i], y1[i]) < 0)
+            i, j = i[over], j[over]
+            over = turn(i, x0[j], y0[j]) * turn(i, x1[j], y1[j]) < 0
+            i, j = pa.array(i[over]), pa.array(j[over])
+            if len(i):
+                yield from pa.table({"line1": lines.take(i), "seg1": segs.take(i), "line2": lines.take(j), "seg2": segs.take(j)}).combine_chunks().to_batches()
+
+    run.__annotations__ = {"batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+    return held.groupBy("bx", "by").applyInArrow(run, schema)
+
+
 def rasterize(areas: DataFrame, columns: int, rows: int) -> DataFrame:
     """Cells whose centre an area covers: the areas' columns with ``r, c``."""
     xs, ys = F.transform("shell", lambda p: p["x"]), F.transform("shell", lambda p: p["y"])

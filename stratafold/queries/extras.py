@@ -211,18 +211,14 @@ def x16_safe_edges(s: SparkSession, d: str) -> DataFrame:
     return fx.areas(s, d).select(F.col("id").alias("owner")).join(counted, "owner", "left").select("owner", (F.coalesce("n", F.lit(0)) == 33).alias("safe"))
 
 
+#: Buckets a side for short segments.
+SMALL = 64
+
+
 def x19_crossings(s: SparkSession, d: str) -> DataFrame:
     """Crossings of segments of different lines, by bucketed bounds, each once; lines are drawn small, each at its own place."""
     small = fx.line_pts(s, d).selectExpr("line", "seq", "line * 7919 % 997 / 997D + (x - 0.5) * 0.02 AS x", "line * 104729 % 991 / 991D + (y - 0.5) * 0.02 AS y")
-
-    def parts(n: str) -> DataFrame:
-        p = spatial.segments(small, "line", "seq").toDF(f"line{n}", f"seg{n}", *(f"{c}{n}" for c in ("ax", "ay", "bx_", "by_")))
-        return spatial.by_bounds(p, F.least(f"ax{n}", f"bx_{n}"), F.greatest(f"ax{n}", f"bx_{n}"), F.least(f"ay{n}", f"by_{n}"), F.greatest(f"ay{n}", f"by_{n}"))
-
-    turn = lambda p, q, r: f"((bx_{q} - ax{q}) * ({r}y{p} - ay{q}) - (by_{q} - ay{q}) * ({r}x{p} - ax{q}))".replace("bbx", "bx").replace("bby", "by")
-    both = parts("1").join(parts("2"), ["bx", "by"]).where("line1 < line2")
-    t = [turn("1", "2", "a"), turn("1", "2", "b").replace("by1", "by_1").replace("bx1", "bx_1"), turn("2", "1", "a"), turn("2", "1", "b").replace("by2", "by_2").replace("bx2", "bx_2")]
-    return both.where(f"{t[0]} * {t[1]} < 0 AND {t[2]} * {t[3]} < 0").select("line1", "seg1", "line2", "seg2").distinct()
+    return spatial.crossings(spatial.segments(small, "line", "seq"), SMALL)
 
 
 def x28_split_tiles(s: SparkSession, d: str) -> DataFrame:

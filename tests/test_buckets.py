@@ -97,3 +97,17 @@ def test_painting_shapes_gives_what_painting_their_candidates_does(spark):
         assert plain(overlay.paint_shapes(samples, areas, thin, "cell", roads, buildings)) == expected
     nothing = overlay.paint_shapes(samples, areas.limit(0), thin.limit(0), "cell")
     assert plain(nothing) == sorted((r.cell, r.ground, 0.0) for r in samples.collect())
+
+
+def test_crossings_by_brute_force(spark):
+    rng = random.Random(9)
+    lines = [(k % 40, k // 40, *at) for k, *at in _lines(rng, 200)]
+    turn = lambda q, x, y: (q[4] - q[2]) * (y - q[3]) - (q[5] - q[3]) * (x - q[2])
+    cross = lambda p, q: turn(q, p[2], p[3]) * turn(q, p[4], p[5]) < 0 and turn(p, q[2], q[3]) * turn(p, q[4], q[5]) < 0
+    expected = sorted((*p[:2], *q[:2]) for p in lines for q in lines if p[0] < q[0] and cross(p, q))
+    parts = spark.createDataFrame([*lines, (99, 0, None, 0.5, 0.5, 0.5)], "line int, seg int, x0 double, y0 double, x1 double, y1 double")
+    for buckets in (1, 16):
+        found = spatial.crossings(parts, buckets)
+        assert sorted(map(tuple, found.collect())) == expected
+    # The pairs are not moved again: the only exchange is that of the segments.
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
