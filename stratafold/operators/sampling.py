@@ -7,12 +7,16 @@ picks the join; a small raster is broadcast only within the planner's size limit
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stratafold.functions.geo import catmull_rom_weights
+from stratafold.operators import kernels as K
 
 
 def nearest(samples: DataFrame, raster: DataFrame, row: Column, column: Column, value: str) -> DataFrame:
@@ -90,3 +94,86 @@ def class_vote(samples: DataFrame, raster: DataFrame, y: Column, x: Column, valu
     corners = [(v(i, j), (ty if i else 1 - ty) * (tx if j else 1 - tx)) for i in (0, 1) for j in (0, 1)]
     entries = [F.struct(F.round(sum((F.when(c == k, w).otherwise(0.0) for k, w in corners), F.lit(0.0)), 9).alias("w"), c.alias("k")) for c, _ in corners]
     return done(got.withColumn("value", F.array_max(F.array(*entries))["k"]))
+
+
+#: Least cells along the side of a tile in which lines read their stations; stations that are worked on at a time.
+TILE, AT_ONCE = 64, 50_000
+
+
+def highest_across(lines: DataFrame, key: str, raster: DataFrame, value: str, rows: int, columns: int, last: int, ahead: float, across: int) -> DataFrame:
+    """``key, station, value``: the highest of ``2 * across + 1`` cells across each line (``key, half, x0, y0, x1, y1, x2, y2``: two
+    segments) at its stations 0 to ``last``, which part its length evenly.
+
+    The cells lie evenly from ``half`` on one side to ``half`` on the other; a station's direction is that from ``ahead`` (a share
+    of the length) before it to as much after it. Places are clamped to the unit square. Stations without any cell are left out.
+
+    Lines go to the tiles that their bounds touch. A tile holds the cells around it that the widest line reads across, so it gives
+    the stations in it as a whole and no sample becomes a row.
+    """
+    lines = lines.dropna(subset=["half", *(f"{c}{i}" for c in "xy" for i in range(3))])
+    widest = lines.agg(F.max(F.abs("half"))).first()[0] or 0.0
+    halo_r, halo_c = (min(int(widest * (n - 1)) + 2, n) for n in (rows, columns))
+    tall, wide = max(TILE, 4 * halo_r), max(TILE, 4 * halo_c)
+
+    def touched(c: str, n: int, side: int) -> Column:
+        # A cell more on each side, for what rounding moves.
+        at = lambda v, more: F.floor((F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0)) * (n - 1) + 0.5 + more) / side)
+        corners = [F.col(f"{c}{i}") for i in range(3)]
+        return F.explode(F.sequence(at(F.least(*corners), -1), at(F.greatest(*corners), 1)))
+
+    def holders(c: str, halo: int, side: int) -> Column:
+        return F.explode(F.sequence(F.floor((F.col(c) - halo) / side), F.floor((F.col(c) + halo) / side)))
+
+    asked = lines.withColumn("__tr", touched("y", rows, tall)).withColumn("__tc", touched("x", columns, wide))
+    asked = asked.withColumns({"__r": F.col("__tr") * tall, "__c": F.col("__tc") * wide})
+    cells = raster.select("r", "c", F.col(value).cast("double").alias("z")).withColumn("__tr", holders("r", halo_r, tall)).withColumn("__tc", holders("c", halo_c, wide))
+    steps, shifts = np.arange(last + 1) / float(last), np.arange(-across, across + 1)
+    schema = T.StructType([lines.schema[key], T.StructField("station", T.IntegerType()), T.StructField(value, T.DoubleType())])
+
+    def cell(v: np.ndarray, n: int) -> np.ndarray:
+        v = np.minimum(np.maximum(v, 0.0), 1.0) * (n - 1)
+        low = np.floor(v)
+        return (low + (v - low >= 0.5)).astype(np.int64)
+
+    def place(line: np.ndarray, progress: np.ndarray) -> np.ndarray:
+        half, x0, y0, x1, y1, x2, y2 = line
+        l0, l1 = np.sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2), np.sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2)
+        gone = progress * (l0 + l1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            first = np.where(l0 > 0, np.minimum(gone / l0, 1.0), 1.0)
+            second = np.where(l1 > 0, np.minimum(np.maximum((gone - l0) / l1, 0.0), 1.0), 0.0)
+        return np.stack([np.where(gone <= l0, a + (b - a) * first, b + (d - b) * second) for a, b, d in ((x0, x1, x2), (y0, y1, y2))])
+
+    def work(left: pa.Table, right: pa.Table) -> Iterator[pa.Table]:
+        south, west = (int(left.column(n)[0].as_py()) for n in ("__r", "__c"))
+        high, broad = tall + 2 * halo_r, wide + 2 * halo_c
+        r, c, z = K.numbers(right, "r", "c", "z")
+        at = (r.astype(np.int64) - south + halo_r) * broad + c.astype(np.int64) - west + halo_c
+        known = right.column("z").is_valid().to_numpy()
+        there, held, top = np.zeros(high * broad, np.bool_), np.zeros(high * broad, np.bool_), np.full(high * broad, -np.inf)
+        there[at], held[at[known]] = True, True
+        np.maximum.at(top, at[known], z[known])
+        numbers = K.numbers(left, "half", *(f"{c}{i}" for i in range(3) for c in "xy"))
+        for some in K.chunks(np.full(left.num_rows, last + 1), AT_ONCE):
+            x, y = place(numbers[:, some][..., None], steps)
+            sr, sc = cell(y, rows) - south, cell(x, columns) - west
+            line, station = np.nonzero((sr >= 0) & (sr < tall) & (sc >= 0) & (sc < wide))
+            own, p = numbers[:, some][:, line], steps[station]
+            (ax, ay), (bx, by) = place(own, np.minimum(p + ahead, 1.0)), place(own, np.maximum(p - ahead, 0.0))
+            dx, dy = ax - bx, ay - by
+            long = np.sqrt(dx * dx + dy * dy)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                ux, uy = np.where(long > 1e-9, dx / long, 1.0), np.where(long > 1e-9, dy / long, 0.0)
+            half = own[0][:, None]
+            u = x[line, station][:, None] - uy[:, None] * half * shifts / across
+            v = y[line, station][:, None] + ux[:, None] * half * shifts / across
+            read = (cell(v, rows) - south + halo_r) * broad + cell(u, columns) - west + halo_c
+            got = np.flatnonzero(there[read].any(axis=1))
+            read = read[got]
+            yield pa.table({
+                key: left.column(key).take(pa.array(line[got] + some.start)),
+                "station": pa.array(station[got].astype(np.int32)),
+                value: pa.array(top[read].max(axis=1), mask=~held[read].any(axis=1)),
+            })
+
+    return K.bucketed(asked, cells, ["__tr", "__tc"], work, schema)

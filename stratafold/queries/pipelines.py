@@ -59,23 +59,8 @@ def w17_stations(s: SparkSession, d: str) -> DataFrame:
     rows, columns = _shape(s, d)
     at = lambda i, c: F.element_at("points", i)[c]
     flat = fx.paths(s, d).select("id", "half", *(at(i + 1, c).alias(f"{c}{i}") for i in range(3) for c in "xy"))
-    sized = flat.withColumns({"l0": F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")), "l1": F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))})
-
-    def place(progress):
-        gone = progress * (F.col("l0") + F.col("l1"))
-        first = F.when(F.col("l0") > 0, F.least(gone / F.col("l0"), F.lit(1.0))).otherwise(1.0)
-        second = F.when(F.col("l1") > 0, F.least(F.greatest((gone - F.col("l0")) / F.col("l1"), F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
-        return tuple(F.when(gone <= F.col("l0"), F.col(f"{c}0") + (F.col(f"{c}1") - F.col(f"{c}0")) * first).otherwise(F.col(f"{c}1") + (F.col(f"{c}2") - F.col(f"{c}1")) * second) for c in "xy")
-
-    stations = sized.withColumn("station", F.explode(F.sequence(F.lit(0), F.lit(STATIONS))))
-    p = F.col("station") / float(STATIONS)
-    (x, y), (ax, ay), (bx, by) = place(p), place(F.least(p + 0.005, F.lit(1.0))), place(F.greatest(p - 0.005, F.lit(0.0)))
-    placed = stations.select("id", "station", "half", x.alias("px"), y.alias("py"), (ax - bx).alias("dx"), (ay - by).alias("dy"))
-    turned = placed.withColumn("long", F.hypot("dx", "dy")).withColumns({"ux": F.when(F.col("long") > 1e-9, F.col("dx") / F.col("long")).otherwise(1.0), "uy": F.when(F.col("long") > 1e-9, F.col("dy") / F.col("long")).otherwise(0.0)})
-    across = turned.withColumn("k", F.explode(F.sequence(F.lit(-2), F.lit(2)))).select("id", "station", (F.col("px") - F.col("uy") * F.col("half") * F.col("k") / 2).alias("u"), (F.col("py") + F.col("ux") * F.col("half") * F.col("k") / 2).alias("v"))
-    inside = lambda c, n: F.round(F.least(F.greatest(F.col(c), F.lit(0.0)), F.lit(1.0)) * (n - 1)).cast("long")
-    got = sampling.nearest(across, fx.cells(s, d), inside("v", rows), inside("u", columns), "z")
-    return got.groupBy("id", "station").agg(F.max("z").alias("top"))
+    got = sampling.highest_across(flat, "id", fx.cells(s, d), "z", rows, columns, STATIONS, 0.005, ACROSS // 2)
+    return got.select("id", "station", F.col("z").alias("top"))
 
 
 def x08_grid_samples(s: SparkSession, d: str) -> DataFrame:

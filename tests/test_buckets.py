@@ -2,7 +2,7 @@
 
 import random
 
-from stratafold.operators import overlay, spatial
+from stratafold.operators import overlay, sampling, spatial
 
 RING = "array<struct<x: double, y: double>>"
 
@@ -107,7 +107,26 @@ def test_crossings_by_brute_force(spark):
     expected = sorted((*p[:2], *q[:2]) for p in lines for q in lines if p[0] < q[0] and cross(p, q))
     parts = spark.createDataFrame([*lines, (99, 0, None, 0.5, 0.5, 0.5)], "line int, seg int, x0 double, y0 double, x1 double, y1 double")
     for buckets in (1, 16):
-        found = spatial.crossings(parts, buckets)
-        assert sorted(map(tuple, found.collect())) == expected
+        assert sorted(map(tuple, spatial.crossings(parts, buckets).collect())) == expected
     # The pairs are not moved again: the only exchange is that of the segments.
-    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert spatial.crossings(parts, 16)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_stations_read_the_cells_across_them_whatever_tiles_they_lie_in(spark):
+    rng, rows, columns = random.Random(10), 150, 90
+    cells = {(r, c): None if rng.random() < 0.1 else rng.uniform(0, 100) for r in range(rows) for c in range(columns) if rng.random() < 0.7}
+    # A straight line along one axis: its stations, directions and cells across are known.
+    lines = [(0, 0.01, 0.1, 0.3, 0.4, 0.3, 0.9, 0.3), (1, 0.3, 0.9, -0.2, 0.9, 0.3, 0.9, 1.2), (2, 0.02, 0.5, 0.5, 0.5, 0.5, 0.5, 0.5), (3, None, 0.1, 0.1, 0.2, 0.2, 0.3, 0.3)]
+    expected = {}
+    for k, half, x0, y0, _, _, x2, y2 in lines[:3]:
+        for station in range(9):
+            x, y, level = x0 + (x2 - x0) * station / 8, y0 + (y2 - y0) * station / 8, y0 == y2
+            places = [(x if level else x - half * i / 2, y + half * i / 2 if level else y) for i in range(-2, 3)]
+            clamp = lambda v: min(max(v, 0.0), 1.0)
+            read = [(int(clamp(v) * (rows - 1) + 0.5), int(clamp(u) * (columns - 1) + 0.5)) for u, v in places]
+            if there := [cells[p] for p in read if p in cells]:
+                expected[k, station] = max((z for z in there if z is not None), default=None)
+    raster = spark.createDataFrame([(*at, z) for at, z in cells.items()], "r long, c long, z double")
+    df = spark.createDataFrame(lines, "id int, half double, x0 double, y0 double, x1 double, y1 double, x2 double, y2 double")
+    got = sampling.highest_across(df, "id", raster, "z", rows, columns, 8, 0.005, 2).collect()
+    assert len(got) == len(expected) and {(r.id, r.station): r.z for r in got} == expected
