@@ -22,6 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stratafold.operators import kernels as K
+from stratafold.operators import spatial
+
 Ring = Sequence[tuple[float, float]]
 #: Height below which a slab is empty; sides of a circle that rounds a ribbon's joints.
 THIN, ROUND = 1e-12, 16
@@ -176,14 +179,87 @@ def triangulations(shapes: DataFrame, keys: Sequence[str]) -> DataFrame:
     return _per_row(shapes, keys, work, "triangles bigint, covered double")
 
 
-def ribbons(lines: DataFrame, keys: Sequence[str], obstacles: DataFrame | None = None) -> DataFrame:
-    """``keys, area`` of each line (``points, half``) as a ribbon inside the unit square, cut back where its obstacles are
-    (``keys`` and a ``shell``; a line's obstacles come together in one row)."""
-    window = [[(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)]]
-    cut = lines.withColumn("cut", F.expr(f"CAST(array() AS array<{_POINTS}>)")) if obstacles is None else lines.join(obstacles.groupBy(*keys).agg(F.collect_list("shell").alias("cut")), list(keys), "left")
+#: Obstacles that a window may have before it is quartered, and how often it may be.
+FEW, DEPTH = 3, 8
 
-    def work(row: dict) -> tuple:
-        points = [(p["x"], p["y"]) for p in row["points"]]
-        return (area_of(clip_to(ribbon(points, row["half"]), window, [_rings(c, None) for c in row["cut"] or []])),)
 
-    return _per_row(cut.select(*keys, "points", "half", "cut"), keys, work, "area double")
+def kept_area(shapes: Sequence[Sequence[Ring]], keep: Callable[[np.ndarray], np.ndarray]) -> float:
+    """The area where ``keep`` holds, which is given rows of truths of lying in each shape. All slabs are worked out at once."""
+    sides, owner = _sides(shapes)
+    if not len(sides):
+        return 0.0
+    heights = np.unique(np.concatenate([sides[:, 1], sides[:, 3], _crossings(sides)]))
+    heights = np.concatenate([heights[:-1][np.diff(heights) >= THIN], heights[-1:]])
+    thick, middle = np.diff(heights), (heights[:-1] + heights[1:]) / 2
+    slab, side = np.nonzero((sides[:, 1] <= middle[:, None]) & (sides[:, 3] >= middle[:, None]))
+    x = sides[side, 0] + (sides[side, 2] - sides[side, 0]) / (sides[side, 3] - sides[side, 1]) * (middle[slab] - sides[side, 1])
+    order = np.lexsort((side, x, slab))
+    slab, side, x = slab[order], side[order], x[order]
+    # Rings are closed, so every slab ends outside of all shapes and the next begins there.
+    inside = np.cumsum(owner[side] == np.arange(len(shapes))[:, None], axis=1) % 2 == 1
+    between = np.flatnonzero(keep(inside)[:-1] & (slab[1:] == slab[:-1]))
+    return float(((x[between + 1] - x[between]) * thick[slab[between]]).sum())
+
+
+def _free_areas(lines: Sequence[tuple[Ring, float]], obstacles: K.Rings, window: tuple[float, float, float, float]) -> np.ndarray:
+    """Area of each ribbon (points, half) in a window (west, south, east, north) and outside of all obstacles.
+
+    A window is quartered while many obstacles cross it; one that an obstacle covers has no free area.
+    """
+    total, made = np.zeros(len(lines)), {}
+    box = np.array([(min(xs) - h, min(ys) - h, max(xs) + h, max(ys) + h) for (xs, ys), h in ((tuple(zip(*p)), h) for p, h in lines)]).reshape(-1, 4)
+    owner = np.repeat(np.arange(len(obstacles.count)), obstacles.count)
+    ax, ay, bx, by = obstacles.x, obstacles.y, obstacles.bx, obstacles.by
+    low_x, high_x, low_y, high_y = np.minimum(ax, bx), np.maximum(ax, bx), np.minimum(ay, by), np.maximum(ay, by)
+    windows = [(window, np.arange(len(lines)), np.arange(len(obstacles.count)), np.arange(len(ax)), 0)]
+    while windows:
+        (w, s, e, n), own, near, sides, depth = windows.pop()
+        own = own[(box[own, 0] < e) & (box[own, 2] > w) & (box[own, 1] < n) & (box[own, 3] > s)]
+        if not len(own):
+            continue
+        sides = sides[(low_x[sides] <= e) & (high_x[sides] >= w) & (low_y[sides] <= n) & (high_y[sides] >= s)]
+        turns = np.stack([(bx[sides] - ax[sides]) * (y - ay[sides]) - (by[sides] - ay[sides]) * (x - ax[sides]) for x, y in ((w, s), (e, s), (e, n), (w, n))])
+        sides = sides[(turns.max(axis=0, initial=-np.inf) >= 0) & (turns.min(axis=0, initial=np.inf) <= 0)]
+        crossing = np.unique(owner[sides])
+        # What has no side here holds all of the window or nothing of it.
+        rest = np.setdiff1d(near, crossing, assume_unique=True)
+        if obstacles.contain(rest, np.full(len(rest), (w + e) / 2), np.full(len(rest), (s + n) / 2)).any():
+            continue
+        if len(crossing) > FEW and depth < DEPTH:
+            x, y = (w + e) / 2, (s + n) / 2
+            windows += [(part, own, crossing, sides, depth + 1) for part in ((w, s, x, y), (x, s, e, y), (w, y, x, n), (x, y, e, n))]
+            continue
+        cut = [[list(zip(obstacles.x[at], obstacles.y[at]))] for at in (slice(obstacles.start[o], obstacles.start[o] + obstacles.count[o]) for o in crossing)]
+        for k in own:
+            if k not in made:
+                shapes = ribbon(*lines[k])
+                made[k] = shapes, np.array([(*np.min(r[0], axis=0), *np.max(r[0], axis=0)) for r in shapes])
+            shapes, bounds = made[k]
+            here = np.flatnonzero((bounds[:, 0] < e) & (bounds[:, 2] > w) & (bounds[:, 1] < n) & (bounds[:, 3] > s))
+            if m := len(here):
+                total[k] += kept_area([*(shapes[i] for i in here), [[(w, s), (e, s), (e, n), (w, n)]], *cut], lambda inside: inside[:m].any(axis=0) & inside[m] & ~inside[m + 1 :].any(axis=0))  # noqa: B023
+    return total
+
+
+def ribbons(lines: DataFrame, key: str, obstacles: DataFrame, buckets: int) -> DataFrame:
+    """``key, area`` of each line (``key, points, half``) as a ribbon inside the unit square, cut back where obstacles (``shell``)
+    are.
+
+    The square is cut into buckets, and a ribbon's area is the sum of its areas in those it touches, so that a line needs the
+    obstacles of one bucket at a time and never takes copies of them along.
+    """
+    reach = F.col("half")
+    xs, ys = F.transform("points", lambda p: p["x"]), F.transform("points", lambda p: p["y"])
+    asked = spatial.by_bounds(lines.select(key, "points", "half"), F.array_min(xs) - reach, F.array_max(xs) + reach, F.array_min(ys) - reach, F.array_max(ys) + reach, buckets)
+    asked = asked.withColumns({"__x": F.col("bx"), "__y": F.col("by")})
+    held = spatial.ring_bounds(obstacles.select("shell"), "shell", buckets=buckets)
+    schema = T.StructType([lines.schema[key], T.StructField("area", T.DoubleType())])
+
+    def work(left: pa.Table, right: pa.Table) -> Iterator[pa.Table]:
+        x, y = left.column("__x")[0].as_py(), left.column("__y")[0].as_py()
+        rings = K.Rings(right.column("shell").combine_chunks()) if right.num_rows else K.Rings(pa.array([], pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))))
+        own = [([(p["x"], p["y"]) for p in points], half) for points, half in zip(left.column("points").to_pylist(), left.column("half").to_pylist())]
+        yield pa.table({key: left.column(key), "area": _free_areas(own, rings, (x / buckets, y / buckets, (x + 1) / buckets, (y + 1) / buckets))})
+
+    parts = K.bucketed(asked, held, ["bx", "by"], work, schema, lone=True).groupBy(key).agg(F.sum("area").alias("area"))
+    return lines.select(key).join(parts, key, "left").select(key, F.coalesce("area", F.lit(0.0)).alias("area"))

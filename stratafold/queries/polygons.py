@@ -154,12 +154,9 @@ def g14_triangulations(s: SparkSession, d: str) -> DataFrame:
 
 
 def g12_ribbons(s: SparkSession, d: str) -> DataFrame:
-    """Area of each line as a ribbon in the unit square, cut back at the buildings that its box meets."""
+    """Area of each line as a ribbon in the unit square, cut back at the buildings that it meets."""
     lines = fx.paths(s, d).select("id", "points", "half")
-    wide = spatial.ring_bounds(lines, "points", 0.002, FINE).select("id", "bx", "by")
-    buildings = spatial.ring_bounds(_areas(s, d).where("kind IN (1, 2)"), "shell", buckets=FINE).select("area", "shell", "bx", "by")
-    obstacles = wide.join(buildings, ["bx", "by"]).select("id", "area", "shell").dropDuplicates(["id", "area"]).select("id", "shell")
-    return polygons.ribbons(lines, ["id"], obstacles).select("id", F.round("area", 9).alias("area"))
+    return polygons.ribbons(lines, "id", _areas(s, d).where("kind IN (1, 2)"), spatial.BUCKETS).select("id", F.round("area", 9).alias("area"))
 
 
 _CROSS = "(e.ay > p.y) <> (e.by_ > p.y) AND p.x < (e.bx - e.ax) * (p.y - e.ay) / (e.by_ - e.ay) + e.ax"

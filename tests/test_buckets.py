@@ -2,7 +2,7 @@
 
 import random
 
-from stratafold.operators import overlay, sampling, spatial
+from stratafold.operators import overlay, polygons, sampling, spatial
 
 RING = "array<struct<x: double, y: double>>"
 
@@ -130,3 +130,24 @@ def test_stations_read_the_cells_across_them_whatever_tiles_they_lie_in(spark):
     df = spark.createDataFrame(lines, "id int, half double, x0 double, y0 double, x1 double, y1 double, x2 double, y2 double")
     got = sampling.highest_across(df, "id", raster, "z", rows, columns, 8, 0.005, 2).collect()
     assert len(got) == len(expected) and {(r.id, r.station): r.z for r in got} == expected
+
+
+def test_ribbons_cut_back_window_by_window_have_the_area_of_one_cut(spark):
+    rng = random.Random(11)
+    walk = lambda: [(rng.uniform(-0.1, 1.1), rng.uniform(-0.1, 1.1)) for _ in range(3)]
+    lines = [(k, walk(), rng.choice([0.01, 0.05])) for k in range(12)] + [(12, [(2.0, 2.0), (3.0, 3.0)], 0.1)]
+    shells = [shell for _, shell, _ in _shapes(rng, 25) if shell and max(x for x, _ in shell) - min(x for x, _ in shell) < 0.5]
+    window = [[(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)]]
+    for cut in (shells, [], [[(-1.0, -1.0), (2.0, -1.0), (2.0, 2.0), (-1.0, 2.0)]]):
+        df, obstacles = spark.createDataFrame(lines, f"id int, points {RING}, half double"), spark.createDataFrame([(c,) for c in cut], f"shell {RING}")
+        got = {r.id: r.area for r in polygons.ribbons(df, "id", obstacles, 4).collect()}
+        assert got.keys() == {k for k, _, _ in lines}
+        for k, points, half in lines:
+            assert abs(got[k] - polygons.area_of(polygons.clip_to(polygons.ribbon(points, half), window, [[c] for c in cut]))) < 1e-9
+
+
+def test_wide_areas_are_paved_over_in_few_cells_of_a_fine_grid(spark):
+    # One grid of 20,000 cells a side would hold this area 400 million times.
+    areas = spark.createDataFrame([(0, [(-1.0, -1.0), (2.0, -1.0), (2.0, 2.0), (-1.0, 2.0)], [])], f"area int, shell {RING}, holes array<{RING}>")
+    points = spark.createDataFrame([(i, i / 9.0, i / 9.0) for i in range(10)], "id int, x double, y double")
+    assert spatial.points_in_areas(points, areas, 20_000).count() == 10
