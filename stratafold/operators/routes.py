@@ -122,8 +122,8 @@ def pavement(elements: DataFrame, key: str, is_area: Column, buckets: int) -> tu
     (``key, kind, tags, points, members``) draw.
 
     Relations give the rings their members close. Ways for which ``is_area`` holds are rings of three points at least. Of the other
-    ways, a line of which some area covers every point repeats that area and is ``covered``. ``buckets`` is the number of grid
-    cells a side in which lines and areas meet; an area should touch few of them.
+    ways, a line of which some area covers every point repeats that area and is ``covered``. ``buckets`` is the number of cells a
+    side of the finest grid in which lines and areas meet.
     """
     tunnel = T.is_set(T.tag(F.col("tags"), "tunnel"))
     open_ = elements.where(~tunnel)
@@ -136,7 +136,7 @@ def pavement(elements: DataFrame, key: str, is_area: Column, buckets: int) -> tu
     areas = relations.where("part IS NOT NULL").select(F.concat_ws(":", key, "part").alias("area"), "shell", "holes").unionByName(rings.select(F.col(key).cast("string").alias("area"), "shell", none.alias("holes")))
     lines = ways.where("NOT is_area AND size(points) >= 2").select(key, "tags", "points")
     spots = lines.select(F.col(key).alias("__line"), F.posexplode("points").alias("__i", "p")).select("__line", "__i", F.col("p.x").alias("x"), F.col("p.y").alias("y"))
-    held = spatial.points_in_areas(spots, areas, buckets).select("__line", "__i").distinct().groupBy("__line").agg(F.count(F.lit(1)).alias("__held"))
+    held = spatial.points_in_areas(spots, areas.select("shell", "holes"), buckets, once=True).select("__line", "__i").distinct().groupBy("__line").agg(F.count(F.lit(1)).alias("__held"))
     drawn = lines.join(held, F.col(key) == F.col("__line"), "left").select(key, (F.coalesce("__held", F.lit(0)) == F.size("points")).alias("covered"), T.length_m(T.tag(F.col("tags"), "width")).isNotNull().alias("mapped"))
     # A way that is no ring and no line is invalid, and so is every chain of a relation that does not close.
     invalid = ways.agg(F.count_if(F.when(F.col("is_area"), (F.size("points") < 4) | (F.size(ring) < 3)).otherwise(F.size("points") < 2)).alias("ways"))
