@@ -29,14 +29,9 @@ def bucketed(left: DataFrame, right: DataFrame, keys: Sequence[str], work: Work,
     packed = [df.select(*keys, F.struct(*names).alias(side)) for df, names, side in zip((left, right), sides, ("__l", "__r"))]
     both = packed[0].unionByName(packed[1], allowMissingColumns=True)
 
-    def part(table: pa.Table, side: str) -> pa.Table:
-        column = _whole(table.column(side))
-        column = column.filter(column.is_valid())
-        return pa.table({column.type.field(i).name: column.field(i) for i in range(column.type.num_fields)})
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches))
-        first, second = part(table, "__l"), part(table, "__r")
+        first, second = _part(table, "__l"), _part(table, "__r")
         del table
         if first.num_rows and (second.num_rows or lone):
             for made in work(first, second):
@@ -47,6 +42,32 @@ def bucketed(left: DataFrame, right: DataFrame, keys: Sequence[str], work: Work,
     return both.groupBy(*keys).applyInArrow(run, schema)
 
 
+def _part(table: pa.Table, side: str) -> pa.Table:
+    column = table.column(side)
+    column = _whole(column.filter(column.is_valid()))
+    return pa.table({column.type.field(i).name: column.field(i) for i in range(column.type.num_fields)})
+
+
+def by_side(batches: Iterator[pa.RecordBatch], key: str, work: Callable[[pa.Table, pa.Table], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
+    """``work`` on the rows of both tables (``__l``, ``__r``) of each value of ``key`` that both have."""
+    held = list(batches)
+    if not held:
+        return
+    table = pa.Table.from_batches(held)
+    values = pc.unique(table.column(key))
+    sides = []
+    for value in values:
+        own = table if len(values) == 1 else table.filter(pc.equal(table.column(key), value))
+        sides.append(tuple(_part(own, side) for side in ("__l", "__r")))
+    # Only what the work itself holds on to stays in memory.
+    del held, table, own
+    while sides:
+        if all(side.num_rows for side in sides[-1]):
+            yield from work(*sides.pop())
+        else:
+            sides.pop()
+
+
 def numbers(table: pa.Table, *names: str) -> np.ndarray:
     """Columns as rows of doubles, nulls as NaN."""
     return np.stack([_whole(table.column(n)).cast(pa.float64()).to_numpy(zero_copy_only=False) for n in names])
@@ -242,6 +263,101 @@ def near_segments(ends: np.ndarray, x: np.ndarray, y: np.ndarray, radius: float,
         yield tuple(map(np.concatenate, zip(*found)))
 
 
+#: Points that a step along a segment should find, about.
+FEW = 4.0
+
+
+def along_segments(ends: np.ndarray, x: np.ndarray, y: np.ndarray, radius: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """What ``near_segments`` gives without slack, for many points along many segments: points lie in the cells of strips, and a
+    segment asks in each strip it crosses for the few cells next to it. Batches are in the order of the segments, those that are
+    steep before the others.
+    """
+    there = np.flatnonzero(np.isfinite(x) & np.isfinite(y))
+    known = np.isfinite(ends).all(axis=0)
+    if not len(there) or not known.any():
+        return
+    flat = np.abs(ends[2] - ends[0]) > np.abs(ends[3] - ends[1])
+    # Rounding of the strips' and the line's places may bring a point in that the bounds just miss.
+    pad = radius + 1e-9 * max(1.0, float(np.abs(ends[:, known]).max()))
+    # The grid covers the part of the unit square that has points; what lies beyond is held by its border.
+    grid = [(float(np.clip(v.min(), 0, 1)), float(np.clip(v.max(), 0, 1))) for v in (x[there], y[there])]
+    spans = [max(high - low, 1e-6) for low, high in grid]
+    step = float(np.sqrt(radius * radius + FEW * spans[0] * spans[1] / len(there))) - radius
+    for level in (False, True):
+        # Strips lie across the axis that the segments follow: v is the place in a strip.
+        (u, u_axis), (v, v_axis) = ((x, 0), (y, 1)) if level else ((y, 1), (x, 0))
+        own = np.flatnonzero(known & (flat == level))
+        if not len(own):
+            continue
+        strips, cells = (int(np.clip(spans[axis] / size, 1, 2048)) for axis, size in ((u_axis, step), (v_axis, step / 2)))
+        place = lambda at, axis, n: np.clip(np.floor((at - grid[axis][0]) * (n / spans[axis])), 0, n - 1).astype(np.int64)  # noqa: E731, B023
+        cell = place(u[there], u_axis, strips) * cells + place(v[there], v_axis, cells)
+        order = np.argsort(cell, kind="stable")
+        begin = np.concatenate(([0], np.cumsum(np.bincount(cell, minlength=strips * cells))))
+        points = there[order]
+        px, py = x[points], y[points]
+        edges = grid[u_axis][0] + np.arange(strips + 1) * (spans[u_axis] / strips)
+        edges[0], edges[-1] = -np.inf, np.inf
+        u0, v0, u1, v1 = ends[[0, 1, 2, 3] if level else [1, 0, 3, 2]][:, own]
+        low, high = np.minimum(u0, u1) - pad, np.maximum(u0, u1) + pad
+        slope = np.divide(v1 - v0, u1 - u0, out=np.zeros(len(own)), where=u1 != u0)
+        reach = pad * np.sqrt(1 + slope * slope)
+        first = place(low, u_axis, strips)
+        steps = place(high, u_axis, strips) - first + 1
+        for some in chunks(steps, BATCH):
+            run, at = spread(steps[some])
+            k = run + some.start
+            strip = first[k] + at
+            a = v0[k] + (np.maximum(edges[strip], low[k]) - u0[k]) * slope[k]
+            b = v0[k] + (np.minimum(edges[strip + 1], high[k]) - u0[k]) * slope[k]
+            from_, upto = begin[strip * cells + place(np.minimum(a, b) - reach[k], v_axis, cells)], begin[strip * cells + place(np.maximum(a, b) + reach[k], v_axis, cells) + 1]
+            k, from_, upto = (each[upto > from_] for each in (own[k], from_, upto))
+            for part in chunks(upto - from_, BATCH):
+                run, at = spread((upto - from_)[part])
+                i, j = k[part][run], from_[part][run] + at
+                distance = segment_distance(px[j], py[j], *ends[:, i])
+                near = np.flatnonzero(distance <= radius)
+                if len(near):
+                    yield i[near], points[j[near]], distance[near]
+
+
+def rounded(values: np.ndarray, digits: int) -> np.ndarray:
+    """Positive values rounded half up."""
+    scaled = values * 10.0**digits
+    whole = np.floor(scaled)
+    return (whole + (scaled - whole >= 0.5)) / 10.0**digits
+
+
+def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the runs of equal entries (of equal columns in a table)."""
+    rows = np.atleast_2d(values)
+    starts = np.flatnonzero(np.concatenate(([True], (rows[:, 1:] != rows[:, :-1]).any(axis=0)))) if rows.shape[1] else np.zeros(0, np.int64)
+    return starts, np.diff(starts, append=rows.shape[1])
+
+
+#: Entries of a list in a row of ``products``; a row stands for its square of pairs at most.
+SIDE = 256
+
+Lists = tuple[np.ndarray, np.ndarray]
+
+
+def products(first: Lists, second: Lists) -> Iterator[tuple[Lists, Lists]]:
+    """Pairs of runs (starts and lengths), one of each a row, cut into rows of ``SIDE`` entries of each at most: for either side the
+    offsets of its lists and the entries in them."""
+    pieces = [-(-lengths // SIDE) for _, lengths in (first, second)]
+    row, place = spread(pieces[0] * pieces[1])
+    begins, sizes = [], []
+    for (starts, lengths), piece in zip((first, second), (place // pieces[1][row], place % pieces[1][row])):
+        begins.append(starts[row] + piece * SIDE)
+        sizes.append(np.minimum(lengths[row] - piece * SIDE, SIDE))
+    for some in chunks(sizes[0] + sizes[1]):
+        made = []
+        for begin, size in zip(begins, sizes):
+            run, at = spread(size[some])
+            made.append((np.concatenate(([0], np.cumsum(size[some]))), begin[some][run] + at))
+        yield made[0], made[1]
+
+
 def overlapping(w: np.ndarray, e: np.ndarray, s: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of boxes that overlap or touch, each once."""
     order = np.argsort(w, kind="stable")

@@ -105,6 +105,47 @@ def points_near_segments(points: DataFrame, parts: DataFrame, radius: float, buc
     return K.bucketed(at_points(points, buckets).where("bx IS NOT NULL AND by IS NOT NULL"), close, ["bx", "by"], work, schema)
 
 
+def pairs_near_segments(points: DataFrame, parts: DataFrame, radius: float, digits: int, bands: int, splits: int) -> DataFrame:
+    """Points within ``radius`` of segments, as ``points_near_segments`` gives them, without the coordinates and with the distance
+    rounded to ``digits``: for results that are far larger than both tables.
+
+    Points lie in ``bands`` across the square and segments in those they touch, where either of ``splits`` partitions has all
+    points of its band and its own share of the segments, those in the same place together. Segments in the same place are compared
+    once, and a row of the comparison holds the points near a place beside the segments in it: pairs are made of that at the end
+    only, so they are neither moved nor handed over by a worker.
+    """
+    # In the order of their places neighbours repeat each other, so the files of the shuffle are smaller.
+    held = parts.dropna(subset=["x0", "y0", "x1", "y1"]).sortWithinPartitions("x0", "y0", "x1", "y1").withColumn("__band", F.explode(F.sequence(bucket(F.least("y0", "y1") - radius, bands), bucket(F.greatest("y0", "y1") + radius, bands))))
+    held = held.withColumn("__part", F.col("__band") * splits + F.pmod(F.hash("x0", "y0", "x1", "y1"), F.lit(splits))).drop("__band")
+    asked = points.dropna(subset=["x", "y"]).withColumn("__part", F.explode(F.sequence(bucket(F.col("y"), bands) * splits, (bucket(F.col("y"), bands) + 1) * splits - 1)))
+    fields = [[f for f in df.schema if f.name not in at] for df, at in ((points, ("x", "y")), (parts, ("x0", "y0", "x1", "y1")))]
+    fields[0].append(T.StructField("distance", T.DoubleType()))
+    schema = T.StructType([T.StructField(side, T.ArrayType(T.StructType(own))) for side, own in zip(("__near", "__same"), fields)])
+    kept = [[f.name for f in own if f.name != "distance"] for own in fields]
+
+    def lists(table: pa.Table, offsets: np.ndarray, names: list[str], entries: np.ndarray, **more: np.ndarray) -> pa.Array:
+        entries = pa.array(entries)
+        columns = {n: table.column(n).take(entries).combine_chunks() for n in names} | {n: pa.array(v).take(entries) for n, v in more.items()}
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(list(columns.values()), list(columns)))
+
+    def work(left: pa.Table, right: pa.Table) -> Iterator[pa.RecordBatch]:
+        x, y = K.numbers(left, "x", "y")
+        ends = K.numbers(right, "x0", "y0", "x1", "y1")
+        order = np.lexsort(ends)
+        left, right, ends = left.select(kept[0]), right.select(kept[1]).take(pa.array(order)), ends[:, order]
+        first, count = K.runs(ends)
+        ends = ends[:, first]
+        for place, point, distance in K.along_segments(ends, x, y, radius):
+            starts, lengths = K.runs(place)
+            found, distance = left.take(pa.array(point)), K.rounded(distance, digits)
+            for (to, near), (upto, same) in K.products((starts, lengths), (first[place[starts]], count[place[starts]])):
+                yield pa.RecordBatch.from_arrays([lists(found, to, kept[0], near, distance=distance), lists(right, upto, kept[1], same)], ["__near", "__same"])
+
+    packed = [df.select("__part", F.struct(*(c for c in df.columns if c != "__part")).alias(side)) for df, side in ((asked, "__l"), (held, "__r"))]
+    both = packed[0].unionByName(packed[1], allowMissingColumns=True).repartitionById(bands * splits, F.col("__part"))
+    return both.mapInArrow(lambda batches: K.by_side(batches, "__part", work), schema).select(F.inline("__near"), "__same").select(*kept[0], "distance", F.inline("__same"))
+
+
 def crossings(parts: DataFrame, buckets: int) -> DataFrame:
     """Pairs of segments (``line, seg, x0, y0, x1, y1``) of different lines of which each has the other's ends on both its sides:
     ``line1, seg1, line2, seg2``, of the lines the lower first.

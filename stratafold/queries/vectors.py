@@ -9,6 +9,7 @@ from stratafold.functions import geo as G
 from stratafold.operators import mesh, spatial
 from stratafold.plans import fixtures as fx
 from stratafold.plans.fixtures import with_views
+from stratafold.session import shuffle_partitions
 
 
 def j01_tile_join(s: SparkSession, d: str) -> DataFrame:
@@ -31,7 +32,10 @@ def j03_point_in_polygon(s: SparkSession, d: str) -> DataFrame:
 
 def j05_within_distance(s: SparkSession, d: str) -> DataFrame:
     parts = spatial.segments(fx.line_pts(s, d), "line", "seq")
-    return spatial.points_near_segments(fx.spots(s, d), parts, 0.001).select("id", "line", "seg", F.round("distance", 6).alias("distance"))
+    # As many partitions as a shuffle has, filled up so that the cores end together, in two bands.
+    cores = s.sparkContext.defaultParallelism
+    splits = -(-(-(-shuffle_partitions(s) // cores) * cores) // 2)
+    return spatial.pairs_near_segments(fx.spots(s, d), parts, 0.001, 6, 2, splits).select("id", "line", "seg", "distance")
 
 
 def j06_overlay_priority(s: SparkSession, d: str) -> DataFrame:

@@ -1,8 +1,14 @@
 """Work on buckets as arrays, against brute force."""
 
 import random
+from collections import Counter
 
-from stratafold.operators import overlay, polygons, sampling, spatial
+import duckdb
+import numpy as np
+
+from stratafold.operators import kernels, overlay, polygons, sampling, spatial
+from stratafold.queries import vectors
+from tests import parity
 
 RING = "array<struct<x: double, y: double>>"
 
@@ -66,6 +72,66 @@ def test_points_near_segments_of_all_lengths_by_brute_force(spark):
         assert sorted((r.id, r.line) for r in spatial.points_near_segments(points, parts, 0.05, buckets).collect()) == expected
 
 
+def test_pairs_of_points_and_segments_by_brute_force(spark):
+    rng = random.Random(12)
+    lines, spots = _lines(rng, 150), _spots(rng, 300)
+    # Points beyond the square on either side, twice, as dots; segments without an end, along an axis, and many in one place.
+    spots += [(400, 7.0, 0.5), (401, -6.0, -6.0), (402, 0.3, 0.3), (402, 0.3, 0.3), (None, 0.31, 0.3), (403, float("nan"), 0.3)]
+    lines += [(200, None, 0.1, 0.2, 0.3), (201, 0.1, 0.1, 0.2, None), (202, 6.9, 0.5, 7.1, 0.5), (203, -6.0, -7.0, -6.0, 2.0), (204, -8.0, 0.3, 8.0, 0.3), (205, 0.3, 0.3, 0.3, 0.3), (206, 0.2, float("nan"), 0.3, 0.3)]
+    lines += [(300 + k, 0.2, 0.2, 0.8, 0.8) for k in range(5)]
+    parts, points = spark.createDataFrame(lines, "line int, x0 double, y0 double, x1 double, y1 double"), spark.createDataFrame(spots, "id int, x double, y double")
+    there = [(k, *at) for k, *at in lines if not any(v is None or v != v for v in at)]
+    key = lambda row: (row[0] is None, row[0] or 0, *row[1:])
+    for radius in (0.001, 0.05, 0.7):
+        expected = sorted(((i, k, round(far, 6)) for i, x, y in spots if None not in (x, y) for k, *at in there if (far := _distance(x, y, *at)) <= radius), key=key)
+        for bands, splits in ((1, 1), (2, 3), (5, 2)):
+            got = sorted(((r.id, r.line, r.distance) for r in spatial.pairs_near_segments(points, parts, radius, 6, bands, splits).collect()), key=key)
+            assert got == expected
+    assert spatial.pairs_near_segments(points.limit(0), parts, 0.05, 6, 2, 2).count() == spatial.pairs_near_segments(points, parts.limit(0), 0.05, 6, 2, 2).count() == 0
+
+
+def test_products_of_long_runs_are_cut_and_whole():
+    runs = lambda *lengths: (np.cumsum(lengths) - np.array(lengths), np.array(lengths))
+    first, second = runs(1, 700, 3, 256), runs(2, 600, 1000, 1)
+    expected = {(i + at, j + to) for at, n, to, m in zip(*first, *second) for i in range(n) for j in range(m)}
+    got = []
+    for (offsets, entries), (others, more) in kernels.products(first, second):
+        assert len(offsets) == len(others) and max(np.diff(offsets).max(), np.diff(others).max()) <= kernels.SIDE
+        for k in range(len(offsets) - 1):
+            got += [(i, j) for i in entries[offsets[k] : offsets[k + 1]] for j in more[others[k] : others[k + 1]]]
+    assert len(got) == len(expected) and set(got) == expected
+
+
+def _handed_over(df):
+    """Rows that Python workers gave back while the plan ran."""
+
+    def walk(node):
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return walk(node.executedPlan())
+        if "QueryStage" in name:
+            return walk(node.plan())
+        own = node.metrics().get("pythonNumRowsReceived")
+        return (own.get().value() if own.isDefined() else 0) + sum(walk(node.children().apply(i)) for i in range(node.children().size()))
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_pairs_within_a_distance_are_not_handed_over_one_by_one(spark, tmp_path):
+    # 12 places, each with the segments of 100 lines: whatever is near one is near them all.
+    orders = [(1000 * (k + 1) + 37 * at + 500 * end, 100 * at + k) for k in range(100) for at in range(12) for end in (0, 1)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(k,) for k in range(3000)], "c_custkey long").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    df = vectors.j05_within_distance(spark, str(tmp_path))
+    got = parity.rows(df)
+    with duckdb.connect() as db:
+        for table in ("orders", "customer"):
+            db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet/*.parquet'")
+        expected = db.execute(vectors.ORACLES["j05_within_distance"]).fetchall()
+    assert len(expected) > 1000 and got == Counter(repr((distance, i, line, seg)) for i, line, seg, distance in expected)
+    assert 0 < _handed_over(df) < len(expected) / 20
+
+
 def test_segments_nearest_to_points_by_brute_force(spark):
     rng = random.Random(7)
     lines, spots = _lines(rng, 150), _spots(rng, 300)
